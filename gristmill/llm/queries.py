@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import scratch, sharding, warc
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  translate(concat(
+    to_base(CAST('0x' || substr(h, 1, 10) AS BIGINT), 32, 8), to_base(CAST('0x' || substr(h, 11, 10) AS BIGINT), 32, 8),
+    to_base(CAST('0x' || substr(h, 21, 10) AS BIGINT), 32, 8), to_base(CAST('0x' || substr(h, 31, 10) AS BIGINT), 32, 8)),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +31,15 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "archives")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.page_index(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding,)}
+    return {f.__name__: f for f in (op3_sharding, op7_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": OP7_SQL}
