@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scratch, sharding, warc
+from . import decontaminate, jaccard, scratch, sharding, tokencount, warc
+
+#: Where the public vocabularies lie; the files are read there and never copied.
+TOKENIZERS = "/opt/tokenizers"
 
 
 OP7_SQL = """
@@ -27,10 +30,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokencount.read_pieces(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), pieces)
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "archives")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
@@ -38,7 +54,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op7_warc)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sharding, op5_decontamination, op7_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
