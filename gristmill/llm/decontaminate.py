@@ -22,6 +22,8 @@ MASKS = ("111111", "11011011", "1100110011")
 PENALTY = 3
 #: Bytes of test items that are broadcast at a time; further items make further passes over the texts.
 BLOCK_BYTES = 32 << 20
+#: An overlap needs ``min_matches`` agreeing tokens, or this share of a shorter item's, but LEAST at any rate.
+ITEM_SHARE, LEAST = 0.6, 8
 _FILTER_BITS = 22
 _GROUP_WORDS = 1 << 20
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -93,21 +95,22 @@ class Seeds:
         found = np.unique(np.stack([text, item, where - at]), axis=1)  # a diagonal counts once
         for t, i, diagonal in found.T:
             own = self.items[i]
+            least = max(LEAST, min(min_matches, -int(-ITEM_SHARE * len(own) // 1)))
             first, last = max(int(bounds[t]), int(diagonal)), min(int(bounds[t + 1]), int(diagonal) + len(own))
-            if last - first < min_matches:
+            if last - first < least:
                 continue
             start, end, matches = best_stretch(tokens[first:last] == own[first - diagonal : last - diagonal])
-            if matches >= min_matches:
+            if matches >= least:
                 yield int(t), int(self.ids[i]), first + start - int(bounds[t]), first + start - int(diagonal), end - start, matches
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Every overlap of a text with a test item: ``id_col, item_id, doc_start, item_start, length, matches``.
 
     Tokens are runs of ASCII letters, digits and bytes from 0x80, with A to Z lower-cased; starts and lengths count
-    tokens. An overlap has at least ``min_matches`` agreeing tokens, at most one substitution to three of them in
-    balance, and no gaps; the same pair has one for each place. Items of fewer tokens than that cannot be found, nor
-    can null or empty texts. Null ids are kept as null. Equal items are each reported; repeated rows give their overlaps again.
+    tokens. An overlap has at least ``min_matches`` agreeing tokens (of a short item 0.6 of its tokens, but never under
+    8), at most one substitution to three of them in balance, and no gaps; the same pair has one for each place. Items of
+    under 8 tokens cannot be found, nor can null or empty texts. Null ids are kept as null. Equal items are each reported; repeated rows give their overlaps again.
     Either table may be empty, which gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
@@ -142,7 +145,7 @@ def _search(shared, min_matches: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = 10, **columns: str) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13, **columns: str) -> DataFrame:
     """One row a (text id, item): its longest overlap and the number of them. See :func:`overlaps`."""
     id_col = columns.get("id_col", "doc_id")
     best = F.max(F.struct("matches", "length", -F.col("doc_start"), -F.col("item_start"))).alias("best")
@@ -150,7 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = 10, *
     return found.select(id_col, "item_id", (-F.col("best.col3")).alias("doc_start"), (-F.col("best.col4")).alias("item_start"), "best.length", "best.matches", "n_overlaps")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = 10, id_col: str = "doc_id", **columns: str) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13, id_col: str = "doc_id", **columns: str) -> DataFrame:
     """The rows whose id has no overlap with an item; rows with a null id stay."""
     bad = overlaps(docs, benchmark, min_matches, id_col=id_col, **columns).select(F.col(id_col).alias("__bad_id")).distinct()
     return docs.join(bad, docs[id_col] == F.col("__bad_id"), "left_anti")
