@@ -4,8 +4,8 @@ Writing: a page is one HTTP response with a chunked body; blocks over ``segment_
 record and ``continuation`` records. Records may lie in any file and order. A payload that another page
 has already is written as a ``revisit`` without it.
 
-Reading: records are cut out by their Content-Length, dealt by origin identifier, sorted by segment number and
-streamed, so that a task holds one record at a time; the segments' number and total length are verified, the
+Reading: records are cut out by their Content-Length. Whole ones are decoded where they are; segments are dealt by
+origin identifier, sorted by segment number and streamed, so that a task holds one record at a time; the segments' number and total length are verified, the
 chunked framing is decoded and the payload's SHA-1 is compared with the one in the header.
 """
 
@@ -102,8 +102,8 @@ def write_warc(pages: DataFrame, path: str, chunk_bytes: int = 4096, segment_byt
         F.coalesce(pages[html_col].cast("binary"), F.lit(b"")).alias("payload"),
         F.monotonically_increasing_id().alias("uid"),
     ).withColumn("sha", F.sha1("payload"))
-    firsts = rows.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("first"), F.sum(F.octet_length("payload").cast("long")).alias("all_bytes"))
-    total = firsts.agg(F.sum("all_bytes")).first()[0] or 0
+    firsts = rows.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("first"), F.sum(F.octet_length("payload").cast("long")).alias("all_bytes"), F.count(F.lit(1)).alias("n"))
+    total, count = firsts.agg(F.sum("all_bytes"), F.sum("n")).first()
     revisits = (F.octet_length("payload") >= min_revisit_bytes) & (F.col("first.uid") != F.col("uid"))
     rows = rows.join(firsts, "sha").select("id", "url", "uid", "payload", F.when(revisits, F.col("first.uid")).alias("first_uid"))
 
@@ -120,9 +120,10 @@ def write_warc(pages: DataFrame, path: str, chunk_bytes: int = 4096, segment_byt
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    archives = rows.mapInArrow(records, "value binary").repartition(max(1, -(-total // ARCHIVE_BYTES)), F.xxhash64("value"))
+    archives = rows.mapInArrow(records, "value binary").select(F.col("value").cast("string"))
+    per_file = max(1, ARCHIVE_BYTES * (count or 1) // ((total or 0) + 1))
     # A record ends with two line ends; as the line separator they are put behind each.
-    archives.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    archives.write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=per_file).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -142,20 +143,27 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = start + size + 4
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _is_segment(f: dict[str, str]) -> bool:
+    return f.get("warc-type") == "continuation" or "warc-segment-number" in f
+
+
+def _row(f: dict[str, str], block: bytes) -> tuple:
+    number = lambda k: int(f[k]) if k in f else None
+    own, digest = f.get("warc-record-id"), f.get("warc-payload-digest")
+    return f.get("warc-type"), own, number("x-page-id"), f.get("warc-refers-to"), f.get("warc-segment-origin-id", own), number("warc-segment-number"), number("warc-segment-total-length"), digest and digest.rpartition(":")[2], block
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["kind", "record_id", "page_id", "refers_to", "group_id", "segment", "total", "digest", "block"]
     types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
-    number = lambda f, k: int(f[k]) if k in f else None
     for batch in batches:
         for content in batch.column(0):
             out, held = [], 0
             raw = content.as_py()
             for f, block in parse_archive(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                kind, own = f.get("warc-type"), f.get("warc-record-id")
-                if kind not in ("response", "revisit", "continuation"):
+                if not _is_segment(f):
                     continue
-                digest = f.get("warc-payload-digest")
-                out.append((kind, own, number(f, "x-page-id"), f.get("warc-refers-to"), f.get("warc-segment-origin-id", own), number(f, "warc-segment-number"), number(f, "warc-segment-total-length"), digest and digest.rpartition(":")[2], block))
+                out.append(_row(f, block))
                 held += len(block)
                 if held >= _FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -192,31 +200,56 @@ def _joined(parts: list[tuple]) -> tuple:
     return kind, own, page_id, refers, digest, payload, problem
 
 
-def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Takes records sorted by origin and segment number."""
-    names = ["kind", "record_id", "page_id", "refers_to", "digest", "payload", "problem"]
-    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
-    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-    held: list[tuple] = []
+_PAYLOAD_TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
+
+
+def _payloads(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of some megabytes of put-together records."""
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PAYLOAD_TYPES, strict=True)], ["kind", "record_id", "page_id", "refers_to", "digest", "payload", "problem"])
     out, size = [], 0
-    for batch in batches:
-        columns = batch.columns
-        for i in range(batch.num_rows):
-            row = tuple(c[i].as_py() for c in columns)
-            if held and row[4] != held[0][4]:
-                out.append(_joined(held))
-                size += len(out[-1][5] or b"")
-                held = []
-                if size >= _FLUSH:
-                    yield table(out)
-                    out, size = [], 0
-            held.append(row)
-    if held:
-        out.append(_joined(held))
+    for record in records:
+        out.append(record)
+        size += len(record[5] or b"") + 200
+        if size >= _FLUSH:
+            yield table(out)
+            out, size = [], 0
     if out:
         yield table(out)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Archives to the responses and revisits that are one record."""
+
+    def records():
+        for batch in batches:
+            for content in batch.column(0):
+                raw = content.as_py()
+                for f, block in parse_archive(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                    if f.get("warc-type") in ("response", "revisit") and not _is_segment(f):
+                        yield _joined([_row(f, block)])
+
+    return _payloads(records())
+
+
+def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments, sorted by origin and number, to whole records."""
+
+    def records():
+        held: list[tuple] = []
+        for batch in batches:
+            columns = batch.columns
+            for i in range(batch.num_rows):
+                row = tuple(c[i].as_py() for c in columns)
+                if held and row[4] != held[0][4]:
+                    yield _joined(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield _joined(held)
+
+    return _payloads(records())
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The responses and revisits of all archives below ``path``: ``kind, record_id, page_id, refers_to, digest, payload, problem``.
 
@@ -224,9 +257,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     total length, broken chunks, another digest); it is null for good records. Records of other types are skipped.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    records = files.mapInArrow(_records, RECORD)
-    dealt = records.repartition("group_id").sortWithinPartitions("group_id", F.asc_nulls_first("segment"))
-    return dealt.mapInArrow(_reassembled, PAYLOAD)
+    dealt = files.mapInArrow(_segments, RECORD).repartition("group_id").sortWithinPartitions("group_id", F.asc_nulls_first("segment"))
+    return files.mapInArrow(_whole, PAYLOAD).unionByName(dealt.mapInArrow(_reassembled, PAYLOAD))
 
 
 def page_index(spark: SparkSession, path: str) -> DataFrame:
