@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, scratch, sharding, tokencount, warc
+from . import decontaminate, jaccard, lmscore, scratch, sharding, tokencount, warc
 
 #: Where the public vocabularies lie; the files are read there and never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -47,6 +47,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "archives")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
@@ -54,7 +58,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sharding, op5_decontamination, op7_warc)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sharding, op5_decontamination, op6_lm_scores, op7_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
