@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lmscore, scratch, sharding, tokencount, warc
+from . import decontaminate, jaccard, lmscore, quality, scratch, sharding, tokencount, warc
 
 #: Where the public vocabularies lie; the files are read there and never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -57,8 +57,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_index(spark, path)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sharding, op5_decontamination, op6_lm_scores, op7_warc)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sharding, op5_decontamination, op6_lm_scores, op7_warc, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
