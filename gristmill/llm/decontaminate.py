@@ -25,7 +25,6 @@ BLOCK_BYTES = 32 << 20
 #: An overlap needs ``min_matches`` agreeing tokens, or this share of a shorter item's, but LEAST at any rate.
 ITEM_SHARE, LEAST = 0.6, 8
 _FILTER_BITS = 22
-_GROUP_WORDS = 1 << 20
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 OVERLAP = "id long, item_id long, doc_start long, item_start long, length long, matches long"
 
@@ -131,14 +130,10 @@ def _search(shared, min_matches: int):
         seeds = shared.value
         types = [pa.int64()] * 6
         for batch in batches:
-            tokens, offsets = words.word_hashes(batch.column(1), signs=True)
-            ids, found, a = batch.column(0), [], 0
-            while a < batch.num_rows:  # some texts at a time
-                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _GROUP_WORDS, "right")) - 1)
-                b = min(b, batch.num_rows)
-                part = tokens[offsets[a] : offsets[b]]
-                found += [(ids[a + t].as_py(), *rest) for t, *rest in seeds.overlaps(part, offsets[a : b + 1] - offsets[a], min_matches)]
-                a = b
+            ids, found = batch.column(0), []
+            for first, part in words.slices(batch.column(1)):
+                tokens, offsets = words.word_hashes(part, signs=True)
+                found += [(ids[first + t].as_py(), *rest) for t, *rest in seeds.overlaps(tokens, offsets, min_matches)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], ["id", "item_id", "doc_start", "item_start", "length", "matches"])
 

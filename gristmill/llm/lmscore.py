@@ -52,11 +52,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(n if counted else np.zeros_like(n))], ["kind", "key", "n"])
         held.clear()
 
-    for batch in batches:
-        keys, offsets = _word_keys(batch.column(1))
-        for i, (held_out, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+    parts = (part for batch in batches for first, texts in words.slices(batch.column(1)) for part in [(batch.column(0)[first : first + len(texts)], texts)])
+    for flags, texts in parts:
+        keys, offsets = _word_keys(texts)
+        for i, (held_out, text) in enumerate(zip(flags.to_pylist(), texts, strict=True)):
             if not held_out:
-                held.setdefault((_WORD, True), []).append(keys[offsets[i] : offsets[i + 1]])
+                held.setdefault((_WORD, True), []).append(keys[offsets[i] : offsets[i + 1]].copy())
             for grams in _gram_slices(text):
                 held.setdefault((_GRAM, not held_out), []).append(grams)
                 size += len(grams)
@@ -103,7 +104,8 @@ def _score(table, frequent, end_value: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, known = table.value, frequent and frequent.value
-        for batch in batches:
+        parts = (batch.slice(first, len(texts)) for batch in batches for first, texts in words.slices(batch.column(3)))
+        for batch in parts:
             texts, offsets = batch.column(3), np.zeros(batch.num_rows + 1, np.int64)
             score = [sum(float(grams.get(x).sum(dtype=np.float64)) for x in _gram_slices(t)) for t in texts]
             n_known, base, rare = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(0, np.int64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lmscore, quality, scratch, sharding, tokencount, warc
+from . import decontaminate, jaccard, lmscore, quality, scratch, secrets, sharding, tokencount, warc
 
 #: Where the public vocabularies lie; the files are read there and never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -43,6 +43,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -62,7 +66,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sharding, op5_decontamination, op6_lm_scores, op7_warc, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sharding, op4_secret_scan, op5_decontamination, op6_lm_scores, op7_warc, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

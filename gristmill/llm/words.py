@@ -112,8 +112,19 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def slices(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """A string array in parts of about so many bytes (one text at least), each with the number of its first row."""
+    _, offsets = text_bytes(texts)
+    a = 0
+    while a < len(texts):
+        b = min(len(texts), max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1))
+        yield a, texts.slice(a, b - a)
+        a = b
+
+
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words, offsets = word_hashes(texts)
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        yield np.unique(shingle_hashes(words[a:b], k))
+    for _, part in slices(texts):
+        words, offsets = word_hashes(part)
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            yield np.unique(shingle_hashes(words[a:b], k))
