@@ -294,3 +294,15 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     named = named.join(lowest, "component").select("n_shingles", "s1", "s2", "component_id")
     out = sets.join(named, ["n_shingles", "s1", "s2"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of its component, and those with a null id.
+
+    Rows that repeat such an id are the same document and stay together.
+    """
+    found = ngram_components(docs, k, percent, id_col, text_col)
+    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__first")).distinct()
+    # The ids' side is the smaller one to hash; the texts need no sort.
+    kept = docs.join(first.hint("shuffle_hash"), docs[id_col] == F.col("__first"), "left_semi")
+    return kept.unionByName(docs.where(docs[id_col].isNull()))

@@ -103,11 +103,21 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id
     rules decide. A null text has no words. Null ids are kept and never trusted. Repeated rows are each scored and
     each count. Other columns of either table are ignored; empty tables give an empty result.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    out = _judged(docs, labels, threshold, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that :func:`quality` keeps."""
+    return _judged(docs, labels, threshold, id_col, text_col).where("kept").select("row.*")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    columns = {"row": F.struct(*(docs[c] for c in docs.columns)), "id": docs[id_col].cast("long"), "text": F.coalesce(docs[text_col].cast("string"), F.lit(""))}
+    rows = docs.select(*(v.alias(k) for k, v in columns.items()))
     trusted = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("id"))
-    values = weights(with_ngrams(rows).select("id", "_ngrams"), trusted)
+    values = weights(with_ngrams(rows.select("id", "text")).select("id", "_ngrams"), trusted)
     out = with_statistics(with_ngrams(rows))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumns({"base_failed": failed, "llr": score(values)})
-    kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "llr")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, lmscore, quality, scratch, secrets, sharding, tokencount, warc
+from . import decontaminate, jaccard, langid, lmscore, packing, quality, scratch, secrets, sharding, tokencount, warc
 
 #: Where the public vocabularies lie; the files are read there and never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -65,8 +65,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sharding, op4_secret_scan, op5_decontamination, op6_lm_scores, op7_warc, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_sharding, op4_secret_scan, op5_decontamination, op6_lm_scores, op7_warc, op8_quality_rules, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
