@@ -119,5 +119,6 @@ def _judged(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str, t
     values = weights(with_ngrams(rows.select("id", "text")).select("id", "_ngrams"), trusted)
     out = with_statistics(with_ngrams(rows))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumns({"base_failed": failed, "llr": score(values)})
+    # The number of the row holds filters on what follows back: moved below, they would compute every step again and again.
+    out = out.withColumns({"base_failed": failed, "llr": score(values), "_number": F.monotonically_increasing_id()})
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))
