@@ -109,7 +109,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that :func:`quality` keeps."""
-    return _judged(docs, labels, threshold, id_col, text_col).where("kept").select("row.*")
+    # The rows' numbers hold the filter back: moved below the steps, it would compute each of them again and again.
+    return _judged(docs, labels, threshold, id_col, text_col).where("kept and _number >= 0").select("row.*")
 
 
 def _judged(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -119,6 +120,5 @@ def _judged(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str, t
     values = weights(with_ngrams(rows.select("id", "text")).select("id", "_ngrams"), trusted)
     out = with_statistics(with_ngrams(rows))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    # The number of the row holds filters on what follows back: moved below, they would compute every step again and again.
     out = out.withColumns({"base_failed": failed, "llr": score(values), "_number": F.monotonically_increasing_id()})
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))
