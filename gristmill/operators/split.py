@@ -1,0 +1,73 @@
+"""Reproducible train / valid / test splits with nested subsample draws."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.hashing import uniform
+from .ranks import ranked
+
+TRAIN, VALID, TEST, EXCLUDED = 0, 1, 2, 255
+
+
+def excluding_null(split: Column, *needed: Column) -> Column:
+    """Rows that lack a needed value are in no block."""
+    missing = needed[0].isNull()
+    for c in needed[1:]:
+        missing = missing | c.isNull()
+    return F.when(missing, EXCLUDED).otherwise(split)
+
+
+def _size(n: Column, fraction: float) -> Column:
+    """Half-even rounded, but one row at least of three or more."""
+    size = F.bround(n * F.lit(fraction)).cast("long")
+    return F.when(n >= 3, F.greatest(size, F.lit(1))).otherwise(size)
+
+
+def random_split(df: DataFrame, key: str, strata: Sequence[str] = (), fractions: tuple[float, float] = (0.15, 0.15), seed: int = 42) -> DataFrame:
+    """Adds ``split`` and ``r``. Blocks have exact sizes, in each stratum if there are strata; equal keys draw alike.
+
+    ``r`` is a second draw, independent of the split: ``r < f`` keeps about a share f, and nests.
+    """
+    rows = ranked(df, uniform(F.col(key), "split", seed), [F.col(key)], strata, name="_rank")
+    counts = df.groupBy(*(F.col(s).alias(f"_of_{s}") for s in strata)).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(counts, [F.col(s).eqNullSafe(F.col(f"_of_{s}")) for s in strata]) if strata else rows.crossJoin(F.broadcast(counts))
+    valid, test = _size(F.col("_n"), fractions[0]), _size(F.col("_n"), fractions[1])
+    block = F.when(F.col("_rank") < valid, VALID).when(F.col("_rank") < valid + test, TEST).otherwise(TRAIN)
+    return rows.select(*df.columns, block.alias("split"), uniform(F.col(key), "r", seed).alias("r"))
+
+
+def temporal_cuts(df: DataFrame, time: str, fractions: tuple[float, float] = (0.15, 0.15)) -> DataFrame:
+    """One row a timestamp: ``block`` and ``r``. Blocks follow each other, cut at cumulative row shares; with three or
+    more timestamps none is empty. ``r`` is the share of the block's rows that are newer, plus half a row."""
+    valid, test = fractions
+    dates = df.where(F.col(time).isNotNull()).groupBy(time).agg(F.count(F.lit(1)).alias("n"))
+    ordered = Window.orderBy(time)  # over the distinct timestamps
+    cum = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    dates = dates.select(time, "n", (F.row_number().over(ordered) - 1).alias("i"), cum.alias("cum"))
+    whole = dates.agg(F.max("cum").alias("total"), F.count(F.lit(1)).alias("n_dates"))
+    dates = dates.crossJoin(F.broadcast(whole))
+    at_most = lambda share: F.sum((F.col("cum") <= F.col("total") * F.lit(share)).cast("long")).over(Window.partitionBy())
+    dates = dates.withColumns({"train_end": at_most(1 - valid - test), "valid_end": at_most(1 - test)})
+    held = F.col("n_dates") >= 3
+    dates = dates.withColumn("train_end", F.when(held, F.least(F.greatest("train_end", F.lit(1)), F.col("n_dates") - 2)).otherwise(F.col("train_end")))
+    dates = dates.withColumn("valid_end", F.when(held, F.least(F.greatest("valid_end", F.col("train_end") + 1), F.col("n_dates") - 1)).otherwise(F.col("valid_end")))
+    block = F.when(F.col("i") < F.col("train_end"), TRAIN).when(F.col("i") < F.col("valid_end"), VALID).otherwise(TEST)
+    dates = dates.withColumn("block", block)
+    newer = F.sum("n").over(Window.partitionBy("block").orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, -1))
+    size = F.sum("n").over(Window.partitionBy("block"))
+    return dates.select(time, F.col("block").alias("split"), ((F.coalesce(newer, F.lit(0)) + 0.5) / size).alias("r"))
+
+
+def temporal_split(df: DataFrame, time: str, fractions: tuple[float, float] = (0.15, 0.15)) -> DataFrame:
+    """Adds ``split`` and ``r`` by timestamp, so that all series share the boundaries; rows without a time are excluded."""
+    cuts = temporal_cuts(df, time, fractions)
+    joined = df.join(cuts, time, "left")
+    return joined.select(*df.columns, F.coalesce("split", F.lit(EXCLUDED)).alias("split"), "r")
+
+
+def split_sizes(df: DataFrame) -> DataFrame:
+    return df.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
