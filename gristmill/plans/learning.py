@@ -11,12 +11,14 @@ from ..operators import profile as P
 from ..operators import split as S
 from .registry import query, table
 
-_N = F.count(F.lit(1)).alias("n")
+
+def _count():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("SELECT count(*) AS n FROM lineitem")
 def agg1_row_count(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(_N)
+    return table(spark, sf_dir, "lineitem").agg(_count())
 
 
 def _with_nulls(spark, sf_dir):
@@ -63,7 +65,7 @@ def agg7_group_mean(spark, sf_dir):
 
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
 def agg8_class_counts(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(_N)
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(_count())
 
 
 _SERIES = """WITH l AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1),
@@ -83,7 +85,7 @@ def agg10_median_step(spark, sf_dir):
 
 @query("SELECT round(min(n)::DOUBLE / sum(n), 6) AS smallest_share, round(max(n)::DOUBLE / min(n), 6) AS ratio FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
 def agg11_class_imbalance(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(_N)
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(_count())
     return counts.agg(F.round(F.min("n") / F.sum("n"), 6).alias("smallest_share"), F.round(F.max("n") / F.min("n"), 6).alias("ratio"))
 
 
@@ -186,7 +188,7 @@ def win6_time_delta(spark, sf_dir):
 
 @query("SELECT CAST(o_orderdate AS DATE)::VARCHAR AS day, sum(n) OVER (ORDER BY o_orderdate)::BIGINT AS up_to FROM (SELECT o_orderdate, count(*) AS n FROM orders GROUP BY 1)")
 def win7_cumulative_by_date(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").groupBy("o_orderdate").agg(_N)  # a row for each date
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderdate").agg(_count())  # a row for each date
     return counts.select(F.to_date("o_orderdate").cast("string").alias("day"), F.sum("n").over(Window.orderBy("o_orderdate")).alias("up_to"))
 
 

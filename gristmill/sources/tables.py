@@ -90,7 +90,7 @@ def save_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
         raise ValueError(f"no writer for {kind}")
 
 
-EVENT = T.StructType.fromDDL("seq long, run_id string, ts timestamp, stage string, agent string, kind string, message string, payload string")
+EVENT = "seq long, run_id string, ts timestamp, stage string, agent string, kind string, message string, payload string"
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
