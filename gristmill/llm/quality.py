@@ -34,7 +34,9 @@ def with_statistics(rows: DataFrame, text: str = "text") -> DataFrame:
     Steps are columns of their own where a later one uses them twice, so that no step is computed again.
     """
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
-    rows = rows.withColumns({"_words": F.filter(F.split(text, _SPACES), lambda w: w != ""), "_lines": F.filter(F.split(text, "\n"), has_word)})
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    rows = rows.withColumns({"_words": F.split(F.nullif(trimmed, F.lit("")), _SPACES), "_lines": F.filter(F.split(text, "\n"), has_word)})
+    rows = rows.withColumn("_words", F.coalesce("_words", F.array().cast("array<string>")))
     rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     # Windows of three words are pairs of neighbouring pairs.
     rows = rows.withColumn("_pairs", _pairs(F.col("_hashes"), lambda a, b: F.xxhash64(a, b)))
@@ -72,8 +74,9 @@ def weights(rows: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, trusted
     """
     sample = trusted.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(trusted_rows)
     marked = rows.join(F.broadcast(sample.withColumn("_trusted", F.lit(1))), "id", "left")
-    counts = marked.select("_trusted", F.explode("_ngrams").alias("bucket")).groupBy("bucket").agg(F.count("_trusted").alias("trusted"), F.count(F.lit(1)).alias("raw"))
-    found = counts.select("bucket", "trusted", "raw", F.sum("trusted").over(_all()).alias("all_trusted"), F.sum("raw").over(_all()).alias("all_raw"))
+    # An outer explode: for an inner one a filter on the array's size would compute all n-grams twice.
+    counts = marked.select("_trusted", F.explode_outer("_ngrams").alias("bucket")).groupBy("bucket").agg(F.count("_trusted").alias("trusted"), F.count(F.lit(1)).alias("raw"))
+    found = counts.where("bucket is not null").select("bucket", "trusted", "raw", F.sum("trusted").over(_all()).alias("all_trusted"), F.sum("raw").over(_all()).alias("all_raw"))
     ratio = F.log((F.col("trusted") + 1) / (F.col("all_trusted") + buckets)) - F.log((F.col("raw") + 1) / (F.col("all_raw") + buckets))
     out = [0.0] * buckets
     for x in found.where("all_trusted > 0").select("bucket", ratio.alias("ratio")).collect():  # at most ``buckets`` rows
