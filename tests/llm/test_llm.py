@@ -119,10 +119,19 @@ def test_jaccard_components(docs, texts, k, percent):
     assert got == brute_components(texts, k, percent)
 
 
-def test_jaccard_in_blocks(docs, texts, monkeypatch):
+def test_jaccard_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 100)
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_components(docs, 3, 60).collect())
-    assert got == brute_components(texts, 3, 60)
+    rng = random.Random(5)
+    base, rows = prose(rng, 80).split(), []
+    for i in range(14):
+        w = list(base)
+        for _ in range(i % 5):
+            w[rng.randrange(80)] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(50 + i, prose(rng, 60)) for i in range(5)]
+    near = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_components(near, 3, 80).collect())
+    assert got == brute_components(rows, 3, 80)
     assert jaccard.ngram_components(empty(docs)).count() == 0
 
 
