@@ -473,6 +473,32 @@ def test_index_scores_are_bm25():
             assert index.scores(q)[d] == pytest.approx(want, rel=1e-5)
 
 
+def test_neighbours_of_a_group_with_a_third_of_all_texts():
+    rng = random.Random(4)
+    near = prose(rng, 40)  # near copies: their words are in a third of all texts
+    texts = [f"{near} {i}x" if i % 3 == 0 else prose(rng, 40, "fr").replace(" ", f"q{i} ") for i in range(150)]
+    order = packing.order_texts(np.full(150, 10), np.ones(150, int), packing.Index(*packing.numbered_words(texts)), 500)
+    assert all(i % 3 == 0 for i in order[:50])
+
+
+def test_equal_texts_are_indexed_once():
+    texts = [t for i in range(40) for t in ("one same text", f"alone{i} other{i}")]
+    rows = packing.shard_pieces(list(range(80)), texts, lambda t: b"\1\0\0\0" * 5, 100, 0)
+    assert sorted(r[0] for r in rows) == list(range(80))
+    assert [r[0] % 2 for r in rows[:40]] == [0] * 40
+    copies = np.array([40, *[1] * 40])
+    index = packing.Index(*packing.numbered_words(list(dict.fromkeys(texts))), copies)
+    assert index.n == 41 and index.scores(0)[0] > 2 * math.log(20) and not index.scores(0)[1:].any()
+
+
+def test_dropping_used_texts_keeps_scores():
+    rng = random.Random(4)
+    index = packing.Index(*packing.numbered_words([prose(rng, 30) for _ in range(60)]))
+    before, free = index.scores(7), np.arange(60) % 3 != 1
+    index.drop_used(free)
+    assert index.scores(7) == pytest.approx(np.where(free, before, 0), rel=1e-5)
+
+
 # --- 10 ---
 
 
