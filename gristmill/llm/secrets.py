@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-#: Labelled findings that the forest is fitted on, at most (those whose hashes are lowest), and words of the dictionary.
-TRAIN_ROWS, DICTIONARY_WORDS = 20_000, 20_000
+#: Labelled findings that the forest is fitted on, at most (those whose hashes are lowest; half of them secrets at most), and
+#: words of the dictionary. Secrets that are fewer than one in RARE of the sample are repeated up to that share.
+TRAIN_ROWS, DICTIONARY_WORDS, RARE = 20_000, 20_000, 20
 TREES, TREE_DEPTH, SEED, MIN_PROBABILITY = 30, 6, 7, 0.5
 _SPACES = r"[\x20\x09-\x0D]+"
 _KEY = r"[A-Za-z0-9+/_-]{16,}+={0,2}"
@@ -122,22 +123,29 @@ def weak_labels(found: DataFrame) -> DataFrame:
 
 
 def fit_forest(labelled: DataFrame, rows: int = TRAIN_ROWS):
-    """The forest over FEATURES, or None if the labelled findings are not of both kinds."""
+    """The forest over FEATURES, or None if no labelled finding is a secret; if all are, it takes every candidate for one.
+
+    Each kind is sampled by itself, so secrets are in the sample however rare they are.
+    """
     order = F.xxhash64("label", "key", "before", "behind", "id", "word", "part")
-    sample = labelled.orderBy(order, "key", "before").limit(rows).select("label", *FEATURES)
-    sample = scratch.write(sample.coalesce(1), "findings")
-    if sample.select("label").distinct().count() < 2:
+    kind = lambda label, n, name: scratch.write(labelled.where(F.col("label") == label).orderBy(order, "key", "before").limit(n).select("label", *FEATURES).coalesce(1), name)
+    real = kind(1, rows // 2, "findings")
+    n_real = real.count()
+    if not n_real:
         return None
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
-    return RandomForestClassifier(numTrees=TREES, maxDepth=TREE_DEPTH, seed=SEED).fit(rows.coalesce(1))
+    harmless = kind(0, rows - n_real, "harmless")
+    times = max(1, harmless.count() // (RARE * n_real))
+    real = real.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_n")
+    sample = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(real.unionByName(harmless))
+    return RandomForestClassifier(numTrees=TREES, maxDepth=TREE_DEPTH, seed=SEED).fit(sample.coalesce(1))
 
 
 def scan(docs: DataFrame, findings=weak_labels, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """The candidates that the forest takes for secrets: ``id_col, word, part, secret, probability``.
 
     ``findings`` makes labelled findings (the columns of :func:`candidates` and ``label`` 0 or 1) from all candidates;
-    it may join a table of reviewed ones. If it makes only one kind, every candidate is returned with a null
-    probability: nothing can be told apart. Null and empty texts have no candidates, null paths no harmless word. Repeated
+    it may join a table of reviewed ones. If it makes no secret, nothing can be told apart: every candidate is
+    returned with a null probability, which is no finding, see :func:`secrets`. Null and empty texts have no candidates, null paths no harmless word. Repeated
     rows are each scanned; null ids are kept. Other columns are ignored. An empty table gives an empty result.
     """
     found = scratch.write(candidates(docs, id_col, text_col, path_col), "candidates")
@@ -153,10 +161,15 @@ def scan(docs: DataFrame, findings=weak_labels, id_col: str = "doc_id", text_col
     return scored.select(F.col("id").alias(id_col), "word", "part", F.col("key").alias("secret"), F.round("probability", 6).alias("probability"))
 
 
+def secrets(docs: DataFrame, findings=weak_labels, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
+    """The rows of :func:`scan` that were told to be secrets: none where no labelled finding is one."""
+    return scan(docs, findings, id_col, text_col, path_col).where("probability is not null")
+
+
 def redact(docs: DataFrame, findings=weak_labels, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mark: str = "[secret]") -> DataFrame:
-    """The same rows and columns with every secret that :func:`scan` finds in a text of that id replaced by ``mark``."""
-    found = scan(docs, findings, id_col, text_col, path_col)
-    secrets = found.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_set("secret"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets"))
-    joined = docs.join(secrets, docs[id_col].eqNullSafe(F.col("__id")), "left")
+    """The same rows and columns with every secret that :func:`secrets` finds in a text of that id replaced by ``mark``."""
+    found = secrets(docs, findings, id_col, text_col, path_col)
+    own = found.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_set("secret"), lambda a, b: F.length(b) - F.length(a)).alias("__secrets"))
+    joined = docs.join(own, docs[id_col].eqNullSafe(F.col("__id")), "left")
     clean = F.aggregate("__secrets", docs[text_col], lambda text, secret: F.replace(text, secret, F.lit(mark)))
     return joined.select(*(F.when(F.col("__secrets").isNull(), docs[c]).otherwise(clean).alias(c) if c == text_col else docs[c] for c in docs.columns))

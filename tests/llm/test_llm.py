@@ -229,6 +229,24 @@ def test_secrets(spark):
     assert {r.probability for r in secrets.scan(df.where("doc_id % 3 = 1")).collect()} == {None}
 
 
+def test_texts_without_secrets_stay(spark):
+    rng = random.Random(9)
+    texts = [f"{prose(rng, 9)} commit {rng.getrandbits(160):040x} camelCaseNameOfSomething 1234567890123456" for _ in range(9)]
+    df = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == dict(enumerate(texts))
+    assert secrets.secrets(df).count() == 0
+
+
+def test_rare_secrets_are_in_the_sample(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(float(i == 7), f"key{i}", "", "", i, 0, 0, *[float(i == 7)] * len(secrets.FEATURES)) for i in range(300)]
+    labelled = spark.createDataFrame(rows, "label double, key string, before string, behind string, id long, word int, part int, " + ", ".join(f"{c} double" for c in secrets.FEATURES))
+    model = secrets.fit_forest(labelled, 20)
+    assert model is not None and model.predict(Vectors.dense([1.0] * len(secrets.FEATURES))) == 1
+    assert secrets.fit_forest(labelled.where("label = 1")).predict(Vectors.dense([0.0] * len(secrets.FEATURES))) == 1
+
+
 # --- 5 ---
 
 
