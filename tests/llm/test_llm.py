@@ -517,6 +517,21 @@ def test_dropping_used_texts_keeps_scores():
     assert index.scores(7) == pytest.approx(np.where(free, before, 0), rel=1e-5)
 
 
+def test_close_texts_share_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 10_000)
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 40)) for i in range(300)]
+    rows += [(1000 + i, t + " more") for i, t in rows] + [(5000 + i, "one same text " * 10) for i in range(300)]
+    total = sum(len(t) + 8 for _, t in rows)
+    got = packing.dealt(spark.createDataFrame(rows, "id long, text string"), total).collect()
+    assert sorted((r.id, r.text) for r in got) == sorted(rows)
+    shard, size = {r.id: r.shard for r in got}, collections.Counter()
+    for r in got:
+        size[r.shard] += len(r.text) + 8
+    assert len(size) > 5 and max(size.values()) <= 15_000
+    assert sum(shard[i] == shard[1000 + i] for i in range(300)) > 200
+
+
 # --- 10 ---
 
 
