@@ -645,7 +645,7 @@ def log7_replay(spark, sf_dir):
     return L.replay(_log(spark, sf_dir), 40).select("run_id", "seq")
 
 
-@query("SELECT 'E<n>: ' || event_type || ' failed at <q>' AS signature, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT 'EN: ' || event_type || ' failed at ''…''' AS signature, count(*) AS n FROM events GROUP BY 1")
 def log8_error_groups(spark, sf_dir):
     text = F.concat(F.lit("stack\nE"), F.col("seq").cast("string"), F.lit(": "), "stage", F.lit(" failed at 'x"), F.col("seq").cast("string"), F.lit("'\n"))
     return L.errors(_log(spark, sf_dir), text)

@@ -211,20 +211,20 @@ def _stored_log(spark, sf_dir):
     return path
 
 
-@query()
+_LOG = "WITH g AS (SELECT CAST(user_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type AS stage, props AS payload FROM events)"
+
+
+@query(f"{_LOG} SELECT run_id, seq FROM g WHERE seq > 40")
 def str1_follow_log(spark, sf_dir):
     path, out = _stored_log(spark, sf_dir), new_path(spark, "followed")
     W.run_available(W.follow(spark, path, after=40, max_files=1), out, new_path(spark, "offsets"))
     return spark.read.parquet(out).select("run_id", "seq")
 
 
-@query()
+@query(f"{_LOG} SELECT run_id, max(seq) AS seq, arg_max(stage, seq) AS stage, arg_max(payload, seq) AS payload FROM g GROUP BY 1")
 def str2_latest_state(spark, sf_dir):
-    path = _stored_log(spark, sf_dir)
-    stream = W.latest_state(W.follow(spark, path))
-    name = "latest_" + path.rsplit("-", 1)[1]
-    stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    log = W.read_stream(spark, _stored_log(spark, sf_dir), max_files=2)
+    return W.keep_latest(log, new_path(spark, "latest"), new_path(spark, "offsets"))
 
 
 @query()

@@ -216,9 +216,18 @@ def fn2_string_predicates(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.char_length("p_name").cast("long").alias("n"), c("p_type").contains("STEEL").alias("steel"), c("p_brand").startswith("Brand").alias("brand"), c("p_name").endswith("e").alias("ends"))
 
 
-@query("SELECT o_orderkey, true AS is_date FROM orders")
+@query("""
+WITH t AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m') WHEN 2 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M')
+  WHEN 4 THEN strftime(o_orderdate, '%Y-13-%d') WHEN 5 THEN o_orderpriority ELSE strftime(o_orderdate, '%Y-%m-%d') || '-' || o_custkey END AS t FROM orders)
+SELECT o_orderkey, try_strptime(t, ['%Y-%m-%d', '%Y/%m', '%d/%m/%Y', '%Y-%m-%d %H:%M']) IS NOT NULL AS is_date FROM t
+""")
 def fn3_date_pattern(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.date_like(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("is_date"))
+    written = lambda form: F.date_format("o_orderdate", form)
+    forms = [written("yyyy-MM-dd"), written("yyyy/MM"), written("dd/MM/yyyy"), written("yyyy-MM-dd HH:mm"), written("yyyy-'13'-dd"), F.col("o_orderpriority")]
+    raw = F.concat_ws("-", written("yyyy-MM-dd"), F.col("o_custkey").cast("string"))
+    for i, form in enumerate(forms):
+        raw = F.when(F.col("o_orderkey") % 7 == i, form).otherwise(raw)
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.date_like(raw).alias("is_date"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN epoch(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP))::BIGINT END AS seconds FROM orders")
@@ -250,9 +259,19 @@ def fn8_sample_values(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.col("text").cast("string"), 1, 80).alias("sample"))
 
 
-@query("SELECT event_id, 'ValueError: bad <q> at line <n>' AS signature FROM events")
+@query(r"""
+WITH t AS (SELECT event_id, CASE WHEN event_type = 'view' THEN concat('Traceback', chr(10), '  File "x.py", line 7', chr(10), 'KeyError: ''', user_id, '''', chr(10), chr(10))
+  WHEN event_type = 'click' THEN concat('lib.io.DiskWarning: ', event_id, ' of "', user_id, '" lost', chr(10), 'note: 12 more above', chr(10))
+  WHEN event_type = 'purchase' THEN concat('step ', event_id, chr(10), ' killed at ', user_id, ' by ''oom''') ELSE ' ' END AS log FROM events),
+l AS (SELECT event_id, list_filter(list_transform(string_split(log, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM t),
+n AS (SELECT event_id, coalesce(list_filter(lines, lambda x: regexp_matches(x, '^[\w.]+(Error|Exception|Warning)\b'))[-1], lines[-1], 'unknown error') AS line FROM l)
+SELECT event_id, substr(regexp_replace(regexp_replace(line, '''[^'']*''|"[^"]*"', '''…''', 'g'), '\d+', 'N', 'g'), 1, 200) AS signature FROM n
+""")
 def fn9_error_signature(spark, sf_dir):
-    log = F.concat(F.lit("Traceback\n  File \"x.py\"\nValueError: bad '"), "event_type", F.lit("' at line "), F.col("event_id").cast("string"), F.lit("\n\n"))
+    kind, number, user = F.col("event_type"), F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    log = F.when(kind == "view", F.concat(F.lit("Traceback\n  File \"x.py\", line 7\nKeyError: '"), user, F.lit("'\n\n")))
+    log = log.when(kind == "click", F.concat(F.lit("lib.io.DiskWarning: "), number, F.lit(' of "'), user, F.lit('" lost\nnote: 12 more above\n')))
+    log = log.when(kind == "purchase", F.concat(F.lit("step "), number, F.lit("\n killed at "), user, F.lit(" by 'oom'"))).otherwise(" ")
     return table(spark, sf_dir, "events").select("event_id", text.error_signature(log).alias("signature"))
 
 

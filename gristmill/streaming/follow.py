@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.tables import EVENT
 
+#: Event numbers that share one state: a bit for each, so 1 KiB at most for so many events.
+BLOCK = 8192
+
+
+def read_stream(spark: SparkSession, path: str, after: int = 0, max_files: int = 100) -> DataFrame:
+    """The log's events above a sequence number as they were written, repeated ones included; files are JSON lines."""
+    log = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", max_files).json(path)
+    return log.where(F.col("seq") > after)
+
+
+def _first_times(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    seen = np.unpackbits(np.frombuffer(state.get[0], np.uint8)).astype(bool) if state.exists else np.zeros(BLOCK, bool)
+    for rows in parts:
+        at = (rows["seq"] % BLOCK).to_numpy(np.int64)
+        fresh = ~seen[at] & ~rows["seq"].duplicated().to_numpy()
+        seen[at] = True
+        if fresh.any():
+            yield rows[fresh]
+    state.update((np.packbits(seen).tobytes(),))
+
 
 def follow(spark: SparkSession, path: str, after: int = 0, max_files: int = 100) -> DataFrame:
-    """The log's events above a sequence number, old and new, each once.
+    """The log's events above a sequence number, old and new, each once, however late they come.
 
-    Files are JSON lines; events are told apart by run and number, kept as state until a day after their time.
+    Events are told apart by run and number. What was seen is kept as one bit for each number, in blocks of numbers that
+    are dealt by run and block, so neither a long run nor a hot one lands in one task. Events without a number are left out.
     """
-    log = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", max_files).json(path)
-    fresh = log.where(F.col("seq") > after).withWatermark("ts", "1 day")
-    return fresh.dropDuplicatesWithinWatermark(["run_id", "seq"])
+    fresh = read_stream(spark, path, after, max_files).withColumn("_block", F.floor(F.col("seq") / BLOCK))
+    return fresh.groupBy("run_id", "_block").applyInPandasWithState(_first_times, f"{EVENT}, _block long", "seen binary", "append", GroupStateTimeout.NoTimeout).drop("_block")
 
 
 def latest_state(log: DataFrame) -> DataFrame:
-    """Each run's last stage and payload; the same for a table and, in update or complete mode, for a stream."""
+    """Each run's last stage and payload; the same for a table and, in update or complete mode, for a stream. Repeated events change nothing."""
     last = F.max(F.struct("seq", "stage", "payload"))
     return log.groupBy("run_id").agg(last.alias("last")).select("run_id", "last.seq", "last.stage", "last.payload")
 
@@ -27,3 +52,16 @@ def latest_state(log: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Writes everything that is there by now to a Parquet table, and stops."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def keep_latest(log: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Brings the table of :func:`latest_state` below ``path`` up to date with a stream, and returns it.
+
+    Each batch writes the runs that it changed to a folder of its own, again if it is repeated; nothing comes to the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    latest_state(log).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return latest_state(log.sparkSession.read.schema("run_id string, seq long, stage string, payload string").parquet(path))

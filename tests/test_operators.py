@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,69 @@ def test_entry_and_registry(spark):
 
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_stands_alone(tmp_path):
+    """Without the operators for training text the entry still registers all other queries, whether or not the pipeline's file is there."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/gristmill", tmp_path / "gristmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; n = set(e.queries()); assert n and set(e.oracle_sql()) <= n and not any(x.startswith('op') or x == 'pipeline' for x in n)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+
+
+def test_error_signatures(spark):
+    from gristmill.functions.text import error_signature
+
+    logs = [
+        ('Traceback...\n  File "x.py", line 12\nKeyError: \'monthly\'', "KeyError: '…'"),
+        ("ValueError: could not convert 3 values\n\nnote: line 9 above", "ValueError: could not convert N values"),
+        ("a.b.OddWarning\nValueErrors: no name of an exception", "a.b.OddWarning"),
+        ("it's 5 o'clock\n  \n", "it'…'clock"),
+        ("one ' alone 7", "one ' alone N"),
+        (" \n", "unknown error"),
+        ("", "unknown error"),
+        (None, None),
+        ("x" * 500, "x" * 200),
+    ]
+    for r in spark.createDataFrame(logs, "log string, want string").withColumn("got", error_signature(F.col("log"))).collect():
+        assert r.got == r.want
+
+
+def test_dates(spark):
+    from gristmill.functions.text import date_like
+
+    yes = ["2024-01", "2024/1/5", "2024-01-05T10:00", "2024-01-05 9:00:01", "31/12/2023", "12-31-2023", "2024-02 10:30"]
+    no = ["", "x", "2024", "2024-13", "2024-02-30", "1.5", "12345678", "2024-01-05 later", "10:30", "2024-01-05-7"]
+    got = {r.t: r.d for r in spark.createDataFrame([(t,) for t in [*yes, *no, None]], "t string").withColumn("d", date_like(F.col("t"))).collect()}
+    assert got == {t: True for t in yes} | {t: False for t in no} | {None: None}
+
+
+def test_followed_log_is_whole(spark):
+    """Late files, repeated events, events of one file at a time, and a second run over new files."""
+    from gristmill.streaming import follow
+
+    path, out, at = (new_path(spark, n) for n in ("log", "followed", "offsets"))
+    start = dt.datetime(2024, 1, 1)
+    rows = [(n, run, start + dt.timedelta(days=30 - n % 30), "s", "a", "k", "m", "{}") for run in ("x", "y", None) for n in range(1, 9000, 250)]
+    rows += rows[:20] + rows[5:9] + [(None, "x", start, "s", "a", "k", "m", "{}")]
+    log = spark.createDataFrame(rows, tables.EVENT)
+    for part in log.orderBy(F.desc("ts")).randomSplit([1.0] * 5, 3):
+        part.coalesce(1).write.mode("append").json(path)
+    follow.run_available(follow.follow(spark, path, after=40, max_files=1), out, at)
+    new = [(n + 1, *rest) for n, *rest in rows[:30]]
+    spark.createDataFrame(new, tables.EVENT).coalesce(1).write.mode("append").json(path)
+    follow.run_available(follow.follow(spark, path, after=40, max_files=1), out, at)
+    want = sorted({(str(r), n) for n, r, *_ in rows + new if n and n > 40})
+    assert sorted((str(r.run_id), r.seq) for r in spark.read.parquet(out).collect()) == want
+    latest = follow.keep_latest(follow.read_stream(spark, path, max_files=1), new_path(spark, "latest"), new_path(spark, "offsets"))
+    best = {}
+    for r, n in want:
+        best[r] = max(best.get(r, 0), n)
+    assert {str(r.run_id): r.seq for r in latest.collect()} == best

@@ -2,6 +2,7 @@
 
 import glob
 import math
+import numbers
 import os
 
 import duckdb
@@ -24,7 +25,7 @@ def duck():
 def plain(v):
     if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
         return ""
-    if isinstance(v, (int, float)) and not isinstance(v, bool):
+    if isinstance(v, numbers.Number) and not isinstance(v, bool):
         return f"{float(v):.8g}"
     return str(v)
 
