@@ -54,20 +54,23 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of the links (a long, b long): the smallest node that it is joined to.
 
     Each round takes every node's neighbours to the smallest of them (large star: the larger ones; small star: the
-    others), which needs O(log n) rounds on nearly all graphs. A round is written to the shared folder, and nothing
-    but a count comes to the driver. Nulls and links of a node with itself are left out.
+    others), which needs O(log n) rounds on nearly all graphs. A round is written to the shared folder, the one before it is
+    deleted then, and nothing but a count comes to the driver. Nulls and links of a node with itself are left out.
     """
     spark = links.sparkSession
-    edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(contract, "a long, b long")
-    edges = scratch.write(edges.distinct(), "links")
+    edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(contract, "a long, b long").distinct()
+    path = scratch.save(edges, "links")
     while True:
+        edges = spark.read.schema("a long, b long").parquet(path)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.distinct()  # a > b in every link from here on
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-        edges = scratch.write(small.where("a <> b").distinct(), "links")
+        before, path = path, scratch.save(small.where("a <> b").distinct(), "links")
+        scratch.remove(spark, before)
+        edges = spark.read.schema("a long, b long").parquet(path)
         if not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
             # every link now ends at a node that has no smaller neighbour; a node may still have two such
             if not edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():

@@ -10,8 +10,7 @@ through others: nothing outside a tile can link into it, and unrelated texts har
 Inside a tile, parity bitmaps of the hashed shingles bound the overlap from above: popcount(x xor y) of the bitmaps
 is at most the number of differing shingles. Pairs that pass are intersected exactly. The search spreads from
 one set over the sets not reached yet, so a tight group of n copies costs n comparisons, not n * n, and gives n - 1
-links; no pair list is ever made. A tile with many shingles is cut into blocks that are compared two by two in
-tasks of their own.
+links; no pair list is ever made. A tile with many shingles or sets is cut into blocks, see :func:`_in_blocks`.
 """
 
 from __future__ import annotations
@@ -27,8 +26,10 @@ from pyspark.sql import functions as F
 
 from . import components, scratch, words
 
-#: A task holds the sets of one tile: at most two blocks of so many shingles (and one set more).
-BLOCK_SHINGLES = 1 << 21
+#: A task holds the sets of one tile: at most two blocks of so many shingles and sets (and one set more).
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 1024
+#: Sets of each band of a large tile that are compared with all others of the tile first.
+PIVOTS = 4
 _FLUSH_ROWS = 1 << 20
 
 
@@ -53,16 +54,24 @@ def parts_of(band: int, percent: int) -> int:
     differ = lambda n: (100 - percent) * 2 * n // (100 + percent)
     if differ(high) == 0:
         return 0
-    parts = differ(high) + 1
-    sizes = sorted({*np.linspace(low, high, 40).astype(int).tolist()})
-
-    def fails(n: int, k: int) -> float:
-        """Log of a bound on the chance that n elements lie in k parts at most."""
-        return -math.inf if k == 0 else math.lgamma(parts + 1) - math.lgamma(k + 1) - math.lgamma(parts - k + 1) + n * math.log(k / parts)
-
-    while max(fails(n, differ(n)) for n in sizes) > math.log(1e-15):
-        parts += 1
-    return parts
+    # Of the sizes that can differ in k elements the smallest is the worst.
+    k = np.arange(max(1, differ(low)), differ(high) + 1, dtype=np.float64)
+    n = np.maximum(low, np.ceil(k * (100 + percent) / (2 * (100 - percent))))
+
+    def fails(parts: int) -> bool:
+        """Whether a bound on the chance that n elements lie in k parts at most is too high for any size."""
+        logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, parts + 1)))])
+        at = k.astype(np.int64)
+        return float((logs[parts] - logs[at] - logs[parts - at] + n * np.log(k / parts)).max()) > math.log(1e-15)
+
+    least = high_enough = differ(high) + 1
+    step = 1
+    while fails(high_enough):
+        least, high_enough, step = high_enough + 1, high_enough + step, 2 * step
+    while least < high_enough:
+        middle = (least + high_enough) // 2
+        least, high_enough = (middle + 1, high_enough) if fails(middle) else (least, middle)
+    return high_enough
 
 
 _TILE, _PART, _CHECK = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -88,13 +97,13 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _with_sets(k: int):
-    """Rows (id, text) to (id, n_shingles, s1, s2)."""
+    """Rows (id, h1, h2, text) to (id, h1, h2, n_shingles, s1, s2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), *set_hashes(s)) for s in words.shingle_sets(batch.column(1), k)]
+            sets = [(len(s), *set_hashes(s)) for s in words.shingle_sets(batch.column(3), k)]
             n, s1, s2 = zip(*sets, strict=True) if sets else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["id", "n_shingles", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["id", "h1", "h2", "n_shingles", "s1", "s2"])
 
     return run
 
@@ -237,7 +246,7 @@ def _links_of_tiles(k: int, percent: int):
                 if own != tile:
                     close()
                     tile = own
-                if name not in found and len(s) and set_hashes(s)[0] == name:  # another row may have the same id
+                if name not in found:
                     found[name] = s
             if len(out) >= 1 << 16:
                 yield flush()
@@ -248,46 +257,83 @@ def _links_of_tiles(k: int, percent: int):
     return run
 
 
+def _searched(texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) among the sets of each group of (pair, s1, text)."""
+    return texts.select("pair", "s1", "text").repartition("pair").sortWithinPartitions("pair").mapInArrow(_links_of_tiles(k, percent), "a long, b long")
+
+
+def _in_blocks(texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links of large tiles: ``texts`` has (tile, band, n_shingles, s1, text), written. Nothing is compared in a task but two blocks.
+
+    Each block is searched first, with the pivots of its own band and the two beside it. In a tight group that joins all but a
+    few sets. The largest component of a tile is joined by then; the others' sets are compared with those of all blocks. So
+    every pair of sets is compared in a task or has both its sets in one component.
+    """
+    sized = [F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("sets")]
+    blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("sets") / BLOCK_SETS)).alias("blocks")
+    drawn = F.array_distinct(F.array(*(F.min_by("s1", F.xxhash64("s1", F.lit(i))) for i in range(PIVOTS))))
+    groups = scratch.write(texts.groupBy("tile", "band").agg(*sized, drawn.alias("pivots")).select("tile", "band", blocks, "pivots"), "blocks")
+    dealt = texts.join(groups.drop("pivots"), ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("s1"), "blocks"))
+    near = F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1))))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    pivots = groups.select("tile", "band", F.explode("pivots").alias("s1")).join(texts.select("tile", "s1", "text"), ["tile", "s1"])
+    pivots = pivots.select("tile", near.alias("band"), "s1", "text").join(groups.drop("pivots"), ["tile", "band"]).select("tile", "band", numbers("blocks").alias("block"), "s1", "text")
+    own = F.xxhash64("tile", "band", "block").alias("pair")
+    first = scratch.write(_searched(dealt.select(own, "s1", "text").unionByName(pivots.select(own, "s1", "text")), percent, k), "links")
+
+    found = components.connected_components(first).select(F.col("node").alias("s1"), "component")
+    light = dealt.drop("text").join(found, "s1", "left").withColumn("component", F.coalesce("component", "s1"))
+    largest = light.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("tile").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    rest = scratch.write(light.join(largest, "tile").where("component <> largest").select("tile", "band", "s1", "n_shingles"), "rest")
+    cuts = rest.groupBy("tile", "band").agg(*sized).select("tile", F.col("band").alias("rest_band"), blocks)
+    cuts = scratch.write(cuts.withColumnRenamed("blocks", "rest_blocks"), "rest-blocks")
+    pair = F.xxhash64("tile", "rest_band", "rest_block", "band", "block").alias("pair")
+    # A block meets all blocks of the rest in bands that touch its own, and the other way round.
+    all_sides = dealt.select("tile", "band", "block", "s1", "text", near.alias("rest_band")).join(cuts, ["tile", "rest_band"]).withColumn("rest_block", numbers("rest_blocks"))
+    rest = rest.join(texts.select("tile", "s1", "text"), ["tile", "s1"]).withColumn("rest_band", F.col("band")).join(cuts, ["tile", "rest_band"])
+    rest = rest.withColumn("rest_block", F.pmod(F.xxhash64("s1", F.lit(1)), "rest_blocks")).withColumn("band", near)
+    rest = rest.join(groups.drop("pivots"), ["tile", "band"]).withColumn("block", numbers("blocks"))
+    return first.unionByName(_searched(all_sides.select(pair, "s1", "text").unionByName(rest.select(pair, "s1", "text")), percent, k))
+
+
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row: which texts are joined by chains of links.
 
-    Two rows link when their sets of distinct k-word shingles have 100 * intersection >= percent * union. A text of
-    fewer words has one shingle, the whole sequence; a null, empty or blank text has none and links with nothing.
-    ``component_id`` is the smallest id in the row's component, its own included. Ids that are null count for
-    nothing: such a row takes its component's id, or null. Repeated rows, and different texts of one id, are rows like others.
-    Further columns are ignored. An empty table gives an empty result.
+    Two rows link when their sets of distinct k-word shingles have 100 * intersection >= percent * union; equality is
+    enough. A text of fewer words has one shingle, the whole sequence; a null, empty or blank text has none and links with
+    nothing. ``component_id`` is the smallest id in the row's component, its own included. Null ids are no smallest ids, but
+    their texts link like others: such a row takes its component's id, or null if no row there has one. Repeated rows, and
+    different texts of one id, are rows like others. A very long text is hashed whole, in slices. Further columns, whatever
+    their names, are ignored. An empty table gives an empty result.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    sets = scratch.write(rows.mapInArrow(_with_sets(k), "id long, n_shingles long, s1 long, s2 long"), "sets")
+    rows = docs.select(scratch.column(docs, id_col).cast("long").alias("id"), scratch.column(docs, text_col).cast("string").alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    sets = scratch.write(rows.mapInArrow(_with_sets(k), "id long, h1 long, h2 long, n_shingles long, s1 long, s2 long"), "sets")
 
     keys = rows.select("text").mapInArrow(_with_keys(k, percent), "key long, node long, hub long")
     met = keys.repartition("key").mapInArrow(_meet, "a long, b long")
-    tiles = scratch.write(components.connected_components(met), "tiles").select(F.col("node").alias("s1"), F.col("component").alias("tile"))
-
-    classes = sets.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("id"))
-    classes = scratch.write(classes, "classes")
-    # Tiles with many shingles are cut into blocks: two of a band, or of two bands that touch, are compared at a time.
-    band = lambda n: (F.size(F.filter(F.array([F.lit(b) for b in _bounds(percent)]), lambda b: b <= F.col(n))) - 1).cast("int")
-    members = classes.join(tiles, "s1").select("s1", "tile", "n_shingles", "id")
-    whole = members.groupBy("tile").agg(F.sum("n_shingles").alias("tile_shingles"))
-    members = scratch.write(members.join(whole, "tile"), "members")
-    small = members.where(F.col("tile_shingles") <= 2 * BLOCK_SHINGLES).select("s1", "id", F.col("tile").alias("pair"))
-    large = members.where(F.col("tile_shingles") > 2 * BLOCK_SHINGLES).withColumn("band", band("n_shingles"))
-    blocks = large.groupBy("tile", "band").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
-    near = lambda by: blocks.select("tile", (F.col("band") + by).alias("band"), F.col("blocks").alias(f"blocks_{by}".replace("-", "m")))
-    large = large.join(blocks, ["tile", "band"]).join(near(1), ["tile", "band"], "left").join(near(-1), ["tile", "band"], "left")
-    large = large.withColumn("block", F.pmod(F.xxhash64("s1"), "blocks"))
-    others = lambda count, make: F.transform(F.when(F.col(count).isNull(), F.array().cast("array<long>")).otherwise(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)), make)
-    pairs = F.concat(
-        others("blocks", lambda o: F.xxhash64("tile", "band", F.lit(0), F.least(o, "block"), F.greatest(o, "block"))),
-        others("blocks_1", lambda o: F.xxhash64("tile", F.col("band") - 1, F.lit(1), o, F.col("block"))),
-        others("blocks_m1", lambda o: F.xxhash64("tile", "band", F.lit(1), F.col("block"), o)),
-    )
-    large = large.select("s1", "id", F.explode(F.array_distinct(pairs)).alias("pair"))
-    wanted = small.unionByName(large)
-    texts = rows.join(wanted.hint("shuffle_hash"), "id").select("pair", "s1", "text")
-    links = texts.repartition("pair").sortWithinPartitions("pair").mapInArrow(_links_of_tiles(k, percent), "a long, b long")
-    joined = scratch.write(components.connected_components(links), "joined").select(F.col("node").alias("s1"), "component")
+    tiles = components.connected_components(met).select(F.col("node").alias("s1"), F.col("component").alias("tile"))
+
+    text_of = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("of")  # one row for each set
+    classes = scratch.write(sets.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("id"), text_of), "classes")
+    members = scratch.write(classes.join(tiles, "s1").select("s1", "tile", "n_shingles", "of.id", "of.h1", "of.h2"), "members")
+    whole = members.groupBy("tile").agg(F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("sets"))
+    is_large = (F.col("shingles") > 2 * BLOCK_SHINGLES) | (F.col("sets") > 2 * BLOCK_SETS)
+    members = members.join(whole, "tile").select("s1", "tile", "n_shingles", "id", "h1", "h2", is_large.alias("large"))
+    named, unnamed = members.where("id is not null"), members.where("id is null").drop("id")
+    texts = rows.where("id is not null").join(named, ["id", "h1", "h2"]).drop("id", "h1", "h2")
+    # Copies with a null id are one row before they meet.
+    nameless = rows.where("id is null").groupBy("h1", "h2").agg(F.min("text").alias("text"))
+    texts = texts.unionByName(nameless.join(unnamed, ["h1", "h2"]).drop("h1", "h2"))
+    texts = scratch.write(texts, "tile-texts")
+    links = _searched(texts.where("not large").withColumn("pair", F.col("tile")), percent, k)
+    if texts.where("large").limit(1).count():
+        bounds = F.array(*(F.lit(b) for b in _bounds(percent)))
+        band = (F.size(F.filter(bounds, lambda b: b <= F.col("n_shingles"))) - 1).alias("band")
+        large = texts.where("large").dropDuplicates(["tile", "s1"])  # an (id, text) may be repeated
+        links = links.unionByName(_in_blocks(scratch.write(large.select("tile", band, "n_shingles", "s1", "text"), "large-tiles"), percent, k))
+    joined = components.connected_components(links).select(F.col("node").alias("s1"), "component")
 
     named = classes.join(joined, "s1", "left").withColumn("component", F.coalesce("component", "s1"))
     lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -299,10 +345,12 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose id is the smallest of its component, and those with a null id.
 
-    Rows that repeat such an id are the same document and stay together.
+    Rows that repeat such an id are the same document and stay together. Null, empty and blank texts link with nothing and
+    stay; very long ones are compared whole. Any column names will do. An empty table gives an empty result.
     """
     found = ngram_components(docs, k, percent, id_col, text_col)
-    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__first")).distinct()
-    # The ids' side is the smaller one to hash; the texts need no sort.
-    kept = docs.join(first.hint("shuffle_hash"), docs[id_col] == F.col("__first"), "left_semi")
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
+    rows = docs.select(scratch.column(docs, id_col).cast("long").alias("id"), scratch.boxed(docs).alias("row"))
+    # The ids' side is the smaller one to hash, and no id is in it twice; the texts need no sort.
+    kept = rows.join(first.hint("shuffle_hash"), "id", "left_semi")
+    return kept.select("row.*").unionByName(rows.where("id is null").select("row.*"))

@@ -5,16 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh temporary one is set where the session names none."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a temporary one is set if driver and executors
+    are one process; on a cluster that is an error, as executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -24,14 +29,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows to a new shared Parquet table and reads them back: the lineage ends there."""
+def save(df: DataFrame, name: str) -> str:
+    """Writes the rows to a new shared Parquet table and returns its path."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def write(df: DataFrame, name: str) -> DataFrame:
+    """Writes the rows to a new shared Parquet table and reads them back: the lineage ends there."""
+    return df.sparkSession.read.schema(df.schema).parquet(save(df, name))
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that no later job reads."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def boxed(df: DataFrame) -> Column:
+    """All columns as one struct, so that names of an operator's own can't clash with them; ``select("row.*")`` gives them back."""
+    return F.struct(*(column(df, c) for c in df.columns))

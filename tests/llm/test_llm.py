@@ -119,22 +119,53 @@ def test_jaccard_components(docs, texts, k, percent):
     assert got == brute_components(texts, k, percent)
 
 
-def test_jaccard_in_blocks(spark, docs, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 100)
+@pytest.mark.parametrize("tight", [True, False])
+def test_jaccard_in_blocks(spark, docs, monkeypatch, tight):
+    """Tight groups, and long chains of sets that link with their neighbours only, in tiles of many blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 600)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
     rng = random.Random(5)
     base, rows = prose(rng, 80).split(), []
-    for i in range(14):
-        w = list(base)
-        for _ in range(i % 5):
-            w[rng.randrange(80)] = f"z{i}"
-        rows.append((i, " ".join(w)))
-    rows += [(50 + i, prose(rng, 60)) for i in range(5)]
+    for i in range(40):
+        w = list(base[: 80 - i % 9])
+        for _ in range(i % 5 if tight else 0):
+            w[rng.randrange(len(w))] = f"z{i}"
+        if not tight:
+            for j in range(i):
+                w[j] = f"y{j}"
+        rows.append((i if i % 7 else None, " ".join(w)))
+    rows += [(50 + i, prose(rng, 60)) for i in range(5)] + rows[:4]
     near = spark.createDataFrame(rows, "doc_id long, text string")
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_components(near, 3, 80).collect())
     assert got == brute_components(rows, 3, 80)
     assert jaccard.ngram_components(empty(docs)).count() == 0
 
 
+def test_rows_without_id_link_others(spark):
+    """1 ~ null ~ 2, where 1 and 2 do not link; and a pair of rows that have no id."""
+    rng = random.Random(6)
+    w = prose(rng, 60).split()
+    texts = [" ".join(w), " ".join(["a", "b", *w[2:]]), " ".join(["a", "b", *w[2:-2], "c", "d"])]
+    other = prose(rng, 60)
+    rows = [(1, texts[0]), (None, texts[1]), (2, texts[2]), (None, other), (None, other + " more"), (None, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_components(df, 3, 90).collect())
+    assert got == brute_components(rows, 3, 90)
+    assert {c for d, _, c in got if d is not None} == {1} and sum(n for (d, _, c), n in got.items() if d is None and c is None) == 3
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_parts_hold_for_every_size(percent):
+    for band in range(0, 45):
+        low, high = jaccard._bounds(percent)[band], jaccard._bounds(percent)[band + 2] - 1
+        parts = jaccard.parts_of(band, percent)
+        for n in range(low, high + 1) if high < 20_000 else np.linspace(low, high, 50).astype(int):
+            k = (100 - percent) * 2 * int(n) // (100 + percent)
+            if k:
+                assert math.lgamma(parts + 1) - math.lgamma(k + 1) - math.lgamma(parts - k + 1) + n * math.log(k / parts) <= math.log(1e-15) + 1e-6
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -160,11 +191,18 @@ def test_components_of_chains(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+def clashing(df, *names):
+    """The rows with columns of these names, which operators might use themselves."""
+    return df.select("*", *(F.lit("own").alias(n) for n in names if n not in df.columns))
+
+
 def test_keep_one(docs, texts):
+    docs = clashing(docs, "__first", "id", "row", "component_id", "n_shingles", "a.b", "h1", "s1", "pair", "large")
     kept = jaccard.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
     ids = collections.Counter(r.doc_id for r in kept.collect())
     assert 0 in ids and 100 not in ids and 200 not in ids and 206 in ids and 207 not in ids and 202 in ids
+    assert jaccard.keep_one(empty(docs)).count() == 0
 
 
 # --- 3 ---
