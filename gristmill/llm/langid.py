@@ -1,14 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's letters, byte by byte, forwards and backwards, and labels every position with probabilities
-of all languages; a text's probabilities are the mean over its positions. It starts anew at each word, so a task
-labels each different word once and counts it as often as it occurs. It is trained in numpy, by backpropagation
-through time, on a bounded sample of labelled texts.
+The network reads a text's bytes, whatever they are, forwards and backwards, and labels every position with
+probabilities of all languages; a text's probabilities are the mean over the positions of its letters. Texts are cut
+into windows of fixed length only so that many can be read side by side: a window also reads MARGIN bytes before and
+behind the stretch that it labels. The network is trained in numpy, by backpropagation through time, on stretches from all over
+a bounded sample of labelled texts.
 """
 
 from __future__ import annotations
 
-import re
+import random
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +18,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import words
+from . import scratch, words
 
-#: The sample: labelled texts of each language (those whose hashes are lowest), and characters of each.
-TRAIN_TEXTS, TRAIN_CHARS = 300, 2000
-HIDDEN, EMBEDDED, STEPS, BATCH, RATE, SEED = 20, 12, 700, 384, 0.01, 11
-#: Bytes of a word that are read in one go; longer words are read in pieces.
-SPAN = 24
+#: The sample: distinct labelled texts of each language (those whose hashes are lowest), and stretches drawn from each whole text.
+TRAIN_TEXTS, STRETCHES, STRETCH = 300, 8, 64
+HIDDEN, EMBEDDED, STEPS, BATCH, RATE, SEED = 12, 12, 450, 64, 0.012, 11
+#: Bytes of a window that are labelled, and bytes read on either side of them.
+CORE, MARGIN = 308, 12
+_AT_ONCE = 1024
 UNDETERMINED = "und"
-_MEMORY_WORDS = 400_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha() and not chr(c).isspace()) + bytes([0x1C, 0x1D, 0x1E, 0x1F])
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def letter_words(text: bytes) -> list[bytes]:
-    """Words without ASCII signs and digits, A to Z lower-cased."""
-    return text.translate(_LOWER, _NO_LETTERS).split()
+#: Bytes of letters, as far as a byte tells: ASCII letters and all parts of longer characters.
+_LETTER_BYTE = np.array([97 <= b <= 122 or 65 <= b <= 90 or b >= 128 for b in range(256)])
+_HAS_LETTER = r"\p{L}"
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class BiGru:
@@ -67,7 +65,7 @@ class BiGru:
         return states, kept
 
     def forward(self, x: np.ndarray):
-        """Probabilities (words, positions, languages) for words of one length."""
+        """Probabilities (rows, positions, languages) for rows of bytes of one length."""
         forward, backward = self._run(x, "f"), self._run(x[:, ::-1], "b")
         both = np.concatenate([np.stack(forward[0], 1), np.stack(backward[0][::-1], 1)], 2)
         logits = both @ self.p["o"] + self.p["c"]
@@ -88,40 +86,34 @@ class BiGru:
         back = out @ p["o"].T
         for d, steps, part, xs in (("f", kept[0], back[:, :, :h], x), ("b", kept[1], back[:, ::-1, h:], x[:, ::-1])):
             w, u = p[f"w{d}"], p[f"u{d}"]
-            table, gu, carry = np.zeros((256, 3 * h), np.float32), np.zeros_like(u), np.zeros((len(x), h), np.float32)
+            given = np.empty((x.shape[1], len(x), 3 * h), p["e"].dtype)
+            gu, carry = np.zeros_like(u), np.zeros((len(x), h), p["e"].dtype)
             for t in range(x.shape[1] - 1, -1, -1):
                 state, z, r, new, inner = steps[t]
                 ds = part[:, t] + carry
                 dn = ds * (1 - z) * (1 - new * new)
                 dz = ds * (state - new) * z * (1 - z)
                 dr = dn * inner * r * (1 - r)
-                da = np.concatenate([dz, dr, dn], 1)
+                given[t, :, :h], given[t, :, h : 2 * h], given[t, :, 2 * h :] = dz, dr, dn
                 du = np.concatenate([dz, dr, dn * r], 1)
-                np.add.at(table, xs[:, t], da)
                 gu += state.T @ du
                 carry = ds * z + du @ u.T
+            of_byte = np.eye(256, dtype=p["e"].dtype)[xs.T.ravel()]
+            table = of_byte.T @ given.reshape(-1, 3 * h)
             g |= {f"w{d}": p["e"].T @ table, f"u{d}": gu, f"b{d}": table.sum(0)}
             g["e"] += table @ w.T
         return loss, g
 
-    def train(self, found: list[tuple[bytes, int, int]], steps: int = STEPS, seed: int = SEED) -> None:
-        """Adam over random batches of words (spelling, language, occurrences) of one length."""
+    def train(self, found: list[tuple[int, bytes]], steps: int = STEPS, seed: int = SEED) -> None:
+        """Adam over random batches of stretches (number of the language, bytes), all languages alike."""
         rng = np.random.default_rng(seed)
-        by_length: dict[int, list] = {}
-        for word, language, n in found:
-            for part in spans(word):
-                by_length.setdefault(len(part), []).append((part, language, n))
-        groups = []
-        for length, rows in sorted(by_length.items()):
-            x = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, length)
-            weight = np.sqrt([r[2] for r in rows])
-            groups.append((x, np.array([r[1] for r in rows]), weight / weight.sum(), weight.sum() * length))
-        share = np.array([g[3] for g in groups])
+        x = np.frombuffer(b"".join(s for _, s in found), np.uint8).reshape(len(found), -1)
+        y = np.array([n for n, _ in found])
+        weight = 1 / np.bincount(y)[y]
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
-            x, y, weight, _ = groups[rng.choice(len(groups), p=share / share.sum())]
-            at = rng.choice(len(x), BATCH, p=weight)
+            at = rng.choice(len(x), BATCH, p=weight / weight.sum())
             _, g = self.gradients(x[at], y[at])
             rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, v in g.items():
@@ -130,43 +122,113 @@ class BiGru:
                 second[k] = 0.999 * second[k] + 0.001 * v * v
                 self.p[k] = (self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def label(self, found: list[bytes]) -> np.ndarray:
-        """Of each word, the sums over its positions of all languages' probabilities, and the number of positions."""
-        out = np.zeros((len(found), len(self.languages) + 1), np.float64)
-        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
-        for i, word in enumerate(found):
-            if _LETTER.search(word.decode("utf-8", "ignore")):
-                for part in spans(word):
-                    at, parts = by_length.setdefault(len(part), ([], []))
-                    at.append(i)
-                    parts.append(part)
-        for length, (at, parts) in by_length.items():
-            x = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, length)
-            for a in range(0, len(x), 4096):
-                prob = self.forward(x[a : a + 4096])[0].sum(1)
-                np.add.at(out, np.array(at[a : a + 4096]), np.concatenate([prob, np.full((len(prob), 1), length)], 1))
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """States (position, row, unit) after each labelled position, for bytes (position, row) in reading order.
+
+        The sigmoid of v is (tanh(v / 2) + 1) / 2; the halves are put into the tables. Gates have arrays of their own.
+        """
+        h, n = HIDDEN, x.shape[1]
+        table = self.p["e"] @ self.p[f"w{d}"] + self.p[f"b{d}"]
+        split = lambda m, *by: [np.ascontiguousarray(part * b, np.float32) for part, b in zip(np.split(m, 3, axis=1), by, strict=True)]
+        of_z, of_r, of_new = split(table, 0.5, 0.5, 1)
+        own_z, own_r, own_new = split(self.p[f"u{d}"], 0.5, 0.5, 0.5)
+        out = np.empty((CORE, n, h), np.float32)
+        state, spare = np.zeros((n, h), np.float32), np.empty((n, h), np.float32)
+        z, r, new, u = (np.empty((n, h), np.float32) for _ in range(4))
+        for t in range(len(x) - MARGIN):
+            at = x[t]
+            np.take(of_z, at, 0, z, "clip")
+            z += np.matmul(state, own_z, out=u)
+            np.tanh(z, out=z)
+            np.take(of_r, at, 0, r, "clip")
+            r += np.matmul(state, own_r, out=u)
+            np.tanh(r, out=r)
+            r += 1
+            r *= np.matmul(state, own_new, out=u)
+            np.take(of_new, at, 0, new, "clip")
+            new += r
+            np.tanh(new, out=new)
+            to = out[t - MARGIN] if t >= MARGIN else spare
+            np.subtract(state, new, out=to)
+            z += 1
+            z *= 0.5
+            to *= z
+            to += new
+            state, spare = to, state if t < MARGIN else spare
         return out
 
+    def label(self, x: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """Of each window (MARGIN + CORE + MARGIN bytes) the sums of all languages' probabilities over the counted ones of its CORE positions."""
+        flat = np.ascontiguousarray(x.T, np.intp)
+        forward, backward = self._states(flat, "f"), self._states(flat[::-1], "b")[::-1]
+        total = np.zeros((len(x), len(self.languages)))
+        for a in range(0, CORE, 32):
+            logits = np.concatenate([forward[a : a + 32], backward[a : a + 32]], 2) @ self.p["o"] + self.p["c"]
+            logits -= logits.max(2, keepdims=True)
+            np.exp(logits, out=logits)
+            logits *= (counted.T[a : a + 32] / logits.sum(2))[:, :, None]
+            total += logits.sum(0)
+        return total
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, at_once: int = _AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts (bytes one after another, and offsets) as windows, some at a time: their bytes, which CORE positions are letters', and their texts.
+
+    Every byte of a text is in the CORE of one window; around a text lie newlines.
+    """
+    n = -(-np.diff(offsets) // CORE)
+    texts = np.repeat(np.arange(len(n)), n)
+    starts = offsets[texts] + (np.arange(len(texts)) - np.repeat(np.cumsum(n) - n, n)) * CORE
+    for a in range(0, len(texts), at_once):
+        text, start = texts[a : a + at_once], starts[a : a + at_once]
+        at = start[:, None] + np.arange(-MARGIN, CORE + MARGIN)
+        inside = (at >= offsets[text][:, None]) & (at < offsets[text + 1][:, None])
+        x = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 10).astype(np.uint8)
+        yield x, (inside & _LETTER_BYTE[x])[:, MARGIN : MARGIN + CORE], text
 
-def spans(word: bytes) -> Iterator[bytes]:
-    return (word[i : i + SPAN] for i in range(0, len(word), SPAN))
+
+def probabilities(model: BiGru, texts: pa.Array) -> np.ndarray:
+    """Of each text the mean of the languages' probabilities over the bytes of its letters; zeros without any."""
+    out = np.zeros((len(texts), len(model.languages)))
+    for first, part in words.slices(texts):
+        data, offsets = words.text_bytes(part)
+        for x, counted, text in windows(np.frombuffer(_LOWER, np.uint8)[data], offsets):
+            np.add.at(out, first + text, model.label(x, counted))
+    total = out.sum(1, keepdims=True)
+    return np.divide(out, total, out=np.zeros_like(out), where=total > 0)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, text) to (lang, stretch): STRETCHES of each text, drawn from all of it and the newlines around it."""
+    for batch in batches:
+        langs, found = [], []
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = bytes(text.as_buffer()).translate(_LOWER)
+            rng = random.Random(zlib.crc32(data))
+            data = b"\n" * MARGIN + data + b"\n" * max(MARGIN, STRETCH)
+            for _ in range(STRETCHES):
+                at = rng.randrange(len(data) - STRETCH)
+                langs.append(lang)
+                found.append(data[at : at + STRETCH])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "stretch"])
 
 
 def train_model(labelled: DataFrame) -> BiGru | None:
     """A network fitted on the sample of ``labelled`` (text, lang); None if no text has letters and a language."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = labelled.where("text is not null and lang is not null").withColumn("text", F.substring("text", 1, TRAIN_CHARS)).withColumn("_rank", rank)
-    rows = sample.where(F.col("_rank") <= TRAIN_TEXTS).select("lang", "text").toArrow()  # TRAIN_TEXTS a language
-    counts: dict[tuple[str, bytes], int] = {}
-    for lang, text in sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True)):
-        for word in letter_words(text.encode()):
-            if _LETTER.search(word.decode("utf-8", "ignore")):
-                counts[lang, word] = counts.get((lang, word), 0) + 1
-    languages = sorted({lang for lang, _ in counts})
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(_HAS_LETTER)).withColumn("h", F.xxhash64("text"))
+    # About four times the sample is sorted, not all of a language.
+    share = rows.groupBy("lang").agg((F.lit(4.0 * TRAIN_TEXTS) / F.count(F.lit(1))).alias("share"))
+    low = (F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("share")
+    near = rows.join(share, "lang").where(low).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= TRAIN_TEXTS).select("lang", "text")
+    # STRETCHES of TRAIN_TEXTS texts a language, STRETCH bytes each, come to the driver.
+    found = sorted(tuple(r) for r in sample.mapInArrow(_stretches, "lang string, stretch binary").collect())
+    languages = sorted({lang for lang, _ in found})
     if not languages:
         return None
     model = BiGru(languages)
-    model.train([(word, languages.index(lang), n) for (lang, word), n in counts.items()])
+    model.train([(languages.index(lang), bytes(stretch)) for lang, stretch in found], STEPS)
     return model
 
 
@@ -175,15 +237,16 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_
 
     Rows whose id, as text, has a CRC-32 of remainder ``fold`` by ``folds`` are held out; the network learns from others
     with a language. ``score`` is the mean probability of the predicted language over all letter positions. A null
-    text, or one without letters, is ``und`` with score 0, as is everything if nothing can be learned from. Null ids count as an
-    empty text for the fold. Repeated rows are each answered; equal scores go to the first language by name. Other columns are
-    ignored; an empty table gives an empty result.
+    text, or one without letters (Unicode category L), is ``und`` with score 0, as is everything if nothing can be learned
+    from. Null ids count as an empty text for the fold. Repeated rows are each answered, and alike; a text that occurs often is
+    learned from once. Equal scores go to the first language by name. A very long text is read whole, some windows at a time.
+    Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
-    id_, text = docs[id_col].cast("long"), docs[text_col].cast("string")
+    id_, text = scratch.column(docs, id_col).cast("long"), scratch.column(docs, text_col).cast("string")
     held_out = F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % folds == fold
-    rows = docs.select(id_.alias("id"), held_out.alias("held_out"), text.alias("text"), docs[lang_col].cast("string").alias("lang"))
+    rows = docs.select(id_.alias("id"), held_out.alias("held_out"), text.alias("text"), scratch.column(docs, lang_col).cast("string").alias("lang"))
     model = train_model(rows.where("not held_out").select("text", "lang"))
-    rows = rows.select("id", "held_out", "text")
+    rows = rows.select("id", "held_out", F.coalesce(F.col("text").rlike(_HAS_LETTER), F.lit(False)).alias("has_letter"), "text")
     if model is None:
         out = rows.select("id", "held_out", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
         return out.withColumnRenamed("id", id_col)
@@ -191,38 +254,15 @@ def identify(docs: DataFrame, folds: int = 4, fold: int = 2, id_col: str = "doc_
     return rows.mapInArrow(_identify(shared), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-class _Memory(dict):
-    """Numbers of words, in the order in which they were first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = len(self)
-        return len(self) - 1
-
-
 def _identify(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        names = [*model.languages, UNDETERMINED]
-        memory, table = _Memory(), np.zeros((0, len(model.languages) + 1))
+        names = pa.array([*model.languages, UNDETERMINED])
         for batch in batches:
-            picked, scores = [], []
-            for _, part in words.slices(batch.column(2)):
-                if len(memory) > _MEMORY_WORDS:
-                    memory, table = _Memory(), table[:0]
-                numbers, ends = [], [0]
-                for text in part:
-                    numbers += map(memory.__getitem__, letter_words(bytes(text.as_buffer())) if text.is_valid else ())
-                    ends.append(len(numbers))
-                known = len(table)
-                if len(memory) > known:
-                    new = list(memory)[known:]
-                    table = np.concatenate([table, model.label(new)])
-                numbers = np.array(numbers, np.int64)
-                for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    total = table[numbers[a:b]].sum(0)
-                    best = int(np.argmax(total[:-1])) if total[-1] else len(names) - 1
-                    picked.append(names[best])
-                    scores.append(float(min(1.0, total[best] / total[-1])) if total[-1] else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(picked, pa.string()), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
+            found = probabilities(model, batch.column(3))
+            has_letter = np.asarray(batch.column(2)) & found.any(axis=1)
+            picked = names.take(pa.array(np.where(has_letter, found.argmax(1), len(names) - 1)))
+            score = np.where(has_letter, np.minimum(found.max(1), 1.0), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), picked, pa.array(score)], ["id", "held_out", "lang_pred", "score"])
 
     return run

@@ -589,7 +589,47 @@ def test_gradients_are_right():
         assert g[k][at] == pytest.approx((both[0] - both[1]) / 2e-3, rel=0.05, abs=2e-5)
 
 
-def test_language_id(docs, texts):
+def test_network_equals_a_plain_loop():
+    """Gates written out unit by unit; and the fast pass over windows against the plain one."""
+    rng = np.random.default_rng(2)
+    model = langid.BiGru(["a", "b", "c"])
+    for k in model.p:
+        model.p[k] = model.p[k] + 0.1 * rng.standard_normal(model.p[k].shape).astype(np.float32)
+    p, h = model.p, langid.HIDDEN
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def states(data, d):
+        s, out = [0.0] * h, []
+        for b in data:
+            x = [sum(p["e"][b][i] * p[f"w{d}"][i][j] for i in range(langid.EMBEDDED)) + p[f"b{d}"][j] for j in range(3 * h)]
+            u = [sum(s[i] * p[f"u{d}"][i][j] for i in range(h)) for j in range(3 * h)]
+            z, r = [sig(x[j] + u[j]) for j in range(h)], [sig(x[h + j] + u[h + j]) for j in range(h)]
+            new = [math.tanh(x[2 * h + j] + r[j] * u[2 * h + j]) for j in range(h)]
+            s = [z[j] * s[j] + (1 - z[j]) * new[j] for j in range(h)]
+            out.append(s)
+        return out
+
+    data = b"a word, b\xc3\xa9 9"
+    forward, backward = states(data, "f"), states(data[::-1], "b")[::-1]
+    got = model.forward(np.frombuffer(data, np.uint8)[None])[0][0]
+    for t in range(len(data)):
+        e = np.exp([sum((forward[t] + backward[t])[i] * p["o"][i][k] for i in range(2 * h)) + p["c"][k] for k in range(3)])
+        assert got[t] == pytest.approx(e / e.sum(), abs=1e-5)
+    texts = ["a b " * 200, "", "x", "é" * 700]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    seen = collections.Counter()
+    for x, counted, text in langid.windows(data, offsets, 3):
+        plain = model.forward(x)[0][:, langid.MARGIN : langid.MARGIN + langid.CORE]
+        assert np.allclose(model.label(x, counted), (plain * counted[:, :, None]).sum(1), atol=1e-3)
+        for i, c in zip(text, counted, strict=True):
+            seen[int(i), "letters"] += int(c.sum())
+    assert [seen[i, "letters"] for i in range(4)] == [400, 0, 1, 1400]
+
+
+def test_language_id(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 150)
+    docs = clashing(docs, "has_letter", "share", "h", "id", "lang_pred", "a.b")
     rows = langid.identify(docs).collect()
     assert len(rows) == len(texts)
     for r in rows:
@@ -602,6 +642,18 @@ def test_language_id(docs, texts):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_odd_texts(spark, docs, texts, monkeypatch):
+    """Numerals are no letters; long words and long texts are read whole; equal texts have equal answers."""
+    monkeypatch.setattr(langid, "STEPS", 150)
+    rng = random.Random(4)
+    rows = [(1000, "½ ② ٣ 12 _"), (1001, "12 ²"), (1002, prose(rng, 30_000, "fr")), (1003, "x" * 400), (1004, texts[1][1]), (1005, texts[1][1])]
+    odd = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs.select("doc_id", "text", "lang").unionByName(odd)).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in (1000, 1001)] == [("und", 0.0)] * 2
+    assert got[1002].lang_pred == "fr" and got[1003].lang_pred != "und"
+    assert (got[1004].lang_pred, got[1004].score) == (got[1005].lang_pred, pytest.approx(got[1005].score))
+
+
 # --- pipeline ---
 
 
