@@ -255,16 +255,69 @@ def test_secrets(spark):
             real.add((i, k))
         elif i % 3 == 1:
             t += f" fixed in commit {key()} " + prose(rng, 5)
-        rows.append((i, t, "src", "x"))
-    rows += [(500, None, None, "x"), (501, "", "src", "x"), (None, "plain", "src", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key string")
+        rows.append((i, t, "src", "x", 1))
+    rows += [(500, None, None, "x", 1), (501, "", "src", "x", 1), (None, "plain", "src", "x", 1), (None, f"token = {'9a' * 20}", None, "x", 1), (None, f"{'9a' * 20} stays", None, "x", 1)]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string, source string, key string, hash int"), "__id", "__secrets", "keys", "row", "own_id", "a.b", "probability")
     got = {(r.doc_id, r.secret) for r in secrets.scan(df).collect()}
-    assert got == real
+    assert got == real | {(None, "9a" * 20)}
     clean = secrets.redact(df)
     assert clean.columns == df.columns and clean.count() == len(rows)
-    assert not any(k in (r.text or "") for r in clean.collect() for _, k in real)
-    assert secrets.scan(df.where("false")).count() == 0
-    assert {r.probability for r in secrets.scan(df.where("doc_id % 3 = 1")).collect()} == {None}
+    by_id = collections.Counter((r.doc_id, r.text) for r in clean.collect())
+    assert not any(k in (t or "") for _, t in by_id for _, k in real)
+    assert by_id[None, "token = [secret]"] == 1 and by_id[None, f"{'9a' * 20} stays"] == 1
+    assert secrets.scan(df.where("false")).count() == 0 and secrets.redact(df.where("false")).count() == 0
+
+
+def _random(rng, alphabet, n):
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+def written_secrets(rng, n):
+    """Texts of forms that the operator's own plants do not have: (text, secret or None). Every second of them has no
+    keyword before its string, or has no assignment."""
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    out = []
+    for i in range(n):
+        a, b, c = (_random(rng, alnum, m) for m in (32, 44, 14))
+        h, u = _random(rng, "0123456789abcdef", 40), rng.getrandbits(128)
+        w = [rng.choice(["build", "make", "open", "user", "file", "list", "name", "test"]) for _ in range(4)]
+        forms = [
+            (f"the deploy key is {a} and must rotate", a),
+            (f"we use {b} here", b),
+            (f"export SERVICE_PASSWORD={c}x9Q", f"{c}x9Q"),
+            (f"curl -H 'X-Auth-Token: {h}'", h),
+            (f"postgres://admin:{c}7Zq@db.local/main", f"{c}7Zq"),
+            (f"ghp_{a}wxYZ was leaked", f"ghp_{a}wxYZ"),
+            (f"see commit {h} for this", None),
+            (f"object {h} was packed", None),
+            (f"id {u >> 96:08x}-{u >> 80 & 0xFFFF:04x}-4abc-{u >> 64 & 0xFFFF:04x}-{u & (1 << 48) - 1:012x} done", None),
+            (f"call {w[0]}{w[1].title()}{w[2].title()}{w[3].title()}2 first", None),
+            (f"password = {w[0]}{w[1].title()}{w[2].title()}Value", None),
+            (f"at 2024{rng.randrange(10**12):012d} it began", None),
+            (f"open /{w[0]}/{w[1]}/{w[2]}/{w[3]}/page2 now", None),
+        ]
+        out.append(forms[i % len(forms)])
+    return out
+
+
+def test_secrets_of_other_forms_are_told_apart(spark):
+    rng, rows, real = random.Random(3), [], set()
+    for i, (t, secret) in enumerate(written_secrets(rng, 390)):
+        rows.append((i, f"{prose(rng, 12)} build make open user file list name test {t} {prose(rng, 8)}", "src"))
+        if secret:
+            real.add((i, secret))
+    got = {(r.doc_id, r.secret) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    recall, precision = len(got & real) / len(real), len(got & real) / len(got)
+    print("recall", recall, "precision", precision, collections.Counter(i % 13 for i, _ in real - got), collections.Counter(i % 13 for i, _ in got - real))
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_very_long_candidates(spark):
+    rng = random.Random(1)
+    long = _random(rng, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/", 2_000_000)
+    rows = [(1, f"{prose(rng, 50)} {long} end", "src"), (2, "word " * 400_000 + 'token = "4f1c2ab9d0e8475f9a6b3c2d1e0f99887766aabb"', "src"), *((10 + i, prose(rng, 40), "src") for i in range(20))]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[2] == "word " * 400_000 + 'token = "[secret]"' and len(got) == 22
 
 
 def test_texts_without_secrets_stay(spark):
@@ -272,17 +325,15 @@ def test_texts_without_secrets_stay(spark):
     texts = [f"{prose(rng, 9)} commit {rng.getrandbits(160):040x} camelCaseNameOfSomething 1234567890123456" for _ in range(9)]
     df = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == dict(enumerate(texts))
-    assert secrets.secrets(df).count() == 0
-
 
-def test_rare_secrets_are_in_the_sample(spark):
-    from pyspark.ml.linalg import Vectors
 
-    rows = [(float(i == 7), f"key{i}", "", "", i, 0, 0, *[float(i == 7)] * len(secrets.FEATURES)) for i in range(300)]
-    labelled = spark.createDataFrame(rows, "label double, key string, before string, behind string, id long, word int, part int, " + ", ".join(f"{c} double" for c in secrets.FEATURES))
-    model = secrets.fit_forest(labelled, 20)
-    assert model is not None and model.predict(Vectors.dense([1.0] * len(secrets.FEATURES))) == 1
-    assert secrets.fit_forest(labelled.where("label = 1")).predict(Vectors.dense([0.0] * len(secrets.FEATURES))) == 1
+def test_reviewed_findings(spark):
+    """Secrets are learned from however rare they are; findings of one kind make all candidates that kind."""
+    found = [("src", f"{i:08d}commitlike{i}", "see ", " end", 0.0) for i in range(300)] + [("src", "zz9" * 8, "odd = ", " end", 1.0)] * 3
+    reviewed = spark.createDataFrame(found, "path string, key string, before string, behind string, label double")
+    docs = spark.createDataFrame([(1, f"a {'qq7' * 8} b", "src"), (2, "see 12345678commitlike9 b", "src")], "doc_id long, text string, source string")
+    assert secrets.scan(docs, reviewed.where("label = 1")).count() == 2
+    assert secrets.scan(docs, reviewed.where("label = 0")).count() == 0 and secrets.scan(docs, reviewed.where("false")).count() == 0
 
 
 # --- 5 ---
