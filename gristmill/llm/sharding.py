@@ -2,8 +2,9 @@
 
 Rows with equal texts form a group that stays in one shard. Groups go, largest first, to the shard that
 holds the fewest bytes (the lower number on a tie). The heap runs on the driver over the *histogram* of
-group sizes, whose length has a fixed bound, and never over the groups themselves: whatever is dealt in
-whole rounds is written down as one repeating segment, which gives the same shards as dealing one by one.
+group sizes and never over the groups themselves: whatever is dealt in whole rounds is written down as one repeating
+segment, which gives the same shards as dealing one by one. Different sizes add up, so data of T bytes have fewer than
+sqrt(2 T) of them, however many groups there are: a quarter of a million at 30 GB.
 """
 
 from __future__ import annotations
@@ -16,15 +17,14 @@ from pyspark.sql import types as T
 
 from . import scratch
 
-#: Group sizes below this many bytes are their own class; above it a class is 2**-15 of its size wide. So there
-#: are at most 2**16 + 2**15 * 47 classes, whatever the input.
-EXACT_BITS = 16
-#: Ranks and slots are numbered inside so many buckets first, so that no task sees a whole class or shard.
+#: Ranks and slots are numbered inside so many buckets first, so that no task sees all groups of a size or a whole shard.
 RANK_BUCKETS, SLOT_BUCKETS = 256, 1024
+#: Segments that are broadcast, at most; more are joined.
+BROADCAST_SEGMENTS = 1 << 18
 
 _SEGMENT = T.StructType(
     [
-        T.StructField("size_class", T.LongType()),
+        T.StructField("bytes", T.LongType()),
         T.StructField("from_rank", T.LongType()),
         T.StructField("to_rank", T.LongType()),
         T.StructField("shards", T.ArrayType(T.IntegerType())),
@@ -32,15 +32,15 @@ _SEGMENT = T.StructType(
 )
 
 
-def deal(histogram: list[tuple[int, int, float]], n_shards: int) -> list[tuple[int, int, int, list[int]]]:
-    """Longest-processing-time over (class, number of groups, bytes of a group), classes in falling order.
+def deal(histogram: list[tuple[int, int]], n_shards: int) -> list[tuple[int, int, int, list[int]]]:
+    """Longest-processing-time over (bytes of a group, number of groups), sizes in falling order.
 
-    Returns segments (class, from rank, to rank, shards): the group of rank r goes to
+    Returns segments (size, from rank, to rank, shards): the group of rank r goes to
     ``shards[(r - from) % len(shards)]``.
     """
     heap = [(0, s) for s in range(n_shards)]
     out = []
-    for size_class, count, size in sorted(histogram, reverse=True):
+    for size, count in sorted(histogram, reverse=True):
         rank, singles = 0, []
         while rank < count:
             loads = sorted(heap) if count - rank > n_shards else None
@@ -51,9 +51,9 @@ def deal(histogram: list[tuple[int, int, float]], n_shards: int) -> list[tuple[i
             if rounds >= 2:
                 rounds = int(rounds)
                 if singles:
-                    out.append((size_class, rank - len(singles), rank, singles))
+                    out.append((size, rank - len(singles), rank, singles))
                     singles = []
-                out.append((size_class, rank, rank + rounds * low, [s for _, s in loads[:low]]))
+                out.append((size, rank, rank + rounds * low, [s for _, s in loads[:low]]))
                 rank += rounds * low
                 heap = [(load + rounds * size if i < low else load, s) for i, (load, s) in enumerate(loads)]
                 heapq.heapify(heap)
@@ -63,7 +63,7 @@ def deal(histogram: list[tuple[int, int, float]], n_shards: int) -> list[tuple[i
                 singles.append(shard)
                 rank += 1
         if singles:
-            out.append((size_class, rank - len(singles), rank, singles))
+            out.append((size, rank - len(singles), rank, singles))
     return out
 
 
@@ -75,40 +75,36 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     ``grown_shard`` is null under this law.
 
     Null texts count as 0 bytes, have checksum 0 and form a group of their own; empty texts form another. Rows with
-    a null id are kept; they come last among equals. Repeated rows are each kept. Other columns are ignored,
+    a null id are kept; they come last among equals. Repeated rows are each kept. Groups of one size go in the order of their
+    smallest ids, then of their texts' hashes. A very long text is a group like any other. Other columns are ignored,
     whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    text = docs[text_col]
+    text = scratch.column(docs, text_col).cast("string")
     rows = docs.select(
-        docs[id_col].alias("id"),
+        scratch.column(docs, id_col).cast("long").alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0).cast("long")).alias("crc"),
         F.xxhash64(text).alias("h1"),
         F.xxhash64(F.lit(1), text).alias("h2"),
     )
-    total = F.col("bytes")
     groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.min("id").alias("first_id"))
-    width = F.expr(f"shiftleft(1L, length(bin(bytes)) - {EXACT_BITS})")
-    groups = groups.withColumns(
-        {
-            "size_class": F.when(total < 2**EXACT_BITS, total).otherwise(F.floor(total / width) * width).cast("long"),
-            "bucket": F.coalesce(F.pmod("first_id", F.lit(RANK_BUCKETS)), F.lit(0)).cast("int"),
-        }
-    )
+    groups = groups.withColumn("bucket", F.coalesce(F.pmod("first_id", F.lit(RANK_BUCKETS)), F.lit(0)).cast("int"))
     groups = scratch.write(groups, "shard-groups")
-    per_bucket = groups.groupBy("size_class", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
-    histogram = per_bucket.groupBy("size_class").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()  # bounded: see EXACT_BITS
-    sizes = [(r.size_class, r.n, r.size_class if r.size_class < 2**EXACT_BITS else r.b / r.n) for r in histogram]
-    segments = spark.createDataFrame(deal(sizes, n_shards), _SEGMENT)
-
-    before = Window.partitionBy("size_class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("size_class", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("size_class", "bucket").orderBy(F.desc("bytes"), F.asc_nulls_last("first_id"), "h1", "h2")
-    ranked = groups.withColumn("in_bucket", F.row_number().over(inside) - 1).join(offsets, ["size_class", "bucket"])
-    ranked = ranked.select("h1", "h2", "size_class", (F.col("offset") + F.col("in_bucket")).alias("rank"))
+    per_bucket = groups.groupBy("bytes", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    histogram = per_bucket.groupBy("bytes").agg(F.sum("n").alias("n")).toArrow()  # a row for each size
+    dealt = deal(list(zip(*(c.to_pylist() for c in histogram.select(["bytes", "n"]).columns), strict=True)), n_shards)
+    segments = scratch.write(spark.createDataFrame(dealt, _SEGMENT), "segments")
+    if len(dealt) <= BROADCAST_SEGMENTS:
+        segments = F.broadcast(segments)
+
+    before = Window.partitionBy("bytes").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select("bytes", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("bytes", "bucket").orderBy(F.asc_nulls_last("first_id"), "h1", "h2")
+    ranked = groups.withColumn("in_bucket", F.row_number().over(inside) - 1).join(offsets, ["bytes", "bucket"])
+    ranked = ranked.select("h1", "h2", "bytes", (F.col("offset") + F.col("in_bucket")).alias("rank"))
     rank, start = F.col("rank"), F.col("from_rank")
-    placed = ranked.join(F.broadcast(segments), "size_class").where((rank >= start) & (rank < F.col("to_rank")))
+    placed = ranked.join(segments, "bytes").where((rank >= start) & (rank < F.col("to_rank")))
     placed = placed.select("h1", "h2", F.expr("element_at(shards, cast((rank - from_rank) % size(shards) as int) + 1)").alias("shard"))
 
     rows = rows.join(placed, ["h1", "h2"]).select("id", "size", "crc", "shard")
