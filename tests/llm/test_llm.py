@@ -226,12 +226,12 @@ def test_deal_equals_one_by_one():
 
     rng = random.Random(2)
     for _ in range(60):
-        histogram = [(s, rng.choice([1, 2, 5, 40, 300]), s) for s in rng.sample(range(1, 500), rng.randint(1, 12))]
+        histogram = [(s, rng.choice([1, 2, 5, 40, 300])) for s in rng.sample([*range(1, 500), *range(200_000, 200_090), 1 << 34], rng.randint(1, 12))]
         shards = {}
         for c, a, b, ids in sharding.deal(histogram, 7):
             shards |= {(c, r): ids[(r - a) % len(ids)] for r in range(a, b)}
         heap, want = [(0, s) for s in range(7)], {}
-        for size, count, _ in sorted(histogram, reverse=True):
+        for size, count in sorted(histogram, reverse=True):
             for r in range(count):
                 load, s = heap[0]
                 heapq.heapreplace(heap, (load + size, s))
@@ -240,6 +240,25 @@ def test_deal_equals_one_by_one():
         assert set(shards) == set(want) and loads(shards) == loads(want) and shards == want
 
 
+def test_groups_of_all_sizes_are_dealt_by_their_own(spark):
+    """The whole query against a heap over all groups: sizes of a few bytes to 200 KB, near each other."""
+    import heapq
+
+    rows = [(i, "x" * n) for i, n in enumerate([200_001, 200_000, 199_999, 199_998, 70_003, 70_001, 70_000, 3, 3, 0, 12, 12] + [40 + i for i in range(30)])]
+    rows += [(100 + i, "copied " * 9_000) for i in range(3)] + [(200, None), (201, None)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    sized = sorted((-sum(len(t or "") + 8 for _ in ids), min(ids) % sharding.RANK_BUCKETS, min(ids), t) for t, ids in groups.items())
+    heap, want = [(0, s) for s in range(3)], {}
+    for size, _, _, t in sized:
+        load, s = heap[0]
+        heapq.heapreplace(heap, (load - size, s))
+        want |= {i: s for i in groups[t]}
+    assert {r.doc_id: r.shard for r in got} == want
+
+
 # --- 4 ---
 
 
@@ -354,6 +373,59 @@ def test_decontamination(spark, docs):
     assert decontaminate.overlaps(df.where("false"), bench).count() == 0 and decontaminate.overlaps(df, bench.where("false")).count() == 0
 
 
+def plain_overlaps(text, item):
+    """All diagonals on which some mask's window agrees, each with its best stretch, by plain loops."""
+    out = set()
+    if len(item) < decontaminate.LEAST:
+        return {(i, 0, len(item), len(item)) for i in range(len(text) - len(item) + 1) if len(item) >= decontaminate.SHORTEST and text[i : i + len(item)] == item}
+    for diagonal in range(-len(item) + 1, len(text)):
+        at = [(i, i - diagonal) for i in range(len(text)) if 0 <= i - diagonal < len(item)]
+        same = [text[i] == item[j] for i, j in at]
+        if not any(all(same[s + o] for o, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for s in range(len(same) - len(m) + 1)):
+            continue
+        best = (0, 0, 0)
+        for b in range(1, len(same) + 1):  # of equal ones the first to end, and of those the shortest
+            for a in range(b - 1, -1, -1):
+                value = sum(1 if x else -decontaminate.PENALTY for x in same[a:b])
+                if value > best[0]:
+                    best = (value, a, b)
+        matches = sum(same[best[1] : best[2]])
+        if matches >= max(decontaminate.LEAST, min(13, math.ceil(0.6 * len(item)))):
+            out.add((at[best[1]][0], at[best[1]][1], best[2] - best[1], matches))
+    return out
+
+
+def test_overlaps_equal_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_HITS", 7)
+    rng = random.Random(12)
+    words_ = [f"w{i}" for i in range(40)]
+    items = [[rng.choice(words_) for _ in range(n)] for n in (1, 2, 3, 5, 7, 8, 9, 14, 25, 40)]
+    items += [items[8], ["w1"] * 20]
+    texts = []
+    for i in range(40):
+        t = [rng.choice(words_) for _ in range(rng.randint(0, 60))]
+        for _ in range(2):
+            own = list(rng.choice(items))
+            for _ in range(rng.randint(0, len(own) // 6)):
+                own[rng.randrange(len(own))] = "x"
+            t[rng.randint(0, len(t)) : 0] = own[rng.randint(0, len(own) // 4) :]
+        texts.append(t)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = clashing(spark.createDataFrame([(i, ", ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), "item_id", "__bad_id", "id", "row", "a.b")
+    got = collections.Counter((r.doc_id, r.item_id, r.doc_start, r.item_start, r.length, r.matches) for r in decontaminate.overlaps(docs, bench).collect())
+    want = collections.Counter((d, i, *x) for d, t in enumerate(texts) for i, item in enumerate(items) for x in plain_overlaps(t, item))
+    assert len(want) > 60 and got == want
+    kept = decontaminate.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(40)) - {x[0] for x in want}
+
+
+def test_scripts_without_spaces(spark):
+    bench = spark.createDataFrame([(0, "中国的首都是北京市"), (1, "สวัสดีครับ")], "item_id long, text string")
+    rows = [(1, "他说中国的首都是北京市。"), (2, "中国的首都在哪里"), (3, "x สวัสดีครับ y"), (4, "plain")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 0), (3, 1)}
+
+
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, r.text) for i, r in enumerate(docs.where("doc_id < 20").collect())], "item_id long, text string")
     whole = {tuple(r) for r in decontaminate.overlaps(docs, bench).collect()}
