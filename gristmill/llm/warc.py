@@ -25,8 +25,12 @@ from . import scratch
 
 DATE = "2024-01-01T00:00:00Z"
 CRLF = b"\r\n"
-#: An archive holds about so many bytes; a task that reads holds one archive at a time.
-ARCHIVE_BYTES = 32 << 20
+#: What ends a record.
+RECORD_END = CRLF + CRLF
+#: An archive holds so many bytes at most, and a segment for each line; a task that reads holds one archive at a time.
+ARCHIVE_BYTES, LINE_BYTES = 32 << 20, 1 << 20
+#: Revisits that are broadcast, at most; more are joined.
+BROADCAST_REVISITS = 1 << 20
 _FLUSH = 8 << 20
 
 RECORD = "kind string, record_id string, page_id long, refers_to string, group_id string, segment int, total long, digest string, block binary"
@@ -94,36 +98,53 @@ def write_warc(pages: DataFrame, path: str, chunk_bytes: int = 4096, segment_byt
 
     Among equal payloads of at least ``min_revisit_bytes`` the row with the smallest id is the response (of
     several such rows, one) and the others revisit it; null ids come last. A null payload is an empty one. A null
-    url leaves the target out. An empty table writes no record.
+    url leaves the target out. A very long payload becomes many segments, in order. Other columns, whatever their names, are
+    ignored. An empty table writes no record.
+
+    Pages are numbered and written to the shared folder once; which of them are revisits is decided on ids and digests alone, so
+    payloads are never shuffled and the copies of a popular one never meet.
     """
+    spark = pages.sparkSession
     rows = pages.select(
-        pages[id_col].cast("long").alias("id"),
-        pages[url_col].cast("string").alias("url"),
-        F.coalesce(pages[html_col].cast("binary"), F.lit(b"")).alias("payload"),
-        F.monotonically_increasing_id().alias("uid"),
-    ).withColumn("sha", F.sha1("payload"))
-    firsts = rows.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("first"), F.sum(F.octet_length("payload").cast("long")).alias("all_bytes"), F.count(F.lit(1)).alias("n"))
-    total, count = firsts.agg(F.sum("all_bytes"), F.sum("n")).first()
-    revisits = (F.octet_length("payload") >= min_revisit_bytes) & (F.col("first.uid") != F.col("uid"))
-    rows = rows.join(firsts, "sha").select("id", "url", "uid", "payload", F.when(revisits, F.col("first.uid")).alias("first_uid"))
+        scratch.column(pages, id_col).cast("long").alias("id"),
+        scratch.column(pages, url_col).cast("string").alias("url"),
+        F.coalesce(scratch.column(pages, html_col).cast("binary"), F.lit(b"")).alias("payload"),
+    )
+    rows = rows.select("*", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("bytes"), F.monotonically_increasing_id().alias("uid"))
+    numbered = scratch.save(rows, "pages")
+    rows = spark.read.schema(rows.schema).parquet(numbered)
+    light = rows.select("id", "sha", "bytes", "uid").where(F.col("bytes") >= min_revisit_bytes)
+    firsts = light.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = scratch.write(firsts.select("sha", F.col("first.uid").alias("first_uid")), "firsts")  # so that the join can split a popular one
+    revisits = light.select("sha", "uid").join(firsts, "sha").where("uid <> first_uid").select("uid", "first_uid")
+    revisits = scratch.write(revisits, "revisits")
+    if revisits.count() <= BROADCAST_REVISITS:
+        revisits = F.broadcast(revisits)
+    rows = rows.join(revisits, "uid", "left").select("id", "url", "uid", "payload", "first_uid")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines of about LINE_BYTES: some records with two line ends between them."""
+        lines, held, size = [], [], 0
         for batch in batches:
-            out, held = [], 0
             for page_id, url, uid, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for x in page_records(page_id, url, uid, payload, first, chunk_bytes, segment_bytes):
-                    out.append(x)
-                    held += len(x)
-                    if held >= _FLUSH:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                        out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    held.append(x)
+                    size += len(x)
+                    if size >= LINE_BYTES:
+                        lines.append(RECORD_END.join(held))
+                        held, size = [], 0
+                    if len(lines) >= 8:
+                        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["value"])
+                        lines = []
+        if held:
+            lines.append(RECORD_END.join(held))
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["value"])
 
     archives = rows.mapInArrow(records, "value binary").select(F.col("value").cast("string"))
-    per_file = max(1, ARCHIVE_BYTES * (count or 1) // ((total or 0) + 1))
-    # A record ends with two line ends; as the line separator they are put behind each.
-    archives.write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=per_file).text(path)
+    # As the line separator the end of a record is put behind each line. A line is a segment over LINE_BYTES at most.
+    archives.write.options(lineSep=RECORD_END.decode(), compression="gzip", maxRecordsPerFile=max(1, ARCHIVE_BYTES // LINE_BYTES)).text(path)
+    scratch.remove(spark, numbered)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
