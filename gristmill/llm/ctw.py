@@ -6,7 +6,7 @@ probability of a context is the mean of its own estimate and of the product over
 follows the weight with which a context's own estimate, and not a longer one's, predicts.
 
 A gram is a number of DEPTH + 1 bytes: the context's bytes from the nearest on, then the byte itself. So grams of
-one context are neighbours in order, and the grams that share their two nearest bytes hold a whole subtree.
+one context are neighbours in order, and the grams that share their TOP nearest bytes hold a whole subtree.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from __future__ import annotations
 import numpy as np
 
 DEPTH = 5
-#: Contexts of so many bytes head the subtrees; the at most 255 * 256 nodes of shorter ones are merged on the driver.
-TOP = 2
+#: Contexts of so many bytes head the subtrees; the nodes of shorter ones, at most 255 * 65536 and in texts a small part of
+#: that, are merged on the driver.
+TOP = 3
 
 _SMALL = 4096
 _LOG_HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(_SMALL) + 0.5))])  # log of gamma(n + 1/2) / gamma(1/2)
@@ -58,19 +59,23 @@ def _reduced(keys: np.ndarray, order: np.ndarray | None, *values: np.ndarray):
     return ordered[first], [np.add.reduceat(v[order], first) for v in values], at
 
 
+def _shorter(keys: np.ndarray) -> np.ndarray:
+    """The keys without their contexts' farthest byte."""
+    return (keys >> 16 << 8) | (keys & 255)
+
+
 class Subtree:
     """Estimates and weights of the contexts of ``top`` to DEPTH bytes over distinct sorted grams with counts."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, top: int = TOP):
-        self.codes, self.top = codes, top
+        self.codes, self.counts, self.top = codes, counts, top
         self.head, self.ahead = [], []
         levels = []  # of each depth, deepest first: contexts with symbols, counts, and the place of each gram
         keys, sums, at = codes, counts, np.arange(len(codes))
         for depth in range(DEPTH, top - 1, -1):
             levels.append((keys, sums, at))
             if depth > top:
-                shorter = (keys >> 16 << 8) | (keys & 255)
-                keys, (sums,), to = _reduced(shorter, None, sums)
+                keys, (sums,), to = _reduced(_shorter(keys), None, sums)
                 at = to[at]
         for j in range(8):
             below = None
@@ -85,7 +90,7 @@ class Subtree:
                     weighted, share = own, np.ones(len(own))
                 else:
                     child_nodes, child_weighted = below
-                    parent = np.searchsorted(nodes, (child_nodes >> 16 << 8) | (child_nodes & 255))
+                    parent = np.searchsorted(nodes, _shorter(child_nodes))
                     total = np.bincount(parent, child_weighted, len(nodes))
                     weighted = np.logaddexp(own, total) - np.log(2)
                     share = np.exp(own - np.log(2) - weighted)
@@ -98,20 +103,21 @@ class Subtree:
             self.ahead.append(ahead)
 
     def heads(self) -> tuple[np.ndarray, ...]:
-        """Of the nodes that head the subtrees: nearest byte with node (16 bits), zeros, ones, log weighted; summed over the second byte."""
+        """Of the nodes that head the subtrees: the nearer bytes with the node, zeros, ones, log weighted; summed over the farthest byte."""
         nodes, zeros, ones, weighted = (np.concatenate(x) for x in zip(*self.head, strict=True))
-        keys = (nodes >> (8 * self.top) << 8) | (nodes & 255)
+        keys = _shorter(nodes)
         found, (zeros, ones, weighted), _ = _reduced(keys, None, zeros, ones, weighted)
         return found, zeros, ones, weighted
 
     def log10(self, top: "TopLevels") -> np.ndarray:
         """Log of each gram's byte's probability, mixed over all depths."""
         total = np.zeros(len(self.codes))
-        nearest, symbol = self.codes >> (8 * DEPTH), self.codes & 255
+        symbol = self.codes & 255
         for j in range(8):
             node, bit = (1 << j) | (symbol >> (8 - j)), (symbol >> (7 - j)) & 1
             p = self.ahead[j]
-            for at, share, p_one in ((nearest << 8 | node, top.share1, top.p1), (node, top.share0, top.p0)):
+            for depth, (keys, share, p_one) in zip(range(self.top - 1, -1, -1), top.levels, strict=True):
+                at = np.searchsorted(keys, (self.codes >> (8 * (DEPTH + 1 - depth)) << 8) | node)
                 own = np.where(bit, p_one[at], 1 - p_one[at])
                 p = share[at] * own + (1 - share[at]) * p
             total += np.log10(p)
@@ -119,18 +125,15 @@ class Subtree:
 
 
 class TopLevels:
-    """The contexts of one byte and of none, from the summed heads of all subtrees."""
+    """The contexts of under TOP bytes, longest first, from the summed heads of all subtrees in order of their keys."""
 
     def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray):
-        self.share1, self.p1 = np.full(1 << 16, 0.5), np.full(1 << 16, 0.5)
-        self.share0, self.p0 = np.full(256, 0.5), np.full(256, 0.5)
-        own = log_kt(zeros, ones)
-        mixed = np.logaddexp(own, weighted) - np.log(2)
-        self.share1[keys], self.p1[keys] = np.exp(own - np.log(2) - mixed), (ones + 0.5) / (zeros + ones + 1)
-        nodes, (zeros, ones, below), _ = _reduced(keys & 255, None, zeros, ones, mixed)
-        own = log_kt(zeros, ones)
-        mixed = np.logaddexp(own, below) - np.log(2)
-        self.share0[nodes], self.p0[nodes] = np.exp(own - np.log(2) - mixed), (ones + 0.5) / (zeros + ones + 1)
+        self.levels = []
+        for _ in range(TOP):
+            own = log_kt(zeros, ones)
+            mixed = np.logaddexp(own, weighted) - np.log(2)
+            self.levels.append((keys, np.exp(own - np.log(2) - mixed), (ones + 0.5) / (zeros + ones + 1)))
+            keys, (zeros, ones, weighted), _ = _reduced(_shorter(keys), None, zeros, ones, mixed)
 
 
 class GramTable:

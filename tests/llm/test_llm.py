@@ -484,7 +484,7 @@ def plain_ctw(train, depth):
 
 
 def test_lm_scores(docs, texts, monkeypatch):
-    monkeypatch.setattr(lmscore, "BLOCK_GRAMS", 2000)
+    monkeypatch.setattr(lmscore, "FREQUENT_GRAMS", 2000)
     monkeypatch.setattr(lmscore, "FREQUENT_WORDS", 50)
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
@@ -500,7 +500,8 @@ def test_lm_scores(docs, texts, monkeypatch):
     assert got == sorted(key(i, held(i), len(w) + 1, sum(x in counts for x in [*w, None]), n, base(w)) for i, w in tokens)
     for i, w in tokens[:8] + tokens[60:64] + tokens[-2:]:
         want = score(b" ".join(w) + b"\n")
-        assert any(r.doc_id == i and r.score == pytest.approx(want, rel=1e-4) for r in rows)
+        n = len(b" ".join(w)) + 1
+        assert any(r.doc_id == i and r.score == pytest.approx(want, rel=1e-4) and r.bits_per_byte == pytest.approx(-want * math.log2(10) / n, rel=1e-4) for r in rows)
     assert lmscore.score_texts(empty(docs)).count() == 0
     assert all(r.score < 0 for r in lmscore.score_texts(docs.where("crc32(cast(doc_id as string)) % 10 = 0")).collect())
 
