@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 BUCKETS = 10_000
 #: Trusted rows used, at most: those whose ids hash lowest.
 TRUSTED_ROWS = 100_000
@@ -103,8 +105,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id
     ``labels`` has ``doc_id`` and ``quality``; rows of quality 1 are trusted. A text fails the base rules with under 50
     words, or if more than half of its words lie in windows of three words that it has more than once. ``kept`` is false
     for those, else true from ``threshold`` on; without any trusted text, or any token, ``llr`` is 0 or null and the base
-    rules decide. A null text has no words. Null ids are kept and never trusted. Repeated rows are each scored and
-    each count. Other columns of either table are ignored; empty tables give an empty result.
+    rules decide. A null text has no words; a very long one is scored whole. Null ids are kept and never trusted. Repeated
+    rows are each scored and each count; a ratio that equals the threshold is kept. Other columns of either table, whatever
+    their names, are ignored; empty tables give an empty result.
     """
     out = _judged(docs, labels, threshold, id_col, text_col)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
@@ -117,7 +120,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
 
 def _judged(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    columns = {"row": F.struct(*(docs[c] for c in docs.columns)), "id": docs[id_col].cast("long"), "text": F.coalesce(docs[text_col].cast("string"), F.lit(""))}
+    columns = {"row": scratch.boxed(docs), "id": scratch.column(docs, id_col).cast("long"), "text": F.coalesce(scratch.column(docs, text_col).cast("string"), F.lit(""))}
     rows = docs.select(*(v.alias(k) for k, v in columns.items()))
     trusted = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("id"))
     values = weights(with_ngrams(rows.select("id", "text")).select("id", "_ngrams"), trusted)

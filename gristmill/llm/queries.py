@@ -1,16 +1,22 @@
-"""The queries of this subpackage, each over its whole tables, and their SQL twins where SQL can say it."""
+"""The queries of this subpackage, each over its whole tables, and their SQL twins where SQL can say it.
+
+A query answers nulls, empty and very long texts, ties, repeated rows, empty tables and further columns as its operator's
+docstring says.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, jaccard, langid, lmscore, packing, quality, scratch, secrets, sharding, tokencount, warc
 
-#: Where the public vocabularies lie; the files are read there and never copied.
-TOKENIZERS = "/opt/tokenizers"
-
+#: The public vocabularies of the packing and counting queries; the files are read where they lie and never copied.
+PACKING_TOKENIZER, COUNTING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZERS = os.path.dirname(PACKING_TOKENIZER)
 
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, upper(sha1(coalesce(html, ''))) AS h FROM pages),
@@ -31,45 +37,55 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = tokencount.read_pieces(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    """Bytes, words and greedy word pieces of every document, see :func:`.tokencount.token_counts`."""
+    pieces = tokencount.read_pieces(COUNTING_TOKENIZER)
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), pieces)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more, see :func:`.jaccard.ngram_components`."""
     return jaccard.ngram_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 24 of nearly equal bytes, see :func:`.sharding.assign_shards`."""
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of all documents, told apart by a forest that learned from planted findings, see :func:`.secrets.scan`."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items, see :func:`.decontaminate.contaminated`."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and context-tree scores of every document, see :func:`.lmscore.score_texts`."""
     return lmscore.score_texts(_table(spark, sf_dir, "documents"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives in the shared folder and read back, see :func:`.warc.write_warc` and :func:`.warc.page_index`."""
     path = scratch.new_path(spark, "archives")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
     return warc.page_index(spark, path)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, log-likelihood ratio and verdict of every document, see :func:`.quality.quality`."""
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    """All documents' tokens in sequences of 1024, see :func:`.packing.pack`."""
+    return packing.pack(_table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, see :func:`.langid.identify`."""
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 

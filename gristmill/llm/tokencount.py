@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: Words that a task remembers; the memory is emptied beyond it. Longer words are not remembered.
 MEMORY_WORDS, MEMORY_BYTES = 1 << 18, 64
 
@@ -95,8 +97,9 @@ def token_counts(docs: DataFrame, pieces: list[bytes], start: bytes = b" ", id_c
 
     Words are runs of bytes other than 0x20 and 0x09 to 0x0D; each, behind ``start``, is cut greedily into the
     longest pieces. A word that cannot be cut whole is one token and counts in ``n_unknown``. Null, empty and blank
-    texts have no words and no tokens. Repeated rows and rows with null ids are kept; other columns are ignored. An empty
-    table gives an empty result. The vocabulary, not the data, decides the size of what is broadcast.
+    texts have no words and no tokens. A very long text is counted whole, and a very long word in time linear in its length.
+    Repeated rows and rows with null ids are kept; other columns, whatever their names, are ignored. An empty table gives an
+    empty result. The vocabulary, not the data, decides the size of what is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(LongestMatch(pieces, start))
 
@@ -119,6 +122,6 @@ def token_counts(docs: DataFrame, pieces: list[bytes], start: bytes = b" ", id_c
             arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_words, n_tokens, n_unknown))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n_bytes", "n_words", "n_tokens", "n_unknown"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(scratch.column(docs, id_col).cast("long").alias("id"), scratch.column(docs, text_col).cast("string").alias("text"))
     counted = rows.mapInArrow(run, "id long, n_bytes long, n_words long, n_tokens long, n_unknown long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_words", "n_tokens", "n_unknown")

@@ -77,7 +77,7 @@ def test_longest_match_is_greedy():
 
 
 def test_token_counts(spark, docs, texts):
-    pieces = tokencount.read_pieces(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    pieces = tokencount.read_pieces(queries.COUNTING_TOKENIZER)
     got = collections.Counter((r.doc_id, r.n_words, r.n_tokens, r.n_unknown) for r in tokencount.token_counts(docs, pieces).collect())
     known = set(pieces)
     want = collections.Counter((i, len((t or "").encode().split()), sum(greedy(known, b" " + w) for w in (t or "").encode().split()), 0) for i, t in texts)
@@ -599,7 +599,7 @@ def test_packing(docs, texts, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "SHARD_BYTES", 20_000)
-    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    path = queries.PACKING_TOKENIZER
     rows = packing.pack(docs, path, 256).collect()
     t = Tokenizer.from_file(path)
     left = collections.Counter()
@@ -627,7 +627,7 @@ def test_packing(docs, texts, monkeypatch):
 def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 
-    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    path = queries.PACKING_TOKENIZER
     with open(path, encoding="utf-8") as f:
         coder = packing.Encoder(f.read())
     t, rng = Tokenizer.from_file(path), random.Random(2)
@@ -679,6 +679,48 @@ def test_dropping_used_texts_keeps_scores():
     assert index.scores(7) == pytest.approx(np.where(free, before, 0), rel=1e-5)
 
 
+def plain_order(texts, lengths, size):
+    """Greedy windows written out: a window's first text is its seed, and the unused text that scores best against it comes next."""
+    own = [t.split() for t in texts]
+    n, mean = len(own), sum(map(len, own)) / len(own)
+    df = collections.Counter(w for t in own for w in set(t))
+
+    def bm25(q, d):
+        out = 0.0
+        for w in set(own[q]):
+            tf = own[d].count(w)
+            if tf and df[w] > 1:
+                out += math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(own[d]) / mean))
+        return out
+
+    left, order, at, seed = list(range(n)), [], 0, None
+    while left:
+        if at % size == 0:
+            seed = None
+        best = left[0]
+        if seed is not None:
+            score, text = max((bm25(seed, d), -d) for d in left)
+            best = -text if score > 1e-9 else left[0]
+        left.remove(best)
+        order.append(best)
+        before = at // size
+        at += lengths[best]
+        if seed is None or at // size != before:  # what reaches into the next window is its seed
+            seed = best
+    return order
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_windows_are_filled_greedily(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(1, 31), k=rng.randint(1, 15))) + f" t{i}" for i in range(50)]
+    texts[7] = "alone"
+    lengths = [rng.randint(1, 40) for _ in texts]
+    order = packing.order_texts(np.array(lengths), np.ones(50, int), packing.Index(*packing.numbered_words(texts)), 64)
+    assert order == plain_order(texts, lengths, 64)
+
+
 def test_close_texts_share_a_shard(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_BYTES", 10_000)
     rng = random.Random(4)
@@ -778,6 +820,32 @@ def test_language_of_odd_texts(spark, docs, texts, monkeypatch):
     assert (got[1004].lang_pred, got[1004].score) == (got[1005].lang_pred, pytest.approx(got[1005].score))
 
 
+# --- all ---
+
+
+def test_texts_of_megabytes(spark):
+    """One text of three megabytes, and one word of one, in every operator that reads documents."""
+    rng = random.Random(2)
+    long, word = prose(rng, 1000) + " "  , "y" * 1_000_000
+    rows = [(1, long * 400), (2, word), (3, long * 400), (4, None), (5, prose(rng, 70)), (6, long)]
+    docs = spark.createDataFrame([(i, t, "en", "src") for i, t in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(5, 1), (1, 1)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(0, long[: len(long) // 2])], "item_id long, text string")
+    counts = {r.doc_id: r for r in tokencount.token_counts(docs, tokencount.read_pieces(queries.COUNTING_TOKENIZER)).collect()}
+    assert counts[1].n_tokens == 400 * counts[6].n_tokens and counts[2].n_words == 1 and counts[2].n_bytes == 1_000_000
+    assert {r.doc_id: r.component_id for r in jaccard.ngram_components(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 1}
+    sizes = {r.doc_id: (r.size, r.shard) for r in sharding.assign_shards(docs, 3).collect()}
+    assert sizes[1][1] == sizes[3][1] and sizes[2][0] == 1_000_008 and sizes[2][1] != sizes[1][1]
+    found = {r.doc_id: r.n_overlaps for r in decontaminate.contaminated(docs, bench).collect()}
+    assert found[1] == found[3] == 400 and found[6] == 1 and 5 not in found
+    scores = {r.doc_id: r for r in lmscore.score_texts(docs).collect()}
+    assert scores[1].n_tokens == 400_001 and scores[1].score == pytest.approx(scores[3].score) and scores[1].bits_per_byte < scores[5].bits_per_byte
+    kept = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    assert kept[1].n_words == 400_000 and kept[1].base_failed and not kept[5].base_failed and kept[2].word_chars == 1_000_000
+    pieces = packing.pack(docs, queries.PACKING_TOKENIZER).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of")).collect()
+    assert len(pieces) == 6 and all(r.n == r.of for r in pieces)
+
+
 # --- pipeline ---
 
 
@@ -809,6 +877,20 @@ def test_pipeline_stages(spark):
         before = after
 
 
+def test_pipeline_over_odd_rows(spark, docs, texts):
+    """Nulls, empty texts, repeated rows and clashing names pass all stages; empty tables give empty results."""
+    import corpus_pipeline as C
+
+    folder = "/root/testdata/sf0.001"
+    odd = clashing(docs.drop("__id"), "row", "id", "__first", "hash", "keys", "_number", "item_id", "a.b")
+    before = odd.unionByName(odd.where("doc_id < 3"))
+    for i, (_, stage) in enumerate(C.STAGES):
+        after = scratch.write(stage(spark, before, folder), "stage")
+        assert stage(spark, before.where("false"), folder).count() == 0
+        assert after.count() > 0 and (i == 4 or after.columns == odd.columns)
+        before = after
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, name):
     import glob
