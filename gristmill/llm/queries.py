@@ -6,7 +6,6 @@ docstring says.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -16,7 +15,6 @@ from . import decontaminate, jaccard, langid, lmscore, packing, quality, scratch
 
 #: The public vocabularies of the packing and counting queries; the files are read where they lie and never copied.
 PACKING_TOKENIZER, COUNTING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-TOKENIZERS = os.path.dirname(PACKING_TOKENIZER)
 
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, upper(sha1(coalesce(html, ''))) AS h FROM pages),
