@@ -151,6 +151,7 @@ def planted(docs: DataFrame, text_col: str = "text", places: int = PLACES) -> Da
     source, test_path = F.concat(F.lit("src"), draw("src", 40).cast("string")), pick("path", "tests/fixtures/a.py", "docs/example.md", "vendor/x.lock")
     secret = [
         (hexes("s1"), *assigned(secret_name), source),
+        (cut(digits("s12"), "s12n", 10, 48), *assigned(secret_name), source),
         (cut(coded("s2"), "s2n", 24, 64), *assigned(secret_name), source),
         (cut(letters("s3"), "s3n", 20, 40), *assigned(secret_name), source),
         (cut(letters("s4"), "s4n", 24, 60), *assigned(other_name), source),
