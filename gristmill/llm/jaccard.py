@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import components, scratch, words
 
 #: A task holds the sets of one tile: at most two blocks of so many shingles and sets (and one set more).
-BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 1024
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 256
 #: Sets of each band of a large tile that are compared with all others of the tile first.
 PIVOTS = 4
 _FLUSH_ROWS = 1 << 20
