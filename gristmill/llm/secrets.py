@@ -117,13 +117,17 @@ def planted(docs: DataFrame, text_col: str = "text", places: int = PLACES) -> Da
     from the text's hash.
     """
     text = scratch.column(docs, text_col).cast("string")
-    rows = docs.select(F.split(text, _SPACES).alias("words"), F.xxhash64(text).alias("hash")).where(F.size("words") > 4).orderBy("hash").limit(places)
+    rows = docs.select(F.split(text, _SPACES).alias("words"), F.xxhash64(text).alias("hash")).where(F.size("words") > 4)
+    at = F.pmod("hash", F.size("words") - 4).cast("int") + 1
+    rows = rows.select("hash", F.slice("words", at, F.lit(4)).alias("here"), F.slice("words", at, F.lit(64)).alias("near"))
+    # About eight times the places are sorted, each text once, and of each no more than some words.
+    share = min(1.0, 8 * places / max(1, docs.count()))
+    rows = rows.where(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["hash"]).orderBy("hash").limit(places)
     draw = lambda salt, n: F.pmod(F.xxhash64("hash", F.lit(salt)), F.lit(n)).cast("int")
     pick = lambda salt, *values: F.get(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), draw(salt, len(values)))
-    at = F.least(F.pmod("hash", F.size("words") - 4) + 1, F.size("words") - 4).cast("int")
-    plain = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.rlike("^[a-z]{3,12}$"))
+    plain = F.filter(F.transform("near", lambda w: F.lower(w)), lambda w: w.rlike("^[a-z]{3,12}$"))
     plain = F.concat(plain, F.array(*map(F.lit, ("value", "item", "name", "list"))))
-    rows = rows.select("hash", F.slice("words", at, F.lit(3)).alias("left"), F.element_at("words", at + 3).alias("right"), plain.alias("plain"))
+    rows = rows.select("hash", F.slice("here", 1, 3).alias("left"), F.element_at("here", 4).alias("right"), plain.alias("plain"))
     rows = rows.withColumn("left", F.array_join("left", " "))
 
     digits = lambda salt: F.sha2(F.concat_ws("-", F.col("hash").cast("string"), F.lit(salt)), 512)  # noqa: E731  128 hex digits
