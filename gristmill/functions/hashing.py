@@ -15,3 +15,8 @@ def uniform(key: Column, salt: str, seed: int = 42) -> Column:
 def uniform_sql(key: str, salt: str, seed: int = 42) -> str:
     """The same draw as SQL for other engines."""
     return f"(CAST(('0x' || substr(md5('{seed}|{salt}|' || CAST({key} AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def row_hash(*cells: Column) -> Column:
+    """An MD5 digest of cells as text, with a unit separator between them; a null cell is empty."""
+    return F.md5(F.concat_ws("\x1f", *(F.coalesce(c.cast("string"), F.lit("")) for c in cells)))

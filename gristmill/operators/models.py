@@ -32,13 +32,17 @@ def estimator(family: str, task: str, params: dict | None = None, valid: str | N
         return C.OneVsRest(classifier=make(**own), labelCol=label) if task == "multiclass" else make(**own)
     if family in ("forest", "extra_trees"):
         make = G.RandomForestRegressor if regression else C.RandomForestClassifier
-        return make(**({"numTrees": 50, "maxDepth": 8, "seed": 42, "bootstrap": family == "forest"} | own))
+        # Spark has no random thresholds: the nearest to extra trees are unsampled rows, a third of the columns and few thresholds.
+        extra = {"bootstrap": False, "featureSubsetStrategy": "onethird", "maxBins": 8} if family == "extra_trees" else {}
+        return make(**({"numTrees": 50, "maxDepth": 8, "seed": 42} | extra | own))
     if family == "linear":
         return G.LinearRegression(**({"elasticNetParam": 0.0, "regParam": 0.01} | own)) if regression else C.LogisticRegression(**({"maxIter": 50, "regParam": 0.001} | own))
     if family == "lasso" and regression:
         return G.LinearRegression(**({"elasticNetParam": 1.0, "regParam": 0.01} | own))
     if family == "quick_linear":
         return G.LinearRegression(**({"maxIter": 5, "regParam": 0.01} | own)) if regression else C.LogisticRegression(**({"maxIter": 5} | own))
+    if family == "sgd" and task == "binary":  # without pairwise factors: a linear model fitted on random parts of the rows
+        return C.FMClassifier(**({"solver": "adamW", "miniBatchFraction": 0.5, "factorSize": 1, "initStd": 1e-9, "stepSize": 0.1, "seed": 42} | own))
     if family == "svm" and task == "binary":
         return C.LinearSVC(**({"maxIter": 30, "regParam": 0.01} | own))
     if family == "naive_bayes" and not regression:
@@ -51,9 +55,9 @@ def pipeline(numeric: Sequence[str], categorical: Sequence[str], family: str, ta
     stages = []
     if numeric:
         stages += [Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"_n_{c}" for c in numeric]), VectorAssembler(inputCols=[f"_n_{c}" for c in numeric], outputCol="_numeric"), StandardScaler(withMean=True, inputCol="_numeric", outputCol="_scaled")]
-    for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"_i_{c}", handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCol=f"_i_{c}", outputCol=f"_o_{c}", handleInvalid="keep"))
+    if categorical:  # one pass counts the levels of all columns
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=[f"_i_{c}" for c in categorical], handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in categorical], outputCols=[f"_o_{c}" for c in categorical], handleInvalid="keep"))
     inputs = (["_scaled"] if numeric else []) + [f"_o_{c}" for c in categorical]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), estimator(family, task, params, valid, label)])
 
@@ -92,14 +96,15 @@ def random_search(fit_score, seconds: float, draws: int = 20, seed: int = 42, sp
     return sorted(out, key=lambda x: -x["score"])
 
 
-def importances(model: PipelineModel, transformed: DataFrame) -> list[tuple[str, float]]:
-    """Tree importances by source column, normalised, largest first."""
+def importances(model: PipelineModel, transformed: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list[tuple[str, float]]:
+    """Tree importances by source column of :func:`pipeline`, normalised, largest first; columns that are never split on have 0."""
     attributes = transformed.schema["features"].metadata["ml_attr"]["attrs"]
-    names = {a["idx"]: a.get("name", str(a["idx"])) for group in attributes.values() for a in group}
-    totals: dict[str, float] = {}
+    names = {a["idx"]: a.get("name", "") for group in attributes.values() for a in group}
+    sources = {f"_scaled_{i}": c for i, c in enumerate(numeric)}
+    totals = dict.fromkeys([*numeric, *categorical], 0.0)
     for i, v in enumerate(model.stages[-1].featureImportances.toArray()):
-        name = names.get(i, str(i)).removeprefix("_o_").split("_scaled_")[-1]
-        totals[name] = totals.get(name, 0.0) + float(v)
+        found = sources.get(names[i]) or max((c for c in categorical if names[i].startswith(f"_o_{c}_")), key=len)
+        totals[found] += float(v)
     total = sum(totals.values()) or 1.0
     return sorted(((k, v / total) for k, v in totals.items()), key=lambda x: -x[1])
 

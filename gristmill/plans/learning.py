@@ -41,9 +41,12 @@ def agg3_distinct_with_null(spark, sf_dir):
     return P.distinct_counts(_with_nulls(spark, sf_dir), 0)
 
 
-@query()
+@query(f"{_NULLS} SELECT unnest(['c_custkey', 'c_name', 'c_acctbal', 'c_mktsegment']) AS name, true AS near")
 def agg4_approximate_distinct(spark, sf_dir):
-    return P.distinct_counts(_with_nulls(spark, sf_dir), P.EXACT_ROWS + 1)
+    """Estimates are within a tenth of the exact numbers."""
+    df = _with_nulls(spark, sf_dir)
+    rough = P.distinct_counts(df, P.EXACT_ROWS + 1).withColumnRenamed("n_unique", "rough")
+    return rough.join(P.distinct_counts(df, 0), "name").select("name", (F.abs(F.col("rough") - F.col("n_unique")) <= 0.1 * F.col("n_unique") + 1).alias("near"))
 
 
 @query("SELECT o_orderpriority AS value, round(count(*)::DOUBLE / (SELECT count(*) FROM orders), 4) AS share FROM orders GROUP BY 1")
@@ -245,7 +248,14 @@ def prof1_column_profile(spark, sf_dir):
     return out.select(F.col("position").cast("long"), "name", "kind", "n_missing", "n_unique", F.round("unique_share", 6).alias("unique_share"))
 
 
-@query("SELECT * FROM (VALUES ('doc_id', 'identifier'), ('text', 'text'), ('lang', 'categorical'), ('source', 'categorical'), ('n_chars', 'numeric')) t(name, kind)")
+#: Facts of the documents' columns, and their kinds by rule.
+_KINDS = """WITH c AS (SELECT 1 AS position, 'doc_id' AS name, true AS number, CAST(doc_id AS VARCHAR) AS v FROM documents UNION ALL SELECT 2, 'text', false, text FROM documents UNION ALL SELECT 3, 'lang', false, lang FROM documents
+UNION ALL SELECT 4, 'source', false, source FROM documents UNION ALL SELECT 5, 'n_chars', true, CAST(n_chars AS VARCHAR) FROM documents),
+f AS (SELECT name, any_value(number) AS number, count(*) AS n, (count(DISTINCT v) + max((v IS NULL)::INT))::DOUBLE / count(*) AS share, avg(length(v)) AS long, avg(contains(v, ' ')::INT) AS spaced FROM c GROUP BY position, name),
+k AS (SELECT name, CASE WHEN (name IN ('id', 'uuid', 'index', 'key') OR name LIKE '%id') AND share >= 0.95::DOUBLE THEN 'identifier' WHEN number THEN 'numeric' WHEN long >= 30 AND spaced > 0.5::DOUBLE THEN 'text' WHEN share > 0.98::DOUBLE AND n > 50 THEN 'identifier' ELSE 'categorical' END AS kind FROM f)"""
+
+
+@query(f"{_KINDS} SELECT name, kind FROM k")
 def prof2_kind_inference(spark, sf_dir):
     return P.column_profile(table(spark, sf_dir, "documents")).select("name", "kind")
 
@@ -256,19 +266,19 @@ def prof3_top_values(spark, sf_dir):
     return P.top_values(df.select("lang", "source"), P.column_profile(df))
 
 
-@query("SELECT 'quality' AS target")
+@query("SELECT arg_min(column_name, ordinal_position) AS target FROM information_schema.columns WHERE table_name = 'labels' AND lower(column_name) IN ('target', 'label', 'labels', 'class', 'y', 'outcome', 'churn', 'sentiment', 'category', 'quality', 'price', 'species')")
 def prof4_target_guess(spark, sf_dir):
     return P.target_guess(P.column_profile(table(spark, sf_dir, "labels")))
 
 
-@query("SELECT 'text' AS name")
+@query(f"{_KINDS} SELECT name FROM k WHERE kind = 'text'")
 def prof5_text_columns(spark, sf_dir):
     return P.column_profile(table(spark, sf_dir, "documents")).where("kind = 'text'").select("name")
 
 
-@query()
+@query("SELECT avg(length(CAST(o_orderkey AS VARCHAR)) + length(CAST(o_custkey AS VARCHAR)) + length(o_orderstatus) + length(o_orderpriority)) FILTER (o_orderkey % 97 = 0) * count(*) AS bytes FROM orders")
 def prof6_memory_estimate(spark, sf_dir):
-    return P.memory_estimate(table(spark, sf_dir, "orders"), "o_orderkey")
+    return P.memory_estimate(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
 
 
 @query("SELECT CASE WHEN count(*) < 100000 THEN 'small' WHEN count(*) < 2000000 THEN 'medium' ELSE 'large' END AS tier FROM lineitem")
@@ -281,7 +291,7 @@ def prof8_series_profile(spark, sf_dir):
     return P.series_profile(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
-@query("SELECT 'too_many_classes' AS issue, 'o_orderkey' AS \"column\" FROM orders HAVING count(*) > 50 UNION ALL SELECT 'no_such_column', 'body'")
+@query("SELECT 'too_many_classes' AS issue, 'o_orderkey' AS \"column\" FROM orders HAVING count(DISTINCT o_orderkey) > greatest(50, count(*) / 2) UNION ALL SELECT 'no_such_column', 'body' WHERE NOT EXISTS (FROM information_schema.columns WHERE table_name = 'orders' AND column_name = 'body') UNION ALL SELECT 'too_few_rows', NULL FROM orders HAVING count(*) < 20")
 def prof9_suitability(spark, sf_dir):
     return P.suitability(P.column_profile(table(spark, sf_dir, "orders")), "o_orderkey", "classification", ("body",))
 

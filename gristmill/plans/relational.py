@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, text
-from ..functions.hashing import uniform, uniform_sql
+from ..functions.hashing import row_hash, uniform, uniform_sql
 from ..operators import ranks
 from ..operators import relational as R
 from ..operators import split as P
@@ -301,9 +301,10 @@ def fn13_numeric_functions(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.log10(x), 6).alias("l10"), F.round(F.log2(x), 6).alias("l2"), F.round(F.sqrt(x), 4).alias("root"), F.ceil(x).cast("long").alias("up"), F.round(F.log1p(x), 6).alias("l1p"), F.greatest(x, F.lit(1000.0)).alias("clipped"), half.alias("half"))
 
 
-@query()
+@query("SELECT c_custkey, md5(concat(c_name, chr(31), c_nationkey, chr(31), CASE WHEN c_custkey % 7 = 0 THEN '' ELSE CAST(round(c_acctbal * 100) AS BIGINT) || '' END)) AS row_hash FROM customer")
 def fn14_row_hash(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.xxhash64("c_name", "c_nationkey", "c_acctbal").alias("row_hash"))
+    cents = F.when(F.col("c_custkey") % 7 != 0, F.round(F.col("c_acctbal") * 100).cast("long"))
+    return table(spark, sf_dir, "customer").select("c_custkey", row_hash(F.col("c_name"), F.col("c_nationkey"), cents).alias("row_hash"))
 
 
 @query("""
