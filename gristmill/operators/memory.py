@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,18 +57,82 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, group: str | None = None) -> DataFrame:
-    """(query, id, dist): the k nearest rows (id, vec) of each query (query, vec); with ``group`` the nearest of each group only.
+#: Bytes of queries that are compared with all rows in one pass, and rows that are compared at a time.
+QUERY_BYTES, ROWS_AT_ONCE = 16 << 20, 1024
 
-    Queries are a stated, small set: they are broadcast, and every task keeps its best k of each before the exchange.
+
+class _Best:
+    """The k nearest rows seen so far of each query; of each group only its nearest, if there are groups."""
+
+    def __init__(self, names: np.ndarray, vectors: np.ndarray, k: int, grouped: bool):
+        self.names, self.vectors, self.k, self.grouped = names, vectors, k, grouped
+        self.squares = (vectors * vectors).sum(1)
+        self.kept: list[list[tuple]] = [[] for _ in names]
+        self.limit = np.full(len(names), np.inf)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, extra: list) -> None:
+        squares = (vectors * vectors).sum(1)
+        rough = self.squares[:, None] + squares - 2 * (self.vectors @ vectors.T)
+        slack = 1e-9 * (self.squares[:, None] + squares)  # rounding of the product; the distances kept are exact ones
+        for q in np.flatnonzero((rough - slack <= self.limit[:, None]).any(axis=1)):
+            near = np.flatnonzero((rough[q] - slack[q] <= self.limit[q]) & (ids != self.names[q]))
+            exact = ((vectors[near] - self.vectors[q]) ** 2).sum(1)
+            rows = sorted([*self.kept[q], *((float(d), int(ids[i]), extra[i]) for d, i in zip(exact, near, strict=True))], key=lambda r: r[:2])
+            if self.grouped:
+                first: dict = {}
+                for r in rows:
+                    first.setdefault(r[2], r)
+                rows = list(first.values())
+            self.kept[q] = rows[: self.k]
+            if len(self.kept[q]) == self.k:
+                self.limit[q] = self.kept[q][-1][0]
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, group: str | None = None, carry: str | None = None) -> DataFrame:
+    """(query, id, dist, rank): the k nearest rows (id, vec) of each query (query, vec); with ``group`` the nearest of each group
+    only. The group, or else the column ``carry``, is returned too.
+
+    Queries are compared with all rows in blocks of QUERY_BYTES, each of which is broadcast by itself; every task keeps its best k
+    of each query before the exchange. Rows or queries without a vector are left out; a query's own id is no neighbour.
     """
-    pairs = rows.crossJoin(F.broadcast(queries.select("query", F.col("vec").alias("_q")))).where(F.col("id") != F.col("query"))
-    pairs = pairs.select("query", "id", *([group] if group else []), F.sqrt(squared_distance(F.col("vec"), F.col("_q"))).alias("dist"))
+    spark, extra = rows.sparkSession, group or carry
+    queries = queries.where("query is not null and vec is not null").select("query", "vec")
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    blocks = max(1, -(-size.n * (size.dim or 0) * 8 // QUERY_BYTES))
+    kind = rows.schema[extra].dataType.simpleString() if extra else "boolean"
+    schema = f"query long, id long, extra {kind}, dist double"
+    source = rows.where("id is not null and vec is not null").select(F.col("id").cast("long"), F.col("vec").cast("array<double>"), (F.col(extra) if extra else F.lit(None).cast("boolean")).alias("extra"))
+
+    def compared(shared):
+        def run(batches):
+            best = None
+            for batch in batches:
+                names, vectors = shared.value
+                best = best or _Best(names, vectors, k, bool(group))
+                found = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, vectors.shape[1]))
+                ids, more = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+                for a in range(0, len(ids), ROWS_AT_ONCE):
+                    best.add(ids[a : a + ROWS_AT_ONCE], found[a : a + ROWS_AT_ONCE], more[a : a + ROWS_AT_ONCE])
+            out = [(int(name), i, x, math.sqrt(d)) for name, kept in zip(best.names, best.kept, strict=True) for d, i, x in kept] if best else []
+            if out:
+                q, i, x, d = zip(*out, strict=True)
+                extra_type = batch.schema.field(2).type
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(x, extra_type), pa.array(d, pa.float64())], ["query", "id", "extra", "dist"])
+
+        return run
+
+    out = spark.createDataFrame([], schema)
+    for block in range(blocks if size.n else 0):
+        own = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select(F.col("query").cast("long"), F.col("vec").cast("array<double>")).toArrow()  # about QUERY_BYTES
+        if own.num_rows:
+            shared = spark.sparkContext.broadcast((own.column(0).to_numpy(), np.stack(own.column(1).to_numpy())))
+            out = out.unionByName(source.mapInArrow(compared(shared), schema))
     if group:
-        best = F.row_number().over(Window.partitionBy("query", group).orderBy("dist", "id"))
-        pairs = pairs.withColumn("_r", best).where("_r = 1").drop("_r")
+        first = F.row_number().over(Window.partitionBy("query", "extra").orderBy("dist", "id"))
+        out = out.withColumn("_r", first).where("_r = 1").drop("_r")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumnRenamed("extra", extra) if extra else out.drop("extra")
 
 
 def run_summary(rows: DataFrame, key: str, name: str, score: str, k: int = 5) -> DataFrame:

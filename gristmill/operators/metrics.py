@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import in_ranges, quantiles
+
 #: Metrics of each task, the first being its default; losses are better when smaller.
 METRICS = {
     "classification": ("f1_macro", "accuracy", "balanced_accuracy", "f1_weighted", "roc_auc"),
@@ -63,14 +65,11 @@ def classification(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def auc(df: DataFrame, positive: Column, score: Column, groups: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
     """Tie-aware area under the ROC curve (``auc``), of each group. Distinct scores are counted first and prefix sums run
-    inside ranges of scores, whose totals are summed up in turn; so no task holds all of a group's scores."""
+    inside ranges of scores, which hold about as many scores each, and whose totals are summed up in turn; so no task
+    holds all of a group's scores."""
     counts = df.select(*groups, score.alias("_s"), positive.cast("long").alias("_y")).where("_s is not null and _y is not null")
     counts = counts.groupBy(*groups, "_s").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
-    low, high = F.min("_s").alias("_low"), F.max("_s").alias("_high")
-    ranges = counts.groupBy(*groups).agg(low, high)
-    counts = counts.join(ranges, list(groups)) if groups else counts.crossJoin(F.broadcast(ranges))
-    width = F.col("_high") - F.col("_low")
-    counts = counts.withColumn("_bucket", F.when(width > 0, F.floor((F.col("_s") - F.col("_low")) / width * buckets)).otherwise(0))
+    counts = in_ranges(counts, "_s", "_bucket", buckets)
     totals = counts.groupBy(*groups, "_bucket").agg(F.sum("_neg").alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*groups, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -124,11 +123,12 @@ def residuals(df: DataFrame, y: str, p: str) -> DataFrame:
     """MAE, RMSE, R2, the largest absolute residual and five quantiles of prediction minus truth."""
     error = F.col(p) - F.col(y)
     own = df.select((error).alias("e"), F.col(y).alias("y"))
-    quantiles = (0.05, 0.25, 0.5, 0.75, 0.95)
+    fractions = (0.05, 0.25, 0.5, 0.75, 0.95)
+    found = quantiles(own, "e", fractions)
     return own.agg(
         F.avg(F.abs("e")).alias("mae"),
         F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
         (1 - F.sum(F.col("e") * F.col("e")) / F.nullif(F.var_pop("y") * F.count("y"), F.lit(0.0))).alias("r2"),
         F.max(F.abs("e")).alias("largest"),
-        F.percentile("e", F.array(*map(F.lit, quantiles))).alias("q"),
-    ).select("mae", "rmse", "r2", "largest", *(F.col("q")[i].alias(f"q{int(100 * x):02d}") for i, x in enumerate(quantiles)))
+        *(F.lit(v).cast("double").alias(f"q{int(100 * x):02d}") for x, v in zip(fractions, found, strict=True)),
+    )

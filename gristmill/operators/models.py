@@ -14,9 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .memory import squared_distance
+from .memory import nearest
 
-#: The most training rows a family is tried on; none where it takes any.
+#: The most training rows a family is tried on in a search; none where it takes any.
 ROW_LIMITS = {"knn": 100_000}
 #: Parameters that a search may draw, with their bounds.
 SEARCH = {"maxDepth": (2, 8), "maxIter": (10, 60), "stepSize": (0.03, 0.3), "subsamplingRate": (0.5, 1.0), "minInstancesPerNode": (1, 50), "minInfoGain": (0.0, 0.01), "maxBins": (16, 64)}
@@ -71,16 +71,12 @@ def predictions(model: PipelineModel, df: DataFrame, labels: Sequence[str] = ())
     return out.select(*df.columns, "prediction", *(f"prob_{name}" for name in labels if f"prob_{name}" in out.columns))
 
 
-def knn(train: DataFrame, queries: DataFrame, k: int, rows: int, limit: int = ROW_LIMITS["knn"]) -> DataFrame:
+def knn(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, label, votes): the most frequent label of the k nearest; ``train`` has (id, vec, label), ``queries`` (query, vec).
 
-    The family is for training tables of bounded size, which is checked; the training side is the one broadcast.
+    Of labels with equal votes the smallest is taken. Tables of any size do: see :func:`.memory.nearest`.
     """
-    if rows > limit:
-        raise ValueError(f"{rows} training rows are over the limit of {limit} for nearest neighbours")
-    pairs = queries.crossJoin(F.broadcast(train.select("id", F.col("vec").alias("_v"), "label")))
-    pairs = pairs.select("query", "id", "label", squared_distance(F.col("vec"), F.col("_v")).alias("d")).where(F.col("query") != F.col("id"))
-    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(F.col("_r") <= k)
+    near = nearest(queries, train, k, carry="label")
     votes = near.groupBy("query", "label").agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("query").agg(F.max_by("label", F.struct("votes", -F.col("label"))).alias("label"), F.max("votes").alias("votes"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import frequency
 from ..functions.text import date_like
+from .ranks import quantiles
 
 #: Beyond so many rows distinct values are estimated.
 EXACT_ROWS = 2_000_000
@@ -56,7 +57,8 @@ def column_facts(df: DataFrame) -> DataFrame:
 def long_values(df: DataFrame) -> DataFrame:
     """(name, value) of every cell but nested ones; values as text."""
     flat = [f for f in df.schema if _kind_of(f.dataType) != "nested"]
-    cells = F.array(*(F.struct(F.lit(f.name).alias("name"), F.col(f"`{f.name}`").cast("string").alias("value")) for f in flat))
+    cells = [F.struct(F.lit(f.name).alias("name"), F.col(f"`{f.name}`").cast("string").alias("value")) for f in flat]
+    cells = F.array(*cells) if cells else F.array().cast("array<struct<name:string,value:string>>")
     return df.select(F.inline(cells))
 
 
@@ -65,9 +67,9 @@ def value_counts(df: DataFrame) -> DataFrame:
     return long_values(df).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_counts(df: DataFrame, rows: int) -> DataFrame:
-    """(name, n_unique): null counts as a value; estimated beyond EXACT_ROWS."""
-    if rows <= EXACT_ROWS:
+def distinct_counts(df: DataFrame, rows: int, exact: bool | None = None) -> DataFrame:
+    """(name, n_unique): null counts as a value; estimated beyond EXACT_ROWS, unless ``exact`` says otherwise."""
+    if rows <= EXACT_ROWS if exact is None else exact:
         return value_counts(df).groupBy("name").agg(F.count(F.lit(1)).alias("n_unique"))
     one = df.agg(*(F.struct((F.approx_count_distinct(f"`{c}`") + F.max(F.col(f"`{c}`").isNull().cast("long"))).alias("n")).alias(c) for c in df.columns))
     return one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`.n").alias("n_unique")) for c in df.columns))))
@@ -93,17 +95,18 @@ def kind(unique: Column, rows: Column) -> Column:
 def top_values(df: DataFrame, profile: DataFrame, k: int = TOP_VALUES) -> DataFrame:
     """(name, value, share): the k most frequent values of columns of few values, shares to four digits."""
     few = profile.where((F.col("n_unique") <= TOP_DISTINCT) & (F.col("kind").isin("categorical", "boolean") | ((F.col("kind") == "numeric") & (F.col("n_unique") <= 20))))
-    counts = value_counts(df).where("value is not null").join(F.broadcast(few.select("name")), "name")
+    names = [r.name for r in few.select("name").collect()]  # columns of the table
+    counts = value_counts(df.select(*(f"`{c}`" for c in df.columns if c in names))).where("value is not null")
     total = F.sum("n").over(Window.partitionBy("name"))
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "value"))
     rows = counts.withColumns({"_rank": rank, "share": F.round(F.col("n") / total, 4)})
     return rows.where(F.col("_rank") <= k).select("name", "value", "share")
 
 
-def column_profile(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``position, name, dtype, kind, n_rows, n_missing, n_unique, unique_share`` of each column."""
+def column_profile(df: DataFrame, rows: int | None = None, exact: bool | None = None) -> DataFrame:
+    """``position, name, dtype, kind, n_rows, n_missing, n_unique, unique_share`` of each column; ``exact`` as in :func:`distinct_counts`."""
     rows = df.count() if rows is None else rows
-    facts = column_facts(df).join(distinct_counts(df, rows), "name", "left")
+    facts = column_facts(df).join(distinct_counts(df, rows, exact), "name", "left")
     facts = facts.withColumn("kind", kind(F.coalesce("n_unique", F.lit(0)), F.col("n_rows")))
     return facts.select("position", "name", "dtype", "kind", "n_rows", "n_missing", "n_unique", (F.col("n_unique") / F.greatest("n_rows", F.lit(1))).alias("unique_share"))
 
@@ -133,7 +136,7 @@ def series_profile(df: DataFrame, time: str, series: str) -> DataFrame:
     seconds = df.select(series, F.unix_timestamp(time).alias("s")).distinct()
     steps = seconds.withColumn("d", F.col("s") - F.lag("s").over(Window.partitionBy(series).orderBy("s"))).where("d is not null")
     medians = steps.groupBy(series).agg(F.percentile("d", F.lit(0.5)).alias("m"))
-    gaps = steps.join(medians, series).agg(F.count_if(F.col("d") > 1.5 * F.col("m")).alias("n_gaps"), F.percentile("d", F.lit(0.5)).alias("median_step"))
+    gaps = steps.join(medians, series).agg(F.count_if(F.col("d") > 1.5 * F.col("m")).alias("n_gaps")).withColumn("median_step", F.lit(quantiles(steps, "d", [0.5])[0]).cast("double"))
     one = lengths.agg(F.count(F.lit(1)).alias("n_series"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
     return one.crossJoin(gaps).withColumn("frequency", frequency(F.col("median_step")))
 

@@ -42,24 +42,29 @@ def random_split(df: DataFrame, key: str, strata: Sequence[str] = (), fractions:
 
 def temporal_cuts(df: DataFrame, time: str, fractions: tuple[float, float] = (0.15, 0.15)) -> DataFrame:
     """One row a timestamp: ``block`` and ``r``. Blocks follow each other, cut at cumulative row shares; with three or
-    more timestamps none is empty. ``r`` is the share of the block's rows that are newer, plus half a row."""
+    more timestamps none is empty. ``r`` is the share of the block's rows that are newer, plus half a row.
+
+    Rows are added up by day, then within each day: only the days, of which a calendar has few, are ordered in one task.
+    """
     valid, test = fractions
-    dates = df.where(F.col(time).isNotNull()).groupBy(time).agg(F.count(F.lit(1)).alias("n"))
-    ordered = Window.orderBy(time)  # over the distinct timestamps
-    cum = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    dates = dates.select(time, "n", (F.row_number().over(ordered) - 1).alias("i"), cum.alias("cum"))
+    dates = df.where(F.col(time).isNotNull()).groupBy(time).agg(F.count(F.lit(1)).alias("n")).withColumn("_day", F.col(time).cast("date"))
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # a row for each day
+    days = dates.groupBy("_day").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    days = days.select("_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_earlier"))
+    inside = Window.partitionBy("_day").orderBy(time)
+    cum = F.col("_before") + F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    dates = dates.join(days, "_day").select(time, "n", (F.col("_earlier") + F.row_number().over(inside) - 1).alias("i"), cum.alias("cum"))
     whole = dates.agg(F.max("cum").alias("total"), F.count(F.lit(1)).alias("n_dates"))
-    dates = dates.crossJoin(F.broadcast(whole))
-    at_most = lambda share: F.sum((F.col("cum") <= F.col("total") * F.lit(share)).cast("long")).over(Window.partitionBy())
-    dates = dates.withColumns({"train_end": at_most(1 - valid - test), "valid_end": at_most(1 - test)})
+    at_most = lambda share: F.count_if(F.col("cum") <= F.col("total") * F.lit(share))
+    ends = dates.crossJoin(F.broadcast(whole)).agg(at_most(1 - valid - test).alias("train_end"), at_most(1 - test).alias("valid_end"), F.max("n_dates").alias("n_dates"))
     held = F.col("n_dates") >= 3
-    dates = dates.withColumn("train_end", F.when(held, F.least(F.greatest("train_end", F.lit(1)), F.col("n_dates") - 2)).otherwise(F.col("train_end")))
-    dates = dates.withColumn("valid_end", F.when(held, F.least(F.greatest("valid_end", F.col("train_end") + 1), F.col("n_dates") - 1)).otherwise(F.col("valid_end")))
+    ends = ends.withColumn("train_end", F.when(held, F.least(F.greatest("train_end", F.lit(1)), F.col("n_dates") - 2)).otherwise(F.col("train_end")))
+    ends = ends.withColumn("valid_end", F.when(held, F.least(F.greatest("valid_end", F.col("train_end") + 1), F.col("n_dates") - 1)).otherwise(F.col("valid_end")))
     block = F.when(F.col("i") < F.col("train_end"), TRAIN).when(F.col("i") < F.col("valid_end"), VALID).otherwise(TEST)
-    dates = dates.withColumn("block", block)
-    newer = F.sum("n").over(Window.partitionBy("block").orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, -1))
-    size = F.sum("n").over(Window.partitionBy("block"))
-    return dates.select(time, F.col("block").alias("split"), ((F.coalesce(newer, F.lit(0)) + 0.5) / size).alias("r"))
+    dates = dates.crossJoin(F.broadcast(ends)).select(time, "n", "cum", block.alias("block"))
+    sizes = dates.groupBy("block").agg(F.max("cum").alias("last"), F.sum("n").alias("size"))
+    dates = dates.join(F.broadcast(sizes), "block")  # three rows
+    return dates.select(time, F.col("block").alias("split"), ((F.col("last") - F.col("cum") + 0.5) / F.col("size")).alias("r"))
 
 
 def temporal_split(df: DataFrame, time: str, fractions: tuple[float, float] = (0.15, 0.15)) -> DataFrame:

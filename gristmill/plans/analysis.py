@@ -460,7 +460,7 @@ def mod5_nearest_neighbours(spark, sf_dir):
     from ..operators.models import knn
 
     rows, queries = _vectors(spark, sf_dir)
-    return knn(rows, queries, 5, rows.count()).select("query", "label")
+    return knn(rows, queries, 5).select("query", "label")
 
 
 @query("WITH r AS (SELECT user_id, event_type, max(CASE WHEN event_type <> 'error' THEN value END) AS score FROM events GROUP BY user_id, event_type), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC NULLS LAST, event_type) AS rank FROM r) SELECT user_id, coalesce(string_agg(event_type, ', ' ORDER BY rank) FILTER (rank <= 5 AND score IS NOT NULL), '') AS best, coalesce(string_agg(event_type, ', ' ORDER BY event_type) FILTER (score IS NULL), '') AS failed FROM k GROUP BY user_id")

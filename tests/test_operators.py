@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import uniform
 from gristmill.operators import audit, evaluation, forecast, halving, memory, metrics, profile, relational, scoring, split
-from gristmill.operators.ranks import ranked, with_row_id
+from gristmill.operators.ranks import quantiles, ranked, with_row_id
 from gristmill.sources import tables
 from gristmill.sources.shared import new_path, persisted
 
@@ -250,3 +250,39 @@ def test_followed_log_is_whole(spark):
     for r, n in want:
         best[r] = max(best.get(r, 0), n)
     assert {str(r.run_id): r.seq for r in latest.collect()} == best
+
+
+def test_quantiles_by_narrowing(spark, monkeypatch):
+    """Exact whatever the spread: heavy tails, few values, and narrowing more than once."""
+    import numpy as np
+
+    monkeypatch.setattr("gristmill.operators.ranks.EXACT_VALUES", 20)
+    rng = np.random.default_rng(1)
+    for values in (np.exp(6 * rng.standard_normal(1500)), np.repeat([1.0, 2.0, 5.0], [700, 2, 300]), np.full(50, 3.0)):
+        df = spark.createDataFrame([(float(v),) for v in [*values, float("nan")][:-1]] + [(None,)], "v double")
+        fractions = (0.0, 0.05, 0.5, 0.951, 1.0)
+        assert quantiles(df, "v", fractions) == pytest.approx([float(np.quantile(values, f)) for f in fractions])
+    assert quantiles(df.where("v is null"), "v", (0.5,)) == [None]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Against all pairs: ties, equal vectors, groups, and queries in several blocks."""
+    import numpy as np
+
+    monkeypatch.setattr(memory, "QUERY_BYTES", 200)
+    monkeypatch.setattr(memory, "ROWS_AT_ONCE", 7)
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(0, 3, (60, 4)).astype(float)
+    vectors[40:50] = vectors[3]
+    rows = spark.createDataFrame([(i, [float(x) for x in v], int(i % 4)) for i, v in enumerate(vectors)] + [(None, [0.0] * 4, 1), (99, None, 1)], "id long, vec array<float>, label int")
+    queries = rows.where("id % 5 = 0 or id is null").selectExpr("id as query", "vec")
+    order = lambda q: sorted((float(((v - vectors[q]) ** 2).sum()), i) for i, v in enumerate(vectors) if i != q)
+    got = {(r.query, r["rank"]): (r.id, r.dist) for r in memory.nearest(queries, rows, 6).collect()}
+    assert got == {(q, k + 1): (i, math.sqrt(d)) for q in range(0, 60, 5) for k, (d, i) in enumerate(order(q)[:6])}
+    got = {(r.query, r["rank"]): r.id for r in memory.nearest(queries, rows, 3, "label").collect()}
+    for q in range(0, 60, 5):
+        first = {}
+        for _, i in order(q):
+            first.setdefault(i % 4, i)
+        assert [got[q, k] for k in (1, 2, 3)] == list(first.values())[:3]
+    assert memory.nearest(queries.where("false"), rows, 3).count() == 0 and memory.nearest(queries, rows.where("false"), 3).count() == 0
