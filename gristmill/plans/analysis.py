@@ -37,6 +37,20 @@ def aud1_identifiers(spark, sf_dir):
     return A.identifiers(P.column_profile(df)).select("name", "value")
 
 
+@query(r"""
+WITH n AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN w || '_id' WHEN 1 THEN 'copy of ' || w WHEN 2 THEN upper(w) WHEN 3 THEN w || '_key_' || p_size WHEN 4 THEN w || '_and_much_more' ELSE split_part(p_name, ' ', 1) || w END AS name FROM (SELECT *, split_part(p_name, ' ', 2) AS w FROM part)),
+p AS (SELECT name, lower(trim(name)) AS raw, regexp_replace(lower(trim(name)), '[^a-z0-9]', '', 'g') AS plain FROM n)
+SELECT name, regexp_matches(name, '(?i)(^|_)(id|uuid|guid|key|index|hash|token|code|pk)($|_)') AS names_rows,
+  raw = 'widget' OR ((contains(plain, 'widget') OR contains('widget', plain)) AND (regexp_matches(raw, 'pred|target|true|actual|outcome|label|result|post|copy|leak|after') OR length(plain) - 6 <= 4)) AS names_target FROM p
+""")
+def prj12_name_predicates(spark, sf_dir):
+    key, words = F.col("p_partkey") % 6, F.split("p_name", " ")
+    w = words[1]
+    name = F.when(key == 0, F.concat(w, F.lit("_id"))).when(key == 1, F.concat(F.lit("copy of "), w)).when(key == 2, F.upper(w)).when(key == 3, F.concat(w, F.lit("_key_"), "p_size")).when(key == 4, F.concat(w, F.lit("_and_much_more")))
+    names = table(spark, sf_dir, "part").select(name.otherwise(F.concat(words[0], w)).alias("name")).distinct()
+    return names.select("name", F.col("name").rlike(A.ID_PATTERN).alias("names_rows"), A.mirrors_target("widget").alias("names_target"))
+
+
 @query("SELECT 'price_copy' AS name")
 def aud2_target_names(spark, sf_dir):
     return A.target_names(P.column_profile(_part(spark, sf_dir)), "price").select("name")

@@ -304,6 +304,15 @@ SELECT o_orderkey, CASE WHEN rank < b THEN 1 WHEN rank < 2 * b THEN 2 ELSE 0 END
 _DRAWS = {"draw": uniform_sql("o_orderkey", "split"), "r": uniform_sql("o_orderkey", "r")}
 
 
+@query(f"SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {uniform_sql('o_orderkey', 'split')}, o_orderkey) - 1 AS rank FROM orders")
+def win15_stratum_rank(spark, sf_dir):
+    """The rank in its stratum by which a row's block is cut to an exact size."""
+    from ..operators.ranks import ranked
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return ranked(rows, uniform(F.col("o_orderkey"), "split"), [F.col("o_orderkey")], ["o_orderpriority"]).select("o_orderkey", "rank")
+
+
 @query(_SPLIT.format(strata="1", more="", **_DRAWS))
 def split1_random(spark, sf_dir):
     return S.random_split(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", F.col("split").cast("long"))
