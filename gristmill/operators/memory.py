@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -144,19 +145,70 @@ def run_summary(rows: DataFrame, key: str, name: str, score: str, k: int = 5) ->
     return ranked.groupBy(key).agg(F.array_join(F.transform(best, lambda x: x["name"]), ", ").alias("best"), F.array_join(failed, ", ").alias("failed"))
 
 
+class _TopPassages:
+    """The k passages of the highest scores seen so far of each query; of equal scores the smaller ids."""
+
+    def __init__(self, queries: dict[int, list[str]], k: int):
+        self.names, self.k = list(queries), k
+        postings: dict[str, list[int]] = {}
+        for q, own in enumerate(queries.values()):
+            for word in own:
+                postings.setdefault(word, []).append(q)
+        self.postings = {word: np.array(qs) for word, qs in postings.items()}
+        self.kept: list[list[tuple[int, int]]] = [[] for _ in self.names]
+        self.least = np.zeros(len(self.names), np.int64)  # a score must reach it, and be over 0
+
+    def add(self, passage: int, own_words: list[str], own_tags: list[str]) -> None:
+        found = [self.postings[w] for w in own_words if w in self.postings]
+        found += [self.postings[t] for t in own_tags if t in self.postings for _ in range(2)]
+        if not found:
+            return
+        scores = np.bincount(np.concatenate(found), minlength=len(self.names))
+        for q in np.flatnonzero((scores >= self.least) & (scores > 0)):
+            kept = self.kept[q]
+            bisect.insort(kept, (-int(scores[q]), passage))
+            if len(kept) >= self.k:
+                del kept[self.k :]
+                self.least[q] = -kept[-1][0]
+
+
 def overlaps(queries: DataFrame, passages: DataFrame, k: int, tags: DataFrame | None = None) -> DataFrame:
-    """(query, passage, score): passages by distinct shared words, and two for each shared tag; an inverted-index join.
+    """(query, passage, score, rank): the k passages with the most distinct words of each query, and two for each shared tag.
 
-    Tables have (query, text) and (passage, text); ``tags`` has (passage, tag).
+    Tables have (query, text) and (passage, text), each id once; ``tags`` has (passage, tag). Queries go through the passages in
+    blocks of QUERY_BYTES of text, each of which is broadcast by itself as an inverted index; every task keeps its best k of each
+    query, so pairs of a query and a passage are never written out. Passages that share nothing are not returned.
     """
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("word"))
-    asked = words(queries, "query")
-    hits = words(passages, "passage").join(asked, "word").select("query", "passage", F.lit(1).alias("n"))
-    if tags is not None:
-        hits = hits.unionByName(tags.join(asked, tags["tag"] == asked["word"]).select("query", "passage", F.lit(2).alias("n")))
-    scores = hits.groupBy("query", "passage").agg(F.sum("n").alias("score"))
+    spark = queries.sparkSession
+    asked = queries.where("query is not null and text is not null").select(F.col("query").cast("long"), F.array_distinct(word_tokens(F.col("text"))).alias("words"))
+    own = passages.where("passage is not null").select(F.col("passage").cast("long"), F.coalesce(F.array_distinct(word_tokens(F.col("text"))), F.array().cast("array<string>")).alias("words"))
+    if tags is None:
+        own = own.withColumn("tags", F.array().cast("array<string>"))
+    else:
+        listed = tags.where("tag is not null").groupBy(F.col("passage").cast("long").alias("passage")).agg(F.collect_list("tag").alias("tags"))
+        own = own.join(listed, "passage", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    blocks = max(1, -(-(queries.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // QUERY_BYTES))
+    schema = "query long, passage long, score long"
+
+    def searched(shared):
+        def run(batches):
+            top = _TopPassages(shared.value, k)
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    top.add(*row)
+            out = [(name, passage, -score) for name, kept in zip(top.names, top.kept, strict=True) for score, passage in kept]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query", "passage", "score"])
+
+        return run
+
+    out = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        found = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).collect()  # about QUERY_BYTES
+        if found:
+            out = out.unionByName(own.mapInArrow(searched(spark.sparkContext.broadcast({r.query: r.words for r in found})), schema))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "passage"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def retrieve_all(retrievers: Sequence, queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:

@@ -286,3 +286,24 @@ def test_nearest_in_blocks(spark, monkeypatch):
             first.setdefault(i % 4, i)
         assert [got[q, k] for k in (1, 2, 3)] == list(first.values())[:3]
     assert memory.nearest(queries.where("false"), rows, 3).count() == 0 and memory.nearest(queries, rows.where("false"), 3).count() == 0
+
+
+def test_lexical_search_in_blocks(spark, monkeypatch):
+    """Against all pairs, with queries in several blocks, ties, tags, nulls and empty texts."""
+    import random
+
+    monkeypatch.setattr(memory, "QUERY_BYTES", 60)
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("abcdefghij") * 2 for _ in range(n))
+    queries = [(i, text(rng.randint(1, 6))) for i in range(12)] + [(50, ""), (51, None)]
+    passages = [(i, text(rng.randint(0, 9)), rng.choice(["aa", "bb", None])) for i in range(40)] + [(90, None, "cc")]
+    q = spark.createDataFrame(queries, "query long, text string")
+    p = spark.createDataFrame(passages, "passage long, text string, tag string").repartition(3)
+    for tags in (None, p.select("passage", "tag")):
+        got = {(r.query, r["rank"]): (r.passage, r.score) for r in memory.overlaps(q, p.drop("tag"), 4, tags).collect()}
+        want = {}
+        for i, t in queries:
+            asked = set((t or "").split())
+            scored = sorted((-len(asked & set((x or "").split())) - (2 if tags is not None and tag in asked else 0), n) for n, x, tag in passages)
+            want |= {(i, k + 1): (n, -s) for k, (s, n) in enumerate([x for x in scored if x[0] < 0][:4])}
+        assert got == want
