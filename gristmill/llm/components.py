@@ -31,7 +31,7 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) to links (node, root) of the components of every million links of a task."""
+    """Links (a, b) to links (node, root) of the components of every quarter of a million links of a task."""
     held, rows = [], 0
 
     def flush():
@@ -43,7 +43,7 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
         rows += batch.num_rows
-        if rows >= 1 << 20:
+        if rows >= 1 << 18:
             yield flush()
             held, rows = [], 0
     if rows:

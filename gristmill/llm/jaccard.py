@@ -32,7 +32,7 @@ BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 8192
 FIRST_SETS = 256
 #: Sets of each band of a large tile that are compared with all others of the tile first.
 PIVOTS = 4
-_FLUSH_ROWS = 1 << 20
+_FLUSH_ROWS = 1 << 19
 
 
 @lru_cache(maxsize=None)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -112,7 +112,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def slices(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """A string array in parts of about so many bytes (one text at least), each with the number of its first row."""
     _, offsets = text_bytes(texts)
     a = 0
