@@ -10,7 +10,8 @@ through others: nothing outside a tile can link into it, and unrelated texts har
 Inside a tile, parity bitmaps of the hashed shingles bound the overlap from above: popcount(x xor y) of the bitmaps
 is at most the number of differing shingles. Pairs that pass are intersected exactly. The search spreads from
 one set over the sets not reached yet, so a tight group of n copies costs n comparisons, not n * n, and gives n - 1
-links; no pair list is ever made. A tile with many shingles or sets is cut into blocks, see :func:`_in_blocks`.
+links; no pair list is ever made. A tile with many shingles or sets is cut into blocks that are compared two by two in
+tasks of their own.
 """
 
 from __future__ import annotations
@@ -28,10 +29,6 @@ from . import components, scratch, words
 
 #: A task holds the sets of one tile: at most two blocks of so many shingles and sets (and one set more).
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 8192
-#: Tiles of over twice so many sets are first searched in blocks of so many.
-FIRST_SETS = 256
-#: Sets of each band of a large tile that are compared with all others of the tile first.
-PIVOTS = 4
 _FLUSH_ROWS = 1 << 19
 
 
@@ -264,55 +261,6 @@ def _searched(texts: DataFrame, percent: int, k: int) -> DataFrame:
     return texts.select("pair", "s1", "text").repartition("pair").sortWithinPartitions("pair").mapInArrow(_links_of_tiles(k, percent), "a long, b long")
 
 
-def _in_blocks(texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links of large tiles: ``texts`` has (tile, band, n_shingles, s1, text), written. Nothing is compared in a task but two blocks.
-
-    Small blocks are searched first, each with the pivots of its own band and the two beside it: work in proportion to the
-    tile. In a tight group that joins all but a few sets. The largest component of a tile is joined by then; the others' sets, the
-    rest, are compared with all sets of the tile. So every pair of sets is compared in a task or has both its sets in one
-    component. Blocks are the smaller the fewer are in the rest, so that this too is shared out; a tile of which much is left
-    and which two whole blocks can hold is one task.
-    """
-    sized = [F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("sets")]
-    blocks = lambda sets: F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("sets") / sets)).alias("blocks")
-    drawn = F.array_distinct(F.array(*(F.min_by("s1", F.xxhash64("s1", F.lit(i))) for i in range(PIVOTS))))
-    bands = scratch.write(texts.groupBy("tile", "band").agg(*sized, drawn.alias("pivots")), "bands")
-    near = F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1))))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-
-    groups = bands.select("tile", "band", blocks(F.lit(FIRST_SETS)))
-    dealt = texts.join(groups, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("s1"), "blocks"))
-    pivots = bands.select("tile", "band", F.explode("pivots").alias("s1")).join(texts.select("tile", "s1", "text"), ["tile", "s1"])
-    pivots = pivots.select("tile", near.alias("band"), "s1", "text").join(groups, ["tile", "band"]).select("tile", "band", numbers("blocks").alias("block"), "s1", "text")
-    own = F.xxhash64("tile", "band", "block").alias("pair")
-    first = scratch.write(_searched(dealt.select(own, "s1", "text").unionByName(pivots.select(own, "s1", "text")), percent, k), "links")
-
-    found = components.connected_components(first).select(F.col("node").alias("s1"), "component")
-    light = texts.select("tile", "band", "s1", "n_shingles").join(found, "s1", "left").withColumn("component", F.coalesce("component", "s1"))
-    by_component = scratch.write(light.groupBy("tile", "component").agg(F.count(F.lit(1)).alias("n")), "components")
-    largest = by_component.groupBy("tile").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("left_over"))
-    whole = bands.groupBy("tile").agg(F.sum("shingles").alias("tile_shingles"), F.sum("sets").alias("tile_sets"))
-    fits = (F.col("tile_shingles") <= 2 * BLOCK_SHINGLES) & (F.col("tile_sets") <= 2 * BLOCK_SETS)
-    tiles = largest.where("left_over > 0").join(whole, "tile").select("tile", "largest", "left_over", (fits & (4 * F.col("left_over") > F.col("tile_sets"))).alias("at_once"))
-    tiles = scratch.write(tiles, "tiles")
-    at_once = texts.join(tiles.where("at_once").select("tile"), "tile").select(F.col("tile").alias("pair"), "s1", "text")
-    tiles = tiles.where("not at_once")
-
-    rest = scratch.write(light.join(tiles, "tile").where("component <> largest").select("tile", "band", "s1", "n_shingles"), "rest")
-    cuts = rest.groupBy("tile", "band").agg(*sized).select("tile", F.col("band").alias("rest_band"), blocks(F.lit(BLOCK_SETS)))
-    cuts = scratch.write(cuts.withColumnRenamed("blocks", "rest_blocks"), "rest-blocks")
-    groups = bands.join(tiles, "tile").select("tile", "band", blocks(F.least(F.greatest("left_over", F.lit(FIRST_SETS)), F.lit(BLOCK_SETS))))
-    pair = F.xxhash64("tile", "rest_band", "rest_block", "band", "block").alias("pair")
-    # A block meets all blocks of the rest in bands that touch its own, and the other way round.
-    sides = texts.join(groups, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("s1"), "blocks"))
-    sides = sides.select("tile", "band", "block", "s1", "text", near.alias("rest_band")).join(cuts, ["tile", "rest_band"]).withColumn("rest_block", numbers("rest_blocks"))
-    rest = rest.join(texts.select("tile", "s1", "text"), ["tile", "s1"]).withColumn("rest_band", F.col("band")).join(cuts, ["tile", "rest_band"])
-    rest = rest.withColumn("rest_block", F.pmod(F.xxhash64("s1", F.lit(1)), "rest_blocks")).withColumn("band", near)
-    rest = rest.join(groups, ["tile", "band"]).withColumn("block", numbers("blocks"))
-    second = sides.select(pair, "s1", "text").unionByName(rest.select(pair, "s1", "text"))
-    return first.unionByName(_searched(at_once, percent, k)).unionByName(_searched(second, percent, k))
-
-
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row: which texts are joined by chains of links.
 
@@ -335,19 +283,29 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     classes = scratch.write(sets.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("id"), text_of), "classes")
     members = scratch.write(classes.join(tiles, "s1").select("s1", "tile", "n_shingles", "of.id", "of.h1", "of.h2"), "members")
     whole = members.groupBy("tile").agg(F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("sets"))
-    is_large = (F.col("shingles") > 2 * BLOCK_SHINGLES) | (F.col("sets") > 2 * FIRST_SETS)
+    is_large = (F.col("shingles") > 2 * BLOCK_SHINGLES) | (F.col("sets") > 2 * BLOCK_SETS)
     members = members.join(whole, "tile").select("s1", "tile", "n_shingles", "id", "h1", "h2", is_large.alias("large"))
-    named, unnamed = members.where("id is not null"), members.where("id is null").drop("id")
-    texts = rows.where("id is not null").join(named, ["id", "h1", "h2"]).drop("id", "h1", "h2")
+    # Large tiles are cut into blocks: two of a band, or of two bands that touch, are compared at a time.
+    bounds = F.array(*(F.lit(b) for b in _bounds(percent)))
+    large = members.where("large").withColumn("band", F.size(F.filter(bounds, lambda b: b <= F.col("n_shingles"))) - 1)
+    count = F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS))
+    blocks = large.groupBy("tile", "band").agg(count.alias("blocks"))
+    near = lambda by, name: blocks.select("tile", (F.col("band") + by).alias("band"), F.col("blocks").alias(name))
+    large = large.join(blocks, ["tile", "band"]).join(near(1, "below"), ["tile", "band"], "left").join(near(-1, "above"), ["tile", "band"], "left")
+    large = large.withColumn("block", F.pmod(F.xxhash64("s1"), "blocks"))
+    others = lambda n, make: F.transform(F.when(F.col(n).isNull(), F.array().cast("array<long>")).otherwise(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)), make)
+    pairs = F.concat(
+        others("blocks", lambda o: F.xxhash64("tile", "band", F.lit(0), F.least(o, "block"), F.greatest(o, "block"))),
+        others("below", lambda o: F.xxhash64("tile", F.col("band") - 1, F.lit(1), o, F.col("block"))),
+        others("above", lambda o: F.xxhash64("tile", "band", F.lit(1), F.col("block"), o)),
+    )
+    columns = ["s1", "id", "h1", "h2"]
+    wanted = members.where("not large").select(*columns, F.col("tile").alias("pair")).unionByName(large.select(*columns, F.explode(F.array_distinct(pairs)).alias("pair")))
+    texts = rows.where("id is not null").join(wanted.where("id is not null"), ["id", "h1", "h2"]).select("pair", "s1", "text")
     # Copies with a null id are one row before they meet.
     nameless = rows.where("id is null").groupBy("h1", "h2").agg(F.min("text").alias("text"))
-    texts = texts.unionByName(nameless.join(unnamed, ["h1", "h2"]).drop("h1", "h2"))
-    texts = scratch.write(texts, "tile-texts")
-    links = _searched(texts.where("not large").withColumn("pair", F.col("tile")), percent, k)
-    if texts.where("large").limit(1).count():
-        bounds = F.array(*(F.lit(b) for b in _bounds(percent)))
-        band = (F.size(F.filter(bounds, lambda b: b <= F.col("n_shingles"))) - 1).alias("band")
-        links = links.unionByName(_in_blocks(texts.where("large").select("tile", band, "n_shingles", "s1", "text"), percent, k))
+    texts = texts.unionByName(nameless.join(wanted.where("id is null").drop("id"), ["h1", "h2"]).select("pair", "s1", "text"))
+    links = _searched(texts, percent, k)
     joined = components.connected_components(links).select(F.col("node").alias("s1"), "component")
 
     named = classes.join(joined, "s1", "left").withColumn("component", F.coalesce("component", "s1"))

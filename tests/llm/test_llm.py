@@ -124,8 +124,6 @@ def test_jaccard_in_blocks(spark, docs, monkeypatch, tight, blocks):
     """Tight groups, and long chains of sets that link with their neighbours only, in tiles of many blocks."""
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 600 if blocks < 500 else 1 << 21)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", blocks)
-    monkeypatch.setattr(jaccard, "FIRST_SETS", 3)
-    monkeypatch.setattr(jaccard, "PIVOTS", 2)
     rng = random.Random(5)
     base, rows = prose(rng, 80).split(), []
     for i in range(40):
