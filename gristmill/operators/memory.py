@@ -1,19 +1,13 @@
-"""Nearest rows, summaries of past ones, and lexical retrieval."""
+"""What describes a table, and summaries of past runs."""
 
 from __future__ import annotations
 
-import bisect
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_tokens
-
 #: The weight of each meta-feature.
 WEIGHTS = {
     "log_rows": 0.6, "log_cols": 0.6, "frac_numeric": 1.0, "frac_categorical": 1.0, "frac_text": 1.5,
@@ -54,88 +48,6 @@ def fingerprint(profile: DataFrame) -> DataFrame:
     return profile.agg(F.substring(F.sha1(text), 1, 16).alias("fingerprint"))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
-#: Bytes of queries that are compared with all rows in one pass, and rows that are compared at a time.
-QUERY_BYTES, ROWS_AT_ONCE = 16 << 20, 1024
-
-
-class _Best:
-    """The k nearest rows seen so far of each query; of each group only its nearest, if there are groups."""
-
-    def __init__(self, names: np.ndarray, vectors: np.ndarray, k: int, grouped: bool):
-        self.names, self.vectors, self.k, self.grouped = names, vectors, k, grouped
-        self.squares = (vectors * vectors).sum(1)
-        self.kept: list[list[tuple]] = [[] for _ in names]
-        self.limit = np.full(len(names), np.inf)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray, extra: list) -> None:
-        squares = (vectors * vectors).sum(1)
-        rough = self.squares[:, None] + squares - 2 * (self.vectors @ vectors.T)
-        slack = 1e-9 * (self.squares[:, None] + squares)  # rounding of the product; the distances kept are exact ones
-        for q in np.flatnonzero((rough - slack <= self.limit[:, None]).any(axis=1)):
-            near = np.flatnonzero((rough[q] - slack[q] <= self.limit[q]) & (ids != self.names[q]))
-            exact = ((vectors[near] - self.vectors[q]) ** 2).sum(1)
-            rows = sorted([*self.kept[q], *((float(d), int(ids[i]), extra[i]) for d, i in zip(exact, near, strict=True))], key=lambda r: r[:2])
-            if self.grouped:
-                first: dict = {}
-                for r in rows:
-                    first.setdefault(r[2], r)
-                rows = list(first.values())
-            self.kept[q] = rows[: self.k]
-            if len(self.kept[q]) == self.k:
-                self.limit[q] = self.kept[q][-1][0]
-
-
-def nearest(queries: DataFrame, rows: DataFrame, k: int, group: str | None = None, carry: str | None = None) -> DataFrame:
-    """(query, id, dist, rank): the k nearest rows (id, vec) of each query (query, vec); with ``group`` the nearest of each group
-    only. The group, or else the column ``carry``, is returned too.
-
-    Queries are compared with all rows in blocks of QUERY_BYTES, each of which is broadcast by itself; every task keeps its best k
-    of each query before the exchange. Rows or queries without a vector are left out; a query's own id is no neighbour.
-    """
-    spark, extra = rows.sparkSession, group or carry
-    queries = queries.where("query is not null and vec is not null").select("query", "vec")
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    blocks = max(1, -(-size.n * (size.dim or 0) * 8 // QUERY_BYTES))
-    kind = rows.schema[extra].dataType.simpleString() if extra else "boolean"
-    schema = f"query long, id long, extra {kind}, dist double"
-    source = rows.where("id is not null and vec is not null").select(F.col("id").cast("long"), F.col("vec").cast("array<double>"), (F.col(extra) if extra else F.lit(None).cast("boolean")).alias("extra"))
-
-    def compared(shared):
-        def run(batches):
-            best = None
-            for batch in batches:
-                names, vectors = shared.value
-                best = best or _Best(names, vectors, k, bool(group))
-                found = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, vectors.shape[1]))
-                ids, more = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-                for a in range(0, len(ids), ROWS_AT_ONCE):
-                    best.add(ids[a : a + ROWS_AT_ONCE], found[a : a + ROWS_AT_ONCE], more[a : a + ROWS_AT_ONCE])
-            out = [(int(name), i, x, math.sqrt(d)) for name, kept in zip(best.names, best.kept, strict=True) for d, i, x in kept] if best else []
-            if out:
-                q, i, x, d = zip(*out, strict=True)
-                extra_type = batch.schema.field(2).type
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(x, extra_type), pa.array(d, pa.float64())], ["query", "id", "extra", "dist"])
-
-        return run
-
-    out = spark.createDataFrame([], schema)
-    for block in range(blocks if size.n else 0):
-        own = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select(F.col("query").cast("long"), F.col("vec").cast("array<double>")).toArrow()  # about QUERY_BYTES
-        if own.num_rows:
-            shared = spark.sparkContext.broadcast((own.column(0).to_numpy(), np.stack(own.column(1).to_numpy())))
-            out = out.unionByName(source.mapInArrow(compared(shared), schema))
-    if group:
-        first = F.row_number().over(Window.partitionBy("query", "extra").orderBy("dist", "id"))
-        out = out.withColumn("_r", first).where("_r = 1").drop("_r")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "id"))
-    out = out.withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.withColumnRenamed("extra", extra) if extra else out.drop("extra")
-
-
 def run_summary(rows: DataFrame, key: str, name: str, score: str, k: int = 5) -> DataFrame:
     """Of each key: its k best names by score as one text, and the names that have no score."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(score), name))
@@ -145,75 +57,13 @@ def run_summary(rows: DataFrame, key: str, name: str, score: str, k: int = 5) ->
     return ranked.groupBy(key).agg(F.array_join(F.transform(best, lambda x: x["name"]), ", ").alias("best"), F.array_join(failed, ", ").alias("failed"))
 
 
-class _TopPassages:
-    """The k passages of the highest scores seen so far of each query; of equal scores the smaller ids."""
-
-    def __init__(self, queries: dict[int, list[str]], k: int):
-        self.names, self.k = list(queries), k
-        postings: dict[str, list[int]] = {}
-        for q, own in enumerate(queries.values()):
-            for word in own:
-                postings.setdefault(word, []).append(q)
-        self.postings = {word: np.array(qs) for word, qs in postings.items()}
-        self.kept: list[list[tuple[int, int]]] = [[] for _ in self.names]
-        self.least = np.zeros(len(self.names), np.int64)  # a score must reach it, and be over 0
-
-    def add(self, passage: int, own_words: list[str], own_tags: list[str]) -> None:
-        found = [self.postings[w] for w in own_words if w in self.postings]
-        found += [self.postings[t] for t in own_tags if t in self.postings for _ in range(2)]
-        if not found:
-            return
-        scores = np.bincount(np.concatenate(found), minlength=len(self.names))
-        for q in np.flatnonzero((scores >= self.least) & (scores > 0)):
-            kept = self.kept[q]
-            bisect.insort(kept, (-int(scores[q]), passage))
-            if len(kept) >= self.k:
-                del kept[self.k :]
-                self.least[q] = -kept[-1][0]
-
-
-def overlaps(queries: DataFrame, passages: DataFrame, k: int, tags: DataFrame | None = None) -> DataFrame:
-    """(query, passage, score, rank): the k passages with the most distinct words of each query, and two for each shared tag.
-
-    Tables have (query, text) and (passage, text), each id once; ``tags`` has (passage, tag). Queries go through the passages in
-    blocks of QUERY_BYTES of text, each of which is broadcast by itself as an inverted index; every task keeps its best k of each
-    query, so pairs of a query and a passage are never written out. Passages that share nothing are not returned.
-    """
-    spark = queries.sparkSession
-    asked = queries.where("query is not null and text is not null").select(F.col("query").cast("long"), F.array_distinct(word_tokens(F.col("text"))).alias("words"))
-    own = passages.where("passage is not null").select(F.col("passage").cast("long"), F.coalesce(F.array_distinct(word_tokens(F.col("text"))), F.array().cast("array<string>")).alias("words"))
-    if tags is None:
-        own = own.withColumn("tags", F.array().cast("array<string>"))
-    else:
-        listed = tags.where("tag is not null").groupBy(F.col("passage").cast("long").alias("passage")).agg(F.collect_list("tag").alias("tags"))
-        own = own.join(listed, "passage", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
-    blocks = max(1, -(-(queries.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // QUERY_BYTES))
-    schema = "query long, passage long, score long"
-
-    def searched(shared):
-        def run(batches):
-            top = _TopPassages(shared.value, k)
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    top.add(*row)
-            out = [(name, passage, -score) for name, kept in zip(top.names, top.kept, strict=True) for score, passage in kept]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query", "passage", "score"])
-
-        return run
-
-    out = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        found = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).collect()  # about QUERY_BYTES
-        if found:
-            out = out.unionByName(own.mapInArrow(searched(spark.sparkContext.broadcast({r.query: r.words for r in found})), schema))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "passage"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def retrieve_all(retrievers: Sequence, queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
-    """Any retrievers (queries, passages, k) -> (query, passage, score, rank), the earlier ones' answers winning."""
-    frames = [f(queries, passages, k).withColumn("_priority", F.lit(i)) for i, f in enumerate(retrievers)]
-    rows = reduce(DataFrame.unionByName, frames)
-    first = F.row_number().over(Window.partitionBy("query", "passage").orderBy("_priority"))
-    return rows.withColumn("_first", first).where("_first = 1").drop("_first", "_priority")
+def best_experience(rows: DataFrame, key: str, name: str, score: str, tie: str) -> DataFrame:
+    """Of each key: the name of its best score, the later ``tie`` first among equal ones, and how many rows it has."""
+    return rows.groupBy(key).agg(F.max_by(name, F.struct(score, tie)).alias("best"), F.count(F.lit(1)).alias("n"))
+
+
+def recent_fixes(rows: DataFrame, key: str, time: str, is_fix: Column, k: int, carry: str, but: int | None = None) -> DataFrame:
+    """(key, carry) of the rows that are fixes, for the k keys seen last; ``but`` is a key left out."""
+    others = rows if but is None else rows.where(F.col(key) != but)
+    last = others.groupBy(key).agg(F.max(time).alias("_last")).orderBy(F.desc("_last"), key).limit(k)
+    return rows.where(is_fix).join(F.broadcast(last.select(key)), key, "left_semi").select(key, carry)  # k rows

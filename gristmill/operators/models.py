@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .memory import nearest
+from .neighbours import nearest
 
 #: The most training rows a family is tried on in a search; none where it takes any.
 ROW_LIMITS = {"knn": 100_000}
@@ -74,7 +74,7 @@ def predictions(model: PipelineModel, df: DataFrame, labels: Sequence[str] = ())
 def knn(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, label, votes): the most frequent label of the k nearest; ``train`` has (id, vec, label), ``queries`` (query, vec).
 
-    Of labels with equal votes the smallest is taken. Tables of any size do: see :func:`.memory.nearest`.
+    Of labels with equal votes the smallest is taken. Tables of any size do: see :func:`.neighbours.nearest`.
     """
     near = nearest(queries, train, k, carry="label")
     votes = near.groupBy("query", "label").agg(F.count(F.lit(1)).alias("votes"))

@@ -13,7 +13,9 @@ from ..operators import forecast as T
 from ..operators import halving as H
 from ..operators import memory as Y
 from ..operators import metrics as M
+from ..operators import neighbours as N
 from ..operators import profile as P
+from ..operators import retrieval as R
 from ..operators import runlog as L
 from ..operators import split as S
 from .registry import query, table
@@ -454,19 +456,19 @@ def _vectors(spark, sf_dir):
 @query(f"{_NEAR}, g AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query, label ORDER BY dist, id) = 1) SELECT query, id, round(dist, 6) AS dist FROM g QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, id) <= 5")
 def mem4_nearest(spark, sf_dir):
     rows, queries = _vectors(spark, sf_dir)
-    return Y.nearest(queries, rows, 5, "label").select("query", "id", F.round("dist", 6).alias("dist"))
+    return N.nearest(queries, rows, 5, "label").select("query", "id", F.round("dist", 6).alias("dist"))
 
 
 @query(f"{_NEAR} SELECT query, id, round(dist, 6) AS dist FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, id) <= 3")
 def join7_query_by_memory(spark, sf_dir):
     rows, queries = _vectors(spark, sf_dir)
-    return Y.nearest(queries, rows, 3).select("query", "id", F.round("dist", 6).alias("dist"))
+    return N.nearest(queries, rows, 3).select("query", "id", F.round("dist", 6).alias("dist"))
 
 
 @query(f"{_NEAR} SELECT query, id FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, id) <= 10")
 def top2_top_k(spark, sf_dir):
     rows, queries = _vectors(spark, sf_dir)
-    return Y.nearest(queries, rows, 10).select("query", "id")
+    return N.nearest(queries, rows, 10).select("query", "id")
 
 
 @query(f"{_NEAR}, k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY dist, id) <= 5), v AS (SELECT query, label, count(*) AS n FROM k GROUP BY ALL) SELECT query, label FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1")
@@ -485,15 +487,12 @@ def mem5_run_summary(spark, sf_dir):
 
 @query("SELECT user_id, arg_max(event_type, (value, event_id)) AS best, count(*) AS n FROM events GROUP BY user_id")
 def mem6_experience_row(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("value", "event_id")).alias("best"), F.count(F.lit(1)).alias("n"))
+    return Y.best_experience(table(spark, sf_dir, "events"), "user_id", "event_type", "value", "event_id")
 
 
 @query("WITH u AS (SELECT user_id, max(ts) AS t FROM events WHERE user_id <> 7 GROUP BY 1 ORDER BY t DESC, user_id LIMIT 50) SELECT user_id, event_id FROM events JOIN u USING (user_id) WHERE event_type = 'error'")
 def mem7_recent_fixes(spark, sf_dir):
-    df = table(spark, sf_dir, "events")
-    recent = df.where("user_id <> 7").groupBy("user_id").agg(F.max("ts").alias("t")).orderBy(F.desc("t"), "user_id").limit(50)
-    fixes = df.where("event_type = 'error'").groupBy("user_id").agg(F.collect_list("event_id").alias("fixes"))
-    return recent.join(fixes, "user_id").select("user_id", F.explode("fixes").alias("event_id"))
+    return Y.recent_fixes(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "error", 50, "event_id", but=7)
 
 
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
@@ -509,19 +508,19 @@ def _lexical(spark, sf_dir):
 def mem8_lexical_retrieval(spark, sf_dir):
     queries, passages = _lexical(spark, sf_dir)
     tags = passages.select("passage", F.col("lang").alias("tag"))
-    return Y.overlaps(queries, passages, 5, tags).select("query", "passage", "score")
+    return R.overlaps(queries, passages, 5, tags).select("query", "passage", "score")
 
 
 @query(f"{_OVERLAP} SELECT query, passage FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, passage) <= 3")
 def top3_top_passages(spark, sf_dir):
     queries, passages = _lexical(spark, sf_dir)
-    return Y.overlaps(queries, passages, 3).select("query", "passage")
+    return R.overlaps(queries, passages, 3).select("query", "passage")
 
 
 @query(f"{_OVERLAP} SELECT query, passage FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, passage) <= 3")
 def udf1_pluggable_retriever(spark, sf_dir):
     queries, passages = _lexical(spark, sf_dir)
-    return Y.retrieve_all([Y.overlaps, lambda q, p, k: Y.overlaps(q, p, 1)], queries, passages, 3).select("query", "passage")
+    return R.retrieve_all([R.overlaps, lambda q, p, k: R.overlaps(q, p, 1)], queries, passages, 3).select("query", "passage")
 
 
 @query(f"WITH {_WEEKLY} SELECT sid, count(*) FILTER (origin >= 0) AS n FROM q GROUP BY sid")

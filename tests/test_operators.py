@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import uniform
-from gristmill.operators import audit, evaluation, forecast, halving, memory, metrics, profile, relational, scoring, split
+from gristmill.operators import audit, evaluation, forecast, halving, memory, metrics, neighbours, profile, relational, retrieval, scoring, split
 from gristmill.operators.ranks import quantiles, ranked, with_row_id
 from gristmill.sources import tables
 from gristmill.sources.shared import new_path, persisted
@@ -176,7 +176,7 @@ def test_small_relational(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (2.0,)], "x double")
     assert [r.x for r in df.select(relational.finite(F.col("x")).alias("x")).collect()] == [0.0, 0.0, None, 2.0]
     assert memory.fingerprint(profile.column_profile(spark.range(3))).first() == memory.fingerprint(profile.column_profile(spark.range(3))).first()
-    assert math.isclose(spark.range(1).select(memory.squared_distance(F.array(F.lit(1.0)), F.array(F.lit(3.0)))).first()[0], 4.0)
+    assert math.isclose(spark.range(1).select(neighbours.squared_distance(F.array(F.lit(1.0)), F.array(F.lit(3.0)))).first()[0], 4.0)
 
 
 def test_entry_and_registry(spark):
@@ -265,34 +265,66 @@ def test_quantiles_by_narrowing(spark, monkeypatch):
     assert quantiles(df.where("v is null"), "v", (0.5,)) == [None]
 
 
-def test_nearest_in_blocks(spark, monkeypatch):
-    """Against all pairs: ties, equal vectors, groups, and queries in several blocks."""
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_nearest_in_blocks(spark, monkeypatch, most):
+    """Against all pairs: ties, equal vectors, groups, and in one pass and in tiles of cells."""
     import numpy as np
 
-    monkeypatch.setattr(memory, "QUERY_BYTES", 200)
-    monkeypatch.setattr(memory, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", most)
+    monkeypatch.setattr(neighbours, "TILE", 9)
+    monkeypatch.setattr(neighbours, "ROWS_AT_ONCE", 7)
     rng = np.random.default_rng(2)
     vectors = rng.integers(0, 3, (60, 4)).astype(float)
     vectors[40:50] = vectors[3]
     rows = spark.createDataFrame([(i, [float(x) for x in v], int(i % 4)) for i, v in enumerate(vectors)] + [(None, [0.0] * 4, 1), (99, None, 1)], "id long, vec array<float>, label int")
     queries = rows.where("id % 5 = 0 or id is null").selectExpr("id as query", "vec")
     order = lambda q: sorted((float(((v - vectors[q]) ** 2).sum()), i) for i, v in enumerate(vectors) if i != q)
-    got = {(r.query, r["rank"]): (r.id, r.dist) for r in memory.nearest(queries, rows, 6).collect()}
+    got = {(r.query, r["rank"]): (r.id, r.dist) for r in neighbours.nearest(queries, rows, 6).collect()}
     assert got == {(q, k + 1): (i, math.sqrt(d)) for q in range(0, 60, 5) for k, (d, i) in enumerate(order(q)[:6])}
-    got = {(r.query, r["rank"]): r.id for r in memory.nearest(queries, rows, 3, "label").collect()}
+    got = {(r.query, r["rank"]): r.id for r in neighbours.nearest(queries, rows, 3, "label").collect()}
     for q in range(0, 60, 5):
         first = {}
         for _, i in order(q):
             first.setdefault(i % 4, i)
         assert [got[q, k] for k in (1, 2, 3)] == list(first.values())[:3]
-    assert memory.nearest(queries.where("false"), rows, 3).count() == 0 and memory.nearest(queries, rows.where("false"), 3).count() == 0
+    assert neighbours.nearest(queries.where("false"), rows, 3).count() == 0 and neighbours.nearest(queries, rows.where("false"), 3).count() == 0
 
 
-def test_lexical_search_in_blocks(spark, monkeypatch):
-    """Against all pairs, with queries in several blocks, ties, tags, nulls and empty texts."""
+@pytest.mark.parametrize("group", [None, "label"])
+def test_routing_computes_few_distances(spark, monkeypatch, group):
+    """Clustered rows, a third of them one point: exact, and under a fifth of all distances."""
+    import numpy as np
+
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 0)
+    monkeypatch.setattr(neighbours, "TILE", 200)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(40, 6))[rng.integers(0, 40, 1500)] * 10 + rng.normal(size=(1500, 6)) * 0.1
+    vectors = np.concatenate([vectors, np.tile(vectors[:1], (700, 1))])
+    labels = rng.integers(0, 3, len(vectors))
+    rows = spark.createDataFrame([(i, [float(x) for x in v], int(labels[i])) for i, v in enumerate(vectors)], "id long, vec array<double>, label int")
+    queries = rows.where("id % 7 = 0").selectExpr("id as query", "vec")
+    work = spark.sparkContext.accumulator(0)
+    got = {(r.query, r["rank"]): (r.id, round(r.dist, 9)) for r in neighbours.nearest(queries, rows, 3, group, work=work).collect()}
+    for q in range(0, len(vectors), 7):
+        order = sorted((math.sqrt(((v - vectors[q]) ** 2).sum()), i) for i, v in enumerate(vectors) if i != q)
+        if group:
+            first = {}
+            for d, i in order:
+                first.setdefault(labels[i], (d, i))
+            order = list(first.values())
+        assert [got[q, k] for k in (1, 2, 3)] == [(i, round(d, 9)) for d, i in order[:3]]
+    share = work.value / (queries.count() * rows.count())
+    assert 0 < share < (0.2 if group is None else 0.5)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_lexical_search(spark, monkeypatch, most):
+    """Against all pairs, by the index and in one pass: ties, tags, nulls and empty texts."""
     import random
 
-    monkeypatch.setattr(memory, "QUERY_BYTES", 60)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", most)
+    monkeypatch.setattr(retrieval, "BLOCK_PASSAGES", 5)
+    monkeypatch.setattr(retrieval, "PROBES", 1)
     rng = random.Random(7)
     text = lambda n: " ".join(rng.choice("abcdefghij") * 2 for _ in range(n))
     queries = [(i, text(rng.randint(1, 6))) for i in range(12)] + [(50, ""), (51, None)]
@@ -300,10 +332,35 @@ def test_lexical_search_in_blocks(spark, monkeypatch):
     q = spark.createDataFrame(queries, "query long, text string")
     p = spark.createDataFrame(passages, "passage long, text string, tag string").repartition(3)
     for tags in (None, p.select("passage", "tag")):
-        got = {(r.query, r["rank"]): (r.passage, r.score) for r in memory.overlaps(q, p.drop("tag"), 4, tags).collect()}
+        got = {(r.query, r["rank"]): (r.passage, r.score) for r in retrieval.overlaps(q, p.drop("tag"), 4, tags).collect()}
         want = {}
         for i, t in queries:
             asked = set((t or "").split())
             scored = sorted((-len(asked & set((x or "").split())) - (2 if tags is not None and tag in asked else 0), n) for n, x, tag in passages)
             want |= {(i, k + 1): (n, -s) for k, (s, n) in enumerate([x for x in scored if x[0] < 0][:4])}
         assert got == want
+
+
+def test_thresholds_prune(spark, monkeypatch):
+    """Most passages share only common words with a query: few are scored, by the index and in the pass, and the answers are whole."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    common, rare = [f"c{i}" for i in range(20)], [f"r{i}" for i in range(3000)]
+    passages = [(i, " ".join([*rng.sample(common, 6), *rng.sample(rare, 8)])) for i in range(3000)]
+    queries = [(i, " ".join(passages[7 * i][1].split()[:12])) for i in range(40)]
+    q, p = spark.createDataFrame(queries, "query long, text string"), spark.createDataFrame(passages, "passage long, text string").repartition(4)
+    asked, index = retrieval._asked(q), retrieval.lexical_index(p)
+    assert retrieval.candidates(asked, index, 1).count() < 0.01 * len(queries) * len(passages)
+    words = {i: set(t.split()) for i, t in passages}
+    want = {(i, k + 1): (n, -s) for i, t in queries for k, (s, n) in enumerate(sorted((-len(set(t.split()) & w), n) for n, w in words.items())[:2])}
+    assert {(r.query, r["rank"]): (r.passage, r.score) for r in retrieval.search(index, q, 2).collect()} == want
+    own = retrieval._Asked(np.array([0]), __import__("pyarrow").array([["a", "b", "x"]]))
+    top = retrieval._TopPassages(own, 1)
+    terms = {w: i for i, w in enumerate(own.vocabulary.to_pylist())}
+    for n, block in enumerate([["a", "b"], ["a"], ["x"], ["a", "b", "x"]]):
+        top.add(np.array([n]), np.zeros(len(block), int), np.array([terms[w] for w in block]), np.ones(len(block), int))
+        top.settle() if top.fresh else None
+    assert top.scored == 2 and top.kept[1].tolist() == [3]
