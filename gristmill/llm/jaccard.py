@@ -10,8 +10,12 @@ through others: nothing outside a tile can link into it, and unrelated texts har
 Inside a tile, parity bitmaps of the hashed shingles bound the overlap from above: popcount(x xor y) of the bitmaps
 is at most the number of differing shingles. Pairs that pass are intersected exactly. The search spreads from
 one set over the sets not reached yet, so a tight group of n copies costs n comparisons, not n * n, and gives n - 1
-links; no pair list is ever made. A tile with many shingles or sets is cut into blocks that are compared two by two in
-tasks of their own.
+links; no pair list is ever made.
+
+A tile with many shingles or sets is cut. Its sets are dealt, each to one block, by their smallest hash, so that close ones mostly
+meet; blocks are searched as small tiles are, and give components. Links between blocks can only matter between two of these
+components. So bitmaps alone, a fiftieth of a text, are compared block by block with each other, and only sets whose bound reaches
+one of another component are looked at again, with their texts, two blocks at a time.
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components, scratch, words
 
 #: A task holds the sets of one tile: at most two blocks of so many shingles and sets (and one set more).
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 8192
+#: A task that compares bitmaps holds at most two blocks of so many bytes and sets.
+BLOCK_BYTES, BLOCK_MAPS = 1 << 23, 1 << 16
 _FLUSH_ROWS = 1 << 19
 
 
@@ -96,13 +102,13 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _with_sets(k: int):
-    """Rows (id, h1, h2, text) to (id, h1, h2, n_shingles, s1, s2)."""
+    """Rows (id, h1, h2, text) to (id, h1, h2, n_shingles, s1, s2, low), the smallest shingle hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), *set_hashes(s)) for s in words.shingle_sets(batch.column(3), k)]
-            n, s1, s2 = zip(*sets, strict=True) if sets else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["id", "h1", "h2", "n_shingles", "s1", "s2"])
+            sets = [(len(s), *set_hashes(s), int(s[:1].view(np.int64)[0]) if len(s) else 0) for s in words.shingle_sets(batch.column(3), k)]
+            made = [pa.array(x, pa.int64()) for x in (zip(*sets, strict=True) if sets else [()] * 4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["id", "h1", "h2", "n_shingles", "s1", "s2", "low"])
 
     return run
 
@@ -182,12 +188,57 @@ def bitmap(s: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).view(np.uint64)
 
 
+def width_of(size: int) -> int:
+    """Bits of the bitmap of a set of this size."""
+    return min(1 << 15, max(64, 1 << int(size - 1).bit_length()))
+
+
+def folded(maps: np.ndarray, words_wide: int) -> np.ndarray:
+    """Bitmaps of the same sets in fewer bits: the halves' parities add up."""
+    while maps.shape[1] > words_wide:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def boundary(sizes: np.ndarray, groups: np.ndarray, maps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Numbers of the sets whose bitmaps allow a link with a set of another group. Bitmaps are as wide as their sets' sizes ask for."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, groups, maps = sizes[order], groups[order], [maps[i] for i in order]
+    wide = np.array([len(m) for m in maps])
+    runs = [(lo, hi) for lo, hi in zip(*(np.searchsorted(wide, np.unique(wide), side) for side in ("left", "right")))]
+    stacks = [np.stack(maps[lo:hi]) for lo, hi in runs]
+    narrow: dict[tuple[int, int], np.ndarray] = {}
+    found = np.zeros(len(sizes), bool)
+    for own, (lo_x, hi_x) in enumerate(runs):
+        w = stacks[own].shape[1]
+        for x in range(lo_x, hi_x):
+            n = int(sizes[x])
+            last = int(np.searchsorted(sizes, n * 100 // percent, "right"))
+            for other in range(own, len(runs)):
+                lo, hi = max(runs[other][0], x + 1), min(runs[other][1], last)
+                if lo >= hi:
+                    break
+                among = np.flatnonzero(groups[lo:hi] != groups[x]) + lo
+                if not len(among):
+                    continue
+                if (other, w) not in narrow:
+                    narrow[other, w] = folded(stacks[other], w)
+                differ = np.bitwise_count(narrow[other, w][among - runs[other][0]] ^ stacks[own][x - lo_x]).sum(axis=1, dtype=np.int64)
+                both = sizes[among] + n
+                overlap = (both - differ) // 2  # at most
+                near = among[100 * overlap >= percent * (both - overlap)]
+                if len(near):
+                    found[near] = found[x] = True
+    return order[found]
+
+
 def tile_links(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join the sets of a tile just as all its pairs of similarity >= percent / 100 would."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sets, names = [sets[i] for i in order], [int(names[i]) for i in order]
     sizes = np.array([len(s) for s in sets])
-    widths = np.array([min(1 << 15, max(64, 1 << int(n - 1).bit_length())) for n in sizes])
+    widths = np.array([width_of(int(n)) for n in sizes])
     runs = []  # sizes rise, so sets of one bitmap width are neighbours
     for width in np.unique(widths):
         lo, hi = np.searchsorted(widths, width), np.searchsorted(widths, width, "right")
@@ -223,21 +274,22 @@ def tile_links(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     return links
 
 
-def _links_of_tiles(k: int, percent: int):
-    """Rows (tile, node, text), sorted by tile, to links (a, b)."""
+def _links_of_tiles(k: int, percent: int, maps: bool = False):
+    """Rows (tile, node, text), sorted by tile, to links (a, b, null), and with ``maps`` to (node, null, bitmap) too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, found, out = None, {}, []
+        tile, found, out, drawn, held = None, {}, [], [], 0
 
         def close():
             if len(found) > 1:
-                out.extend(tile_links(np.array(list(found), np.int64), list(found.values()), percent))
+                out.extend((a, b, None) for a, b in tile_links(np.array(list(found), np.int64), list(found.values()), percent))
             found.clear()
 
         def flush() -> pa.RecordBatch:
-            a, b = zip(*out, strict=True)
+            a, b, c = zip(*out, *drawn, strict=True)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            drawn.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], ["a", "b", "map"])
 
         for batch in batches:
             tiles, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -247,18 +299,73 @@ def _links_of_tiles(k: int, percent: int):
                     tile = own
                 if name not in found:
                     found[name] = s
-            if len(out) >= 1 << 16:
+                    if maps:
+                        drawn.append((name, None, bitmap(s, width_of(len(s))).tobytes()))
+                        held += len(drawn[-1][2])
+            if len(out) + len(drawn) >= 1 << 16 or held >= 1 << 24:
                 yield flush()
+                held = 0
         close()
-        if out:
+        if out or drawn:
             yield flush()
 
     return run
 
 
-def _searched(texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links (a, b) among the sets of each group of (pair, s1, text)."""
-    return texts.select("pair", "s1", "text").repartition("pair").sortWithinPartitions("pair").mapInArrow(_links_of_tiles(k, percent), "a long, b long")
+def _boundaries(percent: int):
+    """Rows (pair, node, n_shingles, group, map), sorted by pair, to the nodes that may link with one of another group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, rows = None, []
+
+        def close() -> pa.RecordBatch:
+            names, sizes, groups = (np.array(x, np.int64) for x in zip(*(r[:3] for r in rows), strict=True))
+            at = boundary(sizes, groups, [np.frombuffer(r[3], np.uint64) for r in rows], percent)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names[at])], ["s1"])
+
+        for batch in batches:
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != pair and rows:
+                    yield close()
+                pair = own
+                rows.append(row)
+        if rows:
+            yield close()
+
+    return run
+
+
+def _searched(texts: DataFrame, percent: int, k: int, maps: bool = False) -> DataFrame:
+    """Links (a, b) among the sets of each group of (pair, s1, text); with ``maps`` (s1, null, map) rows too."""
+    return texts.select("pair", "s1", "text").repartition("pair").sortWithinPartitions("pair").mapInArrow(_links_of_tiles(k, percent, maps), "a long, b long, map binary")
+
+
+def _paired(rows: DataFrame, percent: int, weight: Column, most: int, most_rows: int) -> DataFrame:
+    """Rows (tile, n_shingles, s1, ...) with ``pair``, once for each two blocks that a row's block is one of. Blocks hold rows of one tile and
+    band, and are paired with those of the same band and the next."""
+    bounds = F.array(*(F.lit(b) for b in _bounds(percent)))
+    rows = rows.withColumn("band", F.size(F.filter(bounds, lambda b: b <= F.col("n_shingles"))) - 1)
+    blocks = rows.groupBy("tile", "band").agg(F.ceil(F.greatest(F.sum(weight) / most, F.count(F.lit(1)) / most_rows)).alias("blocks"))
+    near = lambda by, name: blocks.select("tile", (F.col("band") + by).alias("band"), F.col("blocks").alias(name))
+    rows = rows.join(blocks, ["tile", "band"]).join(near(1, "below"), ["tile", "band"], "left").join(near(-1, "above"), ["tile", "band"], "left")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("s1"), "blocks"))
+    others = lambda n, make: F.transform(F.when(F.col(n).isNull(), F.array().cast("array<long>")).otherwise(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)), make)
+    pairs = F.concat(
+        others("blocks", lambda o: F.xxhash64("tile", "band", F.lit(0), F.least(o, "block"), F.greatest(o, "block"))),
+        others("below", lambda o: F.xxhash64("tile", F.col("band") - 1, F.lit(1), o, F.col("block"))),
+        others("above", lambda o: F.xxhash64("tile", "band", F.lit(1), F.col("block"), o)),
+    )
+    return rows.withColumn("pair", F.explode(F.array_distinct(pairs)))
+
+
+def _blocked(large: DataFrame) -> DataFrame:
+    """Rows (tile, s1, low, n_shingles, ...) with ``pair``: one block for each row, close rows together."""
+    full = lambda: F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS))
+    rows = large.join(large.groupBy("tile").agg(full().alias("blocks")), "tile").withColumn("block", F.pmod(F.xxhash64("low"), "blocks"))
+    # Sets of one smallest hash that are too many for a block are cut by themselves.
+    rows = rows.join(rows.groupBy("tile", "block").agg(full().alias("cuts")), ["tile", "block"])
+    return rows.withColumn("pair", F.xxhash64("tile", "block", F.pmod(F.xxhash64(F.lit(2), "s1"), "cuts")))
 
 
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,39 +380,39 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     """
     rows = docs.select(scratch.column(docs, id_col).cast("long").alias("id"), scratch.column(docs, text_col).cast("string").alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    sets = scratch.write(rows.mapInArrow(_with_sets(k), "id long, h1 long, h2 long, n_shingles long, s1 long, s2 long"), "sets")
+    sets = scratch.write(rows.mapInArrow(_with_sets(k), "id long, h1 long, h2 long, n_shingles long, s1 long, s2 long, low long"), "sets")
 
     keys = rows.select("text").mapInArrow(_with_keys(k, percent), "key long, node long, hub long")
     met = keys.repartition("key").mapInArrow(_meet, "a long, b long")
     tiles = components.connected_components(met).select(F.col("node").alias("s1"), F.col("component").alias("tile"))
 
     text_of = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("of")  # one row for each set
-    classes = scratch.write(sets.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("id"), text_of), "classes")
-    members = scratch.write(classes.join(tiles, "s1").select("s1", "tile", "n_shingles", "of.id", "of.h1", "of.h2"), "members")
+    classes = scratch.write(sets.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("id"), F.min("low").alias("low"), text_of), "classes")
+    members = scratch.write(classes.join(tiles, "s1").select("s1", "tile", "n_shingles", "low", "of.id", "of.h1", "of.h2"), "members")
     whole = members.groupBy("tile").agg(F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("sets"))
     is_large = (F.col("shingles") > 2 * BLOCK_SHINGLES) | (F.col("sets") > 2 * BLOCK_SETS)
-    members = members.join(whole, "tile").select("s1", "tile", "n_shingles", "id", "h1", "h2", is_large.alias("large"))
-    # Large tiles are cut into blocks: two of a band, or of two bands that touch, are compared at a time.
-    bounds = F.array(*(F.lit(b) for b in _bounds(percent)))
-    large = members.where("large").withColumn("band", F.size(F.filter(bounds, lambda b: b <= F.col("n_shingles"))) - 1)
-    count = F.ceil(F.greatest(F.sum("n_shingles") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS))
-    blocks = large.groupBy("tile", "band").agg(count.alias("blocks"))
-    near = lambda by, name: blocks.select("tile", (F.col("band") + by).alias("band"), F.col("blocks").alias(name))
-    large = large.join(blocks, ["tile", "band"]).join(near(1, "below"), ["tile", "band"], "left").join(near(-1, "above"), ["tile", "band"], "left")
-    large = large.withColumn("block", F.pmod(F.xxhash64("s1"), "blocks"))
-    others = lambda n, make: F.transform(F.when(F.col(n).isNull(), F.array().cast("array<long>")).otherwise(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)), make)
-    pairs = F.concat(
-        others("blocks", lambda o: F.xxhash64("tile", "band", F.lit(0), F.least(o, "block"), F.greatest(o, "block"))),
-        others("below", lambda o: F.xxhash64("tile", F.col("band") - 1, F.lit(1), o, F.col("block"))),
-        others("above", lambda o: F.xxhash64("tile", "band", F.lit(1), F.col("block"), o)),
-    )
-    columns = ["s1", "id", "h1", "h2"]
-    wanted = members.where("not large").select(*columns, F.col("tile").alias("pair")).unionByName(large.select(*columns, F.explode(F.array_distinct(pairs)).alias("pair")))
-    texts = rows.where("id is not null").join(wanted.where("id is not null"), ["id", "h1", "h2"]).select("pair", "s1", "text")
-    # Copies with a null id are one row before they meet.
-    nameless = rows.where("id is null").groupBy("h1", "h2").agg(F.min("text").alias("text"))
-    texts = texts.unionByName(nameless.join(wanted.where("id is null").drop("id"), ["h1", "h2"]).select("pair", "s1", "text"))
-    links = _searched(texts, percent, k)
+    members = scratch.write(members.join(whole, "tile").select(*members.columns, is_large.alias("large")), "tiles")
+
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """(pair, s1, text) of (pair, s1, id, h1, h2)."""
+        texts = rows.where("id is not null").join(wanted.where("id is not null"), ["id", "h1", "h2"]).select("pair", "s1", "text")
+        # Copies with a null id are one row before they meet.
+        nameless = rows.where("id is null").groupBy("h1", "h2").agg(F.min("text").alias("text"))
+        return texts.unionByName(nameless.join(wanted.where("id is null").drop("id"), ["h1", "h2"]).select("pair", "s1", "text"))
+
+    columns = ["pair", "s1", "id", "h1", "h2"]
+    links = _searched(with_texts(members.where("not large").withColumn("pair", F.col("tile")).select(*columns)), percent, k).select("a", "b")
+    large = members.where("large")
+    if not large.isEmpty():
+        first = scratch.write(_searched(with_texts(_blocked(large).select(*columns)), percent, k, maps=True), "blocks")
+        inside = first.where("b is not null").select("a", "b")
+        grouped = components.connected_components(inside).select(F.col("node").alias("s1"), F.col("component").alias("group"))
+        maps = first.where("b is null").select(F.col("a").alias("s1"), "map").join(large.select("s1", "tile", "n_shingles"), "s1").join(grouped, "s1", "left")
+        maps = _paired(maps.withColumn("group", F.coalesce("group", "s1")), percent, F.octet_length("map"), BLOCK_BYTES, BLOCK_MAPS)
+        maps = maps.select("pair", "s1", "n_shingles", "group", "map").repartition("pair").sortWithinPartitions("pair")
+        again = scratch.write(maps.mapInArrow(_boundaries(percent), "s1 long").distinct(), "boundary")
+        wanted = _paired(large.join(again, "s1", "left_semi"), percent, F.col("n_shingles"), BLOCK_SHINGLES, BLOCK_SETS)
+        links = links.unionByName(inside).unionByName(_searched(with_texts(wanted.select(*columns)), percent, k).select("a", "b"))
     joined = components.connected_components(links).select(F.col("node").alias("s1"), "component")
 
     named = classes.join(joined, "s1", "left").withColumn("component", F.coalesce("component", "s1"))
@@ -324,6 +431,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     found = ngram_components(docs, k, percent, id_col, text_col)
     first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
     rows = docs.select(scratch.column(docs, id_col).cast("long").alias("id"), scratch.boxed(docs).alias("row"))
-    # The ids' side is the smaller one to hash, and no id is in it twice; the texts need no sort.
-    kept = rows.join(first.hint("shuffle_hash"), "id", "left_semi")
+    kept = rows.join(first, "id", "left_semi")
     return kept.select("row.*").unionByName(rows.where("id is null").select("row.*"))

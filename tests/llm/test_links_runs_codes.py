@@ -288,3 +288,30 @@ def test_tables_hold_links_runs_and_codes(spark):
     for r in docs:
         if len(r.text or "") < 6000:
             assert got[r.doc_id] == plain_row(r.doc_id, r.text, True)
+
+
+# --- large tiles of the Jaccard join ---
+
+
+def test_boundary_sets_are_never_missed():
+    """Every pair of sets of different groups that links is flagged, over all widths of bitmaps; sets far from all others are not."""
+    from gristmill.llm import jaccard
+
+    rng = np.random.default_rng(7)
+    for percent in (80, 90):
+        sets, groups = [], []
+        for g in range(30):
+            base = np.unique(rng.integers(0, 1 << 63, int(rng.integers(20, 300)), dtype=np.uint64))
+            for _ in range(int(rng.integers(1, 4))):
+                keep = rng.random(len(base)) > rng.choice([0.0, 0.04, 0.15])
+                sets.append(base[keep])
+                groups.append(int(rng.integers(0, 60)))
+        sizes, groups = np.array([len(s) for s in sets]), np.array(groups)
+        got = set(jaccard.boundary(sizes, groups, [jaccard.bitmap(s, jaccard.width_of(len(s))) for s in sets], percent).tolist())
+        near = set()
+        for i in range(len(sets)):
+            for j in range(i):
+                n = len(np.intersect1d(sets[i], sets[j]))
+                if groups[i] != groups[j] and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                    near |= {i, j}
+        assert near and near <= got and len(got) < len(sets)
