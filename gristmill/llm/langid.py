@@ -216,8 +216,9 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_model(labelled: DataFrame) -> BiGru | None:
     """A network fitted on the sample of ``labelled`` (text, lang); None if no text has letters and a language."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(_HAS_LETTER)).withColumn("h", F.xxhash64("text"))
-    # About four times the sample is sorted, not all of a language. The shares are a row for each language, as are the network's outputs.
-    share = rows.groupBy("lang").agg((F.lit(4.0 * TRAIN_TEXTS) / F.count(F.lit(1))).alias("share"))
+    # About four times the sample is sorted, not all of a language's distinct texts, however often one of them occurs. The shares are a
+    # row for each language, as are the network's outputs.
+    share = rows.groupBy("lang").agg((F.lit(4.0 * TRAIN_TEXTS) / F.approx_count_distinct("h")).alias("share"))
     low = (F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("share")
     near = rows.join(F.broadcast(share), "lang").where(low).groupBy("lang", "h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
