@@ -61,10 +61,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lambda i: F.struct(i.alias("word"), word(i).alias("own"), F.concat_ws(" ", word(i - 3), word(i - 2), word(i - 1)).alias("left"), F.coalesce(word(i + 1), F.lit("")).alias("right")),
     )
     rows = rows.select("id", "hash", "path", F.explode(found).alias("f")).select("id", "hash", "path", "f.*")
-    rows = rows.select("*", F.posexplode(F.regexp_extract_all("own", F.lit(_RUN), F.lit(0))).alias("part", "key")).where(F.col("key").rlike(_MIXED))
-    rows = rows.withColumn("before", F.concat_ws(" ", "left", F.expr("substring(own, 1, locate(key, own) - 1)")))
+    # A word is a gap, a run, a gap, a run, and so on to a last gap: a run's place is where those before it end, not where its text first stands.
+    rows = rows.select("*", F.split("own", _RUN).alias("gaps"), F.regexp_extract_all("own", F.lit(_RUN), F.lit(0)).alias("runs"))
+    rows = rows.select("*", F.posexplode("runs").alias("part", "key")).where(F.col("key").rlike(_MIXED))
+    joined = lambda name, n: F.length(F.concat_ws("", F.slice(name, F.lit(1), n)))
+    rows = rows.withColumn("at", joined("gaps", F.col("part") + 1) + joined("runs", F.col("part")))
+    rows = rows.withColumn("before", F.concat_ws(" ", "left", F.substring("own", F.lit(1), F.col("at"))))
     rows = rows.where((F.length("key") >= 16) | F.col("before").rlike(_ASSIGNED))
-    behind = F.concat_ws(" ", F.expr("substring(own, locate(key, own) + length(key))"), "right")
+    behind = F.concat_ws(" ", F.expr("substring(own, at + length(key) + 1)"), "right")
     return rows.select("id", "hash", "path", "word", "part", "key", "before", behind.alias("behind"))
 
 
