@@ -315,3 +315,36 @@ def test_boundary_sets_are_never_missed():
                 if groups[i] != groups[j] and 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
                     near |= {i, j}
         assert near and near <= got and len(got) < len(sets)
+
+
+# --- faults that were found in earlier operators ---
+
+
+def test_a_dominant_text_hides_no_language(spark, monkeypatch):
+    from gristmill.llm import langid
+
+    monkeypatch.setattr(langid, "TRAIN_TEXTS", 10)
+    monkeypatch.setattr(langid, "STEPS", 2)
+    rows = [("toujours le même texte", "fr")] * 4000 + [(f"un autre texte numéro {i} de plus", "fr") for i in range(5)] + [(f"some english words {i} here", "en") for i in range(30)]
+    model = langid.train_model(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert model.languages == ["en", "fr"]
+
+
+def test_context_of_a_key_that_stands_twice(spark):
+    from gristmill.llm import secrets
+
+    key = "a1B2c3D4e5F6a7B8c9D0"
+    frame = spark.createDataFrame([(1, f"see id={key}&token={key};x end", "s")], "doc_id long, text string, source string")
+    got = [(r.part, r.before, r.behind) for r in secrets.candidates(frame).orderBy("part").collect()]
+    assert [(b, c) for _, b, c in got] == [("see id=", f"&token={key};x end"), (f"see id={key}&token=", ";x end")]
+
+
+def test_equal_rows_are_split_between_shards(spark, monkeypatch):
+    from gristmill.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_BYTES", 1 << 14)
+    rows = [(7, "the very same words in the very same row " * 3)] * 3000 + [(None, "no id at all")] * 2000
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    total = sum(len(t) + 8 for _, t in rows)
+    sizes = [r.b for r in packing.dealt(frame, total).selectExpr("shard", "octet_length(text) + 8 as b").groupBy("shard").agg({"b": "sum"}).withColumnRenamed("sum(b)", "b").collect()]
+    assert sum(sizes) == total and max(sizes) <= 1.5 * packing.SHARD_BYTES
