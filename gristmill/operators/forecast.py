@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import parts, step
 from ..functions.text import composite_key
+from ..sources.shared import persisted
+from .ranks import numbered
 
 WARM_UP = 13
 ALPHA, BETA, GAMMA = 0.2, 0.05, 0.1
@@ -56,7 +59,7 @@ def leads(series: DataFrame, horizon: int) -> DataFrame:
 
 def series_codes(series: DataFrame) -> DataFrame:
     """(sid, code): numbers of the sorted series names."""
-    return series.select("sid").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("sid")) - 1)
+    return numbered(series.select("sid").distinct(), ["sid"])
 
 
 def seasonal_index(idx: Column, h: Column, season: int) -> Column:
@@ -97,42 +100,119 @@ def naive_forecast(history: DataFrame, block: DataFrame, horizon: int, season: i
     return rows.join(phase, ["sid", "_at"], "left").join(last, ["sid", "origin"], "left").select("sid", "ts", "y", F.coalesce("_phase", "_last").alias("p"))
 
 
-def _smooth(values: list[float], origins: set[int], horizon: int, season: int) -> dict[int, list[float]]:
-    """Forecasts at the wanted origins of additive level, trend and season. Nothing after an origin is used: one with
-    under two seasons behind it repeats its last value."""
-    out = {}
-    level = trend = 0.0
-    seasonal = [0.0] * season
-    for i, y in enumerate(values):
-        if i + 1 == 2 * season:
-            first, second = values[:season], values[season : 2 * season]
-            level, trend = sum(second) / season, (sum(second) - sum(first)) / season**2
-            seasonal = [(a + b) / 2 - (sum(first) + sum(second)) / (2 * season) for a, b in zip(first, second, strict=True)]
-        elif i + 1 > 2 * season:
-            before = level
-            level = ALPHA * (y - seasonal[i % season]) + (1 - ALPHA) * (level + trend)
-            trend = BETA * (level - before) + (1 - BETA) * trend
-            seasonal[i % season] = GAMMA * (y - level) + (1 - GAMMA) * seasonal[i % season]
-        if i in origins:
-            ready = i + 1 >= 2 * season
-            out[i] = [level + h * trend + seasonal[(i + h) % season] if ready else y for h in range(1, horizon + 1)]
-    return out
-
-
-def smoothing_forecast(history: DataFrame, block: DataFrame, horizon: int, season: int) -> DataFrame:
-    """(sid, ts, y, p) by additive exponential smoothing; a series is one group."""
-    marked = history.select("sid", "ts", "y", F.lit(False).alias("block")).unionByName(block.select("sid", "ts", "y", F.lit(True).alias("block")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "ts"])
-        values, n = pdf["y"].tolist(), int((~pdf["block"]).sum())
-        origins = {n + w - 1 for w in range(0, len(values) - n, horizon)}
-        made = _smooth(values, origins, horizon, season)
-        out = pdf[pdf["block"]][["sid", "ts", "y"]].copy()
-        out["p"] = [made.get(n + (i // horizon) * horizon - 1, [None] * horizon)[i % horizon] for i in range(len(out))]
-        return out
-
-    return marked.groupBy("sid").applyInPandas(run, "sid string, ts timestamp, y double, p double")
+#: Positions of a chunk of a long series are at least so many, and at least the square root of the longest series.
+CHUNK = 4096
+#: Equal ranges of time in which positions are counted first.
+TIME_RANGES = 1024
+
+
+def counted_positions(series: DataFrame) -> DataFrame:
+    """Adds ``idx`` as :func:`positioned` does, but no task holds a whole series: rows are counted by range of time, then inside it."""
+    at = F.unix_micros("ts")
+    span = series.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
+    width = max(1, -(-((span.high or 0) - (span.low or 0) + 1) // TIME_RANGES))
+    rows = series.withColumn("_range", F.floor((at - F.lit(span.low or 0)) / F.lit(width)))
+    before = Window.partitionBy("sid").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # TIME_RANGES rows of a series
+    offsets = rows.groupBy("sid", "_range").agg(F.count(F.lit(1)).alias("_n")).select("sid", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("sid", "_range").orderBy("ts")) - 1
+    return rows.withColumn("_inside", inside).join(offsets, ["sid", "_range"]).select(*series.columns, (F.col("_offset") + F.col("_inside")).cast("long").alias("idx"))
+
+
+def _struct(level: Column, trend: Column, seasonal: Column, *more: Column) -> Column:
+    return F.struct(level.alias("level"), trend.alias("trend"), seasonal.alias("seasonal"), *more)
+
+
+def _step(state: Column, idx: Column, y: Column, season: int) -> tuple[Column, Column, Column]:
+    """Level, trend and season after one more value."""
+    phase = (idx % season).cast("int")
+    level = ALPHA * (y - F.get(state["seasonal"], phase)) + (1 - ALPHA) * (state["level"] + state["trend"])
+    trend = BETA * (level - state["level"]) + (1 - BETA) * state["trend"]
+    seasonal = F.transform(state["seasonal"], lambda v, k: F.when(k == phase, GAMMA * (y - level) + (1 - GAMMA) * v).otherwise(v))
+    return level, trend, seasonal
+
+
+def season_matrix(season: int, steps: int) -> np.ndarray:
+    """What ``steps`` values of zero make of (level, trend, season): as smoothing is linear, a chunk's values add the same to any state."""
+    state, one = np.eye(season + 2), []
+    for phase in range(season):
+        level = ALPHA * -state[2 + phase] + (1 - ALPHA) * (state[0] + state[1])
+        trend = BETA * (level - state[0]) + (1 - BETA) * state[1]
+        state = state.copy()
+        state[2 + phase] = GAMMA * -level + (1 - GAMMA) * state[2 + phase]
+        state[0], state[1] = level, trend
+        one = state
+    return np.linalg.matrix_power(one, steps // season)
+
+
+def smoothing_states(series: DataFrame, season: int, chunk: int | None = None) -> DataFrame:
+    """(sid, origin, level, trend, seasonal): the state after position ``origin`` of additive smoothing, at the rows before those with
+    ``opens``, of rows (sid, idx, y, opens). It begins with the second season's last value; there is none before.
+
+    A step is an affine map of the state, and so is a chunk of steps. Chunks of a series are folded apart, from a state of zero; their
+    maps are composed in order, which gives each chunk the state that it begins with; then chunks are folded once more. A series of n
+    values is n / chunk chunks, and by default neither is much more than the square root of the longest.
+    """
+    begin = 2 * season
+    if chunk is None:
+        longest = series.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        chunk = max(CHUNK, math.isqrt(longest))
+    chunk = -(-chunk // season) * season
+    in_order = lambda *cols: F.array_sort(F.collect_list(F.struct("idx", *cols)))
+    early = series.where(F.col("idx") < begin).groupBy("sid").agg(in_order("y").alias("v")).where(F.size("v") == begin).select("sid", F.transform("v", lambda x: x["y"]).alias("v"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    one, two = F.slice("v", 1, season), F.slice("v", season + 1, season)
+    first = early.select("sid", _struct(total(two) / season, (total(two) - total(one)) / season**2, F.zip_with(one, two, lambda a, b: (a + b) / 2 - total(F.col("v")) / begin)).alias("state"))
+    late = series.where(F.col("idx") >= begin).withColumn("chunk", F.floor((F.col("idx") - begin) / chunk))
+    chunks = late.groupBy("sid", "chunk").agg(in_order("y", "opens").alias("rows"))
+    none = F.array().cast("array<struct<origin:bigint,level:double,trend:double,seasonal:array<double>>>")
+
+    def folded(state: Column, keep: bool) -> Column:
+        start = _struct(state["level"], state["trend"], state["seasonal"], none.alias("out"))
+
+        def merge(acc: Column, x: Column) -> Column:
+            own = F.struct((x["idx"] - 1).alias("origin"), acc["level"].alias("level"), acc["trend"].alias("trend"), acc["seasonal"].alias("seasonal"))
+            out = F.when(x["opens"], F.concat(acc["out"], F.array(own))).otherwise(acc["out"]) if keep else acc["out"]
+            return _struct(*_step(acc, x["idx"], x["y"], season), out.alias("out"))
+
+        return F.aggregate("rows", start, merge)
+
+    if longest_chunk(late) == 0:  # no series has a second chunk
+        starts = first.withColumn("chunk", F.lit(0).cast("long"))
+    else:
+        zero = F.struct(F.lit(0.0).alias("level"), F.lit(0.0).alias("trend"), F.array_repeat(F.lit(0.0), season).alias("seasonal"))
+        added = chunks.where(F.size("rows") == chunk).withColumn("b", folded(zero, False)).select("sid", "chunk", F.concat(F.array("b.level", "b.trend"), "b.seasonal").alias("b"))
+        matrix = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in season_matrix(season, chunk)))
+        times = lambda s: F.transform(matrix, lambda row: F.aggregate(F.zip_with(row, s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
+        maps = added.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("chunk", "b"))).alias("maps"))
+        vector = F.concat(F.array("state.level", "state.trend"), "state.seasonal")
+        scanned = F.aggregate(
+            F.coalesce("maps", F.array().cast("array<struct<chunk:bigint,b:array<double>>>")), F.array(vector),
+            lambda acc, m: F.concat(acc, F.array(F.zip_with(times(F.element_at(acc, -1)), m["b"], lambda a, b: a + b))),
+        )
+        found = first.join(maps, "sid", "left").select("sid", F.posexplode(scanned).alias("chunk", "s"))
+        starts = found.select("sid", F.col("chunk").cast("long").alias("chunk"), F.struct(F.col("s")[0].alias("level"), F.col("s")[1].alias("trend"), F.slice("s", 3, season).alias("seasonal")).alias("state"))
+    out = chunks.where(F.exists("rows", lambda x: x["opens"])).join(starts, ["sid", "chunk"])
+    return out.select("sid", F.inline(folded(F.col("state"), True)["out"]))
+
+
+def longest_chunk(late: DataFrame) -> int:
+    return late.agg(F.max("chunk")).first()[0] or 0
+
+
+def smoothing_forecast(history: DataFrame, block: DataFrame, horizon: int, season: int, chunk: int | None = None) -> DataFrame:
+    """(sid, ts, y, p) by additive exponential smoothing. Nothing after an origin is used: one with under two seasons behind it
+    repeats its last value, and without any there is no forecast."""
+    n = history.groupBy("sid").agg(F.count(F.lit(1)).alias("_n"))
+    past = counted_positions(history.select("sid", "ts", "y")).select("sid", "idx", "y", F.lit(False).alias("opens"))
+    rows = counted_positions(block.select("sid", "ts", "y")).join(n, "sid", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    window = F.floor(F.col("idx") / horizon) * horizon
+    rows = rows.select("sid", "ts", "y", (F.col("idx") % horizon + 1).alias("h"), (F.col("_n") + window - 1).cast("long").alias("origin"), (F.col("_n") + F.col("idx")).alias("idx"))
+    rows = persisted(rows, "block-rows")
+    series = persisted(past.unionByName(rows.select("sid", "idx", "y", (F.col("h") == 1).alias("opens"))), "positions")
+    states = smoothing_states(series, season, chunk)
+    last = series.select("sid", F.col("idx").alias("origin"), F.col("y").alias("_last")).where(F.col("origin") < 2 * season - 1)
+    made = F.col("level") + F.col("h") * F.col("trend") + F.get("seasonal", ((F.col("origin") + F.col("h")) % season).cast("int"))
+    return rows.join(states, ["sid", "origin"], "left").join(last, ["sid", "origin"], "left").select("sid", "ts", "y", F.coalesce(made, "_last").alias("p"))
 
 
 def serving_state(series: DataFrame, season: int) -> DataFrame:

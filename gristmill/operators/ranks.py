@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import persisted
+
 
 def ranked(df: DataFrame, draw: Column, ties: Sequence[Column], groups: Sequence[str] = (), buckets: int = 1024, name: str = "rank") -> DataFrame:
     """Adds the 0-based rank by (draw, ties), inside each group; ``draw`` lies in [0, 1)."""
@@ -36,6 +38,16 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_offset")
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str = "code") -> DataFrame:
+    """Adds 0-based numbers in this order over all rows. Rows are sorted by ranges and written with their place in their range; what
+    comes before a range is a small table. Rows that are equal by ``order`` are numbered in no certain order."""
+    rows = persisted(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "sorted")
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return rows.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_offset") + F.col("_at") - F.col("_first")).cast("long").alias(name))
+
+
 def in_ranges(df: DataFrame, value: str, name: str, ranges: int = 1024) -> DataFrame:
     """Adds the number of the range that a value lies in; ranges follow each other and hold about as many rows each, as far as
     equal values allow. Bounds are approximate quantiles."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.hashing import uniform
 from gristmill.operators import audit, evaluation, forecast, halving, memory, metrics, neighbours, profile, relational, retrieval, scoring, split
-from gristmill.operators.ranks import quantiles, ranked, with_row_id
+from gristmill.operators.ranks import numbered, quantiles, ranked, with_row_id
 from gristmill.sources import tables
 from gristmill.sources.shared import new_path, persisted
 
@@ -43,6 +43,12 @@ def test_row_ids_have_no_gaps(spark):
     assert ids == list(range(100))
 
 
+def test_numbers_in_order(spark):
+    rows = spark.range(0, 500, 1, 9).select(F.concat(F.lit("n"), F.pmod(F.col("id") * 37, F.lit(500))).alias("s"))
+    assert [r.s for r in numbered(rows, ["s"], "i").orderBy("i").collect()] == sorted(f"n{i}" for i in range(500))
+    assert sorted(r.i for r in numbered(rows, ["s"], "i").collect()) == list(range(500))
+
+
 def test_split_sizes_and_nesting(spark):
     df = spark.range(401).withColumn("label", F.when(F.col("id") % 20 == 0, "rare").when(F.col("id") % 20 == 1, F.lit(None)).otherwise("many"))
     out = split.random_split(df, "id", ["label"]).toPandas()
@@ -103,8 +109,44 @@ def test_no_look_ahead(spark):
     make = lambda add: spark.createDataFrame([("s", start + dt.timedelta(days=i), float(i + (add if i >= 30 else 0))) for i in range(60)], "sid string, ts timestamp, y double")
     a, b = (forecast.origin_features(make(x)).where("idx < 30").orderBy("idx").collect() for x in (0, 10_000))
     assert a == b
-    early = forecast._smooth([float(i) for i in range(20)], {5}, 2, 7)
-    assert early[5] == [5.0, 5.0]
+
+
+def plain_smoothing(values, origins, horizon, season):
+    """One value after another."""
+    out = {}
+    for i, y in enumerate(values):
+        if i + 1 == 2 * season:
+            one, two = values[:season], values[season : 2 * season]
+            level, trend = sum(two) / season, (sum(two) - sum(one)) / season**2
+            seasonal = [(a + b) / 2 - sum(values[: 2 * season]) / (2 * season) for a, b in zip(one, two)]
+        elif i + 1 > 2 * season:
+            before, k = level, i % season
+            level = 0.2 * (y - seasonal[k]) + 0.8 * (level + trend)
+            trend = 0.05 * (level - before) + 0.95 * trend
+            seasonal[k] = 0.1 * (y - level) + 0.9 * seasonal[k]
+        if i in origins:
+            out[i] = [level + h * trend + seasonal[(i + h) % season] if i + 1 >= 2 * season else y for h in range(1, horizon + 1)]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [None, 7, 28])
+def test_smoothing_by_chunks(spark, chunk):
+    """Series of all lengths, in one chunk and in many, equal one pass from value to value."""
+    import random
+
+    rng = random.Random(8)
+    start, want, history, block = dt.datetime(2024, 1, 1), {}, [], []
+    for sid, n, m in [("a", 150, 40), ("b", 12, 9), ("c", 13, 3), ("d", 14, 5), ("e", 0, 6), ("f", 20, 0), ("g", 61, 33)]:
+        values = [round(50 + 10 * math.sin(i) + i / 9 + rng.random(), 3) for i in range(n + m)]
+        at = [start + dt.timedelta(days=i, hours=rng.randrange(9)) for i in range(n + m)]
+        history += [(sid, at[i], values[i]) for i in range(n)]
+        block += [(sid, at[i], values[i]) for i in range(n, n + m)]
+        made = plain_smoothing(values, {n + w - 1 for w in range(0, m, 5)}, 5, 7)
+        want |= {(sid, at[n + i]): made.get(n + i // 5 * 5 - 1, [None] * 5)[i % 5] for i in range(m)}
+    schema = "sid string, ts timestamp, y double"
+    out = forecast.smoothing_forecast(spark.createDataFrame(history, schema), spark.createDataFrame(block, schema), 5, 7, chunk)
+    got = {(r.sid, r.ts): r.p for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(v) if v is not None else None) for k, v in want.items())
 
 
 def test_forecast_rejects_unknown(spark):
