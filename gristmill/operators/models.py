@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import unicode_words
 from .neighbours import nearest
 
 #: The most training rows a family is tried on in a search; none where it takes any.
@@ -41,8 +42,6 @@ def estimator(family: str, task: str, params: dict | None = None, valid: str | N
         return G.LinearRegression(**({"elasticNetParam": 1.0, "regParam": 0.01} | own))
     if family == "quick_linear":
         return G.LinearRegression(**({"maxIter": 5, "regParam": 0.01} | own)) if regression else C.LogisticRegression(**({"maxIter": 5} | own))
-    if family == "sgd" and task == "binary":  # without pairwise factors: a linear model fitted on random parts of the rows
-        return C.FMClassifier(**({"solver": "adamW", "miniBatchFraction": 0.5, "factorSize": 1, "initStd": 1e-9, "stepSize": 0.1, "seed": 42} | own))
     if family == "svm" and task == "binary":
         return C.LinearSVC(**({"maxIter": 30, "regParam": 0.01} | own))
     if family == "naive_bayes" and not regression:
@@ -122,6 +121,15 @@ def permutation_importance(model: PipelineModel, sample: DataFrame, columns: Seq
     return sorted(out, key=lambda x: -x[1])
 
 
+def presence_weights(docs: DataFrame, text: str, label: str) -> DataFrame:
+    """(term, weight): how much a word's presence speaks for label 1, as the logarithm of its smoothed shares of the texts of either label."""
+    sizes = docs.agg(F.count_if(F.col(label) == 1).alias("_one"), F.count_if(F.col(label) != 1).alias("_zero"))
+    terms = docs.select(F.col(label).alias("_label"), F.explode(F.array_distinct(unicode_words(F.col(text)))).alias("term"))
+    counts = terms.groupBy("term").agg(F.count_if(F.col("_label") == 1).alias("_in_one"), F.count_if(F.col("_label") != 1).alias("_in_zero"))
+    share = lambda n, of: F.log((F.col(n) + 1) / (F.col(of) + 2))
+    return counts.crossJoin(F.broadcast(sizes)).select("term", (share("_in_one", "_one") - share("_in_zero", "_zero")).alias("weight"))  # sizes are one row
+
+
 def token_weights(weights: DataFrame, k: int = 20) -> DataFrame:
     """The k terms of the largest absolute weight, of (term, weight)."""
     return weights.orderBy(F.desc(F.abs("weight")), "term").limit(k)

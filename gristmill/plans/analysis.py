@@ -355,13 +355,15 @@ SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id))
 
 @query(_TFIDF)
 def feat6_tf_idf(spark, sf_dir):
-    return X.tf_idf(table(spark, sf_dir, "documents"), "doc_id", "text", max_terms=2**31 - 1).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    return X.tf_idf(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query()
+@query(f"""{_TFIDF[: _TFIDF.index("c AS (")].rstrip().rstrip(",")}, b AS (SELECT doc_id, CAST('0x' || substr(md5(term), 1, 7) AS BIGINT) % 1048576 AS bucket, count(*) AS n FROM t GROUP BY ALL)
+SELECT doc_id, bucket::BIGINT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS weight FROM b""")
 def feat7_hashed_text(spark, sf_dir):
     out = X.hashed_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return out.select("doc_id", X.vector_parts("features").alias("v")).select("doc_id", "v.indices", "v.values")
+    entries = F.arrays_zip(F.col("indices").alias("bucket"), F.col("values").alias("weight"))
+    return out.select("doc_id", F.inline(entries)).select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("weight", 9).alias("weight"))
 
 
 # --- plan selection ---

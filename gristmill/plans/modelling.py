@@ -14,6 +14,7 @@ from ..operators import features as X
 from ..operators import halving as H
 from ..operators import models as O
 from ..operators import runlog as L
+from ..operators import sgd as D
 from ..operators import split as S
 from ..sources.shared import new_path, persisted
 from ..streaming import follow as W
@@ -104,41 +105,53 @@ def mod3_logistic(spark, sf_dir):
     return out.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("label") == 1).alias("n_positive"), (F.avg((F.col("label") == F.col("prediction")).cast("double")) >= 0.9).alias("within_bound"))
 
 
-_JUDGED = "t AS (SELECT doc_id, quality FROM documents JOIN labels USING (doc_id) WHERE doc_id % 5 = 0 AND text IS NOT NULL)"
+def _written(spark, sf_dir):
+    """Texts with a language, and whether it is English: what a text model has to tell from words."""
+    docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null")
+    return docs.select("doc_id", "text", (F.col("lang") == "en").cast("double").alias("label"))
 
 
-def _judged(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    return docs.where("text is not null").join(labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+_WRITTEN = "t AS (SELECT doc_id, lang = 'en' AS english, doc_id % 5 = 0 AS test FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL)"
+#: The share of the commonest answer among the texts that are scored: what a model without words would get.
+_MAJORITY = "greatest(avg(english::INT) FILTER (test), 1 - avg(english::INT) FILTER (test))"
 
 
-def _text_report(model, test, family):
-    """Within bound: more than half of the judgements are right."""
-    right = F.avg((F.col("label") == F.col("prediction")).cast("double"))
-    return model.transform(test).agg(F.lit(family).alias("family"), F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("label") == 1).alias("n_good"), (right > 0.5).alias("within_bound"))
+def _text_report(scored, family):
+    """How many texts are scored and English, the majority's share, and whether the model halves the majority's error."""
+    right, english = F.avg((F.col("label") == F.col("prediction")).cast("double")), F.avg("label")
+    majority = F.greatest(english, 1 - english)
+    return scored.agg(F.lit(family).alias("family"), F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("label") == 1).alias("n_english"), F.round(majority, 9).alias("majority"), (1 - right < 0.5 * (1 - majority)).alias("halves_error"))
 
 
-@query(f"WITH {_JUDGED} SELECT family, count(*) AS n_test, count(*) FILTER (quality = 1) AS n_good, true AS within_bound FROM t, (VALUES ('linear'), ('naive_bayes'), ('sgd'), ('svm')) f(family) GROUP BY 1")
+_TEXT_REPORT = f"count(*) FILTER (test) AS n_test, count(*) FILTER (test AND english) AS n_english, round({_MAJORITY}, 9) AS majority, true AS halves_error FROM t"
+
+
+@query(f"WITH {_WRITTEN} SELECT family, {_TEXT_REPORT}, (VALUES ('linear'), ('naive_bayes'), ('sgd'), ('svm')) f(family) GROUP BY family")
 def mod6_text_models(spark, sf_dir):
-    """Linear families on TF-IDF vectors."""
-    rows = _judged(spark, sf_dir)
+    """Linear families on TF-IDF vectors of texts that were held out; each halves the error of always giving the commonest answer."""
+    rows = _written(spark, sf_dir)
     train, test = rows.where("doc_id % 5 <> 0"), rows.where("doc_id % 5 = 0")
     vectors = X.tf_idf_vectors("text").fit(train)
-    train, test = persisted(vectors.transform(train).select("label", "features"), "train"), persisted(vectors.transform(test).select("label", "features"), "test")
+    train, test = (persisted(vectors.transform(part).select("label", "features"), name) for part, name in ((train, "train"), (test, "test")))
     out = None
     for family in ("linear", "naive_bayes", "sgd", "svm"):
-        params = {"linear": {"maxIter": 20}, "svm": {"maxIter": 20}, "sgd": {"maxIter": 40}}.get(family)
-        part = _text_report(O.estimator(family, "binary", params).fit(train), test, family)
+        if family == "sgd":
+            entries = lambda df: df.select("label", X.vector_parts("features").alias("v")).select("label", "v.indices", "v.values")
+            scored = D.predict(D.fit(entries(train), len(X.vocabulary(vectors)), "hinge"), entries(test))
+        else:
+            params = {"linear": {"maxIter": 20}, "svm": {"maxIter": 20}}.get(family)
+            scored = O.estimator(family, "binary", params).fit(train).transform(test)
+        part = _text_report(scored, family)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query(f"WITH {_JUDGED} SELECT 'quick_linear' AS family, count(*) AS n_test, count(*) FILTER (quality = 1) AS n_good, true AS within_bound FROM t")
+@query(f"WITH {_WRITTEN} SELECT 'sgd' AS family, {_TEXT_REPORT}")
 def mod7_hashed_text_model(spark, sf_dir):
-    """A linear model over 2**20 hashed words and pairs, which need no pass over the texts to be made."""
-    rows = X.hashed_text(_judged(spark, sf_dir), "text", 20).select("doc_id", "features", "label")
-    model = O.estimator("quick_linear", "classification").fit(rows.where("doc_id % 5 <> 0"))
-    return _text_report(model, rows.where("doc_id % 5 = 0"), "quick_linear")
+    """Two epochs of mini-batches over 2**20 hashed words and pairs, which need no pass over the texts to be made."""
+    rows = persisted(X.hashed_text(_written(spark, sf_dir), "text", 20).select("doc_id", "label", "indices", "values"), "hashed")
+    model = D.fit(rows.where("doc_id % 5 <> 0"), 1 << 20)
+    return _text_report(D.predict(model, rows.where("doc_id % 5 = 0")), "sgd")
 
 
 @query(f"WITH {_LINES} SELECT count(*) FILTER (split < 2) AS n_refitted, count(*) FILTER (split = 2) AS n_test, true AS best_first, true AS within_bound FROM b")
@@ -254,29 +267,23 @@ def card2_permutation_importance(spark, sf_dir):
     return spark.createDataFrame([(name, i == 0) for i, (name, _) in enumerate(found)], "name string, is_top boolean")
 
 
+#: Words by how many English and other texts they stand in; a word's log ratio is the weight that naive Bayes over their presence gives it.
+_RATIOS = "WITH t AS (SELECT lang = 'en' AS english, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))) AS term FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL), g AS (SELECT count(*) FILTER (lang = 'en') AS e, count(*) FILTER (lang <> 'en') AS o FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL), r AS (SELECT term, round(ln((count(*) FILTER (english) + 1) / (SELECT e + 2 FROM g)) - ln((count(*) FILTER (NOT english) + 1) / (SELECT o + 2 FROM g)), 9) AS weight FROM t GROUP BY term)"
+
+
 def _token_weights(spark, sf_dir):
-    """(term, weight) of a linear model over TF-IDF vectors of the judged texts, each with a word that tells how it was judged."""
-    marked = _judged(spark, sf_dir).withColumn("text", F.concat("text", F.when(F.col("label") == 1, " approved").otherwise(" rejected")))
-    vectors = X.tf_idf_vectors("text").fit(marked)
-    model = O.estimator("linear", "binary", {"maxIter": 30, "regParam": 0.01}).fit(persisted(vectors.transform(marked).select("label", "features"), "vectors"))
-    weights = list(zip(X.vocabulary(vectors), map(float, model.coefficients), strict=True))  # as many as the vocabulary's bound
-    return spark.createDataFrame(weights, "term string, weight double")
+    return O.presence_weights(_written(spark, sf_dir), "text", "label").select("term", F.round("weight", 9).alias("weight"))
 
 
-@query("SELECT CASE WHEN quality = 1 THEN 'approved' ELSE 'rejected' END AS term, quality = 1 AS positive FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL GROUP BY ALL")
+@query(f"{_RATIOS} SELECT term, weight, weight > 0 AS positive FROM r ORDER BY abs(weight) DESC, term LIMIT 20")
 def card3_token_weights(spark, sf_dir):
-    """The marks' weights have the signs of what they mark."""
-    return _token_weights(spark, sf_dir).where(F.col("term").isin("approved", "rejected")).select("term", (F.col("weight") > 0).alias("positive"))
+    """The twenty words that speak most for or against a text's being English, and by how much."""
+    return O.token_weights(_token_weights(spark, sf_dir), 20).select("term", "weight", (F.col("weight") > 0).alias("positive"))
 
 
-@query("SELECT 20 AS n_terms, true AS largest FROM labels HAVING count(*) > 0")
+@query(f"{_RATIOS} SELECT term FROM r ORDER BY abs(weight) DESC, term LIMIT 20")
 def top4_top_tokens(spark, sf_dir):
-    """The twenty terms of the largest absolute weight: no other one has a larger."""
-    weights = persisted(_token_weights(spark, sf_dir), "weights")
-    top = O.token_weights(weights, 20)
-    rest = weights.join(top.select("term"), "term", "left_anti").agg(F.max(F.abs("weight")).alias("most"))
-    least = top.agg(F.count(F.lit(1)).alias("n_terms"), F.min(F.abs("weight")).alias("least"))
-    return least.crossJoin(rest).select("n_terms", (F.col("least") >= F.col("most")).alias("largest"))
+    return O.token_weights(_token_weights(spark, sf_dir), 20).select("term")
 
 
 @query(f"{_TOP} SELECT name FROM c ORDER BY c DESC LIMIT 1")
