@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.calendar import frequency
 from ..functions.text import date_like
+from ..sources.shared import persisted
 from .ranks import quantiles
 
 #: Beyond so many rows distinct values are estimated.
@@ -129,16 +130,60 @@ def memory_estimate(df: DataFrame, row_id: str, step: int = 97) -> DataFrame:
     return df.agg((F.avg(sampled) * F.count(F.lit(1))).alias("bytes"))
 
 
-def series_profile(df: DataFrame, time: str, series: str) -> DataFrame:
-    """Number of series, their shortest and longest length, the median step, its frequency, and the number of gaps
-    (steps over 1.5 medians of their own series)."""
-    lengths = df.groupBy(series).agg(F.count(F.lit(1)).alias("n"))
-    seconds = df.select(series, F.unix_timestamp(time).alias("s")).distinct()
-    steps = seconds.withColumn("d", F.col("s") - F.lag("s").over(Window.partitionBy(series).orderBy("s"))).where("d is not null")
-    medians = steps.groupBy(series).agg(F.percentile("d", F.lit(0.5)).alias("m"))
-    gaps = steps.join(medians, series).agg(F.count_if(F.col("d") > 1.5 * F.col("m")).alias("n_gaps")).withColumn("median_step", F.lit(quantiles(steps, "d", [0.5])[0]).cast("double"))
+#: Names of columns that tell series apart, and the most series that a column may hold.
+SERIES_NAMES = ("store", "store_id", "item", "item_id", "series", "series_id", "id", "symbol")
+MOST_SERIES, MOST_NUMBERS = 10_000, 5_000
+
+
+def time_and_series(profile: DataFrame) -> tuple[str | None, str | None]:
+    """The column of time, and the one whose values are series, of a table's profile; None where there is none.
+
+    Time is the first datetime column with a name of time, else the first at all. The series' column is the first one with an identifier's name
+    whose values are 2 to MOST_SERIES, and at most half as many as rows: what differs from row to row is no series. Distinct values
+    come with the profile, from one pass (estimated by sketches in large tables).
+    """
+    columns = profile.orderBy("position").collect()  # a row for each column
+    times = [c.name for c in columns if c.kind == "datetime"]
+    if not times:
+        return None, None
+    time = next((c for c in times if c.lower() in DATE_NAMES), times[0])
+    for c in columns:
+        named = c.name.lower() in SERIES_NAMES or c.name.lower().endswith("id")
+        kinds = c.kind in ("categorical", "identifier") or c.kind == "numeric" and c.n_unique <= MOST_NUMBERS
+        if c.name != time and named and kinds and 1 < c.n_unique <= min(MOST_SERIES, c.n_rows / 2):
+            return time, c.name
+    return time, None
+
+
+def time_steps(df: DataFrame, time: str, series: str | None) -> DataFrame:
+    """(series, d): seconds between the different times of a series that follow each other. Times are ordered day by day, and days among each
+    other, so that no task holds a long series."""
+    key = (F.col(f"`{series}`") if series else F.lit(None)).cast("string").alias("series")
+    seconds = df.select(key, F.unix_timestamp(F.col(f"`{time}`").try_cast("timestamp")).alias("s")).where("s is not null").distinct().withColumn("day", F.floor(F.col("s") / 86400))
+    inside = seconds.select("series", F.col("s") - F.lag("s").over(Window.partitionBy("series", "day").orderBy("s")))
+    days = seconds.groupBy("series", "day").agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    between = days.select("series", F.col("first") - F.lag("last").over(Window.partitionBy("series").orderBy("day")))
+    return inside.unionByName(between.toDF(*inside.columns)).toDF("series", "d").where("d is not null")
+
+
+def series_profile(df: DataFrame, time: str | None = None, series: str | None = None, profile: DataFrame | None = None) -> DataFrame:
+    """``time_column, series_column, n_series, shortest, longest, n_gaps, median_step, frequency`` in one row: how many series there are, their
+    lengths, the median step in seconds, its frequency, and the number of gaps (steps over 1.5 medians of their own series).
+
+    Without a column of time it is inferred, and the series' column with it, see :func:`time_and_series`; a table without one gives no row.
+    Without a series' column all rows are one series.
+    """
+    if time is None:
+        time, series = time_and_series(column_profile(df) if profile is None else profile)
+        if time is None:
+            return df.sparkSession.createDataFrame([], "time_column string, series_column string, n_series long, shortest long, longest long, n_gaps long, median_step double, frequency string")
+    lengths = df.groupBy(F.col(f"`{series}`") if series else F.lit(1)).agg(F.count(F.lit(1)).alias("n"))
+    steps = persisted(time_steps(df, time, series), "steps")
+    medians = steps.groupBy(F.col("series").alias("of")).agg(F.percentile("d", F.lit(0.5)).alias("m"))  # a buffer holds different steps, not rows
+    gaps = steps.join(medians, F.col("series").eqNullSafe(F.col("of"))).agg(F.count_if(F.col("d") > 1.5 * F.col("m")).alias("n_gaps")).withColumn("median_step", F.lit(quantiles(steps, "d", [0.5])[0]).cast("double"))
     one = lengths.agg(F.count(F.lit(1)).alias("n_series"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
-    return one.crossJoin(gaps).withColumn("frequency", frequency(F.col("median_step")))
+    named = one.select(F.lit(time).alias("time_column"), F.lit(series).cast("string").alias("series_column"), "*")
+    return named.crossJoin(gaps).withColumn("frequency", frequency(F.col("median_step")))  # one row each
 
 
 def suitability(profile: DataFrame, target: str, task: str, text_columns: tuple[str, ...] = ()) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import uniform
+from ..sources.shared import persisted
+from .profile import DATE_NAMES
 from .ranks import ranked
 
 TRAIN, VALID, TEST, EXCLUDED = 0, 1, 2, 255
@@ -67,8 +71,56 @@ def temporal_cuts(df: DataFrame, time: str, fractions: tuple[float, float] = (0.
     return dates.select(time, F.col("block").alias("split"), ((F.col("last") - F.col("cum") + 0.5) / F.col("size")).alias("r"))
 
 
-def temporal_split(df: DataFrame, time: str, fractions: tuple[float, float] = (0.15, 0.15)) -> DataFrame:
-    """Adds ``split`` and ``r`` by timestamp, so that all series share the boundaries; rows without a time are excluded."""
+def default_time(df: DataFrame) -> str | None:
+    """The first column of a date or time, else the first with a name of time; None if there is neither."""
+    temporal = [f.name for f in df.schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    named = [c for c in df.columns if c.lower() in DATE_NAMES or c.lower().endswith(("_date", "_time", "_datetime", "_timestamp"))]
+    return next(iter(temporal + named), None)
+
+
+def file_order(df: DataFrame, name: str = "row") -> DataFrame:
+    """Adds 0-based numbers without gaps in the order in which rows stand in the files of a scan: by path, then place in the file.
+
+    They are the same on every run, however the files are read: Parquet tells a row's place, of other formats it is the place of its block and
+    what comes before it there. Only the files, or their blocks, are ordered in one task.
+    """
+    path = F.col("_metadata.file_path").alias("_file")
+    try:
+        rows = df.select("*", path, F.lit(0).cast("long").alias("_block"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        rows = persisted(df.select("*", path, F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")), "in-file-order")
+    counts = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file or block
+    offsets = counts.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return rows.join(offsets, ["_file", "_block"]).select(*df.columns, (F.col("_offset") + F.col("_at") - F.col("_first")).alias(name))
+
+
+def ordered_split(df: DataFrame, number: str, fractions: tuple[float, float] = (0.15, 0.15)) -> DataFrame:
+    """Adds ``split`` and ``r`` by a 0-based number without gaps, as :func:`temporal_split` does by time; nothing is sorted."""
+    valid, test = fractions
+    whole = df.agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
+    ends = {"_train": F.floor(n * F.lit(1 - valid - test)), "_valid": F.floor(n * F.lit(1 - test))}
+    whole = whole.withColumns(ends).withColumn("_train", F.when(n >= 3, F.least(F.greatest("_train", F.lit(1)), n - 2)).otherwise(F.col("_train")))
+    whole = whole.withColumn("_valid", F.when(n >= 3, F.least(F.greatest("_valid", F.col("_train") + 1), n - 1)).otherwise(F.col("_valid")))
+    i = F.col(number)
+    block = F.when(i < F.col("_train"), TRAIN).when(i < F.col("_valid"), VALID).otherwise(TEST)
+    last = F.when(i < F.col("_train"), F.col("_train")).when(i < F.col("_valid"), F.col("_valid")).otherwise(n)
+    first = F.when(i < F.col("_train"), F.lit(0)).when(i < F.col("_valid"), F.col("_train")).otherwise(F.col("_valid"))
+    return df.crossJoin(F.broadcast(whole)).select(*df.columns, block.alias("split"), ((last - i - 0.5) / (last - first)).alias("r"))  # one row
+
+
+def temporal_split(df: DataFrame, time: str | None = None, fractions: tuple[float, float] = (0.15, 0.15)) -> DataFrame:
+    """Adds ``split`` and ``r`` by timestamp, so that all series share the boundaries; rows without a time are excluded.
+
+    Without a column's name time is the table's :func:`default_time`; a table without any is split in :func:`file_order`.
+    """
+    time = time or default_time(df)
+    if time is None:
+        return ordered_split(file_order(df, "_row"), "_row", fractions).drop("_row")
+    if not isinstance(df.schema[time].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        parsed = df.withColumn("_time", F.col(f"`{time}`").try_cast("timestamp"))
+        return temporal_split(parsed, "_time", fractions).drop("_time")
     cuts = temporal_cuts(df, time, fractions)
     joined = df.join(cuts, time, "left")
     return joined.select(*df.columns, F.coalesce("split", F.lit(EXCLUDED)).alias("split"), "r")

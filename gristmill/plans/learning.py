@@ -286,9 +286,20 @@ def prof7_scale_tier(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").agg(P.scale_tier(F.count(F.lit(1))).alias("tier"))
 
 
-@query(f"{_SERIES}, g AS (SELECT quantile_cont(d, 0.5) AS median_step, count(*) FILTER (d > 1.5 * m) AS n_gaps FROM d JOIN m USING (event_type) WHERE d IS NOT NULL) SELECT (SELECT count(*) FROM l) AS n_series, (SELECT min(n) FROM l) AS shortest, (SELECT max(n) FROM l) AS longest, n_gaps, median_step, CASE WHEN median_step BETWEEN 30 AND 90 THEN '1min' WHEN median_step BETWEEN 1800 AND 5400 THEN 'H' WHEN median_step BETWEEN 43200 AND 129600 THEN 'D' WHEN median_step BETWEEN 432000 AND 777600 THEN 'W' WHEN median_step BETWEEN 2160000 AND 3024000 THEN 'M' END AS frequency FROM g")
+def _series_sql(table: str, time: str, series: str | None) -> str:
+    """The profile of a table's series, once its columns are known."""
+    key, name = (series, f"'{series}'") if series else ("'all'", "NULL")
+    return f"""SELECT '{table}' AS name, '{time}' AS time_column, CAST({name} AS VARCHAR) AS series_column, n_series, shortest, longest, n_gaps, median_step, CASE WHEN median_step BETWEEN 30 AND 90 THEN '1min' WHEN median_step BETWEEN 1800 AND 5400 THEN 'H' WHEN median_step BETWEEN 43200 AND 129600 THEN 'D' WHEN median_step BETWEEN 432000 AND 777600 THEN 'W' WHEN median_step BETWEEN 2160000 AND 3024000 THEN 'M' END AS frequency
+FROM (SELECT count(*) AS n_series, min(n) AS shortest, max(n) AS longest FROM (SELECT count(*) AS n FROM {table} GROUP BY {key})),
+(WITH d AS (SELECT k, s - lag(s) OVER (PARTITION BY k ORDER BY s) AS d FROM (SELECT DISTINCT {key} AS k, CAST(floor(epoch({time})) AS BIGINT) AS s FROM {table})), m AS (SELECT k, quantile_cont(d, 0.5) AS m FROM d WHERE d IS NOT NULL GROUP BY k)
+ SELECT count(*) FILTER (d > 1.5 * m) AS n_gaps, quantile_cont(d, 0.5) AS median_step FROM d JOIN m USING (k) WHERE d IS NOT NULL)"""
+
+
+@query(f"{_series_sql('events', 'ts', 'user_id')} UNION ALL {_series_sql('orders', 'o_orderdate', None)}")
 def prof8_series_profile(spark, sf_dir):
-    return P.series_profile(table(spark, sf_dir, "events"), "ts", "event_type")
+    """Which columns of two tables are time and series, and what their series are like; no column is named."""
+    parts = [P.series_profile(table(spark, sf_dir, name)).select(F.lit(name).alias("name"), "*") for name in ("events", "orders")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("SELECT 'too_many_classes' AS issue, 'o_orderkey' AS \"column\" FROM orders HAVING count(DISTINCT o_orderkey) > greatest(50, count(*) / 2) UNION ALL SELECT 'no_such_column', 'body' WHERE NOT EXISTS (FROM information_schema.columns WHERE table_name = 'orders' AND column_name = 'body') UNION ALL SELECT 'too_few_rows', NULL FROM orders HAVING count(*) < 20")
@@ -333,6 +344,19 @@ def split4_temporal(spark, sf_dir):
     return S.temporal_split(table(spark, sf_dir, "orders"), "o_orderdate").select("o_orderkey", F.col("split").cast("long"))
 
 
+@query(f"{_TEMPORAL} SELECT o_orderkey, split::BIGINT AS split, round(r, 9) AS r FROM orders JOIN r USING (o_orderdate)")
+def split4_default_time(spark, sf_dir):
+    """No column is named: the table's only column of time is found."""
+    return S.temporal_split(table(spark, sf_dir, "orders")).select("o_orderkey", F.col("split").cast("long"), F.round("r", 9).alias("r"))
+
+
+@query("""WITH i AS (SELECT c_custkey, row_number() OVER () - 1 AS i FROM customer), n AS (SELECT count(*) AS n, CAST(floor(count(*) * (1.0::DOUBLE - 0.15::DOUBLE - 0.15::DOUBLE)) AS BIGINT) AS a, CAST(floor(count(*) * (1.0::DOUBLE - 0.15::DOUBLE)) AS BIGINT) AS b FROM customer)
+SELECT c_custkey, CASE WHEN i < a THEN 0 WHEN i < b THEN 1 ELSE 2 END::BIGINT AS split, round((CASE WHEN i < a THEN a - i - 0.5 WHEN i < b THEN b - i - 0.5 ELSE n - i - 0.5 END) / (CASE WHEN i < a THEN a WHEN i < b THEN b - a ELSE n - b END), 9) AS r FROM i, n""")
+def split4_file_order(spark, sf_dir):
+    """A table without time is split in the order of its file."""
+    return S.temporal_split(table(spark, sf_dir, "customer")).select("c_custkey", F.col("split").cast("long"), F.round("r", 9).alias("r"))
+
+
 @query(f"{_TEMPORAL} SELECT o_orderkey, round(r, 9) AS r FROM orders JOIN r USING (o_orderdate)")
 def split5_suffix_window(spark, sf_dir):
     return S.temporal_split(table(spark, sf_dir, "orders"), "o_orderdate").select("o_orderkey", F.round("r", 9).alias("r"))

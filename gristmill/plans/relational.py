@@ -10,6 +10,7 @@ from ..functions.hashing import row_hash, uniform, uniform_sql
 from ..operators import ranks
 from ..operators import relational as R
 from ..operators import split as P
+from ..operators.profile import time_steps
 from .registry import query, table
 
 _R = uniform_sql("o_orderkey", "r")
@@ -318,6 +319,24 @@ def fn16_frequency(spark, sf_dir):
     return medians.select("user_id", F.round("m", 4).alias("step"), calendar.frequency(F.col("m")).alias("frequency"))
 
 
+#: Order dates as series of six kinds: days, weekdays, weeks, months, middles of months, quarters.
+_KINDS = """k AS (SELECT DISTINCT unnest(['day', 'weekday', 'week', 'month', 'middle', 'quarter']) AS kind, o_orderdate AS t FROM orders),
+s AS (SELECT DISTINCT kind, CASE kind WHEN 'day' THEN date_trunc('day', t) WHEN 'weekday' THEN CASE WHEN isodow(t) <= 5 THEN date_trunc('day', t) END WHEN 'week' THEN date_trunc('week', t) WHEN 'month' THEN date_trunc('month', t) WHEN 'middle' THEN date_trunc('month', t) + INTERVAL 14 DAY ELSE date_trunc('quarter', t) END AS t FROM k),
+d AS (SELECT kind, quantile_cont(d, 0.5) / 86400 AS m FROM (SELECT kind, epoch(t) - lag(epoch(t)) OVER (PARTITION BY kind ORDER BY t) AS d FROM s WHERE t IS NOT NULL) WHERE d IS NOT NULL GROUP BY kind),
+f AS (SELECT kind, count(DISTINCT isodow(t)) AS weekdays, max(isodow(t)) AS last, count(DISTINCT month(t) % 3) AS residues, bool_and(day(t) = 1) OR bool_and(t = last_day(t)) AS anchored, count(*) AS days FROM s WHERE t IS NOT NULL GROUP BY kind)"""
+
+
+@query(f"WITH {_KINDS} SELECT kind, CASE WHEN m < 0.5 THEN NULL WHEN m <= 1.5 AND last <= 5 AND weekdays = 5 AND days > 5 THEN 'B' WHEN m <= 1.5 THEN 'D' WHEN m BETWEEN 5 AND 9 AND weekdays = 1 THEN 'W' WHEN m BETWEEN 25 AND 35 AND anchored THEN 'M' WHEN m BETWEEN 85 AND 95 AND anchored AND residues = 1 THEN 'Q' END AS frequency FROM d JOIN f USING (kind)")
+def fn16_calendar_frequency(spark, sf_dir):
+    """Business days are told from days, quarters from months, and months from steps of a month that begin in its middle."""
+    t = F.col("o_orderdate")
+    day, month = F.date_trunc("day", t), F.date_trunc("month", t)
+    kinds = {"day": day, "weekday": F.when(F.weekday(t) < 5, day), "week": F.date_trunc("week", t), "month": month, "middle": month + F.make_dt_interval(days=F.lit(14)), "quarter": F.date_trunc("quarter", t)}
+    rows = table(spark, sf_dir, "orders").select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("t")) for k, v in kinds.items())))).where("t is not null").distinct()
+    steps = time_steps(rows, "t", "kind").groupBy(F.col("series").alias("kind")).agg(F.percentile("d", F.lit(0.5)).alias("m"))
+    return calendar.calendar_frequency(rows, ["kind"], "t", steps)
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_exists(props, '$.k') AS has FROM events")
 def fn17_json_access(spark, sf_dir):
     k = F.get_json_object("props", "$.k")

@@ -449,3 +449,56 @@ def test_descent_equals_a_plain_loop():
         squares[used] += gradient**2
         w[used] -= 0.5 * gradient / (np.sqrt(squares[used]) + 1e-8)
     assert got == pytest.approx(w) and touched.tolist() == (x != 0).sum(0).tolist()
+
+
+def test_time_and_series_are_inferred(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, f"s{i % 4}", i % 3, start + dt.timedelta(days=i // 4), str((start + dt.timedelta(days=i // 4)).date()), float(i)) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, store_id string, kind int, ts timestamp, date string, y double")
+    assert profile.time_and_series(profile.column_profile(df)) == ("date", "store_id")
+    assert profile.time_and_series(profile.column_profile(df.drop("store_id", "date"))) == ("ts", None)
+    assert profile.time_and_series(profile.column_profile(df.select("row_id", "y"))) == (None, None)
+    r = profile.series_profile(df).first()
+    assert (r.n_series, r.shortest, r.longest, r.n_gaps, r.median_step, r.frequency) == (4, 20, 20, 0, 86400.0, "D")
+    r = profile.series_profile(df.where("ts <> timestamp'2024-01-05'").select("ts", "y")).first()
+    assert (r.series_column, r.n_series, r.longest, r.n_gaps, r.median_step) == (None, 1, 76, 1, 86400.0)
+    assert profile.series_profile(df.select("row_id", "y")).count() == 0
+
+
+def test_default_time_and_file_order(spark):
+    """Without a time a table is split in file order, alike however its files are cut, Parquet or not."""
+    start = dt.datetime(2024, 1, 1)
+    df = spark.range(0, 900, 1, 3).select("id", F.concat(F.lit("r"), "id").alias("s"))
+    for kind in ("parquet", "csv", "json"):
+        path = new_path(spark, "ordered")
+        df.write.format(kind).save(path)
+        read = lambda: spark.read.schema("id long, s string").format(kind).load(path)  # noqa: B023, E731
+        first = split.file_order(read()).orderBy("row").collect()
+        assert [r.row for r in first] == list(range(900))
+        by_file = {}
+        for r in read().select("id", "_metadata.file_path").collect():
+            by_file.setdefault(r.file_path, []).append(r.id)
+        assert [r.id for r in first] == [i for f in sorted(by_file) for i in sorted(by_file[f])]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        try:
+            again = split.file_order(read()).orderBy("row").collect()
+            blocks = {r.id: (r.split, r.r) for r in split.temporal_split(read()).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r.id for r in again] == [r.id for r in first]
+        want = split.temporal_split(spark.createDataFrame([(r.id, start + dt.timedelta(minutes=r.row)) for r in first], "id long, ts timestamp"), "ts").collect()
+        assert {k: v[0] for k, v in blocks.items()} == {r.id: r.split for r in want}
+        assert all(abs(blocks[r.id][1] - r.r) < 1e-12 for r in want)
+    dated = spark.createDataFrame([(i, f"2024-01-{i:02d}") for i in range(1, 21)], "id long, sale_date string")
+    assert split.default_time(dated) == "sale_date" and split.split_sizes(split.temporal_split(dated)).count() == 3
+
+
+def test_calendar_frequencies(spark):
+    import pandas as pd
+
+    from gristmill.functions import calendar
+
+    made = {"B": pd.bdate_range("2024-01-01", periods=40), "D": pd.date_range("2024-01-01", periods=40), "Q": pd.date_range("2020-03-31", periods=9, freq="QE"), "M": pd.date_range("2020-01-01", periods=12, freq="MS"), "W": pd.date_range("2024-01-03", periods=9, freq="7D"), "H": pd.date_range("2024-01-01", periods=50, freq="h"), None: pd.date_range("2020-01-15", periods=9, freq="30D")}
+    rows = spark.createDataFrame([(str(k), t.to_pydatetime()) for k, ts in made.items() for t in ts], "k string, t timestamp")
+    steps = profile.time_steps(rows, "t", "k").groupBy(F.col("series").alias("k")).agg(F.percentile("d", F.lit(0.5)).alias("m"))
+    assert {r.k: r.frequency for r in calendar.calendar_frequency(rows, ["k"], "t", steps).collect()} == {str(k): k for k in made}
