@@ -100,6 +100,40 @@ def naive_forecast(history: DataFrame, block: DataFrame, horizon: int, season: i
     return rows.join(phase, ["sid", "_at"], "left").join(last, ["sid", "origin"], "left").select("sid", "ts", "y", F.coalesce("_phase", "_last").alias("p"))
 
 
+#: What the boosted forecaster learns from, besides the series itself.
+BOOSTED_FEATURES = ("lag1", "lag6", "lag13", "mean7", "mean14", "std7", "std14", "seasonal", "h", "dow", "month")
+
+
+def backtest_rows(history: DataFrame, block: DataFrame, horizon: int, season: int) -> DataFrame:
+    """The block's rows by rolling origin, each with what is known at its origin: the features of :func:`training_set`, ``target`` and
+    ``target_ts``. Rows whose origin lies in the warm-up are left out."""
+    whole = history.select("sid", "ts", "y").unionByName(block.select("sid", "ts", "y"))
+    rows = rolling_origins(history, block, horizon).select("sid", F.col("ts").alias("target_ts"), F.col("y").alias("target"), "h", F.col("origin").alias("idx"))
+    rows = rows.where(F.col("idx") >= WARM_UP).join(origin_features(whole), ["sid", "idx"])
+    return seasonal_lag(rows, whole, season).withColumns(parts(F.col("target_ts")))
+
+
+def boosted_forecast(train: DataFrame, valid: DataFrame, block: DataFrame, horizon: int, season: int, params: dict | None = None) -> tuple[DataFrame, list[float]]:
+    """(sid, ts, y, p) of the block's rows by one boosted model over all series and steps, and its error by round.
+
+    Rounds are fitted on the training block; after each one the rolling-origin backtest of the validation block gives the mean absolute
+    error, and the model stops at the round with the smallest. ``p`` is null where there is too little history for the features.
+    """
+    from .models import pipeline, staged
+
+    names = list(BOOSTED_FEATURES)
+    # A round of the absolute loss steps by a share of one, whatever the values: they are learned in units of their own deviation.
+    unit = train.agg(F.stddev_pop("y")).first()[0] or 1.0
+    shaped = lambda df, *more: persisted(df.select("sid", *more, (F.col("target") / F.lit(unit)).alias("label"), *(F.col(c).cast("double").alias(c) for c in names)), "origins")
+    own = {"lossType": "absolute", "maxIter": 30, "maxDepth": 5, "stepSize": 0.1, "minInstancesPerNode": 10, "subsamplingRate": 0.8, "featureSubsetStrategy": "all"} | (params or {})
+    learned = shaped(training_set(train, horizon, season))
+    model, errors = staged(lambda rounds: pipeline(names, ["sid"], "boosted", "regression", own | {"maxIter": rounds}), own["maxIter"], learned, shaped(backtest_rows(train, valid, horizon, season)), "absolute")
+    known = train.select("sid", "ts", "y").unionByName(valid.select("sid", "ts", "y"))
+    made = model.transform(shaped(backtest_rows(known, block, horizon, season), F.col("target_ts").alias("ts"))).select("sid", "ts", (F.col("prediction") * F.lit(unit)).alias("p"))
+    errors = [e * unit for e in errors]
+    return block.select("sid", "ts", "y").join(made, ["sid", "ts"], "left"), errors
+
+
 #: Positions of a chunk of a long series are at least so many, and at least the square root of the longest series.
 CHUNK = 4096
 #: Equal ranges of time in which positions are counted first.

@@ -67,7 +67,7 @@ def successive_halving(
     spark: SparkSession,
     plans: Sequence[tuple[str, str]],
     n_train: int,
-    fit_score: Callable[[str, int], float],
+    fit_score: Callable[[str, int], float | tuple[float, int]],
     higher: bool = True,
     min_rows: int = 20_000,
     growth: int = 4,
@@ -77,8 +77,8 @@ def successive_halving(
 ) -> tuple[str, DataFrame]:
     """The chosen plan and the table of OBSERVATION.
 
-    ``plans`` are (plan, family); ``fit_score(plan, rows)`` fits on the nested sample of so many training rows and scores
-    on validation. Families over their row limit are left out where the final fit is too large for them. A rung is not
+    ``plans`` are (plan, family); ``fit_score(plan, rows)`` fits on the nested sample of so many training rows, scores on
+    validation, and returns the score, or the score and how many rows it really fitted on. Families over their row limit are left out where the final fit is too large for them. A rung is not
     begun when the mean time so far, grown with the rows, would not fit in what is left. The last row is the final fit,
     which must use nearly all training rows.
     """
@@ -95,7 +95,7 @@ def successive_halving(
         for plan, family in alive:
             t, score, error = clock(), None, None
             try:
-                score = float(fit_score(plan, size))
+                score, _ = _scored(fit_score(plan, size), size)
             except Exception as e:  # a plan that fails ranks last; the error is kept
                 error = f"{type(e).__name__}: {e}"[:200]
             took.append(clock() - t)
@@ -107,11 +107,17 @@ def successive_halving(
             break
     plan, family = alive[0]
     t = clock()
-    score = float(fit_score(plan, n_train))
-    rows.append((plan, family, len(rungs), require_full(n_train, n_train), score, clock() - t, None, True))
+    score, used = _scored(fit_score(plan, n_train), n_train)
+    rows.append((plan, family, len(rungs), require_full(used, n_train), score, clock() - t, None, True))
     return plan, spark.createDataFrame(rows, OBSERVATION)
 
 
+def _scored(found: float | tuple[float, int], size: int) -> tuple[float, int]:
+    """A score, and the rows of its fit; a bare score is taken at its word."""
+    score, used = found if isinstance(found, tuple) else (found, size)
+    return float(score), int(used)
+
+
 def require_full(used: int, n_train: int) -> int:
     if used < FULL_SHARE * n_train:
         raise ValueError(f"the final fit used {used} of {n_train} training rows")

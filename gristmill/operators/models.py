@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as G
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import unicode_words
+from ..sources.shared import persisted
 from .neighbours import nearest
+from .ranks import ranked
 
 #: The most training rows a family is tried on in a search; none where it takes any.
 ROW_LIMITS = {"knn": 100_000}
@@ -70,6 +72,20 @@ def predictions(model: PipelineModel, df: DataFrame, labels: Sequence[str] = ())
     return out.select(*df.columns, "prediction", *(f"prob_{name}" for name in labels if f"prob_{name}" in out.columns))
 
 
+def staged(make: Callable[[int], Pipeline], rounds: int, train: DataFrame, valid: DataFrame, loss: str) -> tuple[PipelineModel, list[float]]:
+    """A boosted pipeline cut at the round with the smallest loss on ``valid``, and the loss after each round.
+
+    Rounds do not depend on how many follow, so the cut model is the one that is fitted with so many rounds.
+    """
+    model = make(rounds).fit(train)
+    before = valid
+    for stage in model.stages[:-1]:
+        before = stage.transform(before)
+    errors = list(model.stages[-1].evaluateEachIteration(before, loss))
+    best = 1 + min(range(len(errors)), key=errors.__getitem__)
+    return (model if best == rounds else make(best).fit(train)), errors
+
+
 def knn(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, label, votes): the most frequent label of the k nearest; ``train`` has (id, vec, label), ``queries`` (query, vec).
 
@@ -104,19 +120,21 @@ def importances(model: PipelineModel, transformed: DataFrame, numeric: Sequence[
     return sorted(((k, v / total) for k, v in totals.items()), key=lambda x: -x[1])
 
 
-def shuffled(df: DataFrame, column: str, order: Column) -> DataFrame:
-    """The rows with one column's values moved to the next row in ``order``, of a bounded sample: for permutation importance."""
-    w = Window.orderBy(order)
-    moved = F.coalesce(F.lag(column).over(w), F.last(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return df.withColumn(column, moved)
+def shuffled(df: DataFrame, column: str, key: str, draw: int) -> DataFrame:
+    """The rows with one column's values dealt out anew: a row gets the value of the row that has its place in another order. Both orders are
+    ranks by hashes of the key, so rows meet by a join, and no task holds them all."""
+    place = lambda salt, name: ranked(df.withColumn("_h", F.pmod(F.xxhash64(F.lit(salt), F.lit(draw), key), F.lit(1 << 40)) / F.lit(float(1 << 40))), F.col("_h"), [F.col(key)], name=name).drop("_h")
+    values = place(1, "_to").select("_to", F.col(column).alias("_value"))
+    return place(0, "_from").join(values, F.col("_from") == F.col("_to")).withColumn(column, F.col("_value")).select(*df.columns)
 
 
-def permutation_importance(model: PipelineModel, sample: DataFrame, columns: Sequence[str], key: str, score, repeats: int = 3) -> list[tuple[str, float]]:
-    """Mean loss of ``score(predictions)`` when a column is shuffled, not below 0; ``sample`` is at most a few hundred rows."""
-    base = score(model.transform(sample))
+def permutation_importance(model: PipelineModel, rows: DataFrame, columns: Sequence[str], key: str, score, repeats: int = 3) -> list[tuple[str, float]]:
+    """Mean loss of ``score(predictions)`` when a column is shuffled over all ``rows``, not below 0; ``key`` tells rows apart."""
+    rows = persisted(rows, "to-shuffle")
+    base = score(model.transform(rows))
     out = []
     for c in columns:
-        lost = [base - score(model.transform(shuffled(sample, c, F.xxhash64(F.lit(i), key)))) for i in range(repeats)]
+        lost = [base - score(model.transform(shuffled(rows, c, key, i))) for i in range(repeats)]
         out.append((c, max(0.0, sum(lost) / repeats)))
     return sorted(out, key=lambda x: -x[1])
 

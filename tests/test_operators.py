@@ -502,3 +502,39 @@ def test_calendar_frequencies(spark):
     rows = spark.createDataFrame([(str(k), t.to_pydatetime()) for k, ts in made.items() for t in ts], "k string, t timestamp")
     steps = profile.time_steps(rows, "t", "k").groupBy(F.col("series").alias("k")).agg(F.percentile("d", F.lit(0.5)).alias("m"))
     assert {r.k: r.frequency for r in calendar.calendar_frequency(rows, ["k"], "t", steps).collect()} == {str(k): k for k in made}
+
+
+def test_shuffling_deals_all_values_anew(spark):
+    from gristmill.operators.models import shuffled
+
+    df = spark.range(0, 400, 1, 5).select("id", (F.col("id") * 2).alias("x"), F.lit("same").alias("y"))
+    got = {r.id: r.x for r in shuffled(df, "x", "id", 0).collect()}
+    assert sorted(got) == list(range(400)) and sorted(got.values()) == [2 * i for i in range(400)]
+    assert sum(v == 2 * k for k, v in got.items()) < 10 and got != {r.id: r.x for r in shuffled(df, "x", "id", 1).collect()}
+
+
+def test_final_fit_must_use_all_rows(spark):
+    plans = [("a", "linear"), ("b", "linear")]
+    _, seen = halving.successive_halving(spark, plans, 400, lambda plan, rows: (0.5, rows), min_rows=100)
+    assert seen.where("final").first().fidelity_rows == 400
+    with pytest.raises(ValueError, match="100 of 400"):
+        halving.successive_halving(spark, plans, 400, lambda plan, rows: (0.5, min(rows, 100)), min_rows=100)
+
+
+def test_boosting_is_cut_by_the_backtest(spark):
+    """A weekly pattern with a late jump in the validation block: the cut round is the best of all on it, and no feature looks past its origin."""
+    import random
+
+    rng, start = random.Random(2), dt.datetime(2024, 1, 1)
+    rows = [(s, start + dt.timedelta(days=i), 10.0 + 5 * (i % 7 == 3) + rng.random() + (ord(s) - 97)) for s in "ab" for i in range(140)]
+    series = spark.createDataFrame(rows, "sid string, ts timestamp, y double")
+    block = lambda a, b: series.where(F.datediff("ts", F.lit(start)).between(a, b - 1))
+    out, errors = forecast.boosted_forecast(block(0, 90), block(90, 112), block(112, 140), 7, 7, {"maxIter": 12, "subsamplingRate": 1.0})
+    assert len(errors) == 12
+    scored = out.agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("e"), F.count("p").alias("n")).first()
+    mean = block(112, 140).withColumn("p", F.lit(block(0, 112).agg(F.avg("y")).first()[0])).agg(F.avg(F.abs(F.col("p") - F.col("y")))).first()[0]
+    assert scored.n == 56 and scored.e < 0.6 * mean
+    late = series.withColumn("y", F.when(F.datediff("ts", F.lit(start)) >= 126, 1000.0).otherwise(F.col("y")))
+    part = late.where(F.datediff("ts", F.lit(start)).between(112, 139))
+    a, b = ({(r.sid, r.target_ts): (r.lag1, r.mean7, r.seasonal) for r in forecast.backtest_rows(block(0, 112), x, 7, 7).collect()} for x in (block(112, 140), part))
+    assert all(a[k] == b[k] for k in a if (k[1] - start).days < 133)
