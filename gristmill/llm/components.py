@@ -30,24 +30,37 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
         label = new
 
 
-def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) to links (node, root) of the components of every quarter of a million links of a task."""
-    held, rows = [], 0
+#: Links that a task contracts at a time.
+AT_ONCE = 1 << 18
+
+
+def contracted(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    """Links as (node, root) of their components, roots left out."""
+    nodes, roots = local_components(np.concatenate(a), np.concatenate(b))
+    keep = nodes != roots
+    return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["a", "b"])
 
-    def flush():
-        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        nodes, roots = local_components(a, b)
-        keep = nodes != roots
-        return pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["a", "b"])
 
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) to links (node, root) of the components of every AT_ONCE links of a task."""
+    a, b, rows = [], [], 0
     for batch in batches:
-        held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+        a.append(batch.column(0).to_numpy(zero_copy_only=False))
+        b.append(batch.column(1).to_numpy(zero_copy_only=False))
         rows += batch.num_rows
-        if rows >= 1 << 18:
-            yield flush()
-            held, rows = [], 0
+        if rows >= AT_ONCE:
+            yield contracted(a, b)
+            a, b, rows = [], [], 0
     if rows:
-        yield flush()
+        yield contracted(a, b)
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """AT_ONCE links at most to (node, component) of all their nodes."""
+    held = list(batches)
+    if sum(b.num_rows for b in held):
+        a, b = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in local_components(a, b)], ["node", "component"])
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -55,13 +68,16 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round takes every node's neighbours to the smallest of them (large star: the larger ones; small star: the
     others), which needs O(log n) rounds on nearly all graphs. A round is written to the shared folder, the one before it is
-    deleted then, and nothing but a count comes to the driver. Nulls and links of a node with itself are left out.
+    deleted then, and nothing but a count comes to the driver. Once no more links are left than a task contracts at a time, one task does the
+    rest. Nulls and links of a node with itself are left out.
     """
     spark = links.sparkSession
     edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(contract, "a long, b long").distinct()
     path = scratch.save(edges, "links")
     while True:
         edges = spark.read.schema("a long, b long").parquet(path)
+        if edges.count() <= AT_ONCE:
+            return scratch.write(edges.coalesce(1).mapInArrow(_finished, "node long, component long"), "components")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -71,9 +87,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         before, path = path, scratch.save(small.where("a <> b").distinct(), "links")
         scratch.remove(spark, before)
         edges = spark.read.schema("a long, b long").parquet(path)
-        if not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
-            # every link now ends at a node that has no smaller neighbour; a node may still have two such
-            if not edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-                break
+        # Done once every link ends at a node that has no smaller neighbour, and no node has two such.
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("n"), F.lit(False).alias("is_end")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("n"), F.lit(True).alias("is_end")))
+        if ends.groupBy("node").agg(F.sum("n").alias("n"), F.max("is_end").alias("is_end")).where("n > 1 or n > 0 and is_end").isEmpty():
+            break
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -162,25 +162,27 @@ def _with_keys(k: int, percent: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, hub) dealt by key to links between the nodes that share a key, as (node, root)."""
-    key, node, a, b = [], [], [], []
+    """Rows (key, node, hub), sorted by key, to links between the nodes that share a key, as (node, root); some links at a time."""
+    a, b, held, last = [], [], 0, None
     for batch in batches:
         is_key = np.asarray(batch.column(2).is_null())
-        k, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        key.append(k[is_key])
-        node.append(n[is_key])
-        a.append(n[~is_key])
+        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        a.append(node[~is_key])
         b.append(batch.column(2).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
-    if not key:
-        return
-    key, node = np.concatenate(key), np.concatenate(node)
-    order = np.argsort(key, kind="stable")
-    key, node = key[order], node[order]
-    same = np.flatnonzero(key[1:] == key[:-1])
-    a, b = np.concatenate([*a, node[same + 1]]), np.concatenate([*b, node[same]])
-    nodes, roots = components.local_components(a, b)
-    keep = nodes != roots
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(roots[keep])], ["a", "b"])
+        key, node = key[is_key], node[is_key]
+        if len(key):
+            if last is not None:
+                key, node = np.r_[last[0], key], np.r_[last[1], node]
+            last = key[-1], node[-1]
+            same = np.flatnonzero(key[1:] == key[:-1])
+            a.append(node[same + 1])
+            b.append(node[same])
+        held += len(a[-1]) + (len(a[-2]) if len(key) else 0)
+        if held >= components.AT_ONCE:
+            yield components.contracted(a, b)
+            a, b, held = [], [], 0
+    if held:
+        yield components.contracted(a, b)
 
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
@@ -275,20 +277,29 @@ def tile_links(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
 
 
 def _links_of_tiles(k: int, percent: int, maps: bool = False):
-    """Rows (tile, node, text), sorted by tile, to links (a, b, null), and with ``maps`` to (node, null, bitmap) too."""
+    """Rows (tile, node, text), sorted by tile, to links (a, b, null); with ``maps`` to (node, component within its tile, bitmap) instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, found, out, drawn, held = None, {}, [], [], 0
+        tile, found, out, held = None, {}, [], 0
 
         def close():
-            if len(found) > 1:
-                out.extend((a, b, None) for a, b in tile_links(np.array(list(found), np.int64), list(found.values()), percent))
+            nonlocal held
+            names, sets = np.array(list(found), np.int64), list(found.values())
+            links = tile_links(names, sets, percent) if len(found) > 1 else []
+            if maps:
+                a, b = (np.array(x, np.int64) for x in zip(*links, strict=True)) if links else (names[:0], names[:0])
+                group = dict(zip(*(x.tolist() for x in components.local_components(a, b)), strict=True)) if links else {}
+                out.extend((name, group.get(name, name), bitmap(s, width_of(len(s))).tobytes()) for name, s in zip(names.tolist(), sets, strict=True))
+                held += sum(len(x[2]) for x in out[-len(sets) :]) if sets else 0
+            else:
+                out.extend((a, b, None) for a, b in links)
             found.clear()
 
         def flush() -> pa.RecordBatch:
-            a, b, c = zip(*out, *drawn, strict=True)
+            nonlocal held
+            a, b, c = zip(*out, strict=True)
             out.clear()
-            drawn.clear()
+            held = 0
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], ["a", "b", "map"])
 
         for batch in batches:
@@ -297,16 +308,14 @@ def _links_of_tiles(k: int, percent: int, maps: bool = False):
                 if own != tile:
                     close()
                     tile = own
+                    if held >= 1 << 24:
+                        yield flush()
                 if name not in found:
                     found[name] = s
-                    if maps:
-                        drawn.append((name, None, bitmap(s, width_of(len(s))).tobytes()))
-                        held += len(drawn[-1][2])
-            if len(out) + len(drawn) >= 1 << 16 or held >= 1 << 24:
+            if len(out) >= 1 << 16:
                 yield flush()
-                held = 0
         close()
-        if out or drawn:
+        if out:
             yield flush()
 
     return run
@@ -337,7 +346,7 @@ def _boundaries(percent: int):
 
 
 def _searched(texts: DataFrame, percent: int, k: int, maps: bool = False) -> DataFrame:
-    """Links (a, b) among the sets of each group of (pair, s1, text); with ``maps`` (s1, null, map) rows too."""
+    """Links (a, b) among the sets of each group of (pair, s1, text); with ``maps`` every set's component there and its bitmap."""
     return texts.select("pair", "s1", "text").repartition("pair").sortWithinPartitions("pair").mapInArrow(_links_of_tiles(k, percent, maps), "a long, b long, map binary")
 
 
@@ -383,7 +392,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     sets = scratch.write(rows.mapInArrow(_with_sets(k), "id long, h1 long, h2 long, n_shingles long, s1 long, s2 long, low long"), "sets")
 
     keys = rows.select("text").mapInArrow(_with_keys(k, percent), "key long, node long, hub long")
-    met = keys.repartition("key").mapInArrow(_meet, "a long, b long")
+    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
     tiles = components.connected_components(met).select(F.col("node").alias("s1"), F.col("component").alias("tile"))
 
     text_of = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("of")  # one row for each set
@@ -405,10 +414,9 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     large = members.where("large")
     if not large.isEmpty():
         first = scratch.write(_searched(with_texts(_blocked(large).select(*columns)), percent, k, maps=True), "blocks")
-        inside = first.where("b is not null").select("a", "b")
-        grouped = components.connected_components(inside).select(F.col("node").alias("s1"), F.col("component").alias("group"))
-        maps = first.where("b is null").select(F.col("a").alias("s1"), "map").join(large.select("s1", "tile", "n_shingles"), "s1").join(grouped, "s1", "left")
-        maps = _paired(maps.withColumn("group", F.coalesce("group", "s1")), percent, F.octet_length("map"), BLOCK_BYTES, BLOCK_MAPS)
+        inside = first.where("a <> b").select("a", "b")
+        maps = first.select(F.col("a").alias("s1"), F.col("b").alias("group"), "map").join(large.select("s1", "tile", "n_shingles"), "s1")
+        maps = _paired(maps, percent, F.octet_length("map"), BLOCK_BYTES, BLOCK_MAPS)
         maps = maps.select("pair", "s1", "n_shingles", "group", "map").repartition("pair").sortWithinPartitions("pair")
         again = scratch.write(maps.mapInArrow(_boundaries(percent), "s1 long").distinct(), "boundary")
         wanted = _paired(large.join(again, "s1", "left_semi"), percent, F.col("n_shingles"), BLOCK_SHINGLES, BLOCK_SETS)

@@ -184,7 +184,9 @@ def test_linked_sets_share_a_signature():
                 assert np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)).size or 100 * len(b) < percent * len(a) or len(a) == len(b)
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("at_once", [1, 1 << 18])
+def test_components_of_chains(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     links = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
