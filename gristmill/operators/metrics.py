@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import persisted
 from .ranks import in_ranges, quantiles
 
 #: Metrics of each task, the first being its default; losses are better when smaller.
@@ -63,13 +64,19 @@ def classification(df: DataFrame, y: str, p: str) -> DataFrame:
     )
 
 
+#: Distinct scores up to which one task orders them.
+FEW_SCORES = 1 << 19
+
+
 def auc(df: DataFrame, positive: Column, score: Column, groups: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
     """Tie-aware area under the ROC curve (``auc``), of each group. Distinct scores are counted first and prefix sums run
     inside ranges of scores, which hold about as many scores each, and whose totals are summed up in turn; so no task
     holds all of a group's scores."""
     counts = df.select(*groups, score.alias("_s"), positive.cast("long").alias("_y")).where("_s is not null and _y is not null")
     counts = counts.groupBy(*groups, "_s").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
-    counts = in_ranges(counts, "_s", "_bucket", buckets)
+    counts = persisted(counts, "scores")
+    # Few distinct scores need no ranges, and no pass that finds their bounds.
+    counts = in_ranges(counts, "_s", "_bucket", buckets) if counts.count() > FEW_SCORES else counts.withColumn("_bucket", F.lit(0))
     totals = counts.groupBy(*groups, "_bucket").agg(F.sum("_neg").alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*groups, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -24,7 +24,9 @@ NUMERIC, CATEGORICAL = ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "
 _KEY = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
 #: A line's price in units of quantity, its block by draw, and a second draw.
 _LINES = f"l AS (SELECT *, l_quantity * (1 - l_discount) * (1 + l_tax) AS label, {uniform_sql(_KEY, 'lines')} AS d, {uniform_sql(_KEY, 'r')} AS r FROM lineitem), b AS (SELECT *, CASE WHEN d < 0.7::DOUBLE THEN 0 WHEN d < 0.85::DOUBLE THEN 1 ELSE 2 END AS split FROM l)"
-#: Fits must miss by less than this share of the truth's own deviation.
+#: Leaves of quantity of the plain tree that families of trees are held against.
+_LEAVES = "floor((l_quantity - 1) / 12.5)"
+#: Parameter searches must miss by less than this share of the truth's own deviation.
 BOUND = 0.5
 
 
@@ -41,17 +43,38 @@ def _rmse(model, rows):
     return RegressionEvaluator(metricName="rmse").evaluate(model.transform(rows))
 
 
+LINEAR = ("linear", "lasso", "quick_linear")
+
+
+def _yardstick(train, test, family):
+    """(yardstick): what a plain model misses by on the test block. For linear families it is the line through the quantity alone, for trees
+    the mean of each of four leaves of quantity."""
+    if family in LINEAR:
+        line = train.agg(F.regr_slope("label", "l_quantity").alias("a"), F.regr_intercept("label", "l_quantity").alias("b"))
+        rows = test.crossJoin(F.broadcast(line)).select("label", (F.col("a") * F.col("l_quantity") + F.col("b")).alias("p"))  # one row
+    else:
+        leaf = F.expr(_LEAVES).cast("long")
+        means = train.groupBy(leaf.alias("leaf")).agg(F.avg("label").alias("p"))  # four rows
+        rows = test.withColumn("leaf", leaf).join(F.broadcast(means), "leaf")
+    error = F.col("p") - F.col("label")
+    return rows.agg(F.sqrt(F.avg(error * error)).alias("yardstick"))
+
+
 def _fitted(spark, sf_dir, family, params=None, valid=None):
+    """Which rows were learned from and scored, what a plain model misses by, and whether the family does better."""
     rows = _lines(spark, sf_dir)
-    train = rows.where(F.col("split") <= (S.VALID if valid else S.TRAIN))
+    train, test = rows.where(F.col("split") <= (S.VALID if valid else S.TRAIN)), rows.where(F.col("split") == S.TEST)
     model = O.pipeline(NUMERIC, CATEGORICAL, family, "regression", params, valid).fit(train)
     error = F.col("prediction") - F.col("label")
-    found = O.predictions(model, rows.where(F.col("split") == S.TEST)).agg(F.count(F.lit(1)).alias("n_test"), F.round(F.stddev_pop("label"), 6).alias("spread"), (F.sqrt(F.avg(error * error)) < BOUND * F.stddev_pop("label")).alias("within_bound"))
-    return found.crossJoin(train.agg(F.count(F.lit(1)).alias("n_train"))).select(F.lit(family).alias("family"), "n_train", "n_test", "spread", "within_bound")
+    found = O.predictions(model, test).agg(F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(error * error)).alias("error"))
+    out = found.crossJoin(train.agg(F.count(F.lit(1)).alias("n_train"))).crossJoin(_yardstick(train, test, family))
+    return out.select(F.lit(family).alias("family"), "n_train", "n_test", F.round("yardstick", 6).alias("yardstick"), (F.col("error") < F.col("yardstick")).alias("beats_it"))
 
 
 def _fitted_sql(family: str, last: int = 0) -> str:
-    return f"WITH {_LINES} SELECT '{family}' AS family, count(*) FILTER (split <= {last}) AS n_train, count(*) FILTER (split = 2) AS n_test, round(stddev_pop(label) FILTER (split = 2), 6) AS spread, true AS within_bound FROM b"
+    plain = f"(SELECT regr_slope(label, l_quantity) AS a, regr_intercept(label, l_quantity) AS b FROM b WHERE split <= {last})" if family in LINEAR else f"(SELECT {_LEAVES} AS leaf, avg(label) AS m FROM b WHERE split <= {last} GROUP BY 1)"
+    p = f"SELECT label, a * l_quantity + p.b AS p FROM b, {plain} p WHERE split = 2" if family in LINEAR else f"SELECT label, m AS p FROM b JOIN {plain} p ON {_LEAVES} = leaf WHERE split = 2"
+    return f"WITH {_LINES}, p AS ({p}) SELECT '{family}' AS family, (SELECT count(*) FROM b WHERE split <= {last}) AS n_train, count(*) AS n_test, round(sqrt(avg((p - label) * (p - label))), 6) AS yardstick, true AS beats_it FROM p"
 
 
 @query(_fitted_sql("boosted", 1))
