@@ -33,11 +33,9 @@ def estimator(family: str, task: str, params: dict | None = None, valid: str | N
         make = G.GBTRegressor if regression else C.GBTClassifier
         own = {"maxIter": 30, "maxDepth": 4, "seed": 42} | own | ({"validationIndicatorCol": valid} if valid else {})
         return C.OneVsRest(classifier=make(**own), labelCol=label) if task == "multiclass" else make(**own)
-    if family in ("forest", "extra_trees"):
+    if family == "forest":
         make = G.RandomForestRegressor if regression else C.RandomForestClassifier
-        # Spark has no random thresholds: the nearest to extra trees are unsampled rows, a third of the columns and few thresholds.
-        extra = {"bootstrap": False, "featureSubsetStrategy": "onethird", "maxBins": 8} if family == "extra_trees" else {}
-        return make(**({"numTrees": 50, "maxDepth": 8, "seed": 42} | extra | own))
+        return make(**({"numTrees": 50, "maxDepth": 8, "seed": 42} | own))
     if family == "linear":
         return G.LinearRegression(**({"elasticNetParam": 0.0, "regParam": 0.01} | own)) if regression else C.LogisticRegression(**({"maxIter": 50, "regParam": 0.001} | own))
     if family == "lasso" and regression:
@@ -51,8 +49,8 @@ def estimator(family: str, task: str, params: dict | None = None, valid: str | N
     raise ValueError(f"no family {family} for {task}")
 
 
-def pipeline(numeric: Sequence[str], categorical: Sequence[str], family: str, task: str, params: dict | None = None, valid: str | None = None, label: str = "label") -> Pipeline:
-    """Imputed, standardised numbers and one-hot levels (unknown ones kept apart), then the family."""
+def features(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
+    """Imputed, standardised numbers and one-hot levels (unknown ones kept apart), as ``features``."""
     stages = []
     if numeric:
         stages += [Imputer(strategy="median", inputCols=list(numeric), outputCols=[f"_n_{c}" for c in numeric]), VectorAssembler(inputCols=[f"_n_{c}" for c in numeric], outputCol="_numeric"), StandardScaler(withMean=True, inputCol="_numeric", outputCol="_scaled")]
@@ -60,7 +58,12 @@ def pipeline(numeric: Sequence[str], categorical: Sequence[str], family: str, ta
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=[f"_i_{c}" for c in categorical], handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=[f"_i_{c}" for c in categorical], outputCols=[f"_o_{c}" for c in categorical], handleInvalid="keep"))
     inputs = (["_scaled"] if numeric else []) + [f"_o_{c}" for c in categorical]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), estimator(family, task, params, valid, label)])
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
+
+
+def pipeline(numeric: Sequence[str], categorical: Sequence[str], family: str, task: str, params: dict | None = None, valid: str | None = None, label: str = "label") -> Pipeline:
+    """The features, then the family."""
+    return Pipeline(stages=[*features(numeric, categorical).getStages(), estimator(family, task, params, valid, label)])
 
 
 def predictions(model: PipelineModel, df: DataFrame, labels: Sequence[str] = ()) -> DataFrame:

@@ -6,10 +6,12 @@ the truth spreads, and whether the fit stays within a stated bound. SQL works ou
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform, uniform_sql
+from ..operators import extra_trees as E
 from ..operators import features as X
 from ..operators import halving as H
 from ..operators import models as O
@@ -89,7 +91,16 @@ def mod2_forest(spark, sf_dir):
 
 @query(_fitted_sql("extra_trees"))
 def mod2_extra_trees(spark, sf_dir):
-    return _fitted(spark, sf_dir, "extra_trees", {"numTrees": 20})
+    """Thresholds are drawn, not taken from quantiles."""
+    rows = _lines(spark, sf_dir)
+    train, test = rows.where(F.col("split") <= S.TRAIN), rows.where(F.col("split") == S.TEST)
+    made = O.features(NUMERIC, CATEGORICAL).fit(train)
+    shaped = lambda df: made.transform(df).select("label", vector_to_array("features").alias("x"), F.array("label").alias("y"))
+    model = E.fit(persisted(shaped(train), "shaped"), trees=10, depth=8)
+    error = F.col("prediction") - F.col("label")
+    found = E.predict(model, shaped(test)).agg(F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(error * error)).alias("error"))
+    out = found.crossJoin(train.agg(F.count(F.lit(1)).alias("n_train"))).crossJoin(_yardstick(train, test, "extra_trees"))
+    return out.select(F.lit("extra_trees").alias("family"), "n_train", "n_test", F.round("yardstick", 6).alias("yardstick"), (F.col("error") < F.col("yardstick")).alias("beats_it"))
 
 
 @query(_fitted_sql("linear"))

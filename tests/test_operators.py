@@ -538,3 +538,42 @@ def test_boosting_is_cut_by_the_backtest(spark):
     part = late.where(F.datediff("ts", F.lit(start)).between(112, 139))
     a, b = ({(r.sid, r.target_ts): (r.lag1, r.mean7, r.seasonal) for r in forecast.backtest_rows(block(0, 112), x, 7, 7).collect()} for x in (block(112, 140), part))
     assert all(a[k] == b[k] for k in a if (k[1] - start).days < 133)
+
+
+@pytest.mark.parametrize("classes", [1, 3])
+def test_extra_trees_equal_plain_ones(spark, classes):
+    """Grown one node after another from the same draws, every tree is the same; thresholds are no values or quantiles of the data."""
+    import numpy as np
+
+    from gristmill.operators import extra_trees as E
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.random(300), rng.integers(0, 4, 300), rng.normal(size=300), np.ones(300)])
+    y = (3 * x[:, :1] + x[:, 1:2] ** 2) if classes == 1 else np.eye(3)[np.digitize(x[:, 0] + 0.2 * x[:, 1], [0.4, 0.9])]
+    rows = spark.createDataFrame([([float(v) for v in a], [float(v) for v in b]) for a, b in zip(x, y)], "x array<double>, y array<double>").repartition(5)
+    model = E.fit(rows, classes, trees=3, depth=5, least_leaf=4, k=2, seed=9)
+
+    def grow(tree, number, at):
+        assert model.values[tree, number] == pytest.approx(y[at].mean(axis=0))
+        splits = E.draws(9, tree, number, x[at].min(axis=0), x[at].max(axis=0), 2) if number.bit_length() <= 5 and len(at) >= 8 else []
+        spread = []
+        for f, cut in splits:
+            left, right = at[x[at, f] <= cut], at[x[at, f] > cut]
+            spread.append(sum(((y[s] - y[s].mean(axis=0)) ** 2).sum() for s in (left, right)) if min(len(left), len(right)) >= 4 else np.inf)
+        if not splits or not np.isfinite(min(spread)):
+            assert model.features[tree, number] == -1
+            return
+        f, cut = splits[int(np.argmin(spread))]
+        assert (model.features[tree, number], model.thresholds[tree, number]) == (f, cut)
+        grow(tree, 2 * number, at[x[at, f] <= cut])
+        grow(tree, 2 * number + 1, at[x[at, f] > cut])
+
+    for tree in range(3):
+        grow(tree, 1, np.arange(300))
+    got = E.predict(model, rows).toPandas()
+    if classes == 1:
+        assert ((got["prediction"] - got["y"].str[0]) ** 2).mean() < 0.5 * y.var()
+    else:
+        assert (got["prediction"] == got["y"].map(lambda v: int(np.argmax(v)))).mean() > 0.7
+    with pytest.raises(ValueError):
+        E.fit(rows.where("false"))
