@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-import time
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,8 +19,6 @@ from .ranks import ranked
 
 #: The most training rows a family is tried on in a search; none where it takes any.
 ROW_LIMITS = {"knn": 100_000}
-#: Parameters that a search may draw, with their bounds.
-SEARCH = {"maxDepth": (2, 8), "maxIter": (10, 60), "stepSize": (0.03, 0.3), "subsamplingRate": (0.5, 1.0), "minInstancesPerNode": (1, 50), "minInfoGain": (0.0, 0.01), "maxBins": (16, 64)}
 
 
 def estimator(family: str, task: str, params: dict | None = None, valid: str | None = None, label: str = "label"):
@@ -99,17 +95,6 @@ def knn(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return votes.groupBy("query").agg(F.max_by("label", F.struct("votes", -F.col("label"))).alias("label"), F.max("votes").alias("votes"))
 
 
-def random_search(fit_score, seconds: float, draws: int = 20, seed: int = 42, space: dict = SEARCH) -> list[dict]:
-    """Tries drawn parameters until the time is up: rows (params, score), best first. ``fit_score(params)`` gives a score to raise."""
-    rng, began, out = random.Random(seed), time.monotonic(), []
-    for _ in range(draws):
-        params = {k: rng.randint(*b) if isinstance(b[0], int) else rng.uniform(*b) for k, b in space.items()}
-        out.append({"params": params, "score": fit_score(params)})
-        if time.monotonic() - began > seconds:
-            break
-    return sorted(out, key=lambda x: -x["score"])
-
-
 def importances(model: PipelineModel, transformed: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list[tuple[str, float]]:
     """Tree importances by source column of :func:`pipeline`, normalised, largest first; columns that are never split on have 0."""
     attributes = transformed.schema["features"].metadata["ml_attr"]["attrs"]

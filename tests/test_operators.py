@@ -577,3 +577,40 @@ def test_extra_trees_equal_plain_ones(spark, classes):
         assert (got["prediction"] == got["y"].map(lambda v: int(np.argmax(v)))).mean() > 0.7
     with pytest.raises(ValueError):
         E.fit(rows.where("false"))
+
+
+def test_search_is_reproducible_and_learns():
+    """The same draws under the same clock whatever order fits end in, a deadline, failures last, and better draws than even ones."""
+    import random
+    import time
+
+    from gristmill.operators import search as K
+
+    space = {"a": (0.0, 1.0), "b": (1, 40), "c": (-5.0, 5.0)}
+    score = lambda p: -((p["a"] - 0.3) ** 2) - ((p["b"] - 30) / 40) ** 2 - (p["c"] / 10) ** 2
+
+    def slow(p):
+        time.sleep(random.random() / 50)
+        return score(p)
+
+    one, two = K.search(slow, math.inf, 20, 4, 1, space, clock=lambda: 0.0), K.search(score, math.inf, 20, 4, 1, space, clock=lambda: 0.0)
+    assert one == two and len(one) == 20 and sorted(d.number for d in one) == list(range(20))
+    assert all(0 <= d.params["a"] <= 1 and d.params["b"] in range(1, 41) for d in one) and [d.score for d in one] == sorted((d.score for d in one), reverse=True)
+    late, early = [], []
+    for seed in range(12):
+        for d in K.search(score, math.inf, 40, 4, seed, space):
+            (early if d.number < K.EVEN_DRAWS else late if d.number >= 24 else []).append(d.score)
+    assert sum(late) / len(late) > 0.4 * sum(early) / len(early)
+
+    ticks = iter(range(0, 10_000, 10))
+    few = K.search(lambda p: 1.0, 100, 20, 1, 1, space, clock=lambda: float(next(ticks)))
+    assert 1 <= len(few) < 5
+
+    def broken(p):
+        if p["a"] > 0.5:
+            raise RuntimeError("no")
+        return p["a"]
+
+    mixed = K.search(broken, math.inf, 20, 3, 1, space)
+    assert mixed[0].score == max(d.score for d in mixed if d.score is not None) and any(d.error == "RuntimeError: no" for d in mixed)
+    assert [d.score is None for d in mixed] == sorted(d.score is None for d in mixed)
