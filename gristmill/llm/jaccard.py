@@ -35,6 +35,8 @@ from . import components, scratch, words
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 8192
 #: A task that compares bitmaps holds at most two blocks of so many bytes and sets.
 BLOCK_BYTES, BLOCK_MAPS = 1 << 23, 1 << 16
+#: Sets whose texts are wanted up to which these rows are broadcast, about 50 bytes each; more are joined.
+FEW_WANTED = 1 << 18
 _FLUSH_ROWS = 1 << 19
 
 
@@ -276,11 +278,12 @@ def tile_links(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     return links
 
 
-def _links_of_tiles(k: int, percent: int, maps: bool = False):
-    """Rows (tile, node, text), sorted by tile, to links (a, b, null); with ``maps`` to (node, component within its tile, bitmap) instead."""
+def _links_of_tiles(k: int, percent: int):
+    """Rows (tile, node, text, large), sorted by tile, to links (a, b, null); from blocks of large tiles to (node, component in its block,
+    bitmap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, found, out, held = None, {}, [], 0
+        tile, maps, found, out, held = None, False, {}, [], 0
 
         def close():
             nonlocal held
@@ -304,10 +307,10 @@ def _links_of_tiles(k: int, percent: int, maps: bool = False):
 
         for batch in batches:
             tiles, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for own, name, s in zip(tiles, names, words.shingle_sets(batch.column(2), k), strict=True):
+            for own, name, large, s in zip(tiles, names, batch.column(3).to_pylist(), words.shingle_sets(batch.column(2), k), strict=True):
                 if own != tile:
                     close()
-                    tile = own
+                    tile, maps = own, large
                     if held >= 1 << 24:
                         yield flush()
                 if name not in found:
@@ -345,9 +348,9 @@ def _boundaries(percent: int):
     return run
 
 
-def _searched(texts: DataFrame, percent: int, k: int, maps: bool = False) -> DataFrame:
-    """Links (a, b) among the sets of each group of (pair, s1, text); with ``maps`` every set's component there and its bitmap."""
-    return texts.select("pair", "s1", "text").repartition("pair").sortWithinPartitions("pair").mapInArrow(_links_of_tiles(k, percent, maps), "a long, b long, map binary")
+def _searched(texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """What :func:`_links_of_tiles` finds in each group of (pair, s1, text, large)."""
+    return texts.select("pair", "s1", "text", "large").repartition("pair").sortWithinPartitions("pair").mapInArrow(_links_of_tiles(k, percent), "a long, b long, map binary")
 
 
 def _paired(rows: DataFrame, percent: int, weight: Column, most: int, most_rows: int) -> DataFrame:
@@ -403,24 +406,27 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     members = scratch.write(members.join(whole, "tile").select(*members.columns, is_large.alias("large")), "tiles")
 
     def with_texts(wanted: DataFrame) -> DataFrame:
-        """(pair, s1, text) of (pair, s1, id, h1, h2)."""
-        texts = rows.where("id is not null").join(wanted.where("id is not null"), ["id", "h1", "h2"]).select("pair", "s1", "text")
+        """(pair, s1, text, large) of (pair, s1, id, h1, h2, large)."""
+        wanted = scratch.write(wanted, "wanted")
+        few = F.broadcast if wanted.count() <= FEW_WANTED else lambda df: df
+        texts = rows.where("id is not null").join(few(wanted.where("id is not null")), ["id", "h1", "h2"]).select("pair", "s1", "text", "large")
         # Copies with a null id are one row before they meet.
         nameless = rows.where("id is null").groupBy("h1", "h2").agg(F.min("text").alias("text"))
-        return texts.unionByName(nameless.join(wanted.where("id is null").drop("id"), ["h1", "h2"]).select("pair", "s1", "text"))
+        return texts.unionByName(nameless.join(few(wanted.where("id is null").drop("id")), ["h1", "h2"]).select("pair", "s1", "text", "large"))
 
-    columns = ["pair", "s1", "id", "h1", "h2"]
-    links = _searched(with_texts(members.where("not large").withColumn("pair", F.col("tile")).select(*columns)), percent, k).select("a", "b")
+    columns = ["pair", "s1", "id", "h1", "h2", "large"]
     large = members.where("large")
-    if not large.isEmpty():
-        first = scratch.write(_searched(with_texts(_blocked(large).select(*columns)), percent, k, maps=True), "blocks")
-        inside = first.where("a <> b").select("a", "b")
-        maps = first.select(F.col("a").alias("s1"), F.col("b").alias("group"), "map").join(large.select("s1", "tile", "n_shingles"), "s1")
+    first = members.where("not large").withColumn("pair", F.col("tile")).select(*columns).unionByName(_blocked(large).select(*columns))
+    first = scratch.write(_searched(with_texts(first), percent, k), "first-links")
+    links = first.where("a <> b").select("a", "b")
+    maps = first.where("map is not null").select(F.col("a").alias("s1"), F.col("b").alias("group"), "map")
+    if not maps.isEmpty():
+        maps = maps.join(large.select("s1", "tile", "n_shingles"), "s1")
         maps = _paired(maps, percent, F.octet_length("map"), BLOCK_BYTES, BLOCK_MAPS)
         maps = maps.select("pair", "s1", "n_shingles", "group", "map").repartition("pair").sortWithinPartitions("pair")
         again = scratch.write(maps.mapInArrow(_boundaries(percent), "s1 long").distinct(), "boundary")
-        wanted = _paired(large.join(again, "s1", "left_semi"), percent, F.col("n_shingles"), BLOCK_SHINGLES, BLOCK_SETS)
-        links = links.unionByName(inside).unionByName(_searched(with_texts(wanted.select(*columns)), percent, k).select("a", "b"))
+        wanted = _paired(large.join(again, "s1", "left_semi").withColumn("large", F.lit(False)), percent, F.col("n_shingles"), BLOCK_SHINGLES, BLOCK_SETS)
+        links = links.unionByName(_searched(with_texts(wanted.select(*columns)), percent, k).select("a", "b"))
     joined = components.connected_components(links).select(F.col("node").alias("s1"), "component")
 
     named = classes.join(joined, "s1", "left").withColumn("component", F.coalesce("component", "s1"))
