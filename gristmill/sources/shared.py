@@ -26,3 +26,26 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    """A path and its file system, whatever the scheme."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    own, system = _file(spark, path)
+    return system.exists(own)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The paths right below a folder; none if there is no such folder."""
+    own, system = _file(spark, path)
+    return sorted(s.getPath().toString() for s in system.listStatus(own)) if system.exists(own) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    own, system = _file(spark, path)
+    system.delete(own, True)

@@ -6,14 +6,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import shared
 from ..sources.tables import EVENT
 
 #: Event numbers that share one state: a bit for each, so 1 KiB at most for so many events.
 BLOCK = 8192
+#: Batches after which a table of latest states is written as one.
+COMPACT = 16
+_STATE = "run_id string, seq long, stage string, payload string"
 
 
 def read_stream(spark: SparkSession, path: str, after: int = 0, max_files: int = 100) -> DataFrame:
@@ -23,24 +28,39 @@ def read_stream(spark: SparkSession, path: str, after: int = 0, max_files: int =
 
 
 def _first_times(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = np.unpackbits(np.frombuffer(state.get[0], np.uint8)).astype(bool) if state.exists else np.zeros(BLOCK, bool)
+    """New events of one block; once the block's run is closed its state goes."""
+    seen, closed = np.zeros(BLOCK, bool), False
+    if state.exists:
+        seen = np.unpackbits(np.frombuffer(state.get[0], np.uint8)).astype(bool)
     for rows in parts:
+        closed = closed or bool(rows["_close"].any())
+        rows = rows[~rows["_close"].to_numpy(bool)]
         at = (rows["seq"] % BLOCK).to_numpy(np.int64)
         fresh = ~seen[at] & ~rows["seq"].duplicated().to_numpy()
         seen[at] = True
         if fresh.any():
-            yield rows[fresh]
-    state.update((np.packbits(seen).tobytes(),))
+            yield rows[fresh].drop(columns="_close")
+    if not closed:
+        state.update((np.packbits(seen).tobytes(),))
+    elif state.exists:
+        state.remove()
 
 
-def follow(spark: SparkSession, path: str, after: int = 0, max_files: int = 100) -> DataFrame:
+def follow(spark: SparkSession, path: str, after: int = 0, max_files: int = 100, closes: Column | None = None) -> DataFrame:
     """The log's events above a sequence number, old and new, each once, however late they come.
 
     Events are told apart by run and number. What was seen is kept as one bit for each number, in blocks of numbers that
     are dealt by run and block, so neither a long run nor a hot one lands in one task. Events without a number are left out.
+
+    An event for which ``closes`` holds is its run's last: it is told to all blocks of the run, which forget what they saw, so that state is
+    kept for open runs only. What still comes for a run in a later batch counts as new, and opens it again.
     """
-    fresh = read_stream(spark, path, after, max_files).withColumn("_block", F.floor(F.col("seq") / BLOCK))
-    return fresh.groupBy("run_id", "_block").applyInPandasWithState(_first_times, f"{EVENT}, _block long", "seen binary", "append", GroupStateTimeout.NoTimeout).drop("_block")
+    block = F.floor(F.col("seq") / BLOCK)
+    own = F.array(F.struct(block.alias("_block"), F.lit(False).alias("_close")))
+    told = F.transform(F.sequence(F.lit(after // BLOCK).cast("long"), block), lambda b: F.struct(b.alias("_block"), F.lit(True).alias("_close")))
+    rows = read_stream(spark, path, after, max_files)
+    rows = rows.select("*", F.inline(own if closes is None else F.when(F.coalesce(closes, F.lit(False)), F.concat(own, told)).otherwise(own)))
+    return rows.groupBy("run_id", "_block").applyInPandasWithState(_first_times, f"{EVENT}, _block long", "seen binary", "append", GroupStateTimeout.NoTimeout).drop("_block")
 
 
 def latest_state(log: DataFrame) -> DataFrame:
@@ -49,19 +69,33 @@ def latest_state(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id").agg(last.alias("last")).select("run_id", "last.seq", "last.stage", "last.payload")
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Writes everything that is there by now to a Parquet table, and stops."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes everything that is there by now to a Parquet table, and stops; the ended query tells of its state."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def keep_latest(log: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Brings the table of :func:`latest_state` below ``path`` up to date with a stream, and returns it.
 
-    Each batch writes the runs that it changed to a folder of its own, again if it is repeated; nothing comes to the driver.
+    Each batch writes the runs that it changed to a folder of its own, or nothing if it is repeated and has done so; nothing comes to the
+    driver. Every COMPACT batches the folder holds all runs instead, and those before it are deleted, so that there are never many more.
     """
+    spark = log.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        own = f"{path}/batch={number}"
+        before = [f for f in shared.children(spark, path) if f.rpartition("=")[2].isdigit() and int(f.rpartition("=")[2]) < number]
+        whole = number % COMPACT == COMPACT - 1
+        if not shared.exists(spark, f"{own}/_SUCCESS"):
+            rows = batch
+            if whole and before:
+                rows = latest_state(batch.unionByName(batch.sparkSession.read.schema(_STATE).parquet(*before)))
+            rows.write.mode("overwrite").parquet(own)
+        if whole:
+            for folder in before:
+                shared.remove(spark, folder)
 
     latest_state(log).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    return latest_state(log.sparkSession.read.schema("run_id string, seq long, stage string, payload string").parquet(path))
+    return latest_state(spark.read.schema(_STATE).parquet(path))

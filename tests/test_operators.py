@@ -614,3 +614,39 @@ def test_search_is_reproducible_and_learns():
     mixed = K.search(broken, math.inf, 20, 3, 1, space)
     assert mixed[0].score == max(d.score for d in mixed if d.score is not None) and any(d.error == "RuntimeError: no" for d in mixed)
     assert [d.score is None for d in mixed] == sorted(d.score is None for d in mixed)
+
+
+def test_closed_runs_leave_no_state(spark):
+    """Every event once; once all runs are closed no state row is left, over several blocks of a run."""
+    from gristmill.streaming import follow
+
+    path, out, at = (new_path(spark, n) for n in ("log", "followed", "offsets"))
+    start = dt.datetime(2024, 1, 1)
+    rows = [(n, run, start, "s", "a", "info", "m", "{}") for run in ("x", "y") for n in range(1, 30_000, 500)]
+    spark.createDataFrame(rows + rows[:7], tables.EVENT).repartition(3).write.json(path)
+    stream = lambda: follow.follow(spark, path, max_files=1, closes=F.col("kind") == "closed")
+    first = follow.run_available(stream(), out, at)
+    assert first.lastProgress.stateOperators[0].numRowsTotal == 8
+    last = [(30_000, run, start, "s", "a", "closed", "m", "{}") for run in ("x", "y")]
+    spark.createDataFrame(last, tables.EVENT).coalesce(1).write.mode("append").json(path)
+    query = follow.run_available(stream(), out, at)
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 0
+    assert sorted((r.run_id, r.seq) for r in spark.read.parquet(out).collect()) == sorted((r, n) for n, r, *_ in rows + last)
+
+
+def test_latest_states_are_compacted(spark, monkeypatch):
+    from gristmill.sources import shared
+    from gristmill.streaming import follow
+
+    monkeypatch.setattr(follow, "COMPACT", 3)
+    path, out, at = (new_path(spark, n) for n in ("log", "latest", "offsets"))
+    start, best = dt.datetime(2024, 1, 1), {}
+    for i in range(8):
+        rows = [(10 * i + j, f"r{(i + j) % 5}", start, f"s{i}", "a", "k", "m", "{}") for j in range(1, 4)]
+        spark.createDataFrame(rows, tables.EVENT).coalesce(1).write.mode("append").json(path)
+        for n, run, _, stage, *_ in rows:
+            best[run] = max(best.get(run, (0, "")), (n, stage))
+        if i in (4, 7):  # two runs of one stream
+            latest = follow.keep_latest(follow.read_stream(spark, path, max_files=1), out, at)
+            assert {r.run_id: (r.seq, r.stage) for r in latest.collect()} == best
+            assert len([f for f in shared.children(spark, out) if "batch=" in f]) <= 3
