@@ -75,8 +75,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     ``grown_shard`` is null under this law.
 
     Null texts count as 0 bytes, have checksum 0 and form a group of their own; empty texts form another. Rows with
-    a null id are kept; they come last among equals. Repeated rows are each kept. Groups of one size go in the order of their
-    smallest ids, then of their texts' hashes. A very long text is a group like any other. Other columns are ignored,
+    a null id are kept; their slots follow from where they were read. Repeated rows are each kept. Groups of one size go in the
+    order of their smallest ids' buckets, of these ids, then of their texts' hashes. A very long text is a group like any other. Other columns are ignored,
     whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -89,7 +89,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
         F.xxhash64(F.lit(1), text).alias("h2"),
     )
     groups = rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.min("id").alias("first_id"))
-    groups = groups.withColumn("bucket", F.coalesce(F.pmod("first_id", F.lit(RANK_BUCKETS)), F.lit(0)).cast("int"))
+    groups = groups.withColumn("bucket", F.pmod(F.coalesce("first_id", "h1", F.lit(0)), F.lit(RANK_BUCKETS)).cast("int"))
     groups = scratch.write(groups, "shard-groups")
     per_bucket = groups.groupBy("bytes", "bucket").agg(F.count(F.lit(1)).alias("n"))
     histogram = per_bucket.groupBy("bytes").agg(F.sum("n").alias("n")).toArrow()  # a row for each size
@@ -107,8 +107,11 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     placed = ranked.join(segments, "bytes").where((rank >= start) & (rank < F.col("to_rank")))
     placed = placed.select("h1", "h2", F.expr("element_at(shards, cast((rank - from_rank) % size(shards) as int) + 1)").alias("shard"))
 
-    rows = rows.join(placed, ["h1", "h2"]).select("id", "size", "crc", "shard")
-    rows = scratch.write(rows.withColumn("bucket", F.coalesce(F.pmod("id", F.lit(SLOT_BUCKETS)), F.lit(0)).cast("int")), "shard-rows")
+    # Ids may step by any number, and rows that are equal in all of these are told apart by where they were read.
+    copy = F.pmod(F.monotonically_increasing_id(), F.lit(SLOT_BUCKETS))
+    rows = rows.withColumn("copy", copy).join(placed, ["h1", "h2"]).select("id", "size", "crc", "shard", "copy")
+    own = F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("crc", "size", "copy"))
+    rows = scratch.write(rows.select("id", "size", "crc", "shard", F.pmod(own, F.lit(SLOT_BUCKETS)).cast("int").alias("bucket")), "shard-rows")
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
