@@ -2,7 +2,8 @@
 
 A mask marks which of a window's token positions count; the others may hold anything. Test items and training
 texts are hashed under every mask, equal hashes are joined, and around each hit the item is laid over the text without
-gaps: the stretch with the best balance of agreeing tokens (+1) and substitutions (-3) is the overlap.
+gaps: the stretch with the best balance of agreeing tokens (+1) and substitutions (-3) is an overlap, and so are the best ones
+of what lies before and behind it.
 """
 
 from __future__ import annotations
@@ -56,6 +57,18 @@ def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def stretches(same: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """The best stretch, then those of what lies before and behind it, with ``least`` agreeing tokens or more each."""
+    todo = [(0, len(same))]
+    while todo:
+        first, last = todo.pop()
+        if np.count_nonzero(same[first:last]) >= least:
+            start, end, matches = best_stretch(same[first:last])
+            if matches >= least:
+                yield first + start, first + end, matches
+            todo += [(first + end, last), (first, first + start)]
+
+
 class Seeds:
     """The seeds of a block of items, sorted by hash behind a bit filter.
 
@@ -110,8 +123,7 @@ class Seeds:
             first, last = max(int(bounds[t]), int(diagonal)), min(int(bounds[t + 1]), int(diagonal) + len(own))
             if last - first < least:
                 continue
-            start, end, matches = best_stretch(tokens[first:last] == own[first - diagonal : last - diagonal])
-            if matches >= least:
+            for start, end, matches in stretches(tokens[first:last] == own[first - diagonal : last - diagonal], least):
                 yield int(t), int(self.ids[i]), first + start - int(bounds[t]), first + start - int(diagonal), end - start, matches
 
 

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,20 @@ def test_shards(docs, texts):
     assert sharding.assign_shards(empty(docs)).count() == 0
 
 
+def test_slots_without_gaps_for_ids_of_any_kind(spark):
+    """Ids that step by the number of buckets, null ids of one text and of many, one row many times."""
+    rows = [(i * sharding.SLOT_BUCKETS, f"text {i % 50}") for i in range(400)] + [(None, "same")] * 300 + [(None, f"own {i}") for i in range(300)] + [(5, "again")] * 50 + [(None, None)] * 20
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4).collect()
+    size = lambda t: len(t or "") + 8
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == collections.Counter((i, size(t), zlib.crc32((t or "").encode())) for i, t in rows)
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    loads = collections.Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    assert max(loads.values()) - min(loads.values()) <= 300 * size("same")
+
+
 def test_deal_equals_one_by_one():
     import heapq
 
@@ -420,6 +435,48 @@ def test_overlaps_equal_plain_loops(spark, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(40)) - {x[0] for x in want}
 
 
+def plain_stretches(same, least):
+    """The best stretch of a diagonal, and those before and behind it, by all starts and ends."""
+    best = (0, 0, 0)
+    for b in range(1, len(same) + 1):
+        for a in range(b - 1, -1, -1):
+            value = sum(1 if x else -decontaminate.PENALTY for x in same[a:b])
+            if value > best[0]:
+                best = (value, a, b)
+    _, a, b = best
+    if b == 0:
+        return set()
+    own = {(a, b, sum(same[a:b]))} if sum(same[a:b]) >= least else set()
+    return own | plain_stretches(same[:a], least) | {(b + x, b + y, n) for x, y, n in plain_stretches(same[b:], least)}
+
+
+def test_every_place_of_a_diagonal_counts(spark):
+    rng = random.Random(3)
+    for _ in range(60):
+        same = [x for _ in range(rng.randint(0, 5)) for x in [rng.random() < 0.9 for _ in range(rng.randint(1, 16))] + [False] * rng.randint(0, 6)]
+        assert set(decontaminate.stretches(np.array(same, bool), 8)) == plain_stretches(same, 8)
+    item = [f"a{i}" for i in range(60)]
+    text = item[:20] + ["x"] * 15 + item[35:]
+    bench, docs = (spark.createDataFrame([(7, " ".join(t))], schema) for t, schema in ((item, "item_id long, text string"), (["start", *text], "doc_id long, text string")))
+    got = sorted((r.doc_start, r.item_start, r.length, r.matches) for r in decontaminate.overlaps(docs, bench).collect())
+    assert got == [(1, 0, 20, 20), (36, 35, 25, 25)]
+    assert [(r.doc_start, r.matches, r.n_overlaps) for r in decontaminate.contaminated(docs, bench).collect()] == [(36, 25, 2)]
+
+
+@pytest.mark.parametrize("low, high, rate, least", [(8, 12, 0, 1), (13, 20, 0, 1), (21, 80, 0, 1), (13, 20, 0.05, 0.9), (21, 40, 0.05, 0.95), (21, 40, 0.1, 0.9), (41, 80, 0.1, 0.95), (41, 80, 0.15, 0.9)])
+def test_recall_by_length_and_rate(low, high, rate, least):
+    """Items with substituted tokens, each in a text of its own, by length of the items and rate of substitutions."""
+    rng = random.Random(f"{low} {rate}")
+    items = [[f"t{rng.randrange(5000)}" for _ in range(rng.randint(low, high))] for _ in range(400)]
+    seeds = decontaminate.Seeds(list(range(400)), [" ".join(x) for x in items])
+    texts = [[f"t{rng.randrange(5000)}" for _ in range(30)] + ["other" if rng.random() < rate else t for t in x] + ["end"] for x in items]
+    tokens, bounds = words.word_hashes(pa.array([" ".join(t) for t in texts]), signs=True)
+    found = {(t, i) for t, i, *_ in seeds.overlaps(tokens, bounds, 13)}
+    recall = sum((i, i) in found for i in range(400)) / 400
+    print(f"items of {low} to {high} tokens, {rate:.0%} substituted: recall {recall:.3f}")
+    assert recall >= least and len(found) <= 400
+
+
 def test_scripts_without_spaces(spark):
     bench = spark.createDataFrame([(0, "中国的首都是北京市"), (1, "สวัสดีครับ")], "item_id long, text string")
     rows = [(1, "他说中国的首都是北京市。"), (2, "中国的首都在哪里"), (3, "x สวัสดีครับ y"), (4, "plain")]
