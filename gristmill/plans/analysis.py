@@ -81,7 +81,7 @@ def aud6_high_cardinality(spark, sf_dir):
     part = lambda f: f("o_orderdate").cast("string")
     month = F.concat_ws("-", F.concat(F.lit("c"), "o_custkey"), part(F.year), part(F.month))
     df = table(spark, sf_dir, "orders").select(month.alias("month_of_customer"), "o_orderstatus")
-    return A.high_cardinality(P.column_profile(df)).select("name", "value")
+    return A.high_cardinality(P.column_profile(df, exact=True)).select("name", "value")
 
 
 @query("SELECT 'rare' AS name, round(min(n)::DOUBLE / sum(n), 4) AS value, CASE WHEN min(n)::DOUBLE / sum(n) < 0.01 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT o_orderkey % 50 = 0 AS rare, count(*) AS n FROM orders GROUP BY 1)")

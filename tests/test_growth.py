@@ -1,8 +1,12 @@
 """What holds for small tables holds for large ones: limits that only size reaches are lowered, or large groups planted."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from gristmill.operators import profile
+from gristmill.plans.registered import QUERIES, SQL
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_estimates_are_within_a_tenth(spark):
@@ -10,3 +14,10 @@ def test_estimates_are_within_a_tenth(spark):
     df = spark.range(n).select(*(F.xxhash64("id", F.lit(s)).alias(f"c{s}") for s in salts))
     found = profile.distinct_counts(df, profile.EXACT_ROWS + 1).collect()
     assert len(found) == len(salts) and all(abs(r.n_unique - n) <= n / 10 for r in found)
+
+
+def test_high_cardinality_counts_exactly(spark, monkeypatch):
+    monkeypatch.setattr(profile, "EXACT_ROWS", 100)
+    (name, value), = duckdb.sql(SQL["aud6_high_cardinality"].replace("FROM orders", f"FROM '{FOLDER}/orders.parquet'")).fetchall()
+    r, = QUERIES["aud6_high_cardinality"](spark, FOLDER).collect()
+    assert (r.name, float(r.value)) == (name, float(value))
