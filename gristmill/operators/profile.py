@@ -130,17 +130,16 @@ def memory_estimate(df: DataFrame, row_id: str, step: int = 97) -> DataFrame:
     return df.agg((F.avg(sampled) * F.count(F.lit(1))).alias("bytes"))
 
 
-#: Names of columns that tell series apart, and the most series that a column may hold.
+#: Names of columns that tell series apart.
 SERIES_NAMES = ("store", "store_id", "item", "item_id", "series", "series_id", "id", "symbol")
-MOST_SERIES, MOST_NUMBERS = 10_000, 5_000
 
 
 def time_and_series(profile: DataFrame) -> tuple[str | None, str | None]:
     """The column of time, and the one whose values are series, of a table's profile; None where there is none.
 
     Time is the first datetime column with a name of time, else the first at all. The series' column is the first one with an identifier's name
-    whose values are 2 to MOST_SERIES, and at most half as many as rows: what differs from row to row is no series. Distinct values
-    come with the profile, from one pass (estimated by sketches in large tables).
+    whose values are at least two, and at most half as many as rows: what differs from row to row is no series. The bound is a share of the
+    rows, as tables that grow have more series. Distinct values come with the profile, from one pass (estimated by sketches in large tables).
     """
     columns = profile.orderBy("position").collect()  # a row for each column
     times = [c.name for c in columns if c.kind == "datetime"]
@@ -149,8 +148,8 @@ def time_and_series(profile: DataFrame) -> tuple[str | None, str | None]:
     time = next((c for c in times if c.lower() in DATE_NAMES), times[0])
     for c in columns:
         named = c.name.lower() in SERIES_NAMES or c.name.lower().endswith("id")
-        kinds = c.kind in ("categorical", "identifier") or c.kind == "numeric" and c.n_unique <= MOST_NUMBERS
-        if c.name != time and named and kinds and 1 < c.n_unique <= min(MOST_SERIES, c.n_rows / 2):
+        kinds = c.kind in ("categorical", "identifier", "numeric")
+        if c.name != time and named and kinds and 1 < c.n_unique <= c.n_rows / 2:
             return time, c.name
     return time, None
 

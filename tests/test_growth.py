@@ -1,5 +1,7 @@
 """What holds for small tables holds for large ones: limits that only size reaches are lowered, or large groups planted."""
 
+import datetime as dt
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -21,3 +23,9 @@ def test_high_cardinality_counts_exactly(spark, monkeypatch):
     (name, value), = duckdb.sql(SQL["aud6_high_cardinality"].replace("FROM orders", f"FROM '{FOLDER}/orders.parquet'")).fetchall()
     r, = QUERIES["aud6_high_cardinality"](spark, FOLDER).collect()
     assert (r.name, float(r.value)) == (name, float(value))
+
+
+def test_many_series_are_series(spark):
+    start = dt.datetime(2024, 1, 1)
+    df = spark.range(24_000).select(F.col("id").alias("row_id"), F.floor(F.col("id") / 2).alias("user_id"), (F.lit(start) + F.make_interval(days=F.col("id").cast("int"))).alias("ts"))
+    assert profile.time_and_series(profile.column_profile(df)) == ("ts", "user_id")
