@@ -40,8 +40,8 @@ def _lines(spark, sf_dir):
     return persisted(rows.select(*NUMERIC, *CATEGORICAL, "label", "r", block.alias("split"), (block == S.VALID).alias("valid")), "lines")
 
 
-def _rmse(model, rows):
-    return RegressionEvaluator(metricName="rmse").evaluate(model.transform(rows))
+def _rmse(model, rows, weight=None):
+    return RegressionEvaluator(metricName="rmse", **({"weightCol": weight} if weight else {})).evaluate(model.transform(rows))
 
 
 LINEAR = ("linear", "lasso", "quick_linear")
@@ -65,7 +65,7 @@ def _fitted(spark, sf_dir, family, params=None, valid=None):
     """Which rows were learned from and scored, what a plain model misses by, and whether the family does better."""
     rows = _lines(spark, sf_dir)
     train, test = rows.where(F.col("split") <= (S.VALID if valid else S.TRAIN)), rows.where(F.col("split") == S.TEST)
-    model = O.pipeline(NUMERIC, CATEGORICAL, family, "regression", params, valid).fit(train)
+    model = O.fit_folded(train, NUMERIC, CATEGORICAL, family, "regression", params, valid)
     error = F.col("prediction") - F.col("label")
     found = O.predictions(model, test).agg(F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(error * error)).alias("error"))
     out = found.crossJoin(train.agg(F.count(F.lit(1)).alias("n_train"))).crossJoin(_yardstick(train, test, family))
@@ -124,7 +124,7 @@ def _flagged(spark, sf_dir):
 
 def _flag_model(spark, sf_dir, family="forest", params=None):
     rows = _flagged(spark, sf_dir)
-    return rows, O.pipeline(NUMERIC, CATEGORICAL, family, "binary", params or {"numTrees": 10, "maxDepth": 4}).fit(rows.where(F.col("split") == S.TRAIN))
+    return rows, O.fit_folded(rows.where(F.col("split") == S.TRAIN), NUMERIC, CATEGORICAL, family, "binary", params or {"numTrees": 10, "maxDepth": 4})
 
 
 _FLAGGED = f"WITH {_LINES}, f AS (SELECT *, label > 25 AS flag FROM b)"
@@ -196,13 +196,14 @@ def mod8_random_search(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     train, valid, test = (rows.where(F.col("split") == k) for k in (S.TRAIN, S.VALID, S.TEST))
     made = O.features(NUMERIC, CATEGORICAL).fit(train)
-    shaped = lambda df, name: persisted(made.transform(df).select("label", "features", "l_quantity"), name)
-    train, valid, test = shaped(train, "train"), shaped(valid, "valid"), shaped(test, "test")
-    fit = lambda params, to: O.estimator("boosted", "regression", params).fit(to)
+    # Equal lines are one weighted row: every draw's fit and score costs what different lines cost.
+    shaped = lambda df, name: persisted(made.transform(O.folded(df, [*NUMERIC, *CATEGORICAL, "label"])).select("label", "features", "weight"), name)
+    fit = lambda params, to: O.estimator("boosted", "regression", params | {"weightCol": "weight"}).fit(to)
+    both, few, held = train.unionByName(valid), shaped(train, "train"), shaped(valid, "valid")
     space = {"maxDepth": (2, 5), "maxIter": (3, 8), "stepSize": (0.1, 0.6), "subsamplingRate": (0.5, 1.0), "minInstancesPerNode": (1, 20)}
-    found = K.search(lambda params: -_rmse(fit(params, train), valid), float("inf"), 20, 4, space=space)
-    both, error = train.unionByName(valid), F.col("prediction") - F.col("label")
-    scored = fit(found[0].params, both).transform(test).agg(F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(error * error)).alias("error"))
+    found = K.search(lambda params: -_rmse(fit(params, few), held, "weight"), float("inf"), 20, 4, space=space)
+    error = F.col("prediction") - F.col("label")
+    scored = fit(found[0].params, shaped(both, "both")).transform(made.transform(test)).agg(F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(error * error)).alias("error"))
     out = scored.crossJoin(both.agg(F.count(F.lit(1)).alias("n_refitted"))).crossJoin(_yardstick(both, test, "searched"))
     best = F.lit(found[0].score == max(d.score for d in found))
     return out.select(F.lit("searched").alias("family"), F.lit(len(found)).alias("n_draws"), best.alias("best_first"), "n_refitted", "n_test", F.round("yardstick", 6).alias("yardstick"), (F.col("error") < F.col("yardstick")).alias("beats_it"))
@@ -211,13 +212,12 @@ def mod8_random_search(spark, sf_dir):
 def _halved(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     train, valid = rows.where(F.col("split") == S.TRAIN), rows.where(F.col("split") == S.VALID)
-    n = train.count()
+    n, held = train.count(), persisted(O.folded(valid, [*NUMERIC, *CATEGORICAL, "label"]), "valid")
     settings = {"linear": {}, "quick_linear": {}, "forest": {"numTrees": 5, "maxDepth": 4}}
 
     def fit_score(plan, size):
         sample = train if size >= n else train.where(F.col("r") < size / n)
-        sample = persisted(sample, "sample")
-        return _rmse(O.pipeline(NUMERIC, CATEGORICAL, plan, "regression", settings[plan]).fit(sample), valid), sample.count()
+        return _rmse(O.fit_folded(sample, NUMERIC, CATEGORICAL, plan, "regression", settings[plan]), held, "weight"), sample.count()
 
     return H.successive_halving(spark, [(p, p) for p in settings], n, fit_score, higher=False, min_rows=max(200, n // 16))
 

@@ -3,10 +3,13 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import profile
+from gristmill.operators import extra_trees, models, profile
 from gristmill.plans.registered import QUERIES, SQL
+from gristmill.sources.shared import persisted
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -29,3 +32,21 @@ def test_many_series_are_series(spark):
     start = dt.datetime(2024, 1, 1)
     df = spark.range(24_000).select(F.col("id").alias("row_id"), F.floor(F.col("id") / 2).alias("user_id"), (F.lit(start) + F.make_interval(days=F.col("id").cast("int"))).alias("ts"))
     assert profile.time_and_series(profile.column_profile(df)) == ("ts", "user_id")
+
+
+def _repeated(spark):
+    """300 different rows, each 1 to 7 times."""
+    df = spark.range(300).select(F.rand(1).alias("a"), (F.col("id") % 5).cast("double").alias("b"), F.concat(F.lit("k"), F.col("id") % 3).alias("c"), (F.col("id") % 7 + 1).cast("int").alias("times"))
+    df = df.withColumn("label", 3 * F.col("a") + F.col("b") * F.col("b"))
+    return persisted(df.select("a", "b", "c", "label", F.explode(F.sequence(F.lit(1), "times"))).drop("col"), "repeated")
+
+
+def test_folded_rows_teach_the_same(spark):
+    rows = _repeated(spark)
+    few = models.folded(rows, rows.columns)
+    assert few.count() == 300 and few.agg(F.sum("weight")).first()[0] == rows.count()
+    for family, params in (("linear", {}), ("boosted", {"maxIter": 3})):
+        plain = models.pipeline(["a", "b"], ["c"], family, "regression", params).fit(rows)
+        ours = models.fit_folded(rows, ["a", "b"], ["c"], family, "regression", params)
+        got, want = (sorted((r.a, r.prediction) for r in m.transform(few).collect()) for m in (ours, plain))
+        assert np.array(got) == pytest.approx(np.array(want), rel=1e-6 if family == "linear" else 0.1)
