@@ -77,14 +77,14 @@ def best_split(parts: list[tuple[int, int, np.ndarray, np.ndarray]], least: int)
     return best if gains and np.isfinite(gains[best]) else None
 
 
-def _sides(x: np.ndarray, y: np.ndarray, slot: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(slot, rows, sums, least and greatest values) of each slot that has rows."""
+def _sides(x: np.ndarray, y: np.ndarray, n: np.ndarray, slot: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(slot, rows, sums, least and greatest values) of each slot that has rows; a row stands for ``n``."""
     order = np.argsort(slot, kind="stable")
     own = slot[order]
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    xs, ys = x[order], y[order]
-    sizes = np.diff(np.r_[starts, len(own)])
-    yield from zip(own[starts].tolist(), sizes.tolist(), np.add.reduceat(ys, starts), np.minimum.reduceat(xs, starts), np.maximum.reduceat(xs, starts), strict=True)
+    xs, ns = x[order], n[order]
+    ys = y[order] * ns[:, None]
+    yield from zip(own[starts].tolist(), np.add.reduceat(ns, starts).tolist(), np.add.reduceat(ys, starts), np.minimum.reduceat(xs, starts), np.maximum.reduceat(xs, starts), strict=True)
 
 
 _SIDES = "tree int, node int, split int, side int, n long, sums array<double>, low array<double>, high array<double>"
@@ -110,8 +110,9 @@ def _level(shared):
             if not batch.num_rows:
                 continue
             x, y = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, -1) for i in (0, 1))
+            n = batch.column(2).to_numpy()
             if model is None:
-                for _, *found in _sides(x, y, np.zeros(len(x), np.int64), 1):
+                for _, *found in _sides(x, y, n, np.zeros(len(x), np.int64)):
                     add((0, 1, -1, 0), *found)
                 continue
             for tree, splits in level.items():  # node -> splits
@@ -125,7 +126,7 @@ def _level(shared):
                     if len(rows):
                         own = at[rows]
                         side = (x[rows, feature[own]] > threshold[own]).astype(np.int64)
-                        for slot, *found in _sides(x[rows], y[rows], 2 * own + side, 0):
+                        for slot, *found in _sides(x[rows], y[rows], n[rows], 2 * own + side):
                             add((tree, slot >> 1, s, slot & 1), *found)
         if total:
             keys, parts = zip(*total.items(), strict=True)
@@ -143,9 +144,10 @@ def _merged(found: DataFrame, classes: int, features: int) -> DataFrame:
 
 def fit(rows: DataFrame, classes: int = 1, trees: int = TREES, depth: int = DEPTH, least_leaf: int = LEAST_LEAF, k: int | None = None, seed: int = SEED) -> ExtraTrees:
     """Trees over (x array<double>, y array<double>): y is one number, or a 1 among 0s for a class; rows hold no nulls. ``k`` features are drawn at
-    a node, by default the root of their number for classes and all of them for numbers."""
+    a node, by default the root of their number for classes and all of them for numbers. A row with ``n`` stands for so many equal ones, and gives
+    the trees that they would."""
     spark = rows.sparkSession
-    rows = rows.select("x", "y")
+    rows = rows.select("x", "y", F.col("n").cast("long") if "n" in rows.columns else F.lit(1).cast("long").alias("n"))
     root = _merged_root(rows, classes)
     if root is None:
         raise ValueError("no rows to learn from")

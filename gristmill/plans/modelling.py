@@ -94,8 +94,9 @@ def mod2_extra_trees(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     train, test = rows.where(F.col("split") <= S.TRAIN), rows.where(F.col("split") == S.TEST)
     made = O.features(NUMERIC, CATEGORICAL).fit(train)
-    shaped = lambda df: made.transform(df).select("label", vector_to_array("features").alias("x"), F.array("label").alias("y"))
-    model = E.fit(persisted(shaped(train), "shaped"), trees=10, depth=8)
+    shaped = lambda df, *more: made.transform(df).select("label", vector_to_array("features").alias("x"), F.array("label").alias("y"), *more)
+    few = O.folded(train, [*NUMERIC, *CATEGORICAL, "label"])  # equal lines give the trees that one with their number does
+    model = E.fit(persisted(shaped(few, F.col("weight").alias("n")), "shaped"), trees=10, depth=8)
     error = F.col("prediction") - F.col("label")
     found = E.predict(model, shaped(test)).agg(F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(error * error)).alias("error"))
     out = found.crossJoin(train.agg(F.count(F.lit(1)).alias("n_train"))).crossJoin(_yardstick(train, test, "extra_trees"))

@@ -50,3 +50,10 @@ def test_folded_rows_teach_the_same(spark):
         ours = models.fit_folded(rows, ["a", "b"], ["c"], family, "regression", params)
         got, want = (sorted((r.a, r.prediction) for r in m.transform(few).collect()) for m in (ours, plain))
         assert np.array(got) == pytest.approx(np.array(want), rel=1e-6 if family == "linear" else 0.1)
+
+
+def test_extra_trees_of_folded_rows_are_the_same(spark):
+    rows = _repeated(spark).select(F.array("a", "b").alias("x"), F.array("label").alias("y"))
+    few = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    one, other = (extra_trees.fit(df, trees=3, depth=5) for df in (rows, few))
+    assert (one.features == other.features).all() and one.thresholds == pytest.approx(other.thresholds) and one.values == pytest.approx(other.values)
