@@ -124,23 +124,32 @@ def importances(model: PipelineModel, transformed: DataFrame, numeric: Sequence[
     return sorted(((k, v / total) for k, v in totals.items()), key=lambda x: -x[1])
 
 
-def shuffled(df: DataFrame, column: str, key: str, draw: int) -> DataFrame:
-    """The rows with one column's values dealt out anew: a row gets the value of the row that has its place in another order. Both orders are
-    ranks by hashes of the key, so rows meet by a join, and no task holds them all."""
+def dealt_anew(df: DataFrame, columns: Sequence[str], key: str, draw: int) -> DataFrame:
+    """The rows with ``_new``: the columns' values of the row that has their place in another order. Both orders are ranks by hashes of the
+    key, so rows meet by a join, and no task holds them all."""
     place = lambda salt, name: ranked(df.withColumn("_h", F.pmod(F.xxhash64(F.lit(salt), F.lit(draw), key), F.lit(1 << 40)) / F.lit(float(1 << 40))), F.col("_h"), [F.col(key)], name=name).drop("_h")
-    values = place(1, "_to").select("_to", F.col(column).alias("_value"))
-    return place(0, "_from").join(values, F.col("_from") == F.col("_to")).withColumn(column, F.col("_value")).select(*df.columns)
+    values = place(1, "_to").select("_to", F.struct(*columns).alias("_new"))
+    return place(0, "_from").join(values, F.col("_from") == F.col("_to")).select(*df.columns, "_new")
+
+
+def shuffled(df: DataFrame, column: str, key: str, draw: int) -> DataFrame:
+    """The rows with one column's values dealt out anew, see :func:`dealt_anew`."""
+    return dealt_anew(df, [column], key, draw).withColumn(column, F.col("_new")[column]).select(*df.columns)
 
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, columns: Sequence[str], key: str, score, repeats: int = 3) -> list[tuple[str, float]]:
-    """Mean loss of ``score(predictions)`` when a column is shuffled over all ``rows``, not below 0; ``key`` tells rows apart."""
-    rows = persisted(rows, "to-shuffle")
-    base = score(model.transform(rows))
-    out = []
-    for c in columns:
-        lost = [base - score(model.transform(shuffled(rows, c, key, i))) for i in range(repeats)]
-        out.append((c, max(0.0, sum(lost) / repeats)))
-    return sorted(out, key=lambda x: -x[1])
+    """Mean loss of ``score(predictions)`` when a column is shuffled over all ``rows``, not below 0; ``key`` tells rows apart, and ``columns`` are
+    all that the model reads. ``score`` gets equal rows as one, with ``weight``. Orders do not depend on the column: each is worked out once."""
+    label = "label"
+    rows = persisted(rows.select(*columns, label, key), "to-shuffle")
+    own = [*columns, label]
+    base = score(model.transform(folded(rows, own)))
+    lost = dict.fromkeys(columns, 0.0)
+    for i in range(repeats):
+        dealt = persisted(dealt_anew(rows, columns, key, i), "dealt")
+        for c in columns:
+            lost[c] += base - score(model.transform(folded(dealt.withColumn(c, F.col("_new")[c]), own)))
+    return sorted(((c, max(0.0, v / repeats)) for c, v in lost.items()), key=lambda x: -x[1])
 
 
 def presence_weights(docs: DataFrame, text: str, label: str) -> DataFrame:

@@ -313,7 +313,7 @@ def card2_permutation_importance(spark, sf_dir):
 
     rows, model = _flag_model(spark, sf_dir)
     test = persisted(rows.where(F.col("split") == S.TEST), "test")
-    found = dict(O.permutation_importance(model, test, [*NUMERIC, *CATEGORICAL], "r", lambda p: BinaryClassificationEvaluator().evaluate(p), 3))
+    found = dict(O.permutation_importance(model, test, [*NUMERIC, *CATEGORICAL], "r", lambda p: BinaryClassificationEvaluator(weightCol="weight").evaluate(p), 3))
     alone = {c: round(abs(auc(test, F.col("label") == 1, F.col(c)).first().auc - 0.5), 6) if c in NUMERIC else 0.0 for c in found}
     top = max(found, key=found.get)
     return spark.createDataFrame([(c, alone[c], c == top, abs(v - alone[c]) <= _SLACK) for c, v in found.items()], "name string, alone double, is_top boolean, within boolean")

@@ -57,3 +57,23 @@ def test_extra_trees_of_folded_rows_are_the_same(spark):
     few = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     one, other = (extra_trees.fit(df, trees=3, depth=5) for df in (rows, few))
     assert (one.features == other.features).all() and one.thresholds == pytest.approx(other.thresholds) and one.values == pytest.approx(other.values)
+
+
+def test_orders_of_a_permutation_are_worked_out_once(spark, monkeypatch):
+    """All columns share a draw's orders, and scores come from folded rows."""
+    seen, own = [], models.dealt_anew
+    monkeypatch.setattr(models, "dealt_anew", lambda df, columns, key, draw: seen.append(draw) or own(df, columns, key, draw))
+    rows = _repeated(spark).withColumn("id", F.monotonically_increasing_id().cast("double") / 1e12)
+    rows = persisted(rows, "numbered")
+    model = models.fit_folded(rows, ["a", "b"], ["c"], "linear", "regression")
+
+    def score(made):
+        if "weight" in made.columns:
+            return made.agg(-F.sum(F.pow(F.col("prediction") - F.col("label"), 2) * F.col("weight")) / F.sum("weight")).first()[0]
+        return made.agg(-F.avg(F.pow(F.col("prediction") - F.col("label"), 2))).first()[0]
+
+    found = dict(models.permutation_importance(model, rows, ["a", "b", "c"], "id", score, 2))
+    assert seen == [0, 1]
+    base = score(model.transform(rows))
+    for c, v in found.items():
+        assert v == pytest.approx(max(0.0, sum(base - score(model.transform(models.shuffled(rows, c, "id", i))) for i in range(2)) / 2), abs=1e-9)
