@@ -4,10 +4,11 @@ import datetime as dt
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import extra_trees, models, profile
+from gristmill.operators import extra_trees, features, models, profile
 from gristmill.plans.registered import QUERIES, SQL
 from gristmill.sources.shared import persisted
 
@@ -77,3 +78,12 @@ def test_orders_of_a_permutation_are_worked_out_once(spark, monkeypatch):
     base = score(model.transform(rows))
     for c, v in found.items():
         assert v == pytest.approx(max(0.0, sum(base - score(model.transform(models.shuffled(rows, c, "id", i))) for i in range(2)) / 2), abs=1e-9)
+
+
+def test_entries_of_a_part_are_bounded(monkeypatch):
+    monkeypatch.setattr(features, "ENTRIES", 10)
+    lists = [[1] * n for n in (3, 3, 3, 3, 25, 0, 10, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists)], ["i", "v"])
+    parts = list(features.slices(batch.slice(1), 1))
+    assert [p.column(0).to_pylist() for p in parts] == [[1, 2, 3], [4], [5, 6], [7]]
+    assert [p.column(1).to_pylist() for p in parts] == [lists[1:4], lists[4:5], lists[5:7], lists[7:]]
