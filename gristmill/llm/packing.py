@@ -26,8 +26,6 @@ SHARD_BYTES = 8 << 20
 CELLS = 4096
 #: Rows of the small tables that deal texts to shards up to which they are broadcast; larger ones are joined.
 BROADCAST_CELLS = 1 << 20
-#: Words are weighed for the min-hashes by their df in about so many bytes of texts.
-SAMPLE_BYTES = 64 << 20
 _DF_BITS = 18
 K1, B = 1.2, 0.75
 #: Share of a shard's texts up to which a word is indexed: all words are, as their idf weighs the common ones.
@@ -248,9 +246,7 @@ def dealt(rows: DataFrame, total: int) -> DataFrame:
     spark = rows.sparkSession
     if total <= SHARD_BYTES:
         return rows.withColumn("shard", F.lit(0).cast("long"))
-    part = max(1, -(-total // SAMPLE_BYTES))
-    sample = rows.where(F.pmod(F.xxhash64("text", "id"), F.lit(part)) == 0).select("text")
-    counts = sample.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     df, word, n = np.zeros(1 << _DF_BITS), counts.column("word").to_numpy(), counts.column("n").to_numpy()
     df[word[word >= 0]] = n[word >= 0]
     seen = max(n[word < 0].sum(), df.max())

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.llm import packing, words
 from gristmill.operators import extra_trees, features, models, profile
 from gristmill.plans.registered import QUERIES, SQL
 from gristmill.sources.shared import persisted
@@ -87,3 +88,17 @@ def test_entries_of_a_part_are_bounded(monkeypatch):
     parts = list(features.slices(batch.slice(1), 1))
     assert [p.column(0).to_pylist() for p in parts] == [[1, 2, 3], [4], [5, 6], [7]]
     assert [p.column(1).to_pylist() for p in parts] == [lists[1:4], lists[4:5], lists[5:7], lists[7:]]
+
+
+def test_words_are_weighed_by_all_texts(spark, monkeypatch):
+    """However large the table, df is that of every text, not of a sample."""
+    texts = [f"common {'often' if i % 3 else 'seldom'} w{i % 50} own{i}" for i in range(600)]
+    shared, own = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: shared.append(value) or own(self, value))
+    packing.dealt(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 1 << 30)
+    idf = next(v for v in shared if isinstance(v, np.ndarray) and len(v) == 1 << packing._DF_BITS)
+    df = np.zeros(len(idf))
+    for text in texts:
+        tokens, _ = words.word_hashes(pa.array([text]))
+        df[np.unique(tokens >> np.uint64(64 - packing._DF_BITS)).astype(int)] += 1
+    assert idf == pytest.approx(np.log1p((600 - df + 0.5) / (df + 0.5)))
