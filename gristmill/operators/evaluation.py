@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .metrics import LOSSES
 
+#: Rows of a task that compares whole groups.
+TASK_ROWS = 1 << 19
+
 
 def success_rate(success: Column, target_met: Column) -> Column:
     return F.when(~success, 0.0).when(target_met, 1.0).otherwise(0.5)
@@ -28,9 +31,19 @@ def combined(success: Column, performance: Column) -> Column:
     return 0.5 * success + 0.5 * performance
 
 
+def dealt(df: DataFrame, groups: Sequence[str], rows: int | None = None) -> DataFrame:
+    """The rows by group, in as many tasks as keep each to about TASK_ROWS of them, so that a task's memory does not grow with the table. What
+    is then grouped or ranked by at least ``groups`` needs no other shuffle. ``rows`` is how many there are, if known."""
+    rows = df.count() if rows is None else rows
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // TASK_ROWS)), *groups)
+
+
 def calibration(df: DataFrame, groups: Sequence[str], plan: str, predicted: str, observed: str, fidelity: str | None = None, bounded: Column | None = None) -> DataFrame:
     """Of each group at its lowest fidelity: Spearman's rho (three plans or more), whether the plan predicted best is the
-    observed best (two or more; the lowest plan on ties), and the mean absolute error where the metric is bounded."""
+    observed best (two or more; the lowest plan on ties), and the mean absolute error where the metric is bounded.
+
+    Rows that :func:`dealt` has spread by group are not shuffled again."""
     rows = df.where(F.col(predicted).isNotNull() & F.col(observed).isNotNull())
     if fidelity:
         lowest = F.min(fidelity).over(Window.partitionBy(*groups))

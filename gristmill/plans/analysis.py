@@ -576,7 +576,8 @@ SELECT l_suppkey, l_returnflag, count(*) AS n, CASE WHEN count(*) >= 3 AND stdde
 
 
 def _calibrated(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag", F.col("l_partkey").alias("plan")).agg(F.avg("l_extendedprice").alias("p"), F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("o"))
+    lines = V.dealt(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_partkey", "l_extendedprice", "l_discount", "l_tax"), ["l_suppkey", "l_returnflag"])
+    df = lines.groupBy("l_suppkey", "l_returnflag", F.col("l_partkey").alias("plan")).agg(F.avg("l_extendedprice").alias("p"), F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("o"))
     out = V.calibration(df, ["l_suppkey", "l_returnflag"], "plan", "p", "o")
     return out.select("l_suppkey", "l_returnflag", "n", F.round("spearman", 6).alias("spearman"), "top1_hit", F.round("mae", 4).alias("mae"))
 

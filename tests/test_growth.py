@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.llm import packing, words
-from gristmill.operators import extra_trees, features, models, profile
+from gristmill.operators import evaluation, extra_trees, features, models, profile
 from gristmill.plans.registered import QUERIES, SQL
 from gristmill.sources.shared import persisted
 
@@ -102,3 +102,15 @@ def test_words_are_weighed_by_all_texts(spark, monkeypatch):
         tokens, _ = words.word_hashes(pa.array([text]))
         df[np.unique(tokens >> np.uint64(64 - packing._DF_BITS)).astype(int)] += 1
     assert idf == pytest.approx(np.log1p((600 - df + 0.5) / (df + 0.5)))
+
+
+def test_tasks_of_a_calibration_are_bounded_by_rows(spark, monkeypatch):
+    """More rows are more tasks, groups stay whole, and neither grouping nor ranking shuffles them again."""
+    monkeypatch.setattr(evaluation, "TASK_ROWS", 200)
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    n = lines.count()
+    parts = evaluation.dealt(lines, ["l_suppkey", "l_returnflag"])
+    assert parts.rdd.getNumPartitions() == max(4, -(-n // 200)) > 4
+    assert parts.select("l_suppkey", "l_returnflag", F.spark_partition_id().alias("part")).distinct().groupBy("l_suppkey", "l_returnflag").count().where("count > 1").isEmpty()
+    plan = QUERIES["eval4_calibration"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and f", {-(-n // 200)}), REPARTITION_BY_NUM" in plan
