@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,8 +15,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources import shared
 from ..sources.tables import EVENT
 
-#: Event numbers that share one state: a bit for each, so 1 KiB at most for so many events.
+#: Event numbers of a run that share one integer of what was seen: a bit for each, so 1 KiB at most for so many events.
 BLOCK = 8192
+#: Groups that blocks are dealt to; each has one state.
+GROUPS = 1024
 #: Batches after which a table of latest states is written as one.
 COMPACT = 16
 _STATE = "run_id string, seq long, stage string, payload string"
@@ -28,29 +31,35 @@ def read_stream(spark: SparkSession, path: str, after: int = 0, max_files: int =
 
 
 def _first_times(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """New events of one block; once the block's run is closed its state goes."""
-    seen, closed = np.zeros(BLOCK, bool), False
-    if state.exists:
-        seen = np.unpackbits(np.frombuffer(state.get[0], np.uint8)).astype(bool)
+    """New events of one group of blocks. What was seen is an integer for each block, with a bit for each number; once a block's run is closed
+    its integer goes, and with the last one the state."""
+    seen = pickle.loads(state.get[0]) if state.exists else {}
+    closed = set()
     for rows in parts:
-        closed = closed or bool(rows["_close"].any())
-        rows = rows[~rows["_close"].to_numpy(bool)]
-        at = (rows["seq"] % BLOCK).to_numpy(np.int64)
-        fresh = ~seen[at] & ~rows["seq"].duplicated().to_numpy()
-        seen[at] = True
+        told = rows["_close"].to_numpy(bool)
+        closed.update(zip(rows["run_id"][told], rows["_block"][told]))
+        rows = rows[~told]
+        fresh = np.zeros(len(rows), bool)
+        for i, (run, block, seq) in enumerate(zip(rows["run_id"], rows["_block"].tolist(), rows["seq"].tolist())):
+            had, bit = seen.get((run, block), 0), 1 << seq % BLOCK
+            if not had & bit:
+                fresh[i], seen[run, block] = True, had | bit
         if fresh.any():
-            yield rows[fresh].drop(columns="_close")
-    if not closed:
-        state.update((np.packbits(seen).tobytes(),))
+            yield rows[fresh].drop(columns=["_close", "_block", "_group"])
+    seen = {at: bits for at, bits in seen.items() if at not in closed} if closed else seen
+    if seen:
+        state.update((pickle.dumps(seen),))
     elif state.exists:
         state.remove()
 
 
-def follow(spark: SparkSession, path: str, after: int = 0, max_files: int = 100, closes: Column | None = None) -> DataFrame:
+def follow(spark: SparkSession, path: str, after: int = 0, max_files: int = 100, closes: Column | None = None, groups: int = GROUPS) -> DataFrame:
     """The log's events above a sequence number, old and new, each once, however late they come.
 
-    Events are told apart by run and number. What was seen is kept as one bit for each number, in blocks of numbers that
-    are dealt by run and block, so neither a long run nor a hot one lands in one task. Events without a number are left out.
+    Events are told apart by run and number. What was seen is kept as one bit for each number, in blocks of numbers, and the blocks are dealt by
+    run and number to ``groups`` groups, so neither a long run nor a hot one lands in one task. A batch works group by group and writes the
+    states of those that it meets: a thousand open runs a group cost little; for many more of them give more groups. A stream keeps the number
+    that it began with. Events without a number are left out.
 
     An event for which ``closes`` holds is its run's last: it is told to all blocks of the run, which forget what they saw, so that state is
     kept for open runs only. What still comes for a run in a later batch counts as new, and opens it again.
@@ -60,7 +69,8 @@ def follow(spark: SparkSession, path: str, after: int = 0, max_files: int = 100,
     told = F.transform(F.sequence(F.lit(after // BLOCK).cast("long"), block), lambda b: F.struct(b.alias("_block"), F.lit(True).alias("_close")))
     rows = read_stream(spark, path, after, max_files)
     rows = rows.select("*", F.inline(own if closes is None else F.when(F.coalesce(closes, F.lit(False)), F.concat(own, told)).otherwise(own)))
-    return rows.groupBy("run_id", "_block").applyInPandasWithState(_first_times, f"{EVENT}, _block long", "seen binary", "append", GroupStateTimeout.NoTimeout).drop("_block")
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("run_id", "_block"), F.lit(groups)))
+    return rows.groupBy("_group").applyInPandasWithState(_first_times, EVENT, "seen binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def latest_state(log: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from gristmill.llm import packing, words
 from gristmill.operators import evaluation, extra_trees, features, models, profile
 from gristmill.plans.registered import QUERIES, SQL
-from gristmill.sources.shared import persisted
+from gristmill.sources import tables
+from gristmill.sources.shared import new_path, persisted
+from gristmill.streaming import follow
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -114,3 +116,16 @@ def test_tasks_of_a_calibration_are_bounded_by_rows(spark, monkeypatch):
     assert parts.select("l_suppkey", "l_returnflag", F.spark_partition_id().alias("part")).distinct().groupBy("l_suppkey", "l_returnflag").count().where("count > 1").isEmpty()
     plan = QUERIES["eval4_calibration"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and f", {-(-n // 200)}), REPARTITION_BY_NUM" in plan
+
+
+def test_many_runs_share_a_state(spark):
+    """However many runs there are, a batch works in a bounded number of groups, and each event comes once."""
+    path, out, at = (new_path(spark, n) for n in ("log", "followed", "offsets"))
+    start = dt.datetime(2024, 1, 1)
+    rows = [(n, f"r{r}", start, "s", "a", "k", "m", "{}") for r in range(3000) for n in (1, 9000)]
+    for part in (rows, rows[:100] + [(2, *r[1:]) for r in rows[:100:2]]):
+        spark.createDataFrame(part, tables.EVENT).coalesce(1).write.mode("append").json(path)
+        query = follow.run_available(follow.follow(spark, path, groups=8), out, at)
+        assert query.lastProgress.stateOperators[0].numRowsTotal == 8
+    got = spark.read.parquet(out)
+    assert got.count() == got.select("run_id", "seq").distinct().count() == 6050
