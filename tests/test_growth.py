@@ -129,3 +129,15 @@ def test_many_runs_share_a_state(spark):
         assert query.lastProgress.stateOperators[0].numRowsTotal == 8
     got = spark.read.parquet(out)
     assert got.count() == got.select("run_id", "seq").distinct().count() == 6050
+
+
+def test_texts_of_one_row_group_are_many_tasks(spark, monkeypatch):
+    """Texts of one file part are split by several tasks, by bytes; a text without an id has its weights too."""
+    monkeypatch.setattr(features, "TEXT_BYTES", 1000)
+    docs = persisted(spark.createDataFrame([(i if i else None, f"word w{i % 7} own{i} " * 5) for i in range(100)], "doc_id long, text string").coalesce(1), "docs")
+    parts = features.spread(docs, "doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert docs.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() == -(-size // 1000) > 4
+    found = features.tf_idf(docs, "doc_id", "text")
+    squares = found.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
+    assert len(squares) == 100 and all(r.s == pytest.approx(1) for r in squares)
