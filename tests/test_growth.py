@@ -6,10 +6,12 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from gristmill.llm import packing, words
 from gristmill.operators import evaluation, extra_trees, features, models, profile
+from gristmill.plans import modelling
 from gristmill.plans.registered import QUERIES, SQL
 from gristmill.sources import tables
 from gristmill.sources.shared import new_path, persisted
@@ -141,3 +143,19 @@ def test_texts_of_one_row_group_are_many_tasks(spark, monkeypatch):
     found = features.tf_idf(docs, "doc_id", "text")
     squares = found.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect()
     assert len(squares) == 100 and all(r.s == pytest.approx(1) for r in squares)
+
+
+def test_stored_vectors_are_read_as_entries(spark):
+    """Sparse vectors come back as their lists, without a text in between; a table of texts in one row group is several tasks' to split."""
+    vectors = [Vectors.sparse(9, [1, 7], [0.1, 1e-300]), Vectors.sparse(9, [], []), Vectors.sparse(9, [0], [3.0])]
+    rows = spark.createDataFrame([(float(i), v) for i, v in enumerate(vectors)], ["label", "features"])
+    path = new_path(spark, "vectors")
+    rows.write.parquet(path)
+    got = features.entries(path, "features", rows)
+    assert got.columns == ["label", "indices", "values"]
+    assert [(list(r.indices), list(r["values"])) for r in got.orderBy("label").collect()] == [(v.indices.tolist(), v.values.tolist()) for v in vectors]
+
+
+def test_text_models_split_one_row_group_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(features, "LEAST_BYTES", 1 << 10)
+    assert modelling._written(spark, FOLDER).rdd.getNumPartitions() == 4
