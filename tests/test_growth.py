@@ -159,3 +159,15 @@ def test_stored_vectors_are_read_as_entries(spark):
 def test_text_models_split_one_row_group_in_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(features, "LEAST_BYTES", 1 << 10)
     assert modelling._written(spark, FOLDER).rdd.getNumPartitions() == 4
+
+
+def test_replay_scores_equal_rows_once(spark, monkeypatch):
+    """The replay of a stored model scores a row for each different one, and counts all."""
+    scored, own = [], models.predictions
+    monkeypatch.setattr(models, "predictions", lambda model, df, labels=(): scored.append(df.count()) or own(model, df, labels))
+    again = modelling._lines(spark, FOLDER)
+    monkeypatch.setattr(modelling, "_lines", lambda spark, sf_dir: persisted(again.unionByName(again), "twice"))
+    r, = QUERIES["score2_feature_replay"](spark, FOLDER).collect()
+    test = again.where("split = 2")
+    assert (r.n, r.n_unseen, r.as_before) == (2 * test.count(), 2 * test.where("r < 0.1").count(), True)
+    assert len(scored) == 2 and max(scored) <= test.count()
