@@ -12,6 +12,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,12 @@ STILL_FREE = 0.75
 PIECE = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Runs so long that only the slower library is sure to take them in linear time.
 _LONG_RUN = re.compile(r"\S{4000}|\s{4000}")
+_BOTH = re.compile(r"\s"), re.compile(r"\S")
 #: The pattern of byte-level BPE's words: a fixed value that goes with the vocabulary.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Stretches of text that are encoded in one call, and texts whose ids are put together at once.
+_TOGETHER, _TEXTS = 1 << 15, 1 << 10
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -64,13 +68,57 @@ class Encoder:
         vocabulary = json.loads(definition)["model"]["vocab"]
         ranks = {bytes(of[c] for c in piece): n for piece, n in vocabulary.items() if piece not in self.special}
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.widths[list(ranks.values())] = [len(piece) for piece in ranks]
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or _LONG_RUN.search(text):
-            ids = self.slow.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
+        if any(s in text for s in self.special) or has_long_run(text):
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
+
+    def encode_all(self, texts: list[str]) -> dict[str, bytes]:
+        """The ids of many texts. Words that recur are encoded once: no piece of the pattern goes on after a space that another character than
+        white space follows, so a text's ids are those of its stretches between such spaces. Other texts are encoded by themselves."""
+        plain = [text for text in texts if not (any(s in text for s in self.special) or has_long_run(text))]
+        numbers, out, bounds = _Numbers(), [], [0]
+        for text in plain:
+            first, *rest = text.split(" ")
+            out.append(numbers[first + " "])  # no space comes before it
+            out += map(numbers.__getitem__, rest)
+            bounds.append(len(out))
+        stretches = list(numbers)
+        odd = np.array([not s or s[0].isspace() for s in stretches], bool)  # the space before it is no cut; an empty first one is done alone as well
+        size, at = np.zeros(len(stretches), np.int64), np.zeros(len(stretches), np.int64)
+        after, opening = [], []
+        for i, s in enumerate(stretches):
+            if not odd[i]:
+                (opening if s[-1] == " " else after).append(i)
+        made, done = [], 0
+        for i in opening:
+            made.append(np.array(self.fast.encode_ordinary(stretches[i][:-1]), "<u4"))
+            at[i], size[i] = done, len(made[-1])
+            done += len(made[-1])
+        for k in range(0, len(after), _TOGETHER):
+            part = after[k : k + _TOGETHER]
+            joined = [" " + stretches[i] for i in part]
+            ids = np.frombuffer(array("I", self.fast.encode_ordinary("".join(joined))), "<u4")
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(s.encode()) for s in joined])) + 1
+            at[part], size[part] = done + np.r_[0, ends[:-1]], np.diff(np.r_[0, ends])
+            made.append(ids)
+            done += len(ids)
+        table = np.concatenate(made) if made else np.zeros(0, "<u4")
+        found = {}
+        for k in range(0, len(plain), _TEXTS):
+            group = plain[k : k + _TEXTS]
+            own = np.array(out[bounds[k] : bounds[k + len(group)]], np.int64)
+            starts = np.array(bounds[k : k + len(group)]) - bounds[k]
+            count = size[own]
+            places = np.repeat(at[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            ids, cuts = table[places], np.r_[0, np.cumsum(np.add.reduceat(count, starts))]
+            alone = np.logical_or.reduceat(odd[own], starts)
+            for i, text in enumerate(group):
+                found[text] = self.encode(text) if alone[i] else ids[cuts[i] : cuts[i + 1]].tobytes()
+        return found | {text: self.encode(text) for text in texts if text not in found}
 
 
 def encoder(definition: str) -> Encoder:
@@ -81,6 +129,12 @@ def encoder(definition: str) -> Encoder:
     return _loaded[definition]
 
 
+def has_long_run(text: str) -> bool:
+    """Whether 4,000 characters in a row are white space, or none of them is: only then half as many from a multiple of 2,000 on are."""
+    blocks = range(0, len(text) - 1999, 2000)
+    return any(not kind.search(text, at, at + 2000) for at in blocks for kind in _BOTH) and _LONG_RUN.search(text) is not None
+
+
 class _Numbers(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = len(self)
@@ -101,12 +155,14 @@ class Index:
 
     def __init__(self, tokens: np.ndarray, bounds: np.ndarray, copies: np.ndarray | None = None):
         n = len(bounds) - 1
-        doc = np.repeat(np.arange(n), np.diff(bounds))
-        order = np.argsort(tokens, kind="stable")  # by word, then by text
-        word, doc = tokens[order], doc[order]
-        first = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])]) if len(word) else np.zeros(0, np.int64)
-        tf = np.diff(np.r_[first, len(word)])
-        word, doc = word[first], doc[first]
+        # A word and its text are one number, so that one plain sort orders both; hashes lose the first bits of the texts' numbers.
+        bits = np.uint64(max(1, (n - 1).bit_length()))
+        both = tokens.astype(np.uint64) << bits | np.repeat(np.arange(n, dtype=np.uint64), np.diff(bounds))
+        both.sort()
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+        tf = np.diff(np.r_[first, len(both)])
+        both = both[first]
+        word, doc = both >> bits, (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         new = np.r_[True, word[1:] != word[:-1]] if len(word) else np.zeros(0, bool)
         term = np.cumsum(new) - 1
         df = np.bincount(term) if len(term) else np.zeros(0, np.int64)
@@ -117,7 +173,7 @@ class Index:
         if copies is not None:
             keep |= copies[doc] > 1
         term, doc, tf = term[keep], doc[keep], tf[keep]
-        by_doc = np.argsort(doc, kind="stable")
+        by_doc = np.argsort(doc.astype(np.uint16) if n <= 1 << 16 else doc, kind="stable")
         self.n, self.columns = n, np.arange(n)
         self.terms, self.terms_of = term[by_doc], np.searchsorted(doc[by_doc], np.arange(n + 1))
         weight = (idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
@@ -190,7 +246,7 @@ def shard_pieces(ids: list, texts: list[str], encode, size: int, first_sequence:
         members.setdefault(text, []).append(i)
     distinct, copies = list(members), np.array([len(x) for x in members.values()])
     encoded = [encode(text) for text in distinct]
-    order = order_texts(np.array([len(x) // 4 for x in encoded]), copies, Index(*numbered_words(distinct), copies), size)
+    order = order_texts(np.array([len(x) // 4 for x in encoded]), copies, Index(*words.word_hashes(pa.array(distinct, pa.large_string())), copies), size)
     each = [iter(x) for x in members.values()]
     return pieces([ids[next(each[row])] for row in order], [encoded[row] for row in order], size, first_sequence)
 
@@ -221,7 +277,9 @@ def _count_words(batches):
     df, n = np.zeros(1 << _DF_BITS, np.int64), 0
     for batch in batches:
         for _, size, tokens, text in _batch_words(batch, "text"):
-            own = np.unique(text << _DF_BITS | (tokens >> np.uint64(64 - _DF_BITS)).astype(np.int64))
+            own = text << _DF_BITS | (tokens >> np.uint64(64 - _DF_BITS)).astype(np.int64)
+            own.sort()
+            own = own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own
             df += np.bincount(own & ((1 << _DF_BITS) - 1), minlength=1 << _DF_BITS)
             n += size
     at = np.flatnonzero(df)
@@ -302,7 +360,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
         texts, ids = table.column("text").to_pylist(), table.column("id").to_pylist()
         end = np.array([end_id], "<u4").tobytes()
         coder = encoder(definition.value)
-        found = shard_pieces(ids, texts, lambda text: coder.encode(text) + end, size, table.column("shard")[0].as_py() << 32)
+        encoded = coder.encode_all(list(dict.fromkeys(texts)))
+        found = shard_pieces(ids, texts, lambda text: encoded[text] + end, size, table.column("shard")[0].as_py() << 32)
         names = [c.split()[0] for c in PIECE.split(", ")]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
 

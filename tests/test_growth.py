@@ -183,3 +183,29 @@ def test_boosting_beats_naive_on_quiet_series(spark):
     made, errors = forecast.boosted_forecast(train, valid, test, 4, 52)
     error = lambda out: out.agg(F.avg(F.abs(F.col("p") - F.col("y")))).first()[0]
     assert error(made) < error(forecast.naive_forecast(train.unionByName(valid), test, 4, 52))
+
+
+def test_recurring_words_are_encoded_once():
+    """Many texts together have the ids that each has by itself in ``tokenizers``, but a word that recurs is encoded once."""
+    from gristmill.llm.queries import PACKING_TOKENIZER
+
+    with open(PACKING_TOKENIZER, encoding="utf-8") as f:
+        coder = packing.Encoder(f.read())
+    rng, own, seen = np.random.default_rng(3), coder.fast.encode_ordinary, []
+    parts = ["a", "B", "\u00e9", "\u00a0", "\u3000", "\n", "\t", " ", " ", "  ", "\x1c", "\x85", "'s", "12", "!?", "\u65e5\u672c", "\u2003", "<|endoftext|>"]
+    odd = ["", " ", "x" * 4000, "y " * 3 + " " * 4000 + "z"] + ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(3000)]
+    found = coder.encode_all(list(dict.fromkeys(odd)))
+    assert all(found[x] == np.array(coder.slow.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd)
+    coder.fast = type("Counted", (), {"encode_ordinary": lambda self, text: seen.append(len(text)) or own(text)})()
+    plain = [" ".join(f"word{k}" for k in rng.integers(0, 100, 200)) for _ in range(50)]
+    found = coder.encode_all(plain)
+    assert sum(seen) < 2000 and all(np.frombuffer(found[x], "<u4").tolist() == own(x) for x in plain)
+
+
+def test_long_runs_are_found_wherever_they_begin():
+    for n, long in ((3999, False), (4000, True)):
+        for at in (0, 1, 1999, 2000, 3500):
+            for run in ("x" * n, " " * n):
+                other = " x" * at
+                text = other[:at] + (" " if run[0] == "x" else "x") + run + (" " if run[0] == "x" else "x") + other
+                assert packing.has_long_run(text) == long == (packing._LONG_RUN.search(text) is not None)
