@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as G
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from .ranks import ranked
 
 #: The most training rows a family is tried on in a search; none where it takes any.
 ROW_LIMITS = {"knn": 100_000}
+#: Different rows up to which features are fitted on folded rows: their medians are exact, and one task sorts so many values.
+FEW_ROWS = 1_000_000
 
 
 def estimator(family: str, task: str, params: dict | None = None, valid: str | None = None, label: str = "label"):
@@ -68,13 +71,43 @@ def folded(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+def folded_features(few: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> PipelineModel:
+    """The fitted :func:`features` of rows that ``few`` holds folded, with ``weight``: medians, means, deviations and frequencies are worked out from
+    weights, and the stages are fitted on rows that have just these. Medians are exact, where those of all rows are to a thousandth of the ranks."""
+    spark, stages, w = few.sparkSession, [], F.col("weight")
+    own = features(numeric, categorical).getStages()
+    if numeric:
+        imputer, together, scaler = own[:3]
+        known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in numeric]
+        medians = few.select("weight", *known).agg(*(F.percentile(F.col(c), F.lit(0.5), w.cast("long")).alias(c) for c in numeric))
+        stages += [imputer.fit(spark.createDataFrame([tuple(medians.first())], ", ".join(f"`{c}` double" for c in numeric))), together]
+        filled = stages[0].transform(few.select("weight", *(F.col(c).cast("double").alias(c) for c in numeric)))
+        values = [F.col(f"_n_{c}") for c in numeric]
+        total, *sums = filled.agg(F.sum(w), *(F.sum(v * w) for v in values)).first()
+        means = [s / total for s in sums]
+        squares = filled.agg(*(F.sum(w * (v - m) * (v - m)) for v, m in zip(values, means, strict=True))).first()
+        half = [(s / max(1.0, total - 1) / 2) ** 0.5 for s in squares]  # two values so far from their mean deviate as all do
+        pair = [(Vectors.dense([m + sign * h for m, h in zip(means, half, strict=True)]),) for sign in (-1, 1)]
+        stages.append(scaler.fit(spark.createDataFrame(pair, ["_numeric"])))
+    if categorical:
+        counts = [few.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("level")).agg(F.sum(w).alias("n")).collect() for c in categorical]  # as many levels as the stage holds
+        shaped = few
+        for c, found in zip(categorical, counts, strict=True):  # one model a column: made of lists of two lengths, a common one has null levels
+            labels = [r.level for r in sorted(found, key=lambda r: (-r.n, r.level))]
+            stages.append(StringIndexerModel.from_labels(labels, c, f"_i_{c}", "keep"))
+            shaped = stages[-1].transform(shaped)
+        stages.append(own[-2].fit(shaped))
+    return PipelineModel([*stages, own[-1]])
+
+
 def fit_folded(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], family: str, task: str, params: dict | None = None, valid: str | None = None, label: str = "label") -> PipelineModel:
-    """The fitted :func:`pipeline`: features are fitted on all rows, the family on equal rows folded into weighted ones.
+    """The fitted :func:`pipeline`, on equal rows folded into weighted ones: one pass over the rows. Where more than FEW_ROWS are different, features
+    are fitted on all rows.
 
     Bootstraps, subsamples and the least instances of a node then go by different rows, not by copies.
     """
-    made = features(numeric, categorical).fit(rows)
     few = persisted(folded(rows, [*numeric, *categorical, label, *([valid] if valid else [])]), "folded")
+    made = folded_features(few, numeric, categorical) if 0 < few.count() <= FEW_ROWS else features(numeric, categorical).fit(rows)
     return PipelineModel([*made.stages, estimator(family, task, {"weightCol": "weight"} | (params or {}), valid, label).fit(made.transform(few))])
 
 

@@ -209,3 +209,21 @@ def test_long_runs_are_found_wherever_they_begin():
                 other = " x" * at
                 text = other[:at] + (" " if run[0] == "x" else "x") + run + (" " if run[0] == "x" else "x") + other
                 assert packing.has_long_run(text) == long == (packing._LONG_RUN.search(text) is not None)
+
+
+def test_features_of_folded_rows_are_those_of_all(spark, monkeypatch):
+    """Features are worked out from weights, nulls included; the rows themselves are read once, to fold them, and again only where few are equal."""
+    rows = _repeated(spark).withColumn("b", F.when(F.col("b") != 2, F.col("b"))).withColumn("c", F.when(F.col("a") < 0.9, F.col("c")))
+    few = persisted(models.folded(rows, rows.columns), "few")
+    want = models.features(["a", "b"], ["c"]).fit(rows)
+    got = models.folded_features(few, ["a", "b"], ["c"])
+    x, y = (np.array([r.features.toArray() for r in m.transform(few).orderBy("a", "label", "c").collect()]) for m in (got, want))
+    assert x.shape == y.shape == (300, 6) and x == pytest.approx(y, abs=0.02)  # a median of all rows is to a thousandth of the ranks
+    assert x[:, 0] == pytest.approx(y[:, 0], abs=1e-9)
+    fitted, own = [], models.features
+    monkeypatch.setattr(models, "features", lambda *c: type("Seen", (), {"fit": lambda self, df: fitted.append(df) or own(*c).fit(df), "getStages": lambda self: own(*c).getStages()})())
+    models.fit_folded(rows, ["a", "b"], ["c"], "linear", "regression")
+    assert not fitted
+    monkeypatch.setattr(models, "FEW_ROWS", 10)
+    models.fit_folded(rows, ["a", "b"], ["c"], "linear", "regression")
+    assert len(fitted) == 1
