@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from gristmill.llm import packing, words
+from gristmill.llm import packing, secrets, words
 from gristmill.operators import evaluation, extra_trees, features, forecast, models, profile
 from gristmill.plans import modelling
 from gristmill.plans.registered import QUERIES, SQL
@@ -227,3 +227,14 @@ def test_features_of_folded_rows_are_those_of_all(spark, monkeypatch):
     monkeypatch.setattr(models, "FEW_ROWS", 10)
     models.fit_folded(rows, ["a", "b"], ["c"], "linear", "regression")
     assert len(fitted) == 1
+
+
+def test_planted_findings_are_made_by_code_that_compiles(spark):
+    """All findings as one expression made a method of over 64 KB: the driver compiled it in vain and fell back."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        found = secrets.planted(docs, places=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert {r.label for r in found} == {0.0, 1.0} and len(found) > 300
