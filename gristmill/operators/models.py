@@ -65,10 +65,10 @@ def pipeline(numeric: Sequence[str], categorical: Sequence[str], family: str, ta
     return Pipeline(stages=[*features(numeric, categorical).getStages(), estimator(family, task, params, valid, label)])
 
 
-def folded(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+def folded(rows: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:
     """Rows that agree in ``columns`` as one, with how many they are as ``weight``: what learns from weighted rows learns the same, and its passes
-    cost what different rows cost. Where hardly any are equal it is one shuffle in vain."""
-    return rows.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    cost what different rows cost. Where hardly any are equal it is one shuffle in vain. ``weight`` names how many a row stands for already."""
+    return rows.groupBy(*columns).agg((F.sum(weight) if weight else F.count(F.lit(1))).cast("double").alias("weight"))
 
 
 def folded_features(few: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> PipelineModel:
@@ -100,14 +100,17 @@ def folded_features(few: DataFrame, numeric: Sequence[str], categorical: Sequenc
     return PipelineModel([*stages, own[-1]])
 
 
-def fit_folded(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], family: str, task: str, params: dict | None = None, valid: str | None = None, label: str = "label") -> PipelineModel:
+def fit_folded(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], family: str, task: str, params: dict | None = None, valid: str | None = None, label: str = "label", weight: str | None = None) -> PipelineModel:
     """The fitted :func:`pipeline`, on equal rows folded into weighted ones: one pass over the rows. Where more than FEW_ROWS are different, features
-    are fitted on all rows.
+    are fitted on all rows, a row of ``weight`` n being n of them.
 
     Bootstraps, subsamples and the least instances of a node then go by different rows, not by copies.
     """
-    few = persisted(folded(rows, [*numeric, *categorical, label, *([valid] if valid else [])]), "folded")
-    made = folded_features(few, numeric, categorical) if 0 < few.count() <= FEW_ROWS else features(numeric, categorical).fit(rows)
+    few = persisted(folded(rows, [*numeric, *categorical, label, *([valid] if valid else [])], weight), "folded")
+    if 0 < few.count() <= FEW_ROWS:
+        made = folded_features(few, numeric, categorical)
+    else:
+        made = features(numeric, categorical).fit(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(weight).cast("long")))) if weight else rows)
     return PipelineModel([*made.stages, estimator(family, task, {"weightCol": "weight"} | (params or {}), valid, label).fit(made.transform(few))])
 
 

@@ -32,12 +32,17 @@ _LEAVES = "floor((l_quantity - 1) / 12.5)"
 
 
 def _lines(spark, sf_dir):
-    """lineitem with a draw, a block and a label; written once, as every step of a fit reads it."""
+    """lineitem with a draw, a block and a label."""
     key = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")))
     label = F.col("l_quantity") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     rows = table(spark, sf_dir, "lineitem").select(*NUMERIC, *CATEGORICAL, label.alias("label"), uniform(key, "lines").alias("d"), uniform(key, "r").alias("r"))
     block = F.when(F.col("d") < 0.7, S.TRAIN).when(F.col("d") < 0.85, S.VALID).otherwise(S.TEST)
-    return persisted(rows.select(*NUMERIC, *CATEGORICAL, "label", "r", block.alias("split"), (block == S.VALID).alias("valid")), "lines")
+    return rows.select(*NUMERIC, *CATEGORICAL, "label", "r", block.alias("split"), (block == S.VALID).alias("valid"))
+
+
+def _stored_lines(spark, sf_dir):
+    """The lines written once, where several steps read each of them."""
+    return persisted(_lines(spark, sf_dir), "lines")
 
 
 def _rmse(model, rows, weight=None):
@@ -63,7 +68,7 @@ def _yardstick(train, test, family):
 
 def _fitted(spark, sf_dir, family, params=None, valid=None):
     """Which rows were learned from and scored, what a plain model misses by, and whether the family does better."""
-    rows = _lines(spark, sf_dir)
+    rows = _stored_lines(spark, sf_dir)
     train, test = rows.where(F.col("split") <= (S.VALID if valid else S.TRAIN)), rows.where(F.col("split") == S.TEST)
     model = O.fit_folded(train, NUMERIC, CATEGORICAL, family, "regression", params, valid)
     error = F.col("prediction") - F.col("label")
@@ -91,7 +96,7 @@ def mod2_forest(spark, sf_dir):
 @query(_fitted_sql("extra_trees"))
 def mod2_extra_trees(spark, sf_dir):
     """Thresholds are drawn, not taken from quantiles."""
-    rows = _lines(spark, sf_dir)
+    rows = _stored_lines(spark, sf_dir)
     train, test = rows.where(F.col("split") <= S.TRAIN), rows.where(F.col("split") == S.TEST)
     made = O.features(NUMERIC, CATEGORICAL).fit(train)
     shaped = lambda df, *more: made.transform(df).select("label", vector_to_array("features").alias("x"), F.array("label").alias("y"), *more)
@@ -120,7 +125,11 @@ def mod4_quick_linear(spark, sf_dir):
 
 def _flagged(spark, sf_dir):
     """The lines with a label of two classes."""
-    return _lines(spark, sf_dir).withColumn("label", (F.col("label") > 25).cast("double"))
+    return _as_flags(_stored_lines(spark, sf_dir))
+
+
+def _as_flags(lines):
+    return lines.withColumn("label", (F.col("label") > 25).cast("double"))
 
 
 def _flag_model(spark, sf_dir, family="forest", params=None):
@@ -128,15 +137,32 @@ def _flag_model(spark, sf_dir, family="forest", params=None):
     return rows, O.fit_folded(rows.where(F.col("split") == S.TRAIN), NUMERIC, CATEGORICAL, family, "binary", params or {"numTrees": 10, "maxDepth": 4})
 
 
+def _folded_flag_model(spark, sf_dir, family="forest", params=None):
+    """The model of :func:`_flag_model`, and the flagged lines folded by what it reads, label, block and ``unseen``, with ``weight``: lines are drawn
+    and folded in one pass, and only the different ones are written."""
+    rows = _as_flags(_lines(spark, sf_dir)).withColumn("unseen", F.col("r") < 0.1)
+    few = persisted(O.folded(rows, [*NUMERIC, *CATEGORICAL, "label", "split", "unseen"]), "flags")
+    return few, O.fit_folded(few.where(F.col("split") == S.TRAIN), NUMERIC, CATEGORICAL, family, "binary", params or {"numTrees": 10, "maxDepth": 4}, weight="weight")
+
+
+def _times(condition):
+    """How many lines of folded ones meet a condition."""
+    return F.coalesce(F.sum(F.when(condition, F.col("weight"))), F.lit(0.0)).cast("long")
+
+
+def _share_right():
+    return F.sum((F.col("label") == F.col("prediction")).cast("double") * F.col("weight")) / F.sum("weight")
+
+
 _FLAGGED = f"WITH {_LINES}, f AS (SELECT *, label > 25 AS flag FROM b)"
 
 
 @query(f"{_FLAGGED} SELECT count(*) AS n_test, count(*) FILTER (flag) AS n_positive, true AS within_bound FROM f WHERE split = 2")
 def mod3_logistic(spark, sf_dir):
     """Within bound: at least nine of ten classes are right."""
-    rows, model = _flag_model(spark, sf_dir, "linear", {"maxIter": 30})
+    rows, model = _folded_flag_model(spark, sf_dir, "linear", {"maxIter": 30})
     out = O.predictions(model, rows.where(F.col("split") == S.TEST))
-    return out.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("label") == 1).alias("n_positive"), (F.avg((F.col("label") == F.col("prediction")).cast("double")) >= 0.9).alias("within_bound"))
+    return out.agg(_times(F.lit(True)).alias("n_test"), _times(F.col("label") == 1).alias("n_positive"), (_share_right() >= 0.9).alias("within_bound"))
 
 
 def _written(spark, sf_dir):
@@ -197,7 +223,7 @@ _SEARCHED = _fitted_sql("searched", 1)
 @query(_SEARCHED.replace("'searched' AS family", "'searched' AS family, 20 AS n_draws, true AS best_first").replace("AS n_train", "AS n_refitted"))
 def mod8_random_search(spark, sf_dir):
     """Twenty draws, four fits at a time; the best parameters are fitted once more, on training and validation rows, and beat a plain tree."""
-    rows = _lines(spark, sf_dir)
+    rows = _stored_lines(spark, sf_dir)
     train, valid, test = (rows.where(F.col("split") == k) for k in (S.TRAIN, S.VALID, S.TEST))
     made = O.features(NUMERIC, CATEGORICAL).fit(train)
     # Equal lines are one weighted row: every draw's fit and score costs what different lines cost.
@@ -214,7 +240,7 @@ def mod8_random_search(spark, sf_dir):
 
 
 def _halved(spark, sf_dir):
-    rows = _lines(spark, sf_dir)
+    rows = _stored_lines(spark, sf_dir)
     train, valid = rows.where(F.col("split") == S.TRAIN), rows.where(F.col("split") == S.VALID)
     n, held = train.count(), persisted(O.folded(valid, [*NUMERIC, *CATEGORICAL, "label"]), "valid")
     settings = {"linear": {}, "quick_linear": {}, "forest": {"numTrees": 5, "maxDepth": 4}}
@@ -257,26 +283,24 @@ def score2_feature_replay(spark, sf_dir):
     """A stored model answers rows with levels that it has not seen, and all others as before it was stored."""
     from pyspark.ml import PipelineModel
 
-    rows, model = _flag_model(spark, sf_dir)
+    rows, model = _folded_flag_model(spark, sf_dir)
     path = new_path(spark, "model")
     model.save(path)
     # Equal rows are scored once: an answer hangs on what the model reads, and on whether its level is replaced.
-    test = rows.where(F.col("split") == S.TEST).withColumn("unseen", F.col("r") < 0.1)
-    test = O.folded(test, [*NUMERIC, *CATEGORICAL, "unseen"])
+    test = O.folded(rows.where(F.col("split") == S.TEST), [*NUMERIC, *CATEGORICAL, "unseen"], "weight")
     before = O.predictions(model, test, ["no", "yes"]).withColumnRenamed("prob_yes", "was").drop("prediction", "prob_no")
     odd = before.withColumn("l_returnflag", F.when(F.col("unseen"), "?").otherwise(F.col("l_returnflag")))
     out = O.predictions(PipelineModel.load(path), odd, ["no", "yes"])
-    times = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0.0)).cast("long")
-    return out.agg(times(F.col("prediction").isNotNull()).alias("n"), times(F.col("unseen") & (F.col("l_returnflag") == "?")).alias("n_unseen"), F.every(F.col("unseen") | (F.abs(F.col("was") - F.col("prob_yes")) < 1e-9)).alias("as_before"))
+    return out.agg(_times(F.col("prediction").isNotNull()).alias("n"), _times(F.col("unseen") & (F.col("l_returnflag") == "?")).alias("n_unseen"), F.every(F.col("unseen") | (F.abs(F.col("was") - F.col("prob_yes")) < 1e-9)).alias("as_before"))
 
 
 @query(f"{_FLAGGED} SELECT count(*) AS n, count(*) FILTER (flag) AS n_positive, true AS shares, true AS within_bound FROM f WHERE split = 2")
 def score3_batch_score(spark, sf_dir):
     """Probabilities are shares of one, the prediction has the larger one, and nine of ten are right."""
-    rows, model = _flag_model(spark, sf_dir)
+    rows, model = _folded_flag_model(spark, sf_dir)
     out = O.predictions(model, rows.where(F.col("split") == S.TEST), ["no", "yes"])
     shares = (F.abs(F.col("prob_no") + F.col("prob_yes") - 1) < 1e-9) & ((F.col("prob_yes") > F.col("prob_no")) == (F.col("prediction") == 1))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("n_positive"), F.every(shares).alias("shares"), (F.avg((F.col("label") == F.col("prediction")).cast("double")) > 0.9).alias("within_bound"))
+    return out.agg(_times(F.lit(True)).alias("n"), _times(F.col("label") == 1).alias("n_positive"), F.every(shares).alias("shares"), (_share_right() > 0.9).alias("within_bound"))
 
 
 @query(f"{_FLAGGED} SELECT count(*) AS n, true AS equal FROM f WHERE split = 2")
@@ -299,7 +323,7 @@ _NAMES = "SELECT name, c = (SELECT max(c) FROM c) AS is_top FROM c UNION ALL SEL
 
 @query(f"{_TOP} {_NAMES}")
 def card1_importances(spark, sf_dir):
-    rows, model = _flag_model(spark, sf_dir)
+    rows, model = _folded_flag_model(spark, sf_dir)
     found = O.importances(model, model.transform(rows.limit(1)), NUMERIC, CATEGORICAL)
     if abs(sum(v for _, v in found) - 1) > 1e-9:
         raise ValueError("importances do not add up to one")
@@ -345,7 +369,7 @@ def top4_top_tokens(spark, sf_dir):
 
 @query(f"{_TOP} SELECT name FROM c ORDER BY c DESC LIMIT 1")
 def top5_top_features(spark, sf_dir):
-    rows, model = _flag_model(spark, sf_dir)
+    rows, model = _folded_flag_model(spark, sf_dir)
     found = spark.createDataFrame(O.importances(model, model.transform(rows.limit(1)), NUMERIC, CATEGORICAL), "name string, importance double")
     return found.orderBy(F.desc("importance"), "name").limit(1).select("name")
 

@@ -238,3 +238,23 @@ def test_planted_findings_are_made_by_code_that_compiles(spark):
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
     assert {r.label for r in found} == {0.0, 1.0} and len(found) > 300
+
+
+def test_replay_stores_different_lines_only(spark, monkeypatch):
+    """Lines are drawn and folded in one pass: twice the lines make no larger tables, and all are counted."""
+    stored, once = [], modelling._lines(spark, FOLDER)
+    monkeypatch.setattr(modelling, "_lines", lambda spark, sf_dir: once.unionByName(once))
+    monkeypatch.setattr(modelling, "persisted", lambda df, name: stored.append(persisted(df, name)) or stored[-1])
+    r, = QUERIES["score2_feature_replay"](spark, FOLDER).collect()
+    assert r.n == 2 * once.where("split = 2").count() and stored and all(df.count() <= once.count() for df in stored)
+
+
+def test_weighted_rows_teach_as_their_copies_do(spark, monkeypatch):
+    """Rows with their number give the model that their copies give, where features are fitted on folded rows and where on all."""
+    rows = _repeated(spark)
+    few = models.folded(rows, rows.columns).withColumnRenamed("weight", "times")
+    for most in (models.FEW_ROWS, 100):
+        monkeypatch.setattr(models, "FEW_ROWS", most)
+        plain, ours = models.fit_folded(rows, ["a", "b"], ["c"], "linear", "regression"), models.fit_folded(few, ["a", "b"], ["c"], "linear", "regression", weight="times")
+        got, want = (sorted((r.a, r.prediction) for r in m.transform(rows).collect()) for m in (ours, plain))
+        assert np.array(got) == pytest.approx(np.array(want), rel=1e-6)
