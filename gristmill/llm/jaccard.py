@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,27 +104,32 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else s[:0]
 
 
-def _with_sets(k: int):
-    """Rows (id, h1, h2, text) to (id, h1, h2, n_shingles, s1, s2, low), the smallest shingle hash."""
+#: Bytes of text whose keys meet in one group: about half a million keys, which a task holds at once.
+GROUP_BYTES, LEAST_BYTES = 1 << 22, 1 << 18
+_SET = ["id", "h1", "h2", "n_shingles", "s1", "s2", "low"]
+_FOUND = ", ".join(f"{c} long" for c in _SET)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [(len(s), *set_hashes(s), int(s[:1].view(np.int64)[0]) if len(s) else 0) for s in words.shingle_sets(batch.column(3), k)]
-            made = [pa.array(x, pa.int64()) for x in (zip(*sets, strict=True) if sets else [()] * 4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["id", "h1", "h2", "n_shingles", "s1", "s2", "low"])
 
-    return run
+def _group(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The group, of 0 to groups - 1, of 64-bit hashes."""
+    return ((keys >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
 
 
-def _with_keys(k: int, percent: int):
-    """Texts to (key, node, hub). Within a task a set counts once, and of the sets that share a key one keeps it;
-    the others are linked to that hub at once."""
+def _with_keys(k: int, percent: int, groups: int):
+    """Rows (id, h1, h2, text) to their sets (id, h1, h2, n_shingles, s1, s2, low), low the smallest shingle hash, and to the sets' keys, each text
+    hashed once. Within a task a set counts once, and of the sets that share a key one keeps it; the others are linked to that hub at once. The keys
+    of a group are one row of two packed arrays, keys and their nodes; links are one of nodes and hubs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys, nodes, rows = [], [], 0
 
-        def flush() -> pa.RecordBatch:
+        def packed(group: np.ndarray, sets: list[pa.Array] | None = None, **binary: list[bytes]) -> pa.RecordBatch:
+            sets = sets or [pa.nulls(len(group), pa.int64())] * len(_SET)
+            parts = [pa.array(binary.get(c, [None] * len(group)), pa.binary()) for c in ("keys", "nodes", "hubs")]
+            return pa.RecordBatch.from_arrays([pa.array(group), *sets, *parts], ["group", *_SET, "keys", "nodes", "hubs"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
             key, node = np.concatenate(keys), np.concatenate(nodes)
             order = np.argsort(key, kind="stable")
             key, node = key[order], node[order]
@@ -132,20 +138,23 @@ def _with_keys(k: int, percent: int):
             again = ~first & (node != hub)
             linked, roots = components.local_components(node[again], hub[again]) if again.any() else (node[:0], node[:0])
             moved = linked != roots
-            linked, roots = linked[moved], roots[moved]
+            if moved.any():
+                yield packed(_group(roots[moved][:1].view(np.uint64), groups), nodes=[linked[moved].tobytes()], hubs=[roots[moved].tobytes()])
+            # Keys that rise are in order of their groups; inside a group they go by node, which packs better.
             key, node = key[first], node[first]
-            none = pa.nulls(len(key), pa.int64())
-            a = pa.concat_arrays([pa.array(key.view(np.int64)), pa.array(linked)])  # links are dealt by their node
-            b = pa.concat_arrays([pa.array(node), pa.array(linked)])
-            c = pa.concat_arrays([none, pa.array(roots)])
-            return pa.RecordBatch.from_arrays([a, b, c], ["key", "node", "hub"])
+            group = _group(key, groups)
+            at = np.lexsort((order[first], group))
+            key, node = key[at], node[at]
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            ends = np.r_[starts[1:], len(group)]
+            yield packed(group[starts], keys=[key[i:j].tobytes() for i, j in zip(starts, ends)], nodes=[node[i:j].tobytes() for i, j in zip(starts, ends)])
 
         for batch in batches:
-            for s in words.shingle_sets(batch.column(0), k):
-                if not len(s):
-                    continue
-                name = set_hashes(s)[0]
-                if name in seen:
+            sets = []
+            for s in words.shingle_sets(batch.column(3), k):
+                name, check = set_hashes(s)
+                sets.append((len(s), name, check, int(s[:1].view(np.int64)[0]) if len(s) else 0))
+                if not len(s) or name in seen:
                     continue
                 seen.add(name)
                 key = signatures(s, percent)
@@ -154,37 +163,67 @@ def _with_keys(k: int, percent: int):
                     nodes.append(np.full(len(key), name, np.int64))
                     rows += len(key)
                 if rows >= _FLUSH_ROWS:
-                    yield flush()
+                    yield from flush()
                     keys, nodes, rows = [], [], 0
                     seen = set()
+            if sets:
+                made = [pa.array(x, pa.int64()) for x in zip(*sets, strict=True)]
+                dealt = words.mix(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield packed(_group(dealt, groups), [*batch.columns[:3], *made])
         if rows:
-            yield flush()
+            yield from flush()
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node, hub), sorted by key, to links between the nodes that share a key, as (node, root); some links at a time."""
-    a, b, held, last = [], [], 0, None
+    """What :func:`_with_keys` gives, sorted by group, to the sets as they are and links between the nodes that share a key, as (node, root) in
+    (a, b); some links at a time."""
+    a, b, held, own, group = [], [], 0, [], None
+
+    def links() -> pa.RecordBatch:
+        found = components.contracted(a, b)
+        a.clear()
+        b.clear()
+        none = [pa.nulls(found.num_rows, pa.int64())] * len(_SET)
+        return pa.RecordBatch.from_arrays([*none, *found.columns], [*_SET, "a", "b"])
+
+    def close() -> int:
+        """The links of a group's keys."""
+        if not own:
+            return 0
+        key, node = (np.concatenate(x) for x in zip(*own, strict=True))
+        own.clear()
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        same = np.flatnonzero(key[1:] == key[:-1])
+        a.append(node[same + 1])
+        b.append(node[same])
+        return len(same)
+
     for batch in batches:
-        is_key = np.asarray(batch.column(2).is_null())
-        key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        a.append(node[~is_key])
-        b.append(batch.column(2).drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
-        key, node = key[is_key], node[is_key]
-        if len(key):
-            if last is not None:
-                key, node = np.r_[last[0], key], np.r_[last[1], node]
-            last = key[-1], node[-1]
-            same = np.flatnonzero(key[1:] == key[:-1])
-            a.append(node[same + 1])
-            b.append(node[same])
-        held += len(a[-1]) + (len(a[-2]) if len(key) else 0)
-        if held >= components.AT_ONCE:
-            yield components.contracted(a, b)
-            a, b, held = [], [], 0
+        is_set = batch.column(1 + _SET.index("n_shingles")).is_valid()
+        sets = batch.filter(is_set)
+        if sets.num_rows:
+            none = [pa.nulls(sets.num_rows, pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([*sets.columns[1 : 1 + len(_SET)], *none], [*_SET, "a", "b"])
+        others = batch.filter(pa.compute.invert(is_set))
+        for at, keys, nodes, hubs in zip(*(others.column(c).to_pylist() for c in ("group", "keys", "nodes", "hubs")), strict=True):
+            if at != group:
+                held += close()
+                group = at
+            if hubs is None:
+                own.append((np.frombuffer(keys, np.uint64), np.frombuffer(nodes, np.int64)))
+            else:
+                a.append(np.frombuffer(nodes, np.int64))
+                b.append(np.frombuffer(hubs, np.int64))
+                held += len(a[-1])
+            if held >= components.AT_ONCE:
+                yield links()
+                held = 0
+    held += close()
     if held:
-        yield components.contracted(a, b)
+        yield links()
 
 
 def bitmap(s: np.ndarray, width: int) -> np.ndarray:
@@ -392,10 +431,11 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str
     """
     rows = docs.select(scratch.column(docs, id_col).cast("long").alias("id"), scratch.column(docs, text_col).cast("string").alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
-    sets = scratch.write(rows.mapInArrow(_with_sets(k), "id long, h1 long, h2 long, n_shingles long, s1 long, s2 long, low long"), "sets")
-
-    keys = rows.select("text").mapInArrow(_with_keys(k, percent), "key long, node long, hub long")
-    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, size // GROUP_BYTES, min(docs.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES))
+    keys = rows.mapInArrow(_with_keys(k, percent, groups), f"group long, {_FOUND}, keys binary, nodes binary, hubs binary")
+    found = scratch.write(keys.repartition("group").sortWithinPartitions("group").mapInArrow(_meet, f"{_FOUND}, a long, b long"), "sets")
+    sets, met = found.where("a is null").select(*_SET), found.where("a is not null").select("a", "b")
     tiles = components.connected_components(met).select(F.col("node").alias("s1"), F.col("component").alias("tile"))
 
     text_of = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("of")  # one row for each set

@@ -30,10 +30,11 @@ def _pairs(array: Column, make) -> Column:
     return F.zip_with(F.slice(array, F.lit(1), n), F.slice(array, F.lit(2), n), make)
 
 
-def with_statistics(rows: DataFrame, text: str = "text") -> DataFrame:
+def with_statistics(rows: DataFrame, text: str = "text", verdict: bool = False) -> DataFrame:
     """Adds ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of a text that is not null.
 
-    Steps are columns of their own where a later one uses them twice, so that no step is computed again.
+    Steps are columns of their own where a later one uses them twice, so that no step is computed again. For a ``verdict`` the number of
+    repeated words is worked out only where its bounds lie on both sides of the limit; else it is one on the right side.
     """
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
@@ -44,13 +45,18 @@ def with_statistics(rows: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_pairs", _pairs(F.col("_hashes"), lambda a, b: F.xxhash64(a, b)))
     rows = rows.withColumn("_windows", _pairs(F.col("_pairs"), lambda a, b: F.xxhash64(a, b)))
     # Windows that occur again, by position: neighbours in order of their hashes.
-    placed = F.array_sort(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    again = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    rows = rows.withColumn("_placed", F.when(again, placed).otherwise(F.array().cast("array<struct<w:bigint,i:int>>")))
+    placed = F.sort_array(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    rows = rows.withColumn("_again", F.size("_windows") - F.size(F.array_distinct("_windows")))
+    # Of n windows that are equal, n - 1 count as again: they hold 3 * n words at most, 6 * (n - 1), and all such windows 3 + again at least.
+    most, limit = F.when(F.col("_again") > 0, 6 * F.col("_again")).otherwise(0), MAX_REPEAT_PERCENT * F.size("_words")
+    sure = (100 * most <= limit) | (100 * (F.col("_again") + 3) > limit) if verdict else F.lit(False)
+    rows = rows.withColumn("_placed", F.when((F.col("_again") > 0) & ~sure, placed).otherwise(F.array().cast("array<struct<w:bigint,i:int>>")))
     repeated = F.flatten(_pairs(F.col("_placed"), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>"))))
-    rows = rows.withColumn("_repeated", F.array_sort(F.array_distinct(repeated)))
+    rows = rows.withColumn("_repeated", F.sort_array(F.array_distinct(repeated)))
     steps = _pairs(F.col("_repeated"), lambda a, b: F.least(b - a, F.lit(3)))
     covered = F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step) + F.when(F.size("_repeated") > 0, 3).otherwise(0)
+    if verdict:
+        covered = F.when(sure, F.when(100 * most <= limit, 0).otherwise(F.size("_words"))).otherwise(covered)
     out = {
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
@@ -58,10 +64,10 @@ def with_statistics(rows: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": covered.cast("long"),
     }
-    return rows.withColumns(out).drop("_words", "_lines", "_hashes", "_pairs", "_windows", "_placed", "_repeated")
+    return rows.withColumns(out).drop("_words", "_lines", "_hashes", "_pairs", "_windows", "_again", "_placed", "_repeated")
 
 
-def with_ngrams(rows: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def with_ngrams(rows: DataFrame, text: Column | str = "text", buckets: int = BUCKETS) -> DataFrame:
     """Adds ``_ngrams``: the buckets of all unigrams and bigrams."""
     rows = rows.withColumn("_tokens", F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), lambda t: F.xxhash64(t)))
     bucket = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
@@ -116,15 +122,18 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that :func:`quality` keeps."""
     # The rows' numbers hold the filter back: moved below the steps, it would compute each of them again and again.
-    return _judged(docs, labels, threshold, id_col, text_col).where("kept and _number >= 0").select("row.*")
+    docs = scratch.dealt(docs, id_col, text_col)
+    return _judged(docs, labels, threshold, id_col, text_col, verdict=True).where("kept and _number >= 0").select("row.*")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str, text_col: str, verdict: bool = False) -> DataFrame:
     columns = {"row": scratch.boxed(docs), "id": scratch.column(docs, id_col).cast("long"), "text": F.coalesce(scratch.column(docs, text_col).cast("string"), F.lit(""))}
     rows = docs.select(*(v.alias(k) for k, v in columns.items()))
     trusted = labels.where(labels["quality"] == 1).select(labels["doc_id"].cast("long").alias("id"))
     values = weights(with_ngrams(rows.select("id", "text")).select("id", "_ngrams"), trusted)
-    out = with_statistics(with_ngrams(rows))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumns({"base_failed": failed, "llr": score(values), "_number": F.monotonically_increasing_id()})
+    out = with_statistics(rows, verdict=verdict).withColumn("base_failed", failed)
+    # For a verdict, what fails the base rules needs no score.
+    out = with_ngrams(out, F.when(~F.col("base_failed"), F.col("text")) if verdict else "text")
+    out = out.withColumns({"llr": score(values), "_number": F.monotonically_increasing_id()})
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))

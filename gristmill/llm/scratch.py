@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import unshuffled
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where the session names none, a temporary one is set if driver and executors
@@ -30,9 +32,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def save(df: DataFrame, name: str) -> str:
-    """Writes the rows to a new shared Parquet table and returns its path."""
+    """Writes the rows to a new shared Parquet table and returns its path. What was shuffled for it is deleted once it is written."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with unshuffled(df.sparkSession):
+        df.write.parquet(path)
     return path
 
 
@@ -55,3 +58,17 @@ def column(df: DataFrame, name: str) -> Column:
 def boxed(df: DataFrame) -> Column:
     """All columns as one struct, so that names of an operator's own can't clash with them; ``select("row.*")`` gives them back."""
     return F.struct(*(column(df, c) for c in df.columns))
+
+
+#: Bytes of text that a task goes through: the most, about, and what pays for a task of its own.
+TEXT_BYTES, LEAST_BYTES = 1 << 24, 1 << 18
+
+
+def dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows, dealt into tasks of about TEXT_BYTES of text where a split holds over twice that, or its share of the cores: a file's one row
+    group is one task's, whatever it holds."""
+    key, text = column(docs, id_col), column(docs, text_col)
+    by_split = docs.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length(text)).alias("n"))  # a row for each split
+    most, size = by_split.agg(F.max("n"), F.sum("n")).first()
+    tasks = max(1, -(-(size or 0) // TEXT_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // LEAST_BYTES)))
+    return docs.repartition(tasks, key, F.xxhash64(text)) if (most or 0) * tasks > 2 * (size or 0) else docs

@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from gristmill.llm import packing, secrets, words
+from gristmill.llm import jaccard, packing, quality, scratch, secrets, words
 from gristmill.operators import evaluation, extra_trees, features, forecast, models, profile
 from gristmill.plans import modelling
 from gristmill.plans.registered import QUERIES, SQL
@@ -258,3 +258,48 @@ def test_weighted_rows_teach_as_their_copies_do(spark, monkeypatch):
         plain, ours = models.fit_folded(rows, ["a", "b"], ["c"], "linear", "regression"), models.fit_folded(few, ["a", "b"], ["c"], "linear", "regression", weight="times")
         got, want = (sorted((r.a, r.prediction) for r in m.transform(rows).collect()) for m in (ours, plain))
         assert np.array(got) == pytest.approx(np.array(want), rel=1e-6)
+
+
+def _written_at_once(spark, n=3_000):
+    """Texts of one row group, which one split holds: about half of the words of some repeat."""
+    rng, words_ = np.random.default_rng(3), np.array([f"word{i}" for i in range(4_000)])
+    texts = []
+    for i in range(n):
+        own = [rng.choice(words_, 40 + i % 60)]
+        own += [own[0][: rng.integers(3, 40)] for _ in range(i % 4)]
+        texts.append(" ".join(np.concatenate([own[j] for j in rng.permutation(len(own))])))
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+
+
+def test_quality_stage_deals_one_row_group_and_judges_alike(spark):
+    docs = persisted(_written_at_once(spark), "texts")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels)
+    assert docs.rdd.getNumPartitions() == 1 and kept.rdd.getNumPartitions() > 1
+    wanted = quality.quality(docs, labels).collect()
+    assert 0 < sum(100 * r.n_repeat_words > 50 * r.n_words for r in wanted) < sum(r.n_repeat_words > 0 for r in wanted)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in wanted if r.kept)
+
+
+def test_near_duplicate_keys_are_packed_and_texts_hashed_once():
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(40)]
+    texts += [t.replace("w3x7 ", "other ") for t in texts] + ["", None]
+    ids = pa.array(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([ids, ids, ids, pa.array(texts)], ["id", "h1", "h2", "text"])
+    # Two tasks, whose keys meet in four groups: a row for each set and at most one for each group and task.
+    rows = [r for part in (batch.slice(0, 40), batch.slice(40)) for out in jaccard._with_keys(5, 80, 4)(iter([part])) for r in out.to_pylist()]
+    assert len(rows) <= len(texts) + 2 * (4 + 1) and sum(len(r["keys"] or b"") for r in rows) > 40 * 8 * 100
+    ordered = pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["group"]), next(jaccard._with_keys(5, 80, 4)(iter([batch]))).schema)
+    found = [r for out in jaccard._meet(iter([ordered.slice(0, 50), ordered.slice(50)])) for r in out.to_pylist()]
+    sets = {r["id"]: r["s1"] for r in found if r["a"] is None}
+    assert sorted(sets) == list(range(len(texts)))
+    linked = {frozenset((r["a"], r["b"])) for r in found if r["a"] is not None}
+    assert linked == {frozenset((sets[i], sets[i + 40])) for i in range(40) if sets[i] != sets[i + 40]} and linked
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = lambda: set(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split())
+    before = files()
+    for write in (persisted, scratch.write):
+        write(spark.range(1_000).repartition(3, "id"), "dealt")
+    assert not [f for f in files() - before if f.endswith(".data")]
