@@ -303,3 +303,15 @@ def test_written_tables_leave_no_shuffle_files(spark):
     for write in (persisted, scratch.write):
         write(spark.range(1_000).repartition(3, "id"), "dealt")
     assert not [f for f in files() - before if f.endswith(".data")]
+
+
+def test_tf_idf_stores_no_row_for_each_text_and_term(spark, monkeypatch):
+    """What is stored is a row for each part and term; repeated ids are one text; ``max_terms`` keeps the most frequent terms."""
+    stored = []
+    monkeypatch.setattr(features, "persisted", lambda df, name: stored.append(persisted(df, name)) or stored[-1])
+    docs = spark.createDataFrame([(i // 2, f"alpha beta beta gamma w{i % 7} own{i}") for i in range(400)], "doc_id long, text string")
+    found = features.tf_idf(docs, "doc_id", "text").collect()
+    assert len(found) == 2_000 and all(t.count() < 200 for t in stored)
+    by, ratio = {(r.doc_id, r.term): r.weight for r in found}, (1 + np.log(4)) / (1 + np.log(2))  # an id's two rows count together
+    assert all(by[i, "beta"] / by[i, "alpha"] == pytest.approx(ratio) for i in range(200))
+    assert {r.term for r in features.tf_idf(docs, "doc_id", "text", max_terms=1).collect()} == {"beta"}
